@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import exact_dedup, mixing
+from corpuscle.llm import exact_dedup, license_scan, mixing, order_minhash
 from corpuscle.session import table
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return order_minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template blocks of every document."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by source weights 5, 2, 1, repeating, at 150 % of all words."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -19,6 +29,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_order_minhash": op3_order_minhash,
+    "op4_license_scan": op4_license_scan,
     "op8_mixing": op8_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }

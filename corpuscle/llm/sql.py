@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from corpuscle.llm.license_scan import LOWER, PHRASES, TEMPLATES, THRESHOLD, UPPER
+
 OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -43,4 +45,30 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text)
 """
 
-SQL = {"op8_mixing": OP8, "op10_exact_dedup": OP10}
+def op4() -> str:
+    templates = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
+    phrases = ", ".join(f"('{label}', {list(words)})" for label, words in PHRASES)
+    return rf"""
+WITH t(label, words) AS (SELECT a, list_distinct(string_split(b, ' ')) FROM (VALUES {templates}) v(a, b)),
+p(label, words) AS (VALUES {phrases}),
+d AS (
+  SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents
+), w AS (SELECT k, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+h AS (
+  SELECT k, label, unnest(range(len(w))) AS i, w, words FROM w JOIN p ON list_has_all(w, words)
+), b AS (
+  SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base
+  FROM h WHERE list_slice(w, i + 1, i + len(words)) = words GROUP BY k
+), l AS (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d),
+lw AS (SELECT k, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM l),
+c AS (SELECT k, label, len(list_intersect(words, w)) AS n, len(words) AS of FROM lw JOIN t ON list_has_any(w, words)),
+m AS (SELECT k, list(DISTINCT label) AS found, max(n / of) AS best FROM c WHERE n >= ceil({THRESHOLD} * of - 1e-9) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN b USING (k) LEFT JOIN m USING (k)
+"""
+
+
+SQL = {"op4_license_scan": op4(), "op8_mixing": OP8, "op10_exact_dedup": OP10}
