@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import exact_dedup, license_scan, mixing, order_minhash
+from corpuscle.llm import exact_dedup, license_scan, mixing, order_minhash, token_count, url_filter
 from corpuscle.session import table
 
 
@@ -18,11 +18,24 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the 32,000 pieces of the public vocabulary."""
+    import public_tokenizers
+
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by source weights 5, 2, 1, repeating, at 150 % of all words."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by the rules, else by the list of campaign landing pages."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, url_filter.campaign_urls(pages))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document that stays of its group of equal texts."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -31,6 +44,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_order_minhash": op3_order_minhash,
     "op4_license_scan": op4_license_scan,
+    "op7_token_count": op7_token_count,
     "op8_mixing": op8_mixing,
+    "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }

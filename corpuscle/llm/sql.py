@@ -45,6 +45,33 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text)
 """
 
+OP9 = r"""
+WITH r AS (SELECT row_number() OVER () AS k, page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
+p AS (
+  SELECT k, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query
+  FROM r
+), q AS (
+  SELECT *, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)='))) AS kept,
+         len(list_filter(string_split(query, '&'), lambda x: regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)='))) > 0 AS tracked
+  FROM p
+), c AS (
+  SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html)$', '')
+         || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical
+  FROM q
+), l AS (SELECT DISTINCT canonical FROM c WHERE tracked AND canonical <> ''),
+v(verdict, rule, rh, rp) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+  ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+b AS (
+  SELECT c.*, v.verdict, v.rule, row_number() OVER (PARTITION BY k ORDER BY length(v.rule) DESC) AS n
+  FROM c LEFT JOIN v ON (c.host = rh OR ends_with(c.host, '.' || rh)) AND starts_with(c.path, rp)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       b.canonical, l.canonical IS NOT NULL AS listed
+FROM b LEFT JOIN l ON b.canonical = l.canonical WHERE n = 1
+"""
+
+
 def op4() -> str:
     templates = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
     phrases = ", ".join(f"('{label}', {list(words)})" for label, words in PHRASES)
@@ -71,4 +98,4 @@ FROM w LEFT JOIN b USING (k) LEFT JOIN m USING (k)
 """
 
 
-SQL = {"op4_license_scan": op4(), "op8_mixing": OP8, "op10_exact_dedup": OP10}
+SQL = {"op4_license_scan": op4(), "op8_mixing": OP8, "op9_url_filter": OP9, "op10_exact_dedup": OP10}
