@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscle.llm import exact_dedup, license_scan, mixing, order_minhash, token_count, url_filter
+from corpuscle.llm import exact_dedup, license_scan, mixing, order_minhash, token_count, toxicity, url_filter
 from corpuscle.session import table
 
 
+def held_out(id_col: str, parts: int):
+    """The fold that is not learned from: CRC-32 of the id as text modulo ``parts`` is 2; null ids are learned from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == 2, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out("_id", 4))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a machine that learned from the other three folds' labels."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", "predicted")
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return order_minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
@@ -42,6 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_order_minhash": op3_order_minhash,
     "op4_license_scan": op4_license_scan,
     "op7_token_count": op7_token_count,
