@@ -70,13 +70,13 @@ class Kernel:
     def values(self, words: list[str]) -> np.ndarray:
         """Kernel of each word with each landmark, scaled by both words' norms."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for w, codes, weight in triples(words):
-            r = self.row[codes]
-            w, r = w[r > 0], r[r > 0]
-            for lo in range(0, len(w), 100_000):  # bounded memory; a word may be cut, hence +=
-                ww = w[lo : lo + 100_000]
-                starts = np.flatnonzero(np.r_[True, ww[1:] != ww[:-1]])
-                out[ww[starts]] += weight * np.add.reduceat(self.table[r[lo : lo + 100_000]], starts, axis=0)
+        for lo in range(0, len(words), 1000):  # bounded memory: a dense block of words by known codes, then one product
+            part = words[lo : lo + 1000]
+            block = np.zeros((len(part), len(self.table)), np.float32)
+            for w, codes, weight in triples(part):
+                r = self.row[codes]
+                np.add.at(block, (w[r > 0], r[r > 0]), np.float32(weight))
+            out[lo : lo + 1000] = block @ self.table
         return out / norms(np.array([len(x) for x in words]))[:, None].astype(np.float32)
 
     def folded(self, alpha: np.ndarray) -> np.ndarray:
@@ -152,18 +152,18 @@ def choose_landmarks(docs: list[set[str]], labels: np.ndarray, n: int) -> list[s
     return chosen or ["none"]
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, classes of equal weight, by accelerated gradient steps; deterministic."""
     sign = np.where(y > 0, 1.0, -1.0)
     share = weight * np.where(y > 0, 0.5 / weight[y > 0].sum(), 0.5 / weight[y == 0].sum())
-    z = np.c_[x, np.ones(len(x))]
+    z, share, sign = (np.asarray(a, np.float32) for a in (np.c_[x, np.ones(len(x))], share, sign))
     step = 1 / (1 / cost + 2 * np.linalg.norm((z * share[:, None]).T @ z, 2))
-    w = v = np.zeros(z.shape[1])
+    w = v = np.zeros(z.shape[1], np.float32)
     for t in range(rounds):
         loss = np.maximum(0, 1 - sign * (z @ v))
-        grad = np.r_[v[:-1], 0] / cost - 2 * z.T @ (share * sign * loss)
-        new = v - step * grad
-        v, w = new + t / (t + 3) * (new - w), new
+        grad = np.r_[v[:-1], np.float32(0)] / cost - 2 * z.T @ (share * sign * loss)
+        new = (v - step * grad).astype(np.float32)
+        v, w = new + np.float32(t / (t + 3)) * (new - w), new
     return w[:-1], float(w[-1])
 
 
@@ -212,17 +212,20 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, cost: floa
     times = Counter(w for s in toxic for w in s if w not in known)
     picked = Counter(max(s, key=lambda w: (times[w], w)) for s in toxic if any(times[w] > 1 for w in s))
     picked = picked or Counter(max(s, key=lambda w: (times[w], w)) for s in toxic)
-    wrong = clean[:: max(1, len(clean) // 20_000)]
+    wrong = clean[:: max(1, len(clean) // 6_000)]
+    seen: dict[str, np.ndarray] = {}
     for turn in range(rounds):
         ones = sorted(picked)
-        x = kernel.values(ones + wrong).astype(np.float64) @ white
+        new = [v for v in dict.fromkeys(ones + wrong) if v not in seen]
+        seen.update(zip(new, kernel.values(new) @ white.astype(np.float32)))
+        x = np.array([seen[v] for v in ones + wrong])
         is_one = np.r_[np.ones(len(ones)), np.zeros(len(wrong))]
         w, bias = svm(x, is_one, np.r_[[picked[o] ** 0.5 for o in ones], np.ones(len(wrong))], cost)
         folded = kernel.folded(white @ w)
         if turn == rounds - 1:
             break
         got = margins(clean, folded, bias)
-        wrong = sorted({*wrong, *(clean[i] for i in np.argsort(-got, kind="stable")[:5000])})
+        wrong = sorted({*wrong, *(clean[i] for i in np.argsort(-got, kind="stable")[:3000])})
         flat = [x for s in toxic for x in s]
         top = np.maximum.reduceat(got := margins(flat, folded, bias), at := np.cumsum([0, *map(len, toxic[:-1])]))
         picked = Counter(flat[a + int(np.argmax(got[a : a + len(s)]))] for a, s, t in zip(at, toxic, top) if t > 0) or picked
