@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import exact_dedup, license_scan, mixing, order_minhash, token_count, toxicity, url_filter
+from corpuscle.llm import exact_dedup, license_scan, mixing, order_minhash, packing, token_count, toxicity, url_filter
 from corpuscle.session import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens with their lexical neighbours."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def held_out(id_col: str, parts: int):
     """The fold that is not learned from: CRC-32 of the id as text modulo ``parts`` is 2; null ids are learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == 2, F.lit(False))
@@ -58,6 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op3_order_minhash": op3_order_minhash,
     "op4_license_scan": op4_license_scan,
