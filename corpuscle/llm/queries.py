@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import exact_dedup, license_scan, mixing, order_minhash, packing, token_count, toxicity, url_filter
+from corpuscle.llm import exact_dedup, jaccard_join, license_scan, mixing, order_minhash, packing, token_count, toxicity, url_filter
 from corpuscle.session import table
 
 
@@ -41,6 +41,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of documents linked by 5-word shingles at a Jaccard similarity of 0.75."""
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the 32,000 pieces of the public vocabulary."""
     import public_tokenizers
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_order_minhash": op3_order_minhash,
     "op4_license_scan": op4_license_scan,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_token_count": op7_token_count,
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
