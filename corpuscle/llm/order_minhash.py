@@ -63,7 +63,7 @@ def as_text(fingerprint):
     return F.coalesce(F.concat_ws("", F.transform(fingerprint, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit("-")))), F.lit(""))
 
 
-def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1000, most_ranges: int = 65536) -> DataFrame:
+def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1000, most_ranges: int = 65536, chars_per_part: int = 4_000_000) -> DataFrame:
     """Rows with the text of the next row in descending id order (after the last: the first).
 
     Returns ``_range, _rn, _guest, _id, _text, _next``. Ids are cut into ranges of equal
@@ -74,7 +74,9 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last, in a range of their own.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    low, high, n = docs.select(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long")), F.count(F.lit(1))).first()
+    chars = F.sum(F.char_length(F.col(text_col).cast("string")))
+    low, high, n, chars = docs.select(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long")), F.count(F.lit(1)), chars).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(chars or 0) // chars_per_part))
     low, high = low or 0, high or 0
     width = max(1, -(-(high - low + 1) // max(1, min(most_ranges, n // rows_per_range))))
     rows = rows.withColumn("_range", F.coalesce(F.floor((F.col("_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long"))
@@ -87,7 +89,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     guests = guests.groupBy("_to", "_id").agg(F.max("_text").alias("_text"))
     both = rows.select("_range", F.lit(False).alias("_guest"), "_id", "_text").unionByName(guests.select(F.col("_to").alias("_range"), F.lit(True).alias("_guest"), "_id", "_text"))
     ahead = Window.partitionBy("_range").orderBy("_guest", F.col("_id").desc_nulls_last(), F.xxhash64("_text").desc(), "_text")
-    return both.repartition("_range").select("_range", "_guest", "_id", "_text", F.lead("_text").over(ahead).alias("_next"), F.row_number().over(ahead).alias("_rn"))
+    return both.repartition(parts, "_range").select("_range", "_guest", "_id", "_text", F.lead("_text").over(ahead).alias("_next"), F.row_number().over(ahead).alias("_rn"))
 
 
 def edited_text(text, after):
