@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import exact_dedup, jaccard_join, license_scan, mixing, order_minhash, packing, token_count, toxicity, url_filter
+from corpuscle.llm import exact_dedup, jaccard_join, katz, license_scan, mixing, order_minhash, packing, token_count, toxicity, url_filter
 from corpuscle.session import table
 
 
@@ -46,6 +46,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability under a Katz model of six sevenths of the documents."""
+    return katz.katz_scores(table(spark, sf_dir, "documents"), ~held_out("_id", 7))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the 32,000 pieces of the public vocabulary."""
     import public_tokenizers
@@ -75,6 +80,7 @@ QUERIES = {
     "op3_order_minhash": op3_order_minhash,
     "op4_license_scan": op4_license_scan,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_katz": op6_katz,
     "op7_token_count": op7_token_count,
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
