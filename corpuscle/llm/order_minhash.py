@@ -18,8 +18,8 @@ def kmer_hashes(text, k: int = K):
     return hashes, F.when(F.size("_h") == 0, F.array().cast("array<bigint>")).when(F.size("_h") < k, F.array(F.xxhash64("_h"))).otherwise(runs)
 
 
-def sketches(rows: DataFrame, keys: list[str], text_col: str = "text", k: int = K, m: int = SKETCHES, per: int = PER_SKETCH) -> DataFrame:
-    """``keys, fingerprint array<long>``: the Order MinHash of each row's text; texts without words have no row.
+def sketches(rows: DataFrame, keys: list[str], text_col: str = "text", carry: str | None = None, k: int = K, m: int = SKETCHES, per: int = PER_SKETCH) -> DataFrame:
+    """``keys, fingerprint array<long>``: the Order MinHash of each row's text; a text without words has a fingerprint of nulls.
 
     ``keys`` name a row. Every k-mer with its occurrence number (the how-manieth equal
     k-mer of the text it is) is hashed once; the hash deals it to one of ``m`` sketches
@@ -28,26 +28,35 @@ def sketches(rows: DataFrame, keys: list[str], text_col: str = "text", k: int =
     k-mer falls is null.
 
     ``rows`` should lie partitioned by a column of ``keys``, then nothing here moves them:
-    numbering, selection and tuples use that partitioning.
+    numbering, selection and tuples use that partitioning. ``carry`` names an
+    ``array<long>`` column of facts that come out again (column ``carried``): they travel
+    as k-mers at negative places, so that no join has to bring the texts together twice.
     """
     hashes, runs = kmer_hashes(F.col(text_col), k)
-    each = rows.select(*keys, hashes.alias("_h")).select(*keys, F.posexplode(runs).alias("_pos", "_kmer"))
+    extra = F.coalesce(F.col(carry), F.array().cast("array<bigint>")) if carry else F.array().cast("array<bigint>")
+    each = rows.select(*keys, extra.alias("_c"), hashes.alias("_h"))
+    each = each.select(*keys, F.size("_c").alias("_nc"), F.posexplode(F.concat("_c", runs)).alias("_at", "_kmer"))
+    each = each.select(*keys, (F.col("_at") - F.col("_nc")).alias("_pos"), "_kmer")
     # The hash leads the sort, so that almost every comparison ends at its prefix.
     number = F.row_number().over(Window.partitionBy("_kmer", *keys).orderBy("_pos"))
-    each = each.select(*keys, "_pos", F.xxhash64("_kmer", number).alias("_v"))
-    sketch = F.pmod(F.col("_v"), F.lit(m)).cast("int")
-    stratum = F.pmod(F.shiftrightunsigned("_v", 40), F.lit(per)).cast("int")
+    fact = F.col("_pos") < 0
+    each = each.select(*keys, "_pos", F.when(fact, F.col("_kmer")).otherwise(F.xxhash64("_kmer", number)).alias("_v"))
+    sketch = F.when(fact, F.col("_pos")).otherwise(F.pmod(F.col("_v"), F.lit(m)).cast("int"))
+    stratum = F.when(fact, F.lit(0)).otherwise(F.pmod(F.shiftrightunsigned("_v", 40), F.lit(per)).cast("int"))
     picks = []
     for j in range(per):
         own = F.when(F.col("_stratum") == j, F.col("_v"))
         picks += [F.min(own).alias(f"_v{j}"), F.min_by("_pos", own).alias(f"_p{j}")]
     each = each.select(*keys, "_pos", "_v", sketch.alias("_sketch"), stratum.alias("_stratum"))
     least = each.groupBy(*keys, "_sketch").agg(*picks)
-    # At most m rows for each text from here on. In text order, strata without a k-mer left out.
+    # At most m rows and the facts for each text from here on. In text order, strata without a k-mer left out.
     chosen = F.array_sort(F.filter(F.array(*[F.struct(F.col(f"_p{j}").alias("p"), F.col(f"_v{j}").alias("v")) for j in range(per)]), lambda x: x["v"].isNotNull()))
-    least = least.select(*keys, "_sketch", F.xxhash64(F.transform(chosen, lambda x: x["v"])).alias("_tuple"))
+    tuple_ = F.when(F.col("_sketch") < 0, F.col("_v0")).otherwise(F.xxhash64(F.transform(chosen, lambda x: x["v"])))
+    least = least.select(*keys, "_sketch", tuple_.alias("_tuple"))
     least = least.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_sketch", "_tuple"))).alias("_all"))
-    return least.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.try_element_at("_all", i)).alias("fingerprint"))
+    prints = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.try_element_at("_all", i))
+    facts = F.array_sort(F.filter(F.map_keys("_all"), lambda i: i < 0))
+    return least.select(*keys, prints.alias("fingerprint"), F.transform(facts, lambda i: F.try_element_at("_all", i)).alias("carried"))
 
 
 def likeness(a, b):
@@ -60,7 +69,8 @@ def likeness(a, b):
 
 def as_text(fingerprint):
     """Sketches as 16 hexadecimal digits each (``-`` for an empty one); a text without words is the empty string."""
-    return F.coalesce(F.concat_ws("", F.transform(fingerprint, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit("-")))), F.lit(""))
+    some = F.exists(fingerprint, lambda x: x.isNotNull())
+    return F.when(some, F.concat_ws("", F.transform(fingerprint, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit("-"))))).otherwise(F.lit(""))
 
 
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1000, most_ranges: int = 65536, chars_per_part: int = 4_000_000) -> DataFrame:
@@ -109,14 +119,18 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     keys = ["_range", "_rn"]
     rows = beside_next(docs, id_col, text_col).withColumn("_edited", edited_text(F.col("_text"), F.coalesce("_next", F.lit(""))))
-    texts = rows.select(*keys, F.posexplode(F.array("_text", "_edited")).alias("_side", "_t"))
-    prints = sketches(texts, [*keys, "_side"], "_t")
-    prints = prints.groupBy(*keys).agg(
-        F.max(F.when(F.col("_side") == 0, F.col("fingerprint"))).alias("_own"), F.max(F.when(F.col("_side") == 1, F.col("fingerprint"))).alias("_ed")
-    )
-    facts = rows.select(*keys, "_guest", "_id", F.char_length("_text").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
+    sha = F.sha2(F.col("_edited").cast("binary"), 256)
+    digits = [F.conv(F.substring(sha, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)]
+    facts = F.array(F.col("_guest").cast("long"), F.col("_id"), F.char_length("_text").cast("long"), *digits)
+    texts = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("_text").alias("t"), facts.alias("f")), F.struct(F.lit(1).alias("s"), F.col("_edited").alias("t"), F.lit(None).cast("array<bigint>").alias("f")))).alias("_x"))
+    texts = texts.select(*keys, F.col("_x.s").alias("_side"), F.col("_x.t").alias("_t"), F.col("_x.f").alias("_f"))
+    prints = sketches(texts, [*keys, "_side"], "_t", "_f")
+    own = F.col("_side") == 0
+    prints = prints.groupBy(*keys).agg(F.max(F.when(own, F.col("fingerprint"))).alias("_own"), F.max(F.when(~own, F.col("fingerprint"))).alias("_ed"), F.max(F.when(own, F.col("carried"))).alias("_f"))
     ahead = Window.partitionBy("_range").orderBy("_rn")
-    done = facts.join(prints, keys, "left").withColumn("_after", F.lead("_own").over(ahead)).filter(~F.col("_guest"))
+    done = prints.withColumn("_after", F.lead("_own").over(ahead)).filter(F.get("_f", F.lit(0)) == 0)
+    hexed = [F.lpad(F.lower(F.hex(F.get("_f", F.lit(3 + i)))), 8, "0") for i in range(8)]
+    done = done.select("_own", "_ed", "_after", F.get("_f", F.lit(1)).alias("_id"), F.get("_f", F.lit(2)).alias("n_chars"), F.concat(*hexed).alias("edited_sha256"))
     return done.select(
         F.col("_id").alias(id_col),
         "n_chars",
