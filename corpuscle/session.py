@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -27,8 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts lineage: later stages, also after an executor is lost, read the files. The
-    files go when the driver's JVM ends.
+    This cuts lineage: later stages, also after an executor is lost, read the files. What
+    the finished step shuffled is garbage then; collecting it lets Spark remove the shuffle
+    files at once. The table's files go with :func:`discard`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -36,7 +38,19 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`written` that nothing will read any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
