@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -101,8 +102,10 @@ def words_of(text: str) -> list[str]:
 def margins(words: list[str], folded: np.ndarray, bias: float) -> np.ndarray:
     """The machine's value for each word."""
     total = np.zeros(len(words))
-    for w, codes, weight in triples(words):
-        total += weight * np.bincount(w, folded[codes], minlength=len(words))
+    for lo in range(0, len(words), 20_000):  # bounded memory
+        part = words[lo : lo + 20_000]
+        for w, codes, weight in triples(part):
+            total[lo : lo + len(part)] += weight * np.bincount(w, folded[codes], minlength=len(part))
     return total / norms(np.array([len(x) for x in words])) + bias
 
 
@@ -194,7 +197,8 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, cost: floa
     largest log odds, then the one that the machine puts highest. Every fourth text is left
     out of this and fits the scale. With one label only, every probability is its share.
     """
-    split = [sorted(set(words_of(t))) for t in texts]
+    pool: dict[str, str] = {}  # one copy of each word
+    split = [sorted({pool.setdefault(w, w) for w in words_of(t)}) for t in texts]
     held = [i for i, s in enumerate(split) if s]
     split, labels = [split[i] for i in held], np.asarray(labels, dtype=np.int64)[held]
     fold = np.arange(len(split)) % 4 == 3
@@ -258,30 +262,30 @@ def scorer(model: Model):
     return run
 
 
-def training_sample(labelled: DataFrame, most: int, longest: int) -> tuple[list[str], np.ndarray]:
-    """At most ``most`` texts of each label, by the hash of the text; equal texts count once; texts over ``longest`` characters are not used to learn."""
-    rows = labelled.filter(F.col("_y").isin(0, 1) & (F.char_length("_text") <= longest))
-    rows = rows.groupBy("_text").agg(F.max("_y").alias("_y"))
-    texts, labels = [], []
-    for y in (0, 1):
-        for r in rows.filter(F.col("_y") == y).orderBy(F.xxhash64("_text"), "_text").limit(most).collect():
-            texts.append(r["_text"])
-            labels.append(y)
-    return texts, np.array(labels, dtype=np.int64)
-
-
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 6000, longest: int = 20_000, landmarks: int = 128) -> Model:
-    """Learn from the rows of ``docs`` that ``labels`` names and ``learn`` (a condition on the id) lets through.
+    """Learn from the rows of ``docs`` that ``labels`` names and ``learn`` (a condition on the id, ``_id``) lets through.
 
-    The sample is bounded by ``most`` texts of each label of at most ``longest``
-    characters. Null labels and ids name nothing; an id with two labels counts as 1.
+    The sample is bounded: of each label the ``most`` ids of the smallest hashes, and of
+    their texts those of at most ``longest`` characters. Equal texts count once. Null
+    labels and ids name nothing; an id or a text with two labels counts as 1.
     """
-    named = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y")).filter("_lid IS NOT NULL AND _y IS NOT NULL")
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    if learn is not None:
-        rows = rows.filter(learn)
-    texts, y = training_sample(rows.join(named, F.col("_id") == F.col("_lid")), most, longest)
-    return train(texts, y, landmarks)
+    named = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)")
+    named = named if learn is None else named.filter(learn)
+    named = named.groupBy("_id").agg(F.max("_y").alias("_y"))
+    picked = None
+    for y in (0, 1):
+        part = named.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
+        picked = part if picked is None else picked.unionByName(part)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).filter(F.char_length("_text") <= longest)
+    # At most twice ``most`` ids are sent to every partition.
+    rows = rows.join(F.broadcast(picked), "_id").select("_text", "_y")
+    found: dict[str, int] = {}
+    for row in rows.toLocalIterator():
+        found[row["_text"]] = max(row["_y"], found.get(row["_text"], 0))
+    # By the hash of the text, so that the order of the rows plays no part.
+    order = sorted(found, key=lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).digest())
+    return train(order, np.array([found[t] for t in order], dtype=np.int64), landmarks)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
