@@ -134,7 +134,7 @@ def cited_domains(spark, sf_dir):
 def line_findings(spark, sf_dir):
     """Lines of orders as findings of runs: what came back is critical, what went out is a warning, the rest is in order."""
     severity = F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "warning").otherwise("ok")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_shipmode").alias("area"), severity.alias("severity"), F.col("l_quantity").cast("double").alias("weight"), F.concat_ws(" ", "l_shipinstruct", "l_linenumber").alias("title"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), F.concat(F.lit("line "), F.col("l_linenumber")).alias("area"), severity.alias("severity"), F.col("l_quantity").cast("double").alias("weight"), F.concat_ws(" part ", "l_linestatus", "l_partkey").alias("title"))
 
 
 def runs(spark, sf_dir):

@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries."""
 
+import re
+
 from corpuscle.functions.text import ANAPHORA, BAD_SLUG, DEFINITION, GENERIC_ANCHOR, QUESTION_STARTERS, SOFT_404, TOKEN
 from corpuscle.operators.pages import SEMANTIC_TAGS
 
@@ -8,6 +10,11 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def bounded(pattern: str) -> str:
+    """Word boundaries that know letters beyond ASCII, spelt out."""
+    return re.sub(r"(^|\|)\\b", r"\1(?:^|[^\\pL\\pN_])", pattern).replace(r"\b", r"(?:$|[^\pL\pN_])")
+
+
 def words(text: str) -> str:
     return f"regexp_extract_all({text}, {q(TOKEN)})"
 
@@ -97,7 +104,7 @@ FINDINGS = f"{PARSED}, fi AS (" + " UNION ALL ".join(
     f"SELECT host AS owner, {q(k)} AS key, {q(a)} AS area, CASE WHEN count_if({c}) > 0 THEN {q(s)} ELSE 'ok' END AS severity, {w}::DOUBLE AS weight, count_if({c})::BIGINT AS pages, min(url) FILTER (WHERE {c}) AS example FROM pw GROUP BY host"
     for k, a, s, w, c in RULES
 ) + ")"
-LINES = "li AS (SELECT l_orderkey AS owner, l_shipmode AS area, CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'warning' ELSE 'ok' END AS severity, l_quantity::DOUBLE AS weight, l_shipinstruct || ' ' || l_linenumber AS title FROM lineitem)"
+LINES = "li AS (SELECT l_orderkey AS owner, 'line ' || l_linenumber AS area, CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'warning' ELSE 'ok' END AS severity, l_quantity::DOUBLE AS weight, l_linestatus || ' part ' || l_partkey AS title FROM lineitem)"
 FACTOR = "CASE severity WHEN 'ok' THEN 1.0 WHEN 'warning' THEN 0.5 WHEN 'critical' THEN 0.0 END::DOUBLE"
 RUNS = "ru AS (SELECT o_custkey AS site, o_orderdate AS created_at, o_orderkey AS run, o_totalprice::DOUBLE / 1000 AS overall FROM orders)"
 TRADE = "tr AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), no AS (SELECT 'c' || c_custkey AS node FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier)"
@@ -126,7 +133,7 @@ SELECT topic, sum(w)::BIGINT AS weight FROM x GROUP BY topic ORDER BY weight DES
 SELECT lang, count(DISTINCT term) AS terms, count(*) AS tokens FROM t GROUP BY lang""",
     "text_signals": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(lower(trim(coalesce(text, ''), ' ')), '^[¿¡ ]+', '') AS s FROM documents)
 SELECT doc_id, len({words("t")})::BIGINT AS words, ends_with(s, '?') OR {STARTS} AS question,
-       regexp_matches(t, {q('(?i)' + DEFINITION)}) AS definition, regexp_matches(t, {q('(?i)' + ANAPHORA)}) AS anaphora FROM t""",
+       regexp_matches(t, {q('(?i)' + bounded(DEFINITION))}) AS definition, regexp_matches(t, {q('(?i)' + bounded(ANAPHORA))}) AS anaphora FROM t""",
     "dominant_language": """WITH p AS (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY source, lang)
 SELECT source, lang, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, f) AS k FROM p) WHERE k = 1""",
     "page_fields": f"WITH {PARSED} SELECT page_id, host, slug, title, lang, has_charset, has_viewport, h1, paragraphs, len(anchors) AS anchors, images, script_chars, semantic_kinds, divs, elements, words FROM pw",
