@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,82 +18,65 @@ WINDOW = 2048
 K1, B = 1.5, 0.75
 #: Terms of a seed that are looked up: those of the largest weight in it.
 QUERY_TERMS = 24
-#: Pre-tokens whose ids a task remembers; beyond it starts anew.
-MEMO = 300_000
+#: Neighbours that are put in order at once.
+FIRST = 16
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """The tokenizer, and the pattern that cuts a text into the pieces it encodes one by one."""
-    import public_tokenizers
-    import regex
-    from tokenizers import Tokenizer
+def encoder(tokenizer_path: str, ranks_path: str | None):
+    """A function from a text to its ids, and the size of the vocabulary.
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found, regex.compile(public_tokenizers.PATTERN)
+    ``ranks_path`` names the same vocabulary as a rank file; its library gives the same
+    ids in less time. Strings of special tokens in a text are ordinary text.
+    """
+    from tokenizers import Tokenizer
 
+    model = Tokenizer.from_file(tokenizer_path)
+    model.encode_special_tokens = True
+    size = model.get_vocab_size()
+    if ranks_path is None:
+        return lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4"), size
+    import public_tokenizers
+    import tiktoken
 
-def width(path: str, end: int) -> str:
-    """Numbers that hold every id: two bytes if they do, else four."""
-    return "<u2" if max(tokenizer(path)[0].get_vocab_size(), end + 1) <= 65536 else "<u4"
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy, size
 
 
-def encode(path: str, end: int, number: str):
+def encode(tokenizer_path: str, ranks_path: str | None, end: int, number: str):
     """For ``mapInPandas``: each text's ids as little-endian numbers, with ``end`` after them.
 
-    Byte-level merges never cross pre-tokens, so a text's ids are its pre-tokens' ids in a
-    row, and a task remembers those of pre-tokens it has met.
+    Rows without ids follow: for each token id the documents of this task that hold it,
+    under -1 the documents and under -2 their tokens. They take one array over the
+    vocabulary, a fixed size.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, pattern = tokenizer(path)
-        memo: dict[str, np.ndarray] = {}
-        last = np.array([end], number)
+        ids_of, size = encoder(tokenizer_path, ranks_path)
+        df, last = np.zeros(max(size, end + 1), np.int64), np.array([end], number)
+        docs = total = 0
         for batch in batches:
-            out, counts = [], []
+            out = []
             for text in batch["_text"]:
-                cut = pattern.findall(text)
-                new = [w for w in dict.fromkeys(cut) if w not in memo]
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = list(dict.fromkeys(cut))
-                if new:
-                    memo.update(zip(new, (np.array(e.ids, number) for e in model.encode_batch(new, add_special_tokens=False))))
-                ids = np.concatenate([*map(memo.__getitem__, cut), last])
+                ids = np.concatenate([ids_of(text).astype(number), last]) if text else last
+                df[np.flatnonzero(np.bincount(ids))] += 1
+                docs, total = docs + 1, total + len(ids)
                 out.append(ids.tobytes())
-                counts.append(len(ids))
-            yield pd.DataFrame({"_id": batch["_id"], "_ids": out, "_n": counts})
+            yield pd.DataFrame({"_id": batch["_id"], "_ids": out, "_t": None, "_c": None})
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"_id": None, "_ids": None, "_t": np.r_[at, -1, -2], "_c": np.r_[df[at], docs, total]})
 
     return run
 
 
-def document_frequencies(tokens: DataFrame, end: int, number: str) -> tuple[np.ndarray, int, float]:
-    """For each token id the documents that hold it, the number of documents and their mean length.
-
-    Every task adds up its documents in one array over the vocabulary, a fixed size, and
-    Spark sums the arrays' entries; what reaches the driver has a row for each token id.
-    """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, docs, total = np.zeros(1, np.int64), 0, 0
-        for batch in batches:
-            for ids in batch["_ids"]:
-                held = np.frombuffer(ids, number)
-                u = np.unique(held)
-                if u[-1] >= len(df):
-                    df = np.r_[df, np.zeros(int(u[-1]) + 1 - len(df), np.int64)]
-                df[u] += 1
-                docs, total = docs + 1, total + len(held)
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"t": np.r_[at, -1, -2], "n": np.r_[df[at], docs, total]})
-
-    rows = tokens.select("_ids").mapInPandas(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
-    got = dict(zip(rows["t"], rows["n"]))
+def document_frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, float]:
+    """For each token id the documents that hold it, the number of documents and their mean length; a row for each token id reaches the driver."""
+    rows = tokens.filter("_ids IS NULL").groupBy("_t").agg(F.sum("_c").alias("n")).toPandas()
+    got = dict(zip(rows["_t"], rows["n"]))
     docs, total = int(got.pop(-1, 0)), int(got.pop(-2, 0))
-    df = np.zeros(max(got, default=end) + 1, np.int64)
-    for t, n in got.items():
-        df[t] = n
+    df = np.zeros(size, np.int64)
+    df[list(got.keys())] = list(got.values())
     return df, docs, total / max(1, docs)
 
 
@@ -113,18 +97,23 @@ class Shard:
         self.start = np.searchsorted(term[order], np.arange(int(term.max()) + 2))
         self.unused = np.ones(len(docs), bool)
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents by falling score for the seed's terms of the largest weight; without a common term by place."""
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents by falling score for the seed's terms of the largest weight; equal scores by place."""
         mine = slice(self.of[seed], self.of[seed + 1])
         term, weight = self.term[mine], self.weight[mine]
         if len(term) > QUERY_TERMS:
             term = term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        score = np.zeros(len(self.unused))
-        for t in term.tolist():
-            at = slice(self.start[t], self.start[t + 1])
-            score[self.doc[at]] += self.value[at]
+        at = [slice(self.start[t], self.start[t + 1]) for t in term.tolist()]
+        score = np.bincount(np.concatenate([self.doc[x] for x in at]), np.concatenate([self.value[x] for x in at]), len(self.unused))
         left = np.flatnonzero(self.unused)
-        return left[np.argsort(-score[left], kind="stable")]
+        score = score[left]
+        # A window takes few: the best first, the others only if it comes to them.
+        first = left if len(left) <= FIRST else left[score >= np.partition(score, len(left) - FIRST)[len(left) - FIRST]]
+        place = np.searchsorted(left, first)
+        yield from first[np.argsort(-score[place], kind="stable")].tolist()
+        if len(first) < len(left):
+            rest = np.setdiff1d(np.arange(len(left)), place, assume_unique=True)
+            yield from left[rest[np.argsort(-score[rest], kind="stable")]].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], shard: Shard, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -156,7 +145,7 @@ def pack_shard(docs: list[np.ndarray], shard: Shard, window: int) -> Iterator[li
             room -= len(docs[seed]) - start
         if not row:
             continue
-        for near in shard.neighbours(seed).tolist():
+        for near in shard.neighbours(seed):
             shard.unused[near] = False
             size = len(docs[near])
             if size >= room:
@@ -224,7 +213,7 @@ def packer(df: np.ndarray, n: int, mean: float, window: int, number: str):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end: int = 1, window: int = WINDOW, shard_tokens: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, end: int = 1, window: int = WINDOW, shard_tokens: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document's tokens into windows so that neighbours by BM25 share one.
 
     Returns one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
@@ -240,12 +229,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int = 1, window: int = WINDO
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    number = width(tokenizer_path, end)
-    tokens = rows.mapInPandas(encode(tokenizer_path, end, number), f"_id {kind}, _ids binary, _n long")
+    size = max(encoder(tokenizer_path, ranks_path)[1], end + 1)
+    number = "<u2" if size <= 65536 else "<u4"
+    tokens = rows.mapInPandas(encode(tokenizer_path, ranks_path, end, number), f"_id {kind}, _ids binary, _t long, _c long")
     tokens = written(tokens, "pack-tokens")
-    df, n, mean = document_frequencies(tokens, end, number)
+    df, n, mean = document_frequencies(tokens, size)
     shards = max(1, round(n * mean / shard_tokens))
-    dealt = tokens.select("_id", "_ids", F.pmod(F.xxhash64("_id", F.crc32("_ids")), F.lit(shards)).alias("_shard"))
+    dealt = tokens.filter("_ids IS NOT NULL").select("_id", "_ids", F.pmod(F.xxhash64("_id", F.crc32("_ids")), F.lit(shards)).alias("_shard"))
     dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_id", F.xxhash64("_ids"))
     schema = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.mapInPandas(packer(df, n, mean, window, number), schema).withColumnRenamed("_id", id_col)

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from corpuscle.llm import packing
 from tokenizers import Tokenizer
 
@@ -16,11 +17,12 @@ def ids_of(texts):
     return [[*e.ids, 1] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_every_id_lies_in_one_piece_and_windows_hold_2048(spark):
+@pytest.mark.parametrize("ranks", [None, public_tokenizers.path("byte_bpe_50k.tiktoken")])
+def test_every_id_lies_in_one_piece_and_windows_hold_2048(spark, ranks):
     long = "The quick brown fox jumps over the lazy dog, says naïve Ödön №7.  \n\n" * 600
     rows = [(i, f"document {i} about topic {i % 3} and more " * (1 + i % 40), "en", 5) for i in range(120)]
     rows += [(200, None, None, None), (201, "", "x", 1), (202, long, "x", 1), (None, "no id", None, None), (5, "again", "x", 1), (5, "again", "x", 1), (203, "<|endoftext|> don't  ▁", "x", 1)]
-    got = packing.pack(spark.createDataFrame(rows, SCHEMA), PATH, shard_tokens=9000).collect()
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA), PATH, ranks, shard_tokens=9000).collect()
     want = defaultdict(list)
     for r, ids in zip(rows, ids_of([r[1] or "" for r in rows])):
         want[r[0]].append(ids)
@@ -65,7 +67,7 @@ def test_neighbours_rank_as_brute_force_bm25():
 
     terms = sorted(set(docs[3].tolist()), key=lambda t: -weight(t, 3))[: packing.QUERY_TERMS]
     scores = [sum(weight(t, d) for t in terms) for d in range(40)]
-    got = shard.neighbours(3).tolist()
+    got = list(shard.neighbours(3))
     assert np.allclose([scores[d] for d in got], sorted(scores, reverse=True))
 
 
