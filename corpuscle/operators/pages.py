@@ -134,3 +134,16 @@ def passages(docs: DataFrame, keys: Sequence[str], text_col: str = "text", targe
     rest = F.when(F.col("s.buf") != "", F.array(F.struct(F.col("s.buf").alias("text"), F.col("s.words").alias("words")))).otherwise(F.array().cast("array<struct<text:string,words:int>>"))
     out = folded.select(*keys, F.posexplode(F.concat("s.done", rest)).alias("index", "p"))
     return out.select(*keys, F.col("index").cast("long").alias("index"), F.col("p.text").alias("text"), F.col("p.words").cast("long").alias("words")).filter(F.col("words") >= least)
+
+
+def anchor_variety(pages: DataFrame, owner: str = "host", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``owner, texts, pairs, variety, ambiguous``: distinct link texts over distinct (text, target) pairs, and texts with several targets.
+
+    Texts of fewer than three characters don't count. A menu that every page repeats counts once.
+    """
+    links = all_of(text_of(html_col), r'(?is)<a\b[^>]*href="[^"]*"[^>]*>.*?</a>', 0)
+    rows = pages.select(host(F.col(url_col)).alias("owner"), F.explode(F.array_distinct(links)).alias("a"))
+    pairs = rows.select("owner", F.lower(plain(F.col("a"))).alias("text"), F.regexp_extract("a", r'(?i)href="([^"]*)"', 1).alias("target")).filter(F.char_length("text") >= 3).distinct()
+    per = pairs.groupBy("owner", "text").agg(F.count(F.lit(1)).alias("n"))
+    out = per.groupBy("owner").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("pairs"), F.count_if(F.col("n") > 1).alias("ambiguous"))
+    return out.select("owner", "texts", "pairs", F.round(F.col("texts") / F.col("pairs"), 3).alias("variety"), "ambiguous")

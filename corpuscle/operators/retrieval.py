@@ -125,3 +125,10 @@ def topics(docs: DataFrame, most: int = 12) -> DataFrame:
     singles = F.transform("t", lambda x: F.struct(x.alias("topic"), F.lit(1).alias("w")))
     found = tokens.select(F.explode(F.concat(pairs, singles)).alias("x")).groupBy("x.topic").agg(F.sum("x.w").alias("weight"))
     return found.orderBy(F.col("weight").desc(), "topic").limit(most)
+
+
+def generated_queries(found: DataFrame, templates: Sequence[str], most: int = 12) -> DataFrame:
+    """``n, query``: every template filled with every topic, heaviest topic first, then in the templates' order; the first ``most``."""
+    filled = F.posexplode(F.transform(F.array(*map(F.lit, templates)), lambda t: F.replace(t, F.lit("{}"), F.col("topic"))))
+    rows = found.select("topic", "weight", filled.alias("place", "query")).orderBy(F.col("weight").desc(), "topic", "place").limit(most)
+    return rows.select(F.row_number().over(Window.orderBy(F.col("weight").desc(), "topic", "place")).cast("long").alias("n"), "query")

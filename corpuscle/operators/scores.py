@@ -94,3 +94,16 @@ def cited_hosts(urls: DataFrame, targets: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     hosts = urls.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(suffixes).alias("target"))
     return hosts.join(targets, "target").groupBy("target").agg(F.sum("n").alias("urls"))
+
+
+def profile_scores(areas: DataFrame, profiles: Mapping[str, Mapping[str, float]], by: str = "owner") -> DataFrame:
+    """``by, profile, score``: each profile's weighted mean of the area scores there are, its weights scaled up to them; one decimal."""
+    rows = F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(a).alias("area"), F.lit(float(w)).alias("w")) for p, weights in profiles.items() for a, w in weights.items()])
+    known = areas.filter("score IS NOT NULL").select(by, F.col("area").alias("_a"), "score", F.explode(rows).alias("x")).filter(F.col("x.area") == F.col("_a"))
+    return known.groupBy(by, F.col("x.profile").alias("profile")).agg(F.round(F.sum(F.col("x.w") * F.col("score")) / F.sum("x.w"), 1).alias("score"))
+
+
+def composite_index(profiles: DataFrame, weights: Mapping[str, float], by: str = "owner") -> DataFrame:
+    """``by, index``: weighted mean of the profile scores there are; one decimal."""
+    w = F.try_element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("profile"))
+    return profiles.groupBy(by).agg(F.round(F.sum(w * F.col("score")) / F.sum(w), 1).alias("index"))

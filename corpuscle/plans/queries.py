@@ -201,8 +201,30 @@ def citation_rate(spark, sf_dir):
     return scores.citation_rates(turns)
 
 
+def anchor_variety(spark, sf_dir):
+    return pages.anchor_variety(table(spark, sf_dir, "pages"))
+
+
+# Weights of areas in profiles, and of profiles in the index.
+PROFILES = {"extract": {"lexical": 0.4, "technical": 0.35, "structured": 0.25}, "markup": {"structured": 0.6, "technical": 0.4}}
+INDEX = {"extract": 0.7, "markup": 0.3}
+
+
+def profile_scores(spark, sf_dir):
+    return scores.profile_scores(scores.area_scores(pages.findings(parsed(spark, sf_dir))), PROFILES)
+
+
+def composite_index(spark, sf_dir):
+    return scores.composite_index(profile_scores(spark, sf_dir), INDEX)
+
+
+def generated_queries(spark, sf_dir):
+    return retrieval.generated_queries(retrieval.topics(corpus(spark, sf_dir)), ["what is {}", "how does {} work", "{} guide"])
+
+
 QUERIES = {f.__name__: f for f in (
     hybrid_top5, bm25_top20, char_tfidf_top20, retrieval_consensus, share_of_voice, embedding_top5, term_statistics, topic_terms, vocabulary, text_signals, dominant_language,
     document_passages, surface_math, page_fields, page_urls, deduped_pages, page_findings, page_scores, remediation_plan, cited_domains, area_scores, finding_gains, severity_counts,
     run_changes, last_twelve_runs, findings_delta, link_in_degree, link_orphans, link_depths, citation_rate,
+    anchor_variety, profile_scores, composite_index, generated_queries,
 )}

@@ -110,6 +110,12 @@ RUNS = "ru AS (SELECT o_custkey AS site, o_orderdate AS created_at, o_orderkey A
 TRADE = "tr AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), no AS (SELECT 'c' || c_custkey AS node FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier)"
 STARTS = " OR ".join(f"starts_with(s, {q(x)})" for x in QUESTION_STARTERS)
 
+HOST = r"regexp_replace(lower(regexp_extract(url, '^(?:[^:/?#]+://)?([^/?#:]*)', 1)), '^www\.', '')"
+PROFILE = f"""ga AS (SELECT *, {FACTOR} AS f FROM fi),
+aa AS (SELECT owner, area, round(100 * sum(weight * f) / sum(weight) FILTER (WHERE f IS NOT NULL), 1) AS score FROM ga GROUP BY owner, area),
+pw2(profile, area, w) AS (VALUES ('extract', 'lexical', 0.4::DOUBLE), ('extract', 'technical', 0.35), ('extract', 'structured', 0.25), ('markup', 'structured', 0.6), ('markup', 'technical', 0.4)),
+ps AS (SELECT owner, profile, round(sum(w * score) / sum(w), 1) AS score FROM aa JOIN pw2 USING (area) WHERE score IS NOT NULL GROUP BY owner, profile)"""
+
 SQL = {
     "hybrid_top5": HYBRID,
     "bm25_top20": f"WITH {LEXICAL} SELECT query, doc, rank, round(score, 6) AS score FROM lex WHERE rank <= 20",
@@ -171,4 +177,12 @@ SELECT CASE WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 4 THEN '4+' ELSE
     "citation_rate": r"""SELECT role AS provider, count_if(coalesce(text, '') <> '')::BIGINT AS answered, count_if(coalesce(text, '') = '')::BIGINT AS failed,
  count_if(coalesce(text, '') <> '' AND regexp_matches(text, 'https?://|www\.|@|\d'))::BIGINT AS cited,
  round(100.0::DOUBLE * count_if(coalesce(text, '') <> '' AND regexp_matches(text, 'https?://|www\.|@|\d')) / nullif(count_if(coalesce(text, '') <> ''), 0), 1) AS rate FROM conversations GROUP BY role""",
+    "anchor_variety": rf"""WITH a AS (SELECT DISTINCT {HOST} AS owner, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*href="[^"]*"[^>]*>.*?</a>')) AS a FROM pages),
+p AS (SELECT DISTINCT owner, lower({plain('a')}) AS text, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS target FROM a WHERE length(lower({plain('a')})) >= 3),
+t AS (SELECT owner, text, count(*) AS n FROM p GROUP BY ALL)
+SELECT owner, count(*) AS texts, sum(n)::BIGINT AS pairs, round(count(*) / sum(n), 3) AS variety, count_if(n > 1)::BIGINT AS ambiguous FROM t GROUP BY owner""",
+    "profile_scores": f"WITH {FINDINGS}, {PROFILE} SELECT owner, profile, score FROM ps",
+    "composite_index": f"WITH {FINDINGS}, {PROFILE} SELECT owner, round(sum(score * CASE profile WHEN 'extract' THEN 0.7 ELSE 0.3 END::DOUBLE) / sum(CASE profile WHEN 'extract' THEN 0.7 ELSE 0.3 END::DOUBLE), 1) AS index FROM ps GROUP BY owner",
 }
+SQL["generated_queries"] = f"""WITH tt AS ({SQL["topic_terms"]}), q AS (SELECT weight, topic, t.i, replace(t.p, '{{}}', topic) AS query FROM tt, (VALUES (0, 'what is {{}}'), (1, 'how does {{}} work'), (2, '{{}} guide')) t(i, p))
+SELECT row_number() OVER (ORDER BY weight DESC, topic, i) AS n, query FROM q ORDER BY n LIMIT 12"""
