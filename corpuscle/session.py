@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,10 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # the first finds the plan still held by events on their way to listeners
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.3)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
