@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm.shingles import mixed
-from corpuscle.session import written
+from corpuscle.session import discard, written
 
 #: Tokens of a block, and distinct n-grams of a partition, about.
 BLOCK_TOKENS, PART_KEYS = 1_500_000, 2_000_000
@@ -242,11 +242,12 @@ def answers(row, order: int, parts_of, keys: np.ndarray) -> tuple[np.ndarray, np
     return (np.concatenate(counts), np.concatenate(owned)) if got else (np.zeros(0, np.int64), np.zeros(0, bool))
 
 
-def context_parts(model: Model, parts: int):
-    """For ``mapInPandas`` over answered blocks: for each context what its owned pairs take of it.
+def context_requests(model: Model, parts: int):
+    """For ``mapInPandas`` over answered blocks: for each partition the block's contexts there and what its own pairs take of them.
 
-    ``taken``: sum of discounted probabilities of the pairs, times the context's count;
-    ``behind``: sum of their second words' single probabilities; ``count``: the context's tokens.
+    ``taken``: sum of discounted counts of the pairs; ``behind``: sum of their second
+    words' single probabilities; ``count``: the pairs' tokens. Contexts that it adds nothing
+    to go out as well, as the block asks for them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,16 +260,40 @@ def context_parts(model: Model, parts: int):
                 use = owned & (two > 0)
                 n = len(b.words) + 1
                 at, c = first[use] + 1, two[use]
-                taken = np.bincount(at, model.factor(model.two, c) * c, n)
-                behind = np.bincount(at, model.unigram(one)[second[use]], n)
-                count = np.bincount(at, c, n)
-                # Every context that the block asks for goes out, also those that it adds nothing to.
-                asked = np.unique(np.r_[at, b.before() + 1])
-                yield pd.DataFrame({"context": np.r_[START, b.words][asked].view(np.int64), "block": int(row["block"]), "place": asked, "taken": taken[asked], "behind": behind[asked], "count": count[asked]})
+                sums = np.stack([np.bincount(at, model.factor(model.two, c) * c, n), np.bincount(at, model.unigram(one)[second[use]], n), np.bincount(at, c, n)])
+                hashes, order = ordered_contexts(b)
+                cut = by_part(hashes, parts)
+                out = [(p, int(row["block"]), hashes[lo:hi].tobytes(), sums[:, order[lo:hi]].tobytes()) for p, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+                yield pd.DataFrame(out, columns=["part", "block", "keys", "values"])
 
     return run
 
 
+def ordered_contexts(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a block's contexts in order, and each one's place (0: the start mark, else the word's plus 1)."""
+    hashes = np.r_[START, b.words]
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], order
+
+
+def add_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of one partition's context requests: every block's answer, the contexts' counts and back-off weights in its order."""
+    got: dict[int, list] = {}
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            got.setdefault(row.part, []).append((row.block, row.keys, row.values))
+    for part, rows in got.items():
+        keys = [np.frombuffer(k, np.uint64) for _, k, _ in rows]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.concatenate([np.frombuffer(v).reshape(3, -1) for _, _, v in rows], axis=1)
+        taken, behind, count = (np.bincount(at, x)[at] for x in sums)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where(count > 0, np.maximum(1e-12, 1 - taken / count) / np.maximum(1e-12, 1 - behind), 1.0)
+        lengths = np.cumsum([0, *map(len, keys)])
+        out = [(block, part, np.stack([count[lo:hi], weight[lo:hi]]).tobytes()) for (block, _, _), lo, hi in zip(rows, lengths, lengths[1:])]
+        yield pd.DataFrame(out, columns=["block", "part", "values"])
+
+
 def evaluate(model: Model, parts: int):
     """For ``mapInPandas`` over blocks with answers and their contexts: every document's scores.
 
@@ -281,13 +306,13 @@ def evaluate(model: Model, parts: int):
         for batch in batches:
             for _, row in batch.iterrows():
                 b = Block.read(row)
-                keys, first, _, at = b.pairs()
+                keys, _, _, at = b.pairs()
                 one, _ = answers(row, 1, parts, b.words)
                 two, _ = answers(row, 2, parts, keys)
-                count, weight = np.zeros(len(b.words) + 1), np.ones(len(b.words) + 1)
-                place = np.array([c["place"] for c in row["contexts"]], np.int64)
-                count[place] = [c["count"] for c in row["contexts"]]
-                weight[place] = [c["weight"] for c in row["contexts"]]
+                held = [np.frombuffer(c["values"]).reshape(2, -1) for c in sorted(row["contexts"], key=lambda c: c["part"])]
+                count, weight = np.empty((2, len(b.words) + 1))
+                order = ordered_contexts(b)[1]
+                count[order], weight[order] = np.concatenate(held, axis=1)
                 single = np.log10(model.unigram(one))[b.token]
                 context = b.before().astype(np.int64) + 1
                 seen = two[at]
@@ -331,11 +356,10 @@ def katz_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     model = Model.of(stats)
     replies = counted.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("order", "part", "values", "owned")).alias("answers"))
     answered = written(blocks.join(replies, "block"), "katz-answered")
-    contexts = written(answered.mapInPandas(context_parts(model, parts), "context long, block long, place int, taken double, behind double, count double"), "katz-contexts")
-    totals = contexts.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("taken", "behind", "count")])
-    left = F.greatest(F.lit(1e-12), 1 - F.col("taken") / F.col("count")) / F.greatest(F.lit(1e-12), 1 - F.col("behind"))
-    totals = totals.select("context", "count", F.when(F.col("count") > 0, left).otherwise(F.lit(1.0)).alias("weight"))
-    back = contexts.select("context", "block", "place").join(totals, "context").groupBy("block").agg(F.collect_list(F.struct("place", "count", "weight")).alias("contexts"))
+    discard(blocks, counted)
+    asked = answered.mapInPandas(context_requests(model, parts), "part int, block long, keys binary, values binary")
+    contexts = written(asked.repartition(parts, "part").mapInPandas(add_contexts, "block long, part int, values binary"), "katz-contexts")
+    back = contexts.groupBy("block").agg(F.collect_list(F.struct("part", "values")).alias("contexts"))
     kind = dict(docs.dtypes)[id_col]
     schema = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return answered.join(back, "block").mapInPandas(evaluate(model, parts), schema).withColumnRenamed("_id", id_col)
