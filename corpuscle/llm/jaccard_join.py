@@ -12,8 +12,9 @@ Two documents link when 100 * intersection >= 75 * union of their shingle sets.
    leader is compared with the block's sets.
 4. From a leader's exact answers those of sets similar to it follow: sets already connected
    need no comparison (links inside a component change nothing), and
-   |x & y| <= |leader & y| + |x| - |leader & x| rules others out. Only what is left between
-   different components of a list is compared.
+   |x & y| <= |leader & y| + |x| - |leader & x| rules others out, as does the sum of the
+   minima of two sets' histograms. Only what is left between different components of a
+   list is compared.
 """
 
 from __future__ import annotations
@@ -29,20 +30,22 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm.components import connected_components
 from corpuscle.llm.shingles import Words
-from corpuscle.session import written
+from corpuscle.session import discard, written
 
 #: log2 of the cells of the shingle count table: a fixed size, 4 MB once scaled to bytes.
 CELL_BITS, BLOCK_BITS = 22, 16
+#: Shingles that a task counts together.
+AT_ONCE = 4_000_000
 #: Bits of the filter of nodes whose sets are needed: a fixed size, 8 MB.
 NEEDED_BITS = 26
 #: Prefix rows for each partition of the inverted lists.
 ROWS_PER_PART = 1_500_000
 
 
-def merged(rows: DataFrame, how: str) -> np.ndarray:
+def merged(rows: DataFrame, how: str, size: int) -> np.ndarray:
     """Fixed-size tables of all tasks (``block, cells``) as one, added up or or-ed block by block in Spark."""
 
-    def merge(key, part: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         total = None
         for blob in part["cells"]:
             cells = np.frombuffer(zlib.decompress(blob), "<u4" if how == "add" else "u1")
@@ -51,23 +54,43 @@ def merged(rows: DataFrame, how: str) -> np.ndarray:
             total = np.minimum(255, np.floor(8 * np.log2(1.0 + total))).astype(np.uint8)
         return pd.DataFrame({"block": [key[0]], "cells": [zlib.compress(total.tobytes(), 1)]})
 
-    got = rows.groupBy("block").applyInPandas(merge, "block int, cells binary").toPandas().sort_values("block")
-    return np.concatenate([np.frombuffer(zlib.decompress(x), "u1") for x in got["cells"]]) if len(got) else np.zeros(0, np.uint8)
+    out = np.zeros(size, np.uint8)
+    for block, cells in rows.groupBy("block").applyInPandas(merge, "block int, cells binary").collect():
+        part = np.frombuffer(zlib.decompress(cells), "u1")
+        out[block * len(part) : (block + 1) * len(part)] = part
+    return out
 
 
 def counts(docs: DataFrame, k: int) -> np.ndarray:
-    """Scaled number of documents for each cell of the shingles' hashes, over all documents."""
+    """Scaled number of documents for each cell of the shingles' hashes, over all documents.
+
+    Only shingles that come again among the ``AT_ONCE`` that a task looks at together are
+    added, so that the many that stand once in the corpus don't blur the table.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, cells = Words(), np.zeros(1 << CELL_BITS, np.uint32)
+        held, size = [], 0
+
+        def add() -> None:
+            if held:
+                distinct, times = np.unique(np.concatenate(held), return_counts=True)
+                again = times >= 2
+                np.add.at(cells, (distinct[again] >> np.uint64(64 - CELL_BITS)).astype(np.int64), times[again].astype(np.uint32))
+
         for batch in batches:
             for text in batch["_text"]:
-                np.add.at(cells, (words.shingles(text, k) >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
+                held.append(words.shingles(text, k))
+                size += len(held[-1])
+                if size >= AT_ONCE:
+                    add()
+                    held, size = [], 0
+        add()
         for b, part in enumerate(cells.reshape(-1, 1 << BLOCK_BITS)):
-            yield pd.DataFrame({"block": [b], "cells": [zlib.compress(part.astype("<u4").tobytes(), 1)]})
+            if part.any():
+                yield pd.DataFrame({"block": [b], "cells": [zlib.compress(part.astype("<u4").tobytes(), 1)]})
 
-    got = merged(docs.select("_text").mapInPandas(count, "block int, cells binary"), "add")
-    return got if len(got) else np.zeros(1 << CELL_BITS, np.uint8)
+    return merged(docs.select("_text").mapInPandas(count, "block int, cells binary"), "add", 1 << CELL_BITS)
 
 
 def set_number(shingles: np.ndarray) -> int:
@@ -116,8 +139,12 @@ def star_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingle, node, size, place = shingle[order], node[order], size[order].astype(np.int64), place[order].astype(np.int64)
     first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
     length = np.diff(np.r_[first, len(shingle)])
-    pairs, entries = [], []
-    for lo, m in zip(first[length >= 2].tolist(), length[length >= 2].tolist()):
+    # Lists of two, by far the most, at once: in order of size, the first may be the smaller.
+    x = first[length == 2]
+    y = x[size[x + 1] <= size[x] * 4 // 3]
+    y = y[np.minimum(place[y], place[y + 1]) + np.minimum(size[y] - place[y], size[y + 1] - place[y + 1]) >= need(size[y], size[y + 1])]
+    pairs, entries = [np.sort(np.c_[node[y], node[y + 1]], axis=1)], []
+    for lo, m in zip(first[length > 2].tolist(), length[length > 2].tolist()):
         n, at, who = size[lo : lo + m], place[lo : lo + m], node[lo : lo + m]
         start, lead = 0, np.empty(m, np.int64)
         while start < m:
@@ -127,8 +154,7 @@ def star_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             start = end
         ok = (lead != np.arange(m)) & (np.minimum(at, at[lead]) + np.minimum(n - at, n[lead] - at[lead]) >= need(n, n[lead]))
         pairs.append(np.c_[who[lead][ok], who[ok]])
-        if m > 2 or lead[0] != lead[-1]:
-            entries.append(np.c_[shingle[lo : lo + m], who[lead], who, n, at])
+        entries.append(np.c_[shingle[lo : lo + m], who[lead], who, n, at])
         if sum(map(len, entries)) > 200_000:
             yield pd.DataFrame(np.concatenate(entries), columns=["shingle", "a", "b", "n", "pos"])
             entries = []
@@ -146,6 +172,8 @@ def rest_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     rows = pd.concat(held, ignore_index=True).sort_values(["shingle", "n", "b"], kind="stable")
     s, n, at, who, comp, lead, shared = (rows[c].to_numpy() for c in ("shingle", "n", "pos", "b", "component", "a", "shared"))
+    exact = np.array([len(x) == 256 for x in rows["histogram"]], bool)
+    counts = np.frombuffer(b"".join(x if len(x) == 256 else bytes(256) for x in rows["histogram"]), np.uint8).reshape(-1, 256)
     first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     found = []
     for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(s)]):
@@ -161,8 +189,13 @@ def rest_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 known = (lead[j] == lead[i]) & (shared[j] >= 0)
                 bound = np.minimum(shared[i] + n[j] - shared[j], shared[j] + n[i] - shared[i])
                 ok &= ~(known & (bound < least))
-            if ok.any():
-                k = np.flatnonzero(ok) + i + 1
+            if not ok.any():
+                continue
+            k = np.flatnonzero(ok) + i + 1
+            if exact[i]:
+                shared_most = np.minimum(counts[i], counts[k]).sum(axis=1, dtype=np.int64)
+                k = k[(shared_most >= need(n[i], n[k])) | ~exact[k]]
+            if len(k):
                 found.append(np.c_[np.full(len(k), who[i]), who[k]])
         if sum(map(len, found)) > 500_000:
             yield distinct_pairs(found)
@@ -176,8 +209,14 @@ def distinct_pairs(found: list[np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    """Members by the last byte of their hash. The sum of two histograms' minima is never below the intersection. Empty if a count doesn't fit a byte."""
+    count = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256)
+    return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else b""
+
+
 def needed_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """``node, members`` (sorted shingle hashes) of the sets in ``nodes``.
+    """``node, members`` (sorted shingle hashes), ``histogram`` of the sets in ``nodes``.
 
     A fixed-size filter of their numbers keeps most other documents from being sent; those
     that slip through are dropped by the joins that follow.
@@ -191,8 +230,7 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         for b, part in enumerate(np.packbits(bits).reshape(-1, 1 << 20)):
             yield pd.DataFrame({"block": [b], "cells": [zlib.compress(part.tobytes(), 1)]})
 
-    bits = merged(nodes.mapInPandas(mark, "block int, cells binary"), "or")
-    held = spark.sparkContext.broadcast(bits if len(bits) else np.zeros(1 << (NEEDED_BITS - 3), np.uint8))
+    held = spark.sparkContext.broadcast(merged(nodes.mapInPandas(mark, "block int, cells binary"), "or", 1 << (NEEDED_BITS - 3)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, bits, seen = Words(), held.value, set()
@@ -203,13 +241,13 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 node = set_number(s)
                 cell = (node % (1 << 64)) >> (64 - NEEDED_BITS)
                 if node not in seen and bits[cell >> 3] >> (7 - (cell & 7)) & 1:
-                    out.append((node, s.tobytes()))
+                    out.append((node, s.tobytes(), histogram(s)))
                     if len(seen) < 1_000_000:
                         seen.add(node)
-            yield pd.DataFrame(out, columns=["node", "members"])
+            yield pd.DataFrame(out, columns=["node", "members", "histogram"])
 
-    sets = docs.select("_text").mapInPandas(run, "node long, members binary")
-    return written(sets.groupBy("node").agg(F.first("members").alias("members")), "jaccard-sets")
+    sets = docs.select("_text").mapInPandas(run, "node long, members binary, histogram binary")
+    return written(sets.groupBy("node").agg(F.first("members").alias("members"), F.first("histogram").alias("histogram")), "jaccard-sets")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,16 +295,15 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     sets = needed_sets(rows, needed, k)
     compared = written(compare(first, sets), "jaccard-compared")
     linked = compared.filter("linked").select("a", "b")
-    groups = connected_components(linked)
-    labels = groups.select(F.col("node").alias("b"), "component")
-    left = entries.join(labels, "b", "left").withColumn("component", F.coalesce("component", "b"))
-    left = left.join(compared.select("a", "b", "shared"), ["a", "b"], "left")
+    left = with_components(entries, linked).join(compared.select("a", "b", "shared"), ["a", "b"], "left")
     left = left.withColumn("shared", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1))))
-    left = left.select("shingle", "a", "b", "n", "pos", "component", "shared").repartition(parts, "shingle")
+    left = left.join(sets.select(F.col("node").alias("b"), "histogram"), "b")
+    left = left.select("shingle", "a", "b", "n", "pos", "component", "shared", "histogram").repartition(parts, "shingle")
     rest = left.mapInPandas(rest_pairs, "a long, b long").distinct()
     rest = rest.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(compare(rest, sets).filter("linked").select("a", "b"), "jaccard-links")
     groups = connected_components(linked.unionByName(more))
+    discard(lists, first, sets, compared, more)
     least = nodes.select("node", "_least").join(groups, "node", "left")
     least = least.withColumn("_group", F.coalesce("component", "node"))
     smallest = least.groupBy("_group").agg(F.min("_least").alias("component_id"))
@@ -275,6 +312,12 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), F.col("node").alias("set_id"))
 
 
+def with_components(entries: DataFrame, linked: DataFrame) -> DataFrame:
+    """Lists' entries with their set's component under the links known so far."""
+    labels = connected_components(linked).select(F.col("node").alias("b"), "component")
+    return entries.join(labels, "b", "left").withColumn("component", F.coalesce("component", "b"))
+
+
 def inverted(nodes: DataFrame, parts: int) -> DataFrame:
     """``shingle, node, n, pos``: each node's prefix as rows of the inverted lists, a list in one partition."""
 

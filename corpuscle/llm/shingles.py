@@ -22,8 +22,8 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     total = np.zeros(n, np.uint64)
     for j in range(k):
-        total = mixed(total + hashes[j : j + n] * _ODD[j % len(_ODD)])
-    return total
+        total += hashes[j : j + n] * _ODD[j % len(_ODD)] ** np.uint64(1 + j // len(_ODD))
+    return mixed(total)
 
 
 class Words:
