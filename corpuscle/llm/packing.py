@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ from corpuscle.session import written
 
 WINDOW = 2048
 K1, B = 1.5, 0.75
-#: Terms of a seed that are looked up: those of the largest weight in it.
-QUERY_TERMS = 24
+#: Terms of a seed that are looked up: no limit, all of them.
+QUERY_TERMS = None
+#: Terms of a document by which it is dealt.
+DEAL_TERMS = 3
 #: Neighbours that are put in order at once.
 FIRST = 16
 
@@ -80,6 +83,29 @@ def document_frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int,
     return df, docs, total / max(1, docs)
 
 
+def bm25(tf: np.ndarray, df: np.ndarray, length, n: int, mean: float) -> np.ndarray:
+    """Weights of terms that ``df`` of ``n`` documents hold and that stand ``tf`` times in a text of ``length``."""
+    return np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def heaviest(ids: np.ndarray, df: np.ndarray, n: int, mean: float, least: int) -> list[int]:
+    """A document's ``DEAL_TERMS`` terms of the largest weight, those first that ``least`` documents hold; -1 where it has no more terms."""
+    term, tf = np.unique(ids, return_counts=True)
+    order = np.lexsort((term, -bm25(tf, df[term], len(ids), n, mean), df[term] < least))[:DEAL_TERMS]
+    return [*term[order].tolist(), *[-1] * (DEAL_TERMS - len(order))]
+
+
+def dealer(df: np.ndarray, n: int, mean: float, least: int, number: str):
+    """For ``mapInPandas``: documents with the terms by which they are dealt."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [heaviest(np.frombuffer(x, number), df, n, mean, least) for x in batch["_ids"]]
+            yield pd.concat([batch, pd.DataFrame(keys, columns=[f"_k{i}" for i in range(DEAL_TERMS)], index=batch.index)], axis=1)
+
+    return run
+
+
 class Shard:
     """Inverted index of one shard's documents: for each term its documents and their BM25 weights."""
 
@@ -88,21 +114,16 @@ class Shard:
         self.of = np.cumsum([0, *map(len, terms)])
         term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
         doc = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
-        idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
-        length = np.array([len(d) for d in docs])[doc]
-        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-        self.term, self.weight = term, weight
+        weight = bm25(tf, df[term], np.array([len(d) for d in docs])[doc], n, mean)
+        self.term = term
         order = np.argsort(term, kind="stable")
         self.doc, self.value = doc[order].astype(np.int32), weight[order]
         self.start = np.searchsorted(term[order], np.arange(int(term.max()) + 2))
         self.unused = np.ones(len(docs), bool)
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused documents by falling score for the seed's terms of the largest weight; equal scores by place."""
-        mine = slice(self.of[seed], self.of[seed + 1])
-        term, weight = self.term[mine], self.weight[mine]
-        if len(term) > QUERY_TERMS:
-            term = term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
+        """Unused documents by falling score for all of the seed's terms; equal scores by place."""
+        term = self.term[self.of[seed] : self.of[seed + 1]]
         at = [slice(self.start[t], self.start[t + 1]) for t in term.tolist()]
         score = np.bincount(np.concatenate([self.doc[x] for x in at]), np.concatenate([self.value[x] for x in at]), len(self.unused))
         left = np.flatnonzero(self.unused)
@@ -176,35 +197,43 @@ def powers(row: list[tuple[int, int, int]], window: int) -> Iterator[list[tuple[
         left -= size
 
 
-def packer(df: np.ndarray, n: int, mean: float, window: int, number: str):
-    """For ``mapInPandas`` over whole shards: the pieces of every window."""
+def packer(df: np.ndarray, n: int, mean: float, window: int, number: str, most: int):
+    """For ``mapInPandas`` over sorted partitions: the pieces of every window.
+
+    A partition is one shard; where it holds more than ``most`` tokens it is cut into
+    shards of neighbouring rows, each of at most ``most`` tokens or one text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard_no, held = None, []
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        width, k = np.dtype(number).itemsize, 0
+        ids, docs, held = [], [], 0
         for batch in batches:
-            for no, part in batch.groupby("_shard", sort=False):
-                if no != shard_no and held:
-                    yield from one(shard_no, pd.concat(held))
-                    held = []
-                shard_no = no
-                held.append(part)
-        if held:
-            yield from one(shard_no, pd.concat(held))
-
-    def one(no: int, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        docs = [np.frombuffer(x, number) for x in rows["_ids"]]
-        ids = rows["_id"].to_list()
+            for i, x in zip(batch["_id"], batch["_ids"]):
+                if docs and held + len(x) // width > most:
+                    out = list(one(part, k, ids, docs))
+                    yield from map(frame, out)
+                    k = max(r[5] for r in out[-1]) - (part << 32) + 1
+                    ids, docs, held = [], [], 0
+                ids.append(i)
+                docs.append(np.frombuffer(x, number))
+                held += len(x) // width
+        if docs:
+            yield from map(frame, one(part, k, ids, docs))
+
+    def one(part: int, first: int, ids: list, docs: list[np.ndarray]) -> Iterator[list[tuple]]:
         out: list[tuple] = []
-        for k, row in enumerate(pack_shard(docs, Shard(docs, df, n, mean), window)):
+        for k, row in enumerate(pack_shard(docs, Shard(docs, df, n, mean), window), first):
             at = 0
             for d, start, size in row:
                 piece = docs[d][start : start + size].astype("<u4").tobytes()
-                out.append((ids[d], start, size, zlib.crc32(piece), len(docs[d]), (int(no) << 32) + k, at))
+                out.append((ids[d], start, size, zlib.crc32(piece), len(docs[d]), (part << 32) + k, at))
                 at += size
             if len(out) > 20_000:
-                yield frame(out)
+                yield out
                 out = []
-        yield frame(out)
+        if out:
+            yield out
 
     def frame(out: list[tuple]) -> pd.DataFrame:
         cols = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -218,8 +247,12 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, en
 
     Returns one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``. Null and empty texts are one ``end`` token. Documents are dealt
-    by the hash of id and text to shards of about ``shard_tokens`` tokens; a shard is one
-    task's work and memory, and its index holds term weights from document frequencies
+    by content to shards of about ``shard_tokens`` tokens, half as many more at most: they
+    are sorted by their heaviest terms and the sorted table is cut, so that copies and texts
+    of one topic meet, and a group larger than a shard is spread over neighbouring ones. The
+    search asks a seed's own shard, with all terms of the seed: neighbours whose heaviest
+    terms differ from the seed's may lie in another shard and are not found then. A shard is
+    one task's work and memory, and its index holds term weights from document frequencies
     over all documents. All windows are full but a shard's last, which is cut at powers of
     two. Rows may repeat and are packed each; one text larger than a shard makes its shard
     larger. Null ids stay null. An empty table gives an empty result.
@@ -235,7 +268,11 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, en
     tokens = written(tokens, "pack-tokens")
     df, n, mean = document_frequencies(tokens, size)
     shards = max(1, round(n * mean / shard_tokens))
-    dealt = tokens.filter("_ids IS NOT NULL").select("_id", "_ids", F.pmod(F.xxhash64("_id", F.crc32("_ids")), F.lit(shards)).alias("_shard"))
-    dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_id", F.xxhash64("_ids"))
+    keys = [f"_k{i}" for i in range(DEAL_TERMS)]
+    whole = tokens.filter("_ids IS NOT NULL").select("_id", "_ids")
+    # Terms that a fifth of a shard's documents hold at least: rarer ones tie pairs, not shards.
+    dealt = whole.mapInPandas(dealer(df, n, mean, max(2, n // shards // 5), number), f"_id {kind}, _ids binary, " + ", ".join(f"{k} int" for k in keys))
+    dealt = dealt.withColumn("_tie", F.xxhash64("_id", F.crc32("_ids")))
+    dealt = dealt.repartitionByRange(shards, *keys, "_tie").sortWithinPartitions(*keys, "_tie", "_id").select("_id", "_ids")
     schema = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.mapInPandas(packer(df, n, mean, window, number), schema).withColumnRenamed("_id", id_col)
+    return dealt.mapInPandas(packer(df, n, mean, window, number, shard_tokens * 3 // 2), schema).withColumnRenamed("_id", id_col)

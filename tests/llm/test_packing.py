@@ -71,5 +71,31 @@ def test_neighbours_rank_as_brute_force_bm25():
     assert np.allclose([scores[d] for d in got], sorted(scores, reverse=True))
 
 
+def test_all_terms_of_a_seed_score():
+    # The neighbour shares the seed's 30 lightest terms, the stranger one of its heaviest.
+    seed = np.repeat(np.arange(60), np.r_[np.full(30, 3), np.full(30, 1)]).astype("<u4")
+    docs = [seed, np.r_[0, np.full(29, 90)].astype("<u4"), np.arange(30, 60).astype("<u4")]
+    df = np.full(100, 2)
+    assert next(d for d in packing.Shard(docs, df, 1000, 40.0).neighbours(0) if d) == 2
+
+
+def test_related_texts_meet_in_bounded_shards(spark):
+    rng = np.random.default_rng(2)
+    words = [[f"w{t}x{i}" for i in range(40)] for t in range(12)]
+    rows = [(i, " ".join(rng.choice(words[i % 12], 60)), "en", 0) for i in range(240)]
+    # One group larger than a shard: it must be spread, not gathered.
+    rows += [(1000 + i, "the same text " * 40, "en", 0) for i in range(120)]
+    sizes = dict(zip([r[0] for r in rows], map(len, ids_of([r[1] for r in rows]))))
+    shard = sum(sizes.values()) // 24
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA), PATH, shard_tokens=shard).collect()
+    shards = defaultdict(set)
+    for p in got:
+        shards[p.sequence_id >> 32].add(p.doc_id)
+    assert max(sum(sizes[d] for d in held) for held in shards.values()) <= 3 * shard and len(shards) > 12
+    topic = {d: no for no, held in shards.items() for d in held if d < 240}
+    met = [topic[a] == topic[b] for a in topic for b in topic if a < b and a % 12 == b % 12]
+    assert sum(met) > 0.3 * len(met)  # by hash: about one in 24
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
