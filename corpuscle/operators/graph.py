@@ -20,21 +20,26 @@ def orphans(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(links.filter("src <> dst").select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-def depths(links: DataFrame, start: DataFrame, most: int = 6) -> DataFrame:
-    """``node, depth``: the least number of links from the ``start`` nodes, up to ``most``.
+def depths(links: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """``node, depth``: the least number of links from the ``start`` nodes, up to ``most`` if that is given.
 
     Breadth first: each round joins the last round's nodes with the distinct edges and
-    leaves out what was reached before. Rounds are written, so lineage stays short.
+    leaves out what was reached before, until a round finds no new node. Rounds are
+    written, so lineage stays short; every eighth time what was reached is written as one
+    table, so the plan stays short too.
     """
     edges = written(links.select("src", "dst").filter("src <> dst").distinct(), "graph-edges")
     reached = written(start.select("node").distinct().withColumn("depth", F.lit(0)), "graph-depth")
-    for depth in range(1, most + 1):
-        last = reached.filter(F.col("depth") == depth - 1)
+    last, depth = reached, 0
+    while most is None or depth < most:
+        depth += 1
         new = edges.join(last, edges["src"] == last["node"]).select(F.col("dst").alias("node")).distinct()
         new = written(new.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "graph-depth")
         if new.isEmpty():
             break
-        reached = reached.unionByName(new)
+        reached, last = reached.unionByName(new), new
+        if depth % 8 == 0:
+            reached = written(reached, "graph-depth")
     return reached
 
 

@@ -74,6 +74,15 @@ def test_graph(spark):
     assert {r.bucket: r.nodes for r in graph.depth_histogram(found.filter("node <> '?'"), nodes).collect()} == {"0": 1, "1": 1, "2": 1, "3": 1, "4+": 2, "unreachable": 1}
 
 
+def test_long_chains_are_reachable(spark):
+    chain = [f"n{i}" for i in range(12)]
+    links = spark.createDataFrame([*zip(chain, chain[1:]), ("n11", "n0"), ("y", "z")], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in [*chain, "y", "z"]], "node string")
+    found = graph.depths(links, nodes.filter("node = 'n0'"))
+    assert {r.node: r.depth for r in found.collect()} == {x: i for i, x in enumerate(chain)}
+    assert {r.bucket: r.nodes for r in graph.depth_histogram(found, nodes).collect()} == {"0": 1, "1": 1, "2": 1, "3": 1, "4+": 8, "unreachable": 2}
+
+
 def loop_passages(text, target=220, least=15):
     out, buf, words, k = [], [], 0, 0
     for line in re.split(r"\n+", text or ""):
