@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# License notices by label. A block matches one if it holds THRESHOLD of its words.
+# License notices by label. A window matches one if it holds THRESHOLD of its words.
 TEMPLATES = [
     ("apache", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
@@ -23,6 +23,8 @@ TEMPLATES = [
 # Phrases that count wherever their words stand consecutively.
 PHRASES = [("cc-by", ("cc", "by")), ("gpl", ("general", "public", "license")), ("reserved", ("all", "rights", "reserved"))]
 THRESHOLD = 0.85
+#: Consecutive words of a text's window for each distinct word of a template.
+SPREAD = 2
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,16 +51,19 @@ def token_order(docs: DataFrame, vocabulary: list[str], text_col: str) -> list[s
 def license_matches(
     docs: DataFrame, keys: list[str], text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """Every (text block, template) with at least ``threshold`` of the template's distinct words in the block.
-
-    Returns ``keys, block, label, template, containment``. A block is a line of a text.
-    Words get a global order, rarest first, and blocks and templates are written as sorted
-    lists of places in it. A template's prefix are its first ``size - need + 1`` words: a
-    block that holds ``need`` of its words holds one of these. The join runs over the
-    prefix words; the length filter asks for ``need`` words in the block, the positional
-    filter that enough words of both follow the met pair; what is left is counted exactly.
-    Null, empty and wordless texts match nothing. ``templates`` are fixed and small, their
-    index is a few literal rows.
+    """Every (text window, template) with at least ``threshold`` of the template's distinct words in the window.
+
+    Returns ``keys, block, label, template, containment``. A template's windows are all
+    runs of ``SPREAD`` times its distinct words' number of consecutive words, wherever
+    lines break. Words get a global order, rarest first. A template's prefix are its first
+    ``size - need + 1`` words: a window that holds ``need`` of its words holds one of
+    these. So every place of a prefix word is met, with the words around it, which hold
+    all windows over it; the length filter asks for ``need`` words there, the positional
+    filter that enough words of both follow the met pair in the order; what is left is
+    counted exactly window by window. ``block`` is the met place, counted in words; a
+    match comes once for each of these, with the best of its windows. Null, empty and
+    wordless texts match nothing. ``templates`` are fixed and small, their index is a few
+    literal rows.
     """
     sets = [(label, text, sorted(set(text.split()))) for label, text in templates]
     order = token_order(docs, sorted({w for _, _, ws in sets for w in ws}), text_col)
@@ -66,28 +71,35 @@ def license_matches(
     prefixes = []
     for label, text, ws in sets:
         ranks, need = sorted(place[w] for w in ws), math.ceil(threshold * len(ws) - 1e-9)
-        prefixes += [(r, j, label, text, ranks, len(ranks), need) for j, r in enumerate(ranks[: len(ranks) - need + 1])]
+        prefixes += [(r, j, label, text, ws, len(ranks), need, SPREAD * len(ranks)) for j, r in enumerate(ranks[: len(ranks) - need + 1])]
     spark = docs.sparkSession
-    index = spark.createDataFrame(prefixes, "r int, j int, label string, template string, ranks array<int>, n int, need int")
+    index = spark.createDataFrame(prefixes, "r int, j int, label string, template string, words array<string>, n int, need int, width int")
     rare = F.array(*[F.lit(order[r]) for r in sorted({p[0] for p in prefixes})])
     known = F.array(*map(F.lit, order))
-    blocks = docs.select(*keys, lowered(text_col).alias("_t"))
-    blocks = blocks.filter(F.arrays_overlap(words_of(F.col("_t")), rare))  # texts without any prefix word
-    blocks = blocks.select(*keys, F.posexplode(F.split("_t", "\n")).alias("block", "_b"))
-    blocks = blocks.select(*keys, "block", F.array_intersect(known, words_of(F.col("_b"))).alias("_w"))  # in the global order
-    blocks = blocks.filter(F.arrays_overlap("_w", rare)).select(*keys, "block", F.transform("_w", lambda w: (F.array_position(known, w) - 1).cast("int")).alias("_ranks"))
-    met = blocks.select(*keys, "block", "_ranks", F.posexplode("_ranks").alias("_i", "_r")).join(F.broadcast(index), F.col("_r") == F.col("r"))
-    size = F.size("_ranks")
+    widest = SPREAD * max(len(ws) for _, _, ws in sets)
+    texts = docs.select(*keys, words_of(lowered(text_col)).alias("_all")).filter(F.arrays_overlap("_all", rare))  # texts with a prefix word
+    places = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda p: F.array_contains(rare, F.get("_all", p)))
+    met = texts.select(*keys, F.explode(F.transform(places, lambda p: F.struct(p.alias("p"), _around(F.col("_all"), p, F.lit(widest)).alias("near"), F.get("_all", p).alias("w")))).alias("_m"))
+    met = met.select(*keys, F.col("_m.p").alias("block"), F.col("_m.near").alias("_near"), F.least("_m.p", F.lit(widest - 1)).alias("_at"), (F.array_position(known, F.col("_m.w")) - 1).cast("int").alias("_r"))
+    met = met.join(F.broadcast(index), F.col("_r") == F.col("r"))
+    met = met.withColumn("_near", _around(F.col("_near"), F.col("_at"), F.col("width"))).withColumn("_w", F.array_intersect(known, F.col("_near")))  # in the global order
+    size, i = F.size("_w"), F.array_position("_w", F.element_at(known, F.col("_r") + 1)).cast("int") - 1
     met = met.filter(size >= F.col("need"))  # length
     # Positions: the met words before this pair in both lists bound what they share up to here.
-    met = met.filter(F.least(F.col("_i"), F.col("j")) + F.least(size - F.col("_i"), F.col("n") - F.col("j")) >= F.col("need"))
-    shared = F.size(F.array_intersect("_ranks", "ranks"))
+    met = met.filter(F.least(i, F.col("j")) + F.least(size - i, F.col("n") - F.col("j")) >= F.col("need"))
+    met = met.filter(F.size(F.array_intersect("_w", "words")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_near") - F.col("width") + 1, F.lit(1)))
+    shared = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("_near", k, F.col("width")), F.col("words")))))
     found = met.withColumn("_shared", shared).filter(F.col("_shared") >= F.col("need"))
-    # A pair met in several prefix words counts at the first of these.
-    found = found.filter(F.element_at(F.array_intersect("ranks", "_ranks"), 1) == F.col("r"))
     return found.select(*keys, F.col("block").cast("long").alias("block"), "label", "template", (F.col("_shared") / F.col("n")).alias("containment"))
 
 
+def _around(words: Column, place: Column, width: Column) -> Column:
+    """The words of all windows of ``width`` words over ``place``."""
+    first = F.greatest(place - width + 2, F.lit(1))
+    return F.slice(words, first, place + width - first + 1)
+
+
 def phrase_places(words: Column) -> Column:
     """Sorted struct<place, label> of every place where a phrase's words stand consecutively."""
     found = []
@@ -111,7 +123,7 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """License labels of every document, by phrases and by template blocks.
+    """License labels of every document, by phrases and by template windows.
 
     Returns ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``,
     one row per input row. ``score`` is the best template containment found, 1.0 where a

@@ -88,6 +88,19 @@ def test_license_scan_matches_brute_force(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_license_windows_cross_lines_and_are_bounded(spark):
+    wrapped = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+        "mit": "word\n" * 50 + "This is released under the\nMIT license.\n" + "more\n" * 50,
+        "apache": "x " * 7 + "Licensed under\nthe Apache\nLicense, Version\n2.0",
+    }
+    filler = " filler" * 40 + " "
+    scattered = [filler.join(["all", "rights", "reserved"]), filler.join("released under the mit license".split()), "all rights x x x x reserved", "all x rights x x reserved"]
+    texts = [*wrapped.values(), *scattered]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == [*wrapped, "", "", "", "reserved"]
+
+
 def test_url_filter(spark):
     urls = ["http://WWW.example.com/en/1", "https://example.com/en/2?utm_source=x", "http://m.example.com/de/2.html", "https://a.net/es/?ref=1", "http://a.net/de/9/", "http://www.a.net/de/9?gclid=1&b=2&a=1", "https://a.net/de/9?a=1&b=2#f", "nonsense", None, "", "x://", "http://net/fr/"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, verdict string")
