@@ -7,14 +7,15 @@ Two documents link when 100 * intersection >= 75 * union of their shingle sets.
    that many documents share out of the prefixes.
 2. Equal sets become one node. A node's prefix (the first size - ceil(0.75 size) + 1
    shingles in the order) goes to the inverted lists. Linked sets meet in one list at least.
-3. A list is cut into blocks of sizes that can link, and inside a block entries are grouped
-   by position: whole groups whose positional bound is too small are skipped. Each block's
-   leader is compared with the block's sets.
+3. A list, of any length, is held by one task and cut there into blocks of sizes that can
+   link. Each block's leader is compared with the block's sets, but for those whose
+   positional bound is too small; no groups of entries are skipped as a whole.
 4. From a leader's exact answers those of sets similar to it follow: sets already connected
    need no comparison (links inside a component change nothing), and
    |x & y| <= |leader & y| + |x| - |leader & x| rules others out, as does the sum of the
-   minima of two sets' histograms. Only what is left between different components of a
-   list is compared.
+   minima of two sets' histograms. These bounds and the positional one are looked at pair by
+   pair in the list's task. Only what is left between different components of a list is
+   compared.
 """
 
 from __future__ import annotations
