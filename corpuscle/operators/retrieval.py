@@ -51,15 +51,22 @@ def char_tfidf(docs: DataFrame, queries: DataFrame, size: int = 4) -> DataFrame:
     return dots.join(norms, "doc").select("query", "doc", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score")).filter("score > 0")
 
 
-def embedding_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, doc, score`` of dense vectors (``vector``); the query side is stated and small, and is sent to every partition if Spark measures it so."""
+def embedding_cosine(docs: DataFrame, queries: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``query, doc, score`` of dense vectors (``vector``).
+
+    Documents are dealt to ``blocks`` by hash (as many as shuffle partitions if not given)
+    and every query goes to each of them, so that no task holds more than its blocks'
+    documents with the queries, also where Spark doesn't broadcast the query side.
+    """
+    blocks = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
     q = queries.select("query", F.col("vector").alias("qv"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("qn"))
-    d = docs.select("doc", F.col("vector").alias("dv"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("dn"))
-    return d.join(q, F.size("dv") == F.size("qv")).select("query", "doc", (dot(F.col("qv"), F.col("dv")) / (F.col("qn") * F.col("dn"))).alias("score"))
+    q = q.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    d = docs.select("doc", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int").alias("_block"), F.col("vector").alias("dv"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("dn"))
+    return d.join(q, (F.col("_block") == F.col("_to")) & (F.size("dv") == F.size("qv"))).select("query", "doc", (dot(F.col("qv"), F.col("dv")) / (F.col("qn") * F.col("dn"))).alias("score"))
 
 
 def ranked(scores: DataFrame, most: int, digits: int = 9) -> DataFrame:

@@ -74,6 +74,23 @@ def test_graph(spark):
     assert {r.bucket: r.nodes for r in graph.depth_histogram(found.filter("node <> '?'"), nodes).collect()} == {"0": 1, "1": 1, "2": 1, "3": 1, "4+": 2, "unreachable": 1}
 
 
+def test_embedding_join_is_dealt_in_blocks(spark):
+    vectors = {i: [math.sin((i + 1) * (j + 1)) for j in range(6)] for i in range(60)}
+    docs = spark.createDataFrame(list(vectors.items()), "doc int, vector array<double>")
+    queries = docs.filter("doc < 3").select(F.col("doc").alias("query"), "vector")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = retrieval.embedding_cosine(docs, queries, 16).select("*", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
+    assert {(r.query, r.doc): r.score for r in got} == {(a, b): pytest.approx(cosine(vectors[a], vectors[b])) for a in range(3) for b in range(60)}
+    assert len({r.part for r in got}) > 1 and len(got) == 180
+
+
 def test_long_chains_are_reachable(spark):
     chain = [f"n{i}" for i in range(12)]
     links = spark.createDataFrame([*zip(chain, chain[1:]), ("n11", "n0"), ("y", "z")], "src string, dst string")
