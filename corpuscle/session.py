@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes a statement's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
+    """Folder that the driver and all executors see, read from ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a
-    folder of this machine is made and set.
+    Only a local master (tests, a laptop) may leave it unset: then a folder of this
+    machine is made and set. On a cluster executors could not see that, so it raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpuscle-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -30,19 +34,19 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts lineage: later stages, also after an executor is lost, read the files. What
-    the finished step shuffled is garbage then; collecting it lets Spark remove the shuffle
-    files at once. The table's files go with :func:`discard`, or when the driver's JVM ends.
+    the step shuffled goes when the write ends. The table's files go with :func:`discard`,
+    or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", compression).parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    for _ in range(2):  # the first finds the plan still held by events on their way to listeners
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.3)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -59,3 +63,13 @@ def discard(*tables: DataFrame) -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def free_name(stem: str, *taken: Iterable[str]) -> str:
+    """A column name that starts with ``stem`` and clashes with none of ``taken``, letters' case aside."""
+    used = {c.lower() for names in taken for c in names}
+    name, k = stem, 0
+    while name.lower() in used:
+        k += 1
+        name = f"{stem}{k}"
+    return name
