@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of ``edges`` (``a, b``, long): the smallest node that it reaches.
 
     Each round hangs every node's larger neighbours on its smallest one, then its smaller
-    ones. Rounds are written in the shared folder; only a checksum reaches the driver.
+    ones. Rounds are written in the shared folder; only a checksum reaches the driver. The
+    last round's table stays, as the result reads it.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "cc-edges")
     before = None

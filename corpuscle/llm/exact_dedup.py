@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.session import free_name
+
 
 def salt_groups(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
     """One row per (text, salt): the largest id, the rows counted, and the whole group's figures.
@@ -71,12 +73,15 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
 
     Of rows that repeat the kept id and text, one stays, taken by the order of all columns.
+    Columns of any name are allowed.
     """
-    keep = exact_dedup(docs, id_col, text_col, salts).filter("kept").select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha"))
+    labelled = exact_dedup(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", "t", salts)
+    repeated = labelled.filter(F.col("i").eqNullSafe(F.col("keep_id"))).groupBy("i", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    sha, kid, ksha, times = (free_name(stem, docs.columns) for stem in ("_sha", "_kid", "_ksha", "_times"))
+    keep = repeated.select(F.col("i").alias(kid), F.col("text_sha256").alias(ksha), F.col("n").alias(times))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.withColumn("_sha", F.sha2(text.cast("binary"), 256)).join(
-        keep, F.col(id_col).eqNullSafe(F.col("_kid")) & (F.col("_sha") == F.col("_ksha")), "left_semi"
-    )
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    first = Window.partitionBy(id_col, "_sha").orderBy(*[F.col(c).asc_nulls_first() for c in others] or [F.lit(1)])
-    return found.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").select(*docs.columns)
+    found = docs.withColumn(sha, F.sha2(text.cast("binary"), 256)).join(keep, F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(sha) == F.col(ksha)))
+    once = found.filter(F.col(times) == 1).select(*docs.columns)
+    # Repeats are combined in the map tasks first, so that a row repeated very often meets nowhere.
+    best = found.filter(F.col(times) > 1).groupBy(id_col, sha).agg(F.min(F.struct(*docs.columns)).alias("best"))
+    return once.unionByName(best.select(*[F.col("best").getField(c).alias(c) for c in docs.columns]))

@@ -7,15 +7,21 @@ Two documents link when 100 * intersection >= 75 * union of their shingle sets.
    that many documents share out of the prefixes.
 2. Equal sets become one node. A node's prefix (the first size - ceil(0.75 size) + 1
    shingles in the order) goes to the inverted lists. Linked sets meet in one list at least.
-3. A list, of any length, is held by one task and cut there into blocks of sizes that can
-   link. Each block's leader is compared with the block's sets, but for those whose
-   positional bound is too small; no groups of entries are skipped as a whole.
-4. From a leader's exact answers those of sets similar to it follow: sets already connected
-   need no comparison (links inside a component change nothing), and
-   |x & y| <= |leader & y| + |x| - |leader & x| rules others out, as does the sum of the
-   minima of two sets' histograms. These bounds and the positional one are looked at pair by
-   pair in the list's task. Only what is left between different components of a list is
-   compared.
+3. A list is sorted by blocks of sizes, each block 4/3 wide, and read once in that order:
+   linked sets lie in one block or in two that follow each other, all others are skipped.
+   The first set of a block, in one fixed order of all sets, leads the sets of its own and
+   of the next block. In lists of two the positional bound skips pairs, too. So every pair
+   that can link is in the family of one leader, and families have fewer rows than lists.
+4. A family's sets meet in one task, a large family's in blocks of bounded size, two at a
+   time. There the set nearest to all others is answered first: what it shares with each.
+   From that follow all other answers by the differences alone,
+   |x & y| = |base| - |base - x| - |base - y| + |dx & dy| with dx, dy the two sets'
+   differences from the base. Pairs never leave the task: a unit returns the links of a
+   spanning forest, at most one for each of its sets.
+5. Connected components of these links.
+
+Shingles and sets are compared as 64-bit hashes. Only sets whose 64-bit numbers collide
+(one pair in 2^64) would be taken for equal.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm.components import connected_components
 from corpuscle.llm.shingles import Words
-from corpuscle.session import discard, written
+from corpuscle.session import discard, free_name, written
 
 #: log2 of the cells of the shingle count table: a fixed size, 4 MB once scaled to bytes.
 CELL_BITS, BLOCK_BITS = 22, 16
@@ -41,6 +47,12 @@ AT_ONCE = 4_000_000
 NEEDED_BITS = 26
 #: Prefix rows for each partition of the inverted lists.
 ROWS_PER_PART = 1_500_000
+#: Sets and shingles of a large family's blocks; rows of a list partition that are looked at together.
+BLOCK_SETS, BLOCK_SHINGLES, CHUNK = 1024, 2_000_000, 400_000
+#: Columns of a product of differences.
+COLUMNS = 4096
+#: Keys over which a large component's rows are spread.
+SALTS = 16
 
 
 def merged(rows: DataFrame, how: str, size: int) -> np.ndarray:
@@ -125,99 +137,99 @@ def need(a, b):
     return (3 * (a + b) + 6) // 7
 
 
-def star_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of a partition of prefix rows: lists' (leader, set) pairs that pass the filters, and the entries of lists of three and more.
+def size_blocks() -> np.ndarray:
+    """First sizes of the blocks: each begins over 4/3 of the one before, so linked sets are at most one block apart."""
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(edges[-1] * 4 // 3 + 1)
+    return np.array(edges, np.int64)
 
-    Rows out: ``shingle`` null for a pair ``a`` (leader), ``b``; else a list's entry ``b``
-    with its block's leader ``a``, size and position.
+
+def inverted(nodes: DataFrame, parts: int) -> DataFrame:
+    """``shingle, block, node, n, pos``: each node's prefix as rows of the inverted lists; a list lies in one partition, in order."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = size_blocks()
+        for batch in batches:
+            held = [np.frombuffer(x, "<i8") for x in batch["prefix"]]
+            length = np.array([len(x) for x in held])
+            if length.sum():
+                pos = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                block = np.searchsorted(edges, batch["n"].to_numpy(), "right")
+                yield pd.DataFrame({"shingle": np.concatenate(held), "block": np.repeat(block, length).astype("i2"), "node": np.repeat(batch["node"].to_numpy(), length), "n": np.repeat(batch["n"].to_numpy(), length).astype("i4"), "pos": pos.astype("i4")})
+
+    out = nodes.select("node", "n", "prefix").mapInPandas(rows, "shingle long, block short, node long, n int, pos int")
+    return out.repartition(parts, "shingle").sortWithinPartitions("shingle", "block", "node")
+
+
+def family_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a partition of sorted lists: ``a, b, na, nb`` for every leader ``a`` and set ``b`` of its family.
+
+    Rows are looked at ``CHUNK`` at a time; the leaders of the last two blocks are carried
+    over, so that a list of any length takes bounded memory.
     """
-    got = [[batch[c].to_numpy() for c in ("shingle", "node", "n", "pos")] for batch in batches]
-    if not got:
-        return
-    shingle, node, size, place = (np.concatenate(x) for x in zip(*got))
-    del got
-    order = np.lexsort((node, size, shingle))
-    shingle, node, size, place = shingle[order], node[order], size[order].astype(np.int64), place[order].astype(np.int64)
-    first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-    length = np.diff(np.r_[first, len(shingle)])
-    # Lists of two, by far the most, at once: in order of size, the first may be the smaller.
-    x = first[length == 2]
-    y = x[size[x + 1] <= size[x] * 4 // 3]
-    y = y[np.minimum(place[y], place[y + 1]) + np.minimum(size[y] - place[y], size[y + 1] - place[y + 1]) >= need(size[y], size[y + 1])]
-    pairs, entries = [np.sort(np.c_[node[y], node[y + 1]], axis=1)], []
-    for lo, m in zip(first[length > 2].tolist(), length[length > 2].tolist()):
-        n, at, who = size[lo : lo + m], place[lo : lo + m], node[lo : lo + m]
-        start, lead = 0, np.empty(m, np.int64)
-        while start < m:
-            end = int(np.searchsorted(n, n[start] * 4 // 3, "right"))
-            # One fixed order of all sets, so that lists with the same sets get the same leader.
-            lead[start:end] = start + int(np.argmin(who[start:end]))
-            start = end
-        ok = (lead != np.arange(m)) & (np.minimum(at, at[lead]) + np.minimum(n - at, n[lead] - at[lead]) >= need(n, n[lead]))
-        pairs.append(np.c_[who[lead][ok], who[ok]])
-        entries.append(np.c_[shingle[lo : lo + m], who[lead], who, n, at])
-        if sum(map(len, entries)) > 200_000:
-            yield pd.DataFrame(np.concatenate(entries), columns=["shingle", "a", "b", "n", "pos"])
-            entries = []
-    if entries:
-        yield pd.DataFrame(np.concatenate(entries), columns=["shingle", "a", "b", "n", "pos"])
-    if pairs:
-        both = np.unique(np.concatenate(pairs), axis=0)
-        yield pd.DataFrame({"shingle": pd.array([None] * len(both), "Int64"), "a": both[:, 0], "b": both[:, 1], "n": 0, "pos": 0})
-
-
-def rest_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of a partition of lists' entries with component and intersection with the leader: pairs between components that no bound rules out."""
-    held = list(batches)
-    if not held:
-        return
-    rows = pd.concat(held, ignore_index=True).sort_values(["shingle", "n", "b"], kind="stable")
-    s, n, at, who, comp, lead, shared = (rows[c].to_numpy() for c in ("shingle", "n", "pos", "b", "component", "a", "shared"))
-    exact = np.array([len(x) == 256 for x in rows["histogram"]], bool)
-    counts = np.frombuffer(b"".join(x if len(x) == 256 else bytes(256) for x in rows["histogram"]), np.uint8).reshape(-1, 256)
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    found = []
-    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(s)]):
-        if (comp[lo:hi] == comp[lo]).all():
-            continue
-        last = np.searchsorted(n[lo:hi], n[lo:hi] * 4 // 3, "right") + lo
-        for i in range(lo, hi - 1):
-            j = slice(i + 1, int(last[i - lo]))
-            least = need(n[i], n[j])
-            # The sets are in order of size: the bound by position, for a whole run of entries at once.
-            ok = (comp[j] != comp[i]) & (np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least)
-            if shared[i] >= 0:
-                known = (lead[j] == lead[i]) & (shared[j] >= 0)
-                bound = np.minimum(shared[i] + n[j] - shared[j], shared[j] + n[i] - shared[i])
-                ok &= ~(known & (bound < least))
-            if not ok.any():
-                continue
-            k = np.flatnonzero(ok) + i + 1
-            if exact[i]:
-                shared_most = np.minimum(counts[i], counts[k]).sum(axis=1, dtype=np.int64)
-                k = k[(shared_most >= need(n[i], n[k])) | ~exact[k]]
-            if len(k):
-                found.append(np.c_[np.full(len(k), who[i]), who[k]])
-        if sum(map(len, found)) > 500_000:
-            yield distinct_pairs(found)
-            found = []
-    if found:
-        yield distinct_pairs(found)
-
-
-def distinct_pairs(found: list[np.ndarray]) -> pd.DataFrame:
-    both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-
-def histogram(shingles: np.ndarray) -> bytes:
-    """Members by the last byte of their hash. The sum of two histograms' minima is never below the intersection. Empty if a count doesn't fit a byte."""
-    count = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256)
-    return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else b""
+    carry = None  # shingle, block, its leader and that one's size, leader and size of the block before (or None)
+    held: list[pd.DataFrame] = []
+
+    def look(rows: pd.DataFrame, carry, whole: bool):
+        shingle, block, node, n, pos = (rows[c].to_numpy() for c in ("shingle", "block", "node", "n", "pos"))
+        new = np.r_[True, (shingle[1:] != shingle[:-1]) | (block[1:] != block[:-1])]
+        first = np.flatnonzero(new)
+        at = np.cumsum(new) - 1
+        lead, size = node[first].copy(), n[first].astype(np.int64)
+        near = np.r_[False, (shingle[first[1:]] == shingle[first[:-1]]) & (block[first[1:]] == block[first[:-1]] + 1)]
+        prev, prev_size = np.r_[0, lead[:-1]], np.r_[0, size[:-1]]
+        if carry is not None and carry[0] == shingle[0]:
+            if carry[1] == block[0]:
+                lead[0], size[0] = carry[2], carry[3]
+                if len(lead) > 1:
+                    prev[1], prev_size[1] = lead[0], size[0]
+                if carry[4] is not None:
+                    near[0], prev[0], prev_size[0] = True, carry[4], carry[5]
+            elif carry[1] + 1 == block[0]:
+                near[0], prev[0], prev_size[0] = True, carry[2], carry[3]
+        ok = lead[at] != node
+        both = [np.c_[lead[at][ok], node[ok], size[at][ok], n[ok]]]
+        ok = near[at] & (prev[at] != node)
+        both.append(np.c_[prev[at][ok], node[ok], prev_size[at][ok], n[ok]])
+        pairs = np.concatenate(both)
+        if whole:  # lists of two: the positional bound
+            start = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+            x = start[np.diff(np.r_[start, len(shingle)]) == 2]
+            if len(x):
+                keep = np.ones(len(shingle), bool)
+                m, p = n.astype(np.int64), pos.astype(np.int64)
+                short = np.minimum(p[x], p[x + 1]) + np.minimum(m[x] - p[x], m[x + 1] - p[x + 1]) < need(m[x], m[x + 1])
+                keep[x[short] + 1] = False
+                rows_of = np.r_[np.flatnonzero(lead[at] != node), np.flatnonzero(ok)]
+                pairs = pairs[keep[rows_of]]
+        last = first[-1]
+        carry = (shingle[last], block[last], lead[-1], size[-1], prev[-1] if near[-1] else None, prev_size[-1])
+        return pairs, carry
+
+    def frames(pairs: np.ndarray) -> Iterator[pd.DataFrame]:
+        if len(pairs):
+            yield pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b", "na", "nb"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= CHUNK:
+            rows = pd.concat(held, ignore_index=True)
+            tail = int(np.searchsorted(rows["shingle"].to_numpy(), rows["shingle"].iloc[-1]))
+            # Whole lists where possible; else a part of a long one.
+            whole = tail > 0 and (carry is None or carry[0] != rows["shingle"].iloc[0])
+            cut = tail if tail > 0 else len(rows)
+            pairs, carry = look(rows.iloc[:cut], carry, whole)
+            held = [rows.iloc[cut:]] if cut < len(rows) else []
+            yield from frames(pairs)
+    if sum(map(len, held)):
+        rows = pd.concat(held, ignore_index=True)
+        pairs, carry = look(rows, carry, carry is None or carry[0] != rows["shingle"].iloc[0])
+        yield from frames(pairs)
 
 
 def needed_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """``node, members`` (sorted shingle hashes), ``histogram`` of the sets in ``nodes``.
+    """``node, members`` (sorted shingle hashes) of the sets in ``nodes``.
 
     A fixed-size filter of their numbers keeps most other documents from being sent; those
     that slip through are dropped by the joins that follow.
@@ -242,92 +254,178 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 node = set_number(s)
                 cell = (node % (1 << 64)) >> (64 - NEEDED_BITS)
                 if node not in seen and bits[cell >> 3] >> (7 - (cell & 7)) & 1:
-                    out.append((node, s.tobytes(), histogram(s)))
+                    out.append((node, s.tobytes()))
                     if len(seen) < 1_000_000:
                         seen.add(node)
-            yield pd.DataFrame(out, columns=["node", "members", "histogram"])
+            yield pd.DataFrame(out, columns=["node", "members"])
+
+    sets = docs.select("_text").mapInPandas(run, "node long, members binary")
+    return sets.groupBy("node").agg(F.first("members").alias("members"))
+
+
+def unit_links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the linked sets among these."""
+    n = np.array([len(s) for s in sets], np.int64)
+    m = len(sets)
+    if m == 2:
+        x, y = sets if n[0] >= n[1] else sets[::-1]
+        at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+        return [(int(nodes[0]), int(nodes[1]))] if 7 * int((x[at] == y).sum()) >= 3 * int(n.sum()) else []
+    start = np.cumsum(n) - n
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # The set of the smallest sum of differences from all others answers first.
+    best = int(np.argmin(m * n - 2 * np.add.reduceat(times[code], start)))
+    base = np.zeros(len(times), bool)
+    base[code[start[best] : start[best] + n[best]]] = True
+    base &= times > 1  # a shingle of one set alone plays no part in any intersection
+    shared = np.add.reduceat(base[code].astype(np.int64), start)
+    size = int(base.sum())
+    lost = size - shared
+    both = (size - lost[:, None] - lost[None, :]).astype(np.float32)
+    row = np.repeat(np.arange(m), n)
+    column = np.flatnonzero((times > 1) & (times < m))  # what all sets hold differs in none
+    place = np.full(len(times), -1)
+    place[column] = np.arange(len(column))
+    at = place[code]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for lo in range(0, len(column), COLUMNS):
+        hi = min(lo + COLUMNS, len(column))
+        cut = slice(*np.searchsorted(at, [lo, hi]))
+        differ = np.repeat(base[column[lo:hi]][None, :], m, axis=0)
+        differ[row[cut], at[cut] - lo] ^= True
+        differ = differ.astype(np.float32)
+        both += differ @ differ.T
+    linked = 7 * both >= 3 * (n[:, None] + n[None, :])
+    out, left = [], np.ones(m, bool)
+    for i in range(m):
+        if not left[i]:
+            continue
+        left[i] = False
+        front = np.array([i])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(axis=0) & left)
+            left[front] = False
+            out += [(int(nodes[i]), int(nodes[j])) for j in front]
+    return out
 
-    sets = docs.select("_text").mapInPandas(run, "node long, members binary, histogram binary")
-    return written(sets.groupBy("node").agg(F.first("members").alias("members"), F.first("histogram").alias("histogram")), "jaccard-sets")
 
+def links_of_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a partition of units in order (``a, i, j, node, members``): their links."""
+    unit, nodes, sets, out = None, [], [], []
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, shared, linked`` of every pair, by counting the whole sets' common members."""
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("_mb")), "b").join(sets.select(F.col("node").alias("a"), F.col("members").alias("_ma")), "a")
+    def done() -> None:
+        if len(sets) > 1:
+            out.extend(unit_links(np.array(nodes), sets))
+
+    for batch in batches:
+        for a, i, j, node, members in zip(*(batch[c] for c in ("a", "i", "j", "node", "members"))):
+            if (a, i, j) != unit:
+                done()
+                unit, nodes, sets = (a, i, j), [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(members, "<u8"))
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+            out = []
+    done()
+    if out:
+        yield pd.DataFrame(out, columns=["a", "b"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            shared, linked = [], []
-            for x, y in zip(batch["_ma"], batch["_mb"]):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if len(x) < len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                shared.append(both)
-                linked.append(100 * both >= 75 * (len(x) + len(y) - both))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "shared": shared, "linked": linked})
 
-    return joined.select("a", "b", "_ma", "_mb").mapInPandas(run, "a long, b long, shared long, linked boolean")
+def units(pairs: DataFrame) -> DataFrame:
+    """``a, i, j, node``: families' sets, each once for every unit that it is in.
+
+    A family is one unit up to ``BLOCK_SETS`` sets and ``BLOCK_SHINGLES`` shingles. A larger
+    one is dealt to blocks of about that size, and each two of them are a unit.
+    """
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_m"), F.sum("nb").alias("_w"), F.first("na").alias("_n"))
+    blocks = F.greatest(F.ceil((F.col("_m") + 1) / BLOCK_SETS), F.ceil((F.col("_w") + F.col("_n")) / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select("a", blocks.alias("_k"))
+    large = sizes.filter("_k > 1").select(F.col("a").alias("_l"), "_k")
+    members = pairs.select("a", F.col("b").alias("node")).unionByName(sizes.select("a", F.col("a").alias("node")))
+    members = members.join(large, F.col("a") == F.col("_l"), "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda x: F.struct(F.least(x, F.col("_own")).alias("i"), F.greatest(x, F.col("_own")).alias("j")))
+    # Two blocks together also decide what lies inside each of them.
+    others = F.when(F.col("_k") > 1, F.filter(others, lambda u: u["i"] != u["j"])).otherwise(others)
+    return members.withColumn("_own", own).select("a", "node", F.explode(others).alias("_u")).select("a", "_u.i", "_u.j", "node")
 
 
 def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's shingle set size and its connected group of linked documents.
 
-    Returns ``doc_id, n_shingles, component_id, set_id``, one row per input row:
-    ``component_id`` is the smallest id of the group, ``set_id`` is equal for equal sets.
-    Null and wordless texts have no shingles and stay alone. Rows may repeat; rows that
-    share an id without being linked keep their own groups; null ids count as larger than
-    any other. An empty table gives an empty result. No pair is lost: copies are joined
-    as one set, all other pairs that can link are compared or decided by exact bounds.
+    Returns ``doc_id, n_shingles, component_id, set_id, row_id``, one row per input row:
+    ``component_id`` is the smallest id of the group, ``set_id`` is equal for equal sets and
+    ``row_id``, null where there is no group, for all rows of a group. Null and wordless
+    texts have no shingles and stay alone. Rows may repeat; rows that share an id without
+    being linked keep their own groups; null ids count as larger than any other. Other
+    columns are ignored. An empty table gives an empty result. No pair is lost: copies are
+    joined as one set, all other pairs that can link are decided exactly.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"))
+    found, labels = labelled_rows(rows, k)
+    least = labels.groupBy("_group").agg(F.min("_least").alias("component_id"))
+    alone = labels.filter("NOT _linked").select("node", "_group", F.col("_least").alias("component_id"))
+    salted = least.select("_group", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    many = labels.filter("_linked").withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    many = many.join(salted, ["_group", "_salt"]).select("node", "_group", "component_id")
+    out = found.select("_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(many.unionByName(alone), "node", "left")
+    return out.select(
+        F.col("_id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"),
+        F.col("node").alias("set_id"),
+        F.col("_group").alias("row_id"),
+    )
+
+
+def labelled_rows(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's set (``_id, n, node``, written), and every set's group: ``node, _least`` (id), ``_group, _linked``."""
+    spark = rows.sparkSession
     cells = spark.sparkContext.broadcast(counts(rows, k))
     found = written(prefixes(rows, cells, k), "jaccard-prefixes")
     nodes = found.filter("n > 0").groupBy("node").agg(F.min("_id").alias("_least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     total = found.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // ROWS_PER_PART) + 1)
-    lists = written(inverted(nodes, parts).mapInPandas(star_pairs, "shingle long, a long, b long, n long, pos long"), "jaccard-lists")
-    first = lists.filter("shingle IS NULL").select("a", "b").distinct()
-    first = written(first, "jaccard-pairs")
-    entries = lists.filter("shingle IS NOT NULL")
-    needed = first.select(F.col("a").alias("node")).union(first.select("b")).union(entries.select("b"))
-    sets = needed_sets(rows, needed, k)
-    compared = written(compare(first, sets), "jaccard-compared")
-    linked = compared.filter("linked").select("a", "b")
-    left = with_components(entries, linked).join(compared.select("a", "b", "shared"), ["a", "b"], "left")
-    left = left.withColumn("shared", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1))))
-    left = left.join(sets.select(F.col("node").alias("b"), "histogram"), "b")
-    left = left.select("shingle", "a", "b", "n", "pos", "component", "shared", "histogram").repartition(parts, "shingle")
-    rest = left.mapInPandas(rest_pairs, "a long, b long").distinct()
-    rest = rest.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(compare(rest, sets).filter("linked").select("a", "b"), "jaccard-links")
-    groups = connected_components(linked.unionByName(more))
-    discard(lists, first, sets, compared, more)
-    least = nodes.select("node", "_least").join(groups, "node", "left")
-    least = least.withColumn("_group", F.coalesce("component", "node"))
-    smallest = least.groupBy("_group").agg(F.min("_least").alias("component_id"))
-    least = least.select("node", "_group").join(smallest, "_group").select("node", "component_id")
-    out = found.select("_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(least, "node", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), F.col("node").alias("set_id"))
-
-
-def with_components(entries: DataFrame, linked: DataFrame) -> DataFrame:
-    """Lists' entries with their set's component under the links known so far."""
-    labels = connected_components(linked).select(F.col("node").alias("b"), "component")
-    return entries.join(labels, "b", "left").withColumn("component", F.coalesce("component", "b"))
-
-
-def inverted(nodes: DataFrame, parts: int) -> DataFrame:
-    """``shingle, node, n, pos``: each node's prefix as rows of the inverted lists, a list in one partition."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held = [np.frombuffer(x, "<i8") for x in batch["prefix"]]
-            length = np.array([len(x) for x in held])
-            if length.sum():
-                pos = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                yield pd.DataFrame({"shingle": np.concatenate(held), "node": np.repeat(batch["node"].to_numpy(), length), "n": np.repeat(batch["n"].to_numpy(), length).astype("i4"), "pos": pos.astype("i4")})
-
-    return nodes.select("node", "n", "prefix").mapInPandas(rows, "shingle long, node long, n int, pos int").repartition(parts, "shingle")
+    pairs = inverted(nodes, parts).mapInPandas(family_pairs, "a long, b long, na long, nb long").distinct()
+    pairs = written(pairs, "jaccard-pairs")
+    members = units(pairs)
+    sets = needed_sets(rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), k)
+    members = members.join(sets, "node").select("a", "i", "j", "node", "members")
+    members = members.repartition(parts, "a", "i", "j").sortWithinPartitions("a", "i", "j")
+    links = written(members.mapInPandas(links_of_units, "a long, b long"), "jaccard-links")
+    groups = connected_components(links)
+    discard(pairs, links)
+    cells.unpersist()
+    labels = nodes.select("node", "_least").join(groups, "node", "left")
+    return found, labels.select("node", "_least", F.coalesce("component", "node").alias("_group"), F.col("component").isNotNull().alias("_linked"))
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every group of linked documents, and all rows without words, with all their columns.
+
+    Of a group the row with the smallest id stays (null ids last), of rows that share that id
+    the text of the smallest hash, of rows that repeat both the first by the other columns.
+    Rows of one id that are not linked are judged each by their own text.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("x")).alias("_id"), text.alias("_text"))
+    found, labels = labelled_rows(rows, k)
+    own = found.filter("n > 0").groupBy("node", "_id").agg(F.count(F.lit(1)).alias("_times"))
+    first = labels.groupBy("_group").agg(F.min("_least").alias("_id")).select("_id")
+    keep = own.groupBy("_id").agg(F.sum("_times").alias("_times")).join(first, "_id", "left_semi")
+    keep = keep.unionByName(found.filter("n = 0").select("_id", F.lit(0).cast("long").alias("_times")).distinct())
+    names = [free_name(stem, docs.columns) for stem in ("_key", "_kid", "_kx", "_times")]
+    key, kid, kx, times = names
+    keep = keep.select(F.col("_id.id").alias(kid), F.col("_id.x").alias(kx), F.col("_times").alias(times))
+    kept = docs.withColumn(key, F.xxhash64(text)).join(keep, F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(key) == F.col(kx)))
+    once = kept.filter(F.col(times) < 2).select(*docs.columns)
+    return once.unionByName(one_of_each(kept.filter(F.col(times) > 1), docs.columns, [id_col, key]))
+
+
+def one_of_each(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Of rows with equal ``keys`` the smallest by all ``columns``; combined in the map tasks first, so that many repeats of one row meet nowhere."""
+    best = rows.groupBy(*keys).agg(F.min(F.struct(*columns)).alias(free_name("_best", columns, keys)))
+    return best.select(F.col(best.columns[-1]).getField(columns[0]).alias(columns[0]), *[F.col(best.columns[-1]).getField(c).alias(c) for c in columns[1:]])

@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.session import written
+from corpuscle.session import free_name, written
 
 BITS, LEVELS = 12, 5
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def doc_hash(col) -> F.Column:
-    """60 bits of an id's MD5: each document's fixed place in its source."""
-    return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def doc_hash(id_, text) -> F.Column:
+    """60 bits of the MD5 of an id and its text's MD5: each document's fixed place in its source."""
+    inner = F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(" "), inner).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -56,7 +57,7 @@ def mix_sources(
 ) -> DataFrame:
     """How many words of each document a mix takes, so that each source comes near its target.
 
-    Returns ``doc_id, size, source_size, target, taken, copies, source``, one row per input row.
+    Returns ``doc_id, size, source_size, target, taken, copies, source, place``, one row per input row.
     Sources by code point, null last, weigh ``weights`` in turn and share ``share`` of all
     words; a target stops at ``most`` times its source, the excess goes to the others by
     weight. Every document is taken floor(target / source size) times, and once more where
@@ -65,12 +66,12 @@ def mix_sources(
     The threshold is found by histograms: words by source and bucket of the hash's leading
     12 bits, then only inside the bucket in which the budget ends, 12 bits further, down to
     one hash value, which is taken if that comes nearer to the budget. Documents are never
-    sorted. The rest to the target is at most half of one document (rows that repeat an id
-    go together). Null or empty texts have size 0 and are taken 0 words; null sources are
+    sorted. The hash is that of id and text, so the rest to the target is at most half of one
+    document, or of all rows that repeat one id and text, which go together. Null or empty texts have size 0 and are taken 0 words; null sources are
     one source; all rows may repeat; an empty table gives an empty result; reruns agree.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    sizes = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("size"), doc_hash(F.col(id_col)).alias("_h")), "mix-sizes")
+    sizes = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("size"), doc_hash(F.col(id_col), F.col(text_col)).alias("_h")), "mix-sizes")
     state = source_targets(sizes, weights, share, most)
     state = state.withColumn("_base", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(F.lit(0)))
     state = state.withColumn("_budget", F.col("target") - F.col("_base") * F.col("source_size"))
@@ -84,7 +85,7 @@ def mix_sources(
     # Without a boundary bucket the whole budget fits: every document once more.
     more = F.when(F.col("_budget") <= 0, F.lit(0)).when(F.col("_limit").isNull() | (F.col("_h") < F.col("_limit")), F.lit(1)).otherwise(F.lit(0))
     copies = (F.col("_base") + more).cast("long")
-    return mixed.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), F.col("_source").alias(source_col))
+    return mixed.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), F.col("_source").alias(source_col), F.col("_h").alias("place"))
 
 
 def refine(sizes: DataFrame, bounds: DataFrame, shift: int, last: bool) -> DataFrame:
@@ -105,13 +106,11 @@ def refine(sizes: DataFrame, bounds: DataFrame, shift: int, last: bool) -> DataF
     return first.select("_s", (F.col("_at") + nearer.cast("long")).alias("_limit"))
 
 
-def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **more) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: dropped, once, or repeated.
-
-    Rows that repeat an id within a source share its number of copies.
-    """
-    taken = mix_sources(docs, id_col=id_col, source_col=source_col, **more)
-    copies = taken.groupBy(F.col(id_col).alias("_cid"), F.col(source_col).alias("_cs")).agg(F.max("copies").alias("_copies"))
-    same = docs[id_col].eqNullSafe(copies["_cid"]) & docs[source_col].cast("string").eqNullSafe(copies["_cs"])
-    joined = docs.join(copies, same).filter("_copies > 0")
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[joined[c] for c in docs.columns])
+def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: dropped, once, or repeated. Columns of any name are allowed."""
+    taken = mix_sources(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s")), id_col="i", text_col="t", source_col="s", **more)
+    cid, cx, cs, times, turn, x = (free_name(stem, docs.columns) for stem in ("_cid", "_cx", "_cs", "_copies", "_turn", "_x"))
+    copies = taken.groupBy(F.col("i").alias(cid), F.col("place").alias(cx), F.col("source").alias(cs)).agg(F.max("copies").alias(times))
+    same = F.col(id_col).eqNullSafe(F.col(cid)) & F.col(source_col).cast("string").eqNullSafe(F.col(cs)) & (F.col(x) == F.col(cx))
+    joined = docs.withColumn(x, doc_hash(F.col(id_col), F.col(text_col))).join(copies, same).filter(F.col(times) > 0)
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

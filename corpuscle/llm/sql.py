@@ -5,7 +5,7 @@ from corpuscle.llm.license_scan import LOWER, PHRASES, TEMPLATES, THRESHOLD, UPP
 OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -34,7 +34,7 @@ r AS (
 ), e AS (SELECT *, min(CASE WHEN upto > budget THEN h END) OVER (PARTITION BY source) AS edge FROM r),
 x AS (SELECT *, CASE WHEN budget <= 0 THEN 0 WHEN edge IS NULL OR h < edge THEN 1
               WHEN h = edge AND upto - budget < budget - (upto - own) THEN 1 ELSE 0 END AS more FROM e)
-SELECT doc_id, size, source_size, target, size * (base + more) AS taken, base + more AS copies, source FROM x
+SELECT doc_id, size, source_size, target, size * (base + more) AS taken, base + more AS copies, source, h AS place FROM x
 """
 
 OP10 = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -118,6 +119,8 @@ class Model:
     slope: float
     shift: float
     landmarks: list[str]
+    #: Probability from which :func:`drop_toxic` rejects a text.
+    reject: float = 0.3
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
@@ -138,7 +141,7 @@ def choose_landmarks(docs: list[set[str]], labels: np.ndarray, n: int) -> list[s
         a, b = with_[w], without[w]
         return float(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))) * (a + b) ** 0.5
 
-    words = sorted((w for w in {**with_, **without} if 3 <= len(w) <= 24 and with_[w] + without[w] >= 2), key=lambda w: (-strength(w), w))
+    words = sorted((w for w in {**with_, **without} if with_[w] + without[w] >= 2), key=lambda w: (-strength(w), w))
     often = sorted(words, key=lambda w: (-with_[w] - without[w], w))
     chosen: list[str] = []
     for pool, most in ((words[: 4 * n], n // 2), (words[: -2 * n : -1], n // 4), (often[: 2 * n], n - n // 2 - n // 4)):
@@ -188,6 +191,19 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-6), b
 
 
+def rejection(margin: np.ndarray, y: np.ndarray) -> float:
+    """The margin at which the shares of label 1 above and label 0 below add up to most; in the middle of the best gap between margins."""
+    order = np.argsort(margin, kind="stable")
+    m, one = margin[order], (y[order] == 1).astype(np.float64)
+    below = np.cumsum(1 - one) / max(1.0, (1 - one).sum()) - np.cumsum(one) / max(1.0, one.sum())
+    cuts = np.flatnonzero(m[1:] > m[:-1])
+    if not len(cuts):
+        return float(m[-1]) + 1e-9
+    best = cuts[below[cuts] >= below[cuts].max() - 1e-12]
+    widest = best[np.argmax(m[best + 1] - m[best])]
+    return float((m[widest] + m[widest + 1]) / 2)
+
+
 def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, cost: float = 1000.0, rounds: int = 6) -> Model:
     """Fit on labelled sentences or texts.
 
@@ -195,7 +211,8 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, cost: floa
     label 0 is labelled 0; the machine starts with some and adds those that it gets wrong,
     round by round. Of a text with label 1 one word is labelled 1: first the one of the
     largest log odds, then the one that the machine puts highest. Every fourth text is left
-    out of this and fits the scale. With one label only, every probability is its share.
+    out of this and fits the scale, and the score from which texts are rejected, 0.3 at
+    least: where most of both labels lie on their own side. With one label only, every probability is its share.
     """
     pool: dict[str, str] = {}  # one copy of each word
     split = [sorted({pool.setdefault(w, w) for w in words_of(t)}) for t in texts]
@@ -236,7 +253,9 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, cost: floa
     tail = [split[i] for i in np.flatnonzero(fold)]
     best = np.array([margins(s, folded, bias).max() for s in tail])
     slope, shift = platt(best, labels[fold])
-    return Model(folded.astype(np.float32), bias, slope, shift, marks)
+    model = Model(folded.astype(np.float32), bias, slope, shift, marks)
+    model.reject = max(0.3, float(model.probability(np.array(rejection(best, labels[fold])))))
+    return model
 
 
 def scorer(model: Model):
@@ -262,12 +281,13 @@ def scorer(model: Model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 6000, longest: int = 20_000, landmarks: int = 128) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 6000, landmarks: int = 128) -> Model:
     """Learn from the rows of ``docs`` that ``labels`` names and ``learn`` (a condition on the id, ``_id``) lets through.
 
-    The sample is bounded: of each label the ``most`` ids of the smallest hashes, and of
-    their texts those of at most ``longest`` characters. Equal texts count once. Null
-    labels and ids name nothing; an id or a text with two labels counts as 1.
+    The sample is bounded: of each label the ``most`` ids of the smallest hashes, with their
+    whole texts. Equal texts count once. Null labels and ids name nothing; an id or a text
+    with two labels counts as 1. One task learns from the sample; only the machine, of a
+    fixed size, reaches the driver.
     """
     named = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)")
     named = named if learn is None else named.filter(learn)
@@ -277,15 +297,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         part = named.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).filter(F.char_length("_text") <= longest)
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
     # At most twice ``most`` ids are sent to every partition.
-    rows = rows.join(F.broadcast(picked), "_id").select("_text", "_y")
-    found: dict[str, int] = {}
-    for row in rows.toLocalIterator():
-        found[row["_text"]] = max(row["_y"], found.get(row["_text"], 0))
-    # By the hash of the text, so that the order of the rows plays no part.
-    order = sorted(found, key=lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).digest())
-    return train(order, np.array([found[t] for t in order], dtype=np.int64), landmarks)
+    rows = rows.join(F.broadcast(picked), "_id").groupBy("_text").agg(F.max("_y").alias("_y"))
+
+    def learned(part: pd.DataFrame) -> pd.DataFrame:
+        found = dict(zip(part["_text"], part["_y"]))
+        # By the hash of the text, so that the order of the rows plays no part.
+        order = sorted(found, key=lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).digest())
+        m = train(order, np.array([found[t] for t in order], dtype=np.int64), landmarks)
+        return pd.DataFrame([{"folded": zlib.compress(m.folded.astype("<f4").tobytes()), "bias": m.bias, "slope": m.slope, "shift": m.shift, "landmarks": m.landmarks, "reject": m.reject}])
+
+    schema = "folded binary, bias double, slope double, shift double, landmarks array<string>, reject double"
+    got = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(learned, schema).first()
+    if got is None:
+        return train([], np.zeros(0, np.int64), landmarks)
+    return Model(np.frombuffer(zlib.decompress(got["folded"]), "<f4"), got["bias"], got["slope"], got["shift"], list(got["landmarks"]), got["reject"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -300,13 +327,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with all their columns; null texts are scored as empty."""
-    run = scorer(model)
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold`` (else the model's own, ``reject``), with all their columns; null texts are scored as empty."""
+    run, limit = scorer(model), model.reject if threshold is None else threshold
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = next(run(iter([pd.DataFrame({"_id": range(len(batch)), "_text": batch[text_col].fillna("")})])))
-            yield batch[(got["score"] < threshold).to_numpy()]
+        held: list[pd.DataFrame] = []
+
+        def texts() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                held.append(batch)
+                yield pd.DataFrame({"_id": range(len(batch)), "_text": batch[text_col].astype(object).where(batch[text_col].notna(), "")})
+
+        for got in run(texts()):
+            yield held.pop()[(got["score"] < limit).to_numpy()]
 
     return docs.mapInPandas(keep, docs.schema)
