@@ -8,16 +8,14 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from corpuscle.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from corpuscle.llm.queries import toxicity_model
-from corpuscle.session import table, written
+from corpuscle.session import discard, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.3; the machine learns from the labels of three folds of ``documents``."""
+    """Documents that the machine doesn't reject; it learns from the labels of three folds of ``documents``."""
     return toxicity.drop_toxic(docs, toxicity_model(spark, sf_dir))
 
 
@@ -27,16 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 5-word shingles at 0.75 the document with the smallest id.
-
-    Documents without words are no group and stay; of rows that repeat a group's smallest
-    id one stays.
-    """
-    groups = jaccard_join.near_groups(docs)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_k"]), "left_semi")
-    others = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in docs.columns if c != "doc_id"])
-    return kept.withColumn("_n", F.row_number().over(others)).filter("_n = 1 OR doc_id IS NULL").select(*docs.columns)
+    """Of each group linked by 5-word shingles at 0.75 the row with the smallest id; rows without words are no group and stay."""
+    return jaccard_join.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +49,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
