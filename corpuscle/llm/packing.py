@@ -17,34 +17,78 @@ from corpuscle.session import written
 
 WINDOW = 2048
 K1, B = 1.5, 0.75
-#: Terms of a seed that are looked up: no limit, all of them.
-QUERY_TERMS = None
+#: Words whose ids a task remembers; characters from which a text is encoded whole.
+MEMO, LONG = 300_000, 200_000
 #: Terms of a document by which it is dealt.
 DEAL_TERMS = 3
 #: Neighbours that are put in order at once.
 FIRST = 16
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer_path: str, ranks_path: str | None):
-    """A function from a text to its ids, and the size of the vocabulary.
+class Encoder:
+    """Texts to token ids of one vocabulary file, special tokens' strings included, as its library does it.
 
-    ``ranks_path`` names the same vocabulary as a rank file; its library gives the same
-    ids in less time. Strings of special tokens in a text are ordinary text.
+    ``ranks_path`` names the same vocabulary as a rank file, whose library splits texts by
+    ``public_tokenizers.PATTERN`` and takes a third of the time; texts that hold a special
+    token's string go to the first library. A piece of the pattern starts anew at a single
+    space, so a word with the space before it has ids of its own: the first ``MEMO`` words
+    are remembered, a batch's other words are encoded together. A text with two spaces in a
+    row is encoded whole.
     """
-    from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(tokenizer_path)
-    model.encode_special_tokens = True
-    size = model.get_vocab_size()
-    if ranks_path is None:
-        return lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4"), size
-    import public_tokenizers
-    import tiktoken
+    def __init__(self, tokenizer_path: str, ranks_path: str | None):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(tokenizer_path)
+        self.size = self.model.get_vocab_size()
+        self.number = "<u2" if self.size <= 65536 else "<u4"
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.ranked = None
+        if ranks_path is not None:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+            self.opens = np.zeros(self.size, bool)
+            self.opens[[r for token, r in ranks.items() if token[:1] == b" "]] = True
+            self.memo: dict[str, bytes] = {}
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian numbers of the type ``number``."""
+        held, missing, where = [], [], []
+        for text in texts:
+            if self.ranked is None or any(s in text for s in self.special):
+                held.append([np.array(self.model.encode(text, add_special_tokens=False).ids, self.number).tobytes()])
+            elif "  " in text or len(text) > LONG:
+                held.append([self.ranked(text).astype(self.number).tobytes()])
+            else:
+                first, *words = text.split(" ")
+                parts = list(map(self.memo.get, words))
+                if None in parts:
+                    at = [i for i, x in enumerate(parts, 1) if x is None]
+                    where.append((len(held), at))
+                    missing += [words[i - 1] for i in at]
+                parts.insert(0, self.ranked(first).astype(self.number).tobytes())
+                held.append(parts)
+        if missing:
+            ids = self.ranked(" " + " ".join(missing))
+            start = np.flatnonzero(self.opens[ids])  # only a word's first id opens with a space
+            raw, edge = ids.astype(self.number).tobytes(), (np.r_[start, len(ids)] * np.dtype(self.number).itemsize).tolist()
+            got = [raw[lo:hi] for lo, hi in zip(edge, edge[1:])]
+            found = iter(got)
+            for text, at in where:
+                for i in at:
+                    held[text][i] = next(found)
+            if len(self.memo) < MEMO:
+                self.memo.update(zip(missing, got))
+        return [b"".join(parts) for parts in held]
+
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy, size
+@lru_cache(maxsize=2)
+def encoder(tokenizer_path: str, ranks_path: str | None) -> Encoder:
+    return Encoder(tokenizer_path, ranks_path)
 
 
 def encode(tokenizer_path: str, ranks_path: str | None, end: int, number: str):
@@ -56,16 +100,20 @@ def encode(tokenizer_path: str, ranks_path: str | None, end: int, number: str):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, size = encoder(tokenizer_path, ranks_path)
-        df, last = np.zeros(max(size, end + 1), np.int64), np.array([end], number)
+        found = encoder(tokenizer_path, ranks_path)
+        df, last = np.zeros(max(found.size, end + 1), np.int64), np.array([end], number)
+        place = np.zeros(len(df), np.int64)
         docs = total = 0
         for batch in batches:
             out = []
-            for text in batch["_text"]:
-                ids = np.concatenate([ids_of(text).astype(number), last]) if text else last
-                df[np.flatnonzero(np.bincount(ids))] += 1
-                docs, total = docs + 1, total + len(ids)
-                out.append(ids.tobytes())
+            for lo in range(0, len(batch), 200):
+                for blob in found.all(batch["_text"].iloc[lo : lo + 200].tolist()):
+                    ids = np.concatenate([np.frombuffer(blob, found.number).astype(number, copy=False), last])
+                    at = np.arange(len(ids))
+                    place[ids] = at  # each id's last place in this text
+                    df[ids[place[ids] == at]] += 1
+                    docs, total = docs + 1, total + len(ids)
+                    out.append(ids.tobytes())
             yield pd.DataFrame({"_id": batch["_id"], "_ids": out, "_t": None, "_c": None})
         at = np.flatnonzero(df)
         yield pd.DataFrame({"_id": None, "_ids": None, "_t": np.r_[at, -1, -2], "_c": np.r_[df[at], docs, total]})
@@ -83,49 +131,85 @@ def document_frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int,
     return df, docs, total / max(1, docs)
 
 
-def bm25(tf: np.ndarray, df: np.ndarray, length, n: int, mean: float) -> np.ndarray:
-    """Weights of terms that ``df`` of ``n`` documents hold and that stand ``tf`` times in a text of ``length``."""
-    return np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct ids in order and how often each stands there."""
+    ids = np.sort(ids, kind="stable")  # two-byte numbers are sorted in linear time
+    edge = np.r_[np.flatnonzero(ids[1:] != ids[:-1]), len(ids) - 1]
+    return ids[edge], np.diff(edge, prepend=-1)
+
+
+def rarity(df: np.ndarray, n: int) -> np.ndarray:
+    """The part of BM25 weights that depends on how many of ``n`` documents hold a term."""
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
 
+def bm25(tf: np.ndarray, idf: np.ndarray, length, mean: float) -> np.ndarray:
+    """Weights of terms that stand ``tf`` times in a text of ``length``."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
-def heaviest(ids: np.ndarray, df: np.ndarray, n: int, mean: float, least: int) -> list[int]:
-    """A document's ``DEAL_TERMS`` terms of the largest weight, those first that ``least`` documents hold; -1 where it has no more terms."""
-    term, tf = np.unique(ids, return_counts=True)
-    order = np.lexsort((term, -bm25(tf, df[term], len(ids), n, mean), df[term] < least))[:DEAL_TERMS]
-    return [*term[order].tolist(), *[-1] * (DEAL_TERMS - len(order))]
+
+def heaviest(ids: np.ndarray, value: np.ndarray, mean: float) -> list[int]:
+    """A document's ``DEAL_TERMS`` terms of the largest weight; -1 where it has no more terms."""
+    term, count = terms_of(ids)
+    weight = bm25(count.astype(np.float32), value[term], len(ids), mean)
+    out = []
+    for _ in range(min(DEAL_TERMS, len(term))):
+        best = int(weight.argmax())
+        out.append(int(term[best]))
+        weight[best] = -np.inf
+    return out + [-1] * (DEAL_TERMS - len(out))
 
 
 def dealer(df: np.ndarray, n: int, mean: float, least: int, number: str):
     """For ``mapInPandas``: documents with the terms by which they are dealt."""
 
+    # Terms that ``least`` documents hold come first: a rarer one weighs less than nothing.
+    value = np.where(df >= least, rarity(df, n), rarity(df, n) / 1e6 - 1e3).astype(np.float32)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [heaviest(np.frombuffer(x, number), df, n, mean, least) for x in batch["_ids"]]
-            yield pd.concat([batch, pd.DataFrame(keys, columns=[f"_k{i}" for i in range(DEAL_TERMS)], index=batch.index)], axis=1)
+            keys = [heaviest(np.frombuffer(x, number), value, mean) for x in batch["_ids"]]
+            yield batch.assign(**{f"_k{i}": [k[i] for k in keys] for i in range(DEAL_TERMS)})
 
     return run
 
 
 class Shard:
-    """Inverted index of one shard's documents: for each term its documents and their BM25 weights."""
+    """Inverted index of one shard's documents: for each term its documents and their BM25 weights.
+
+    Used documents are taken out of the lists when a quarter of them is used.
+    """
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n: int, mean: float):
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs))
+        terms, counts = zip(*map(terms_of, docs))
         self.of = np.cumsum([0, *map(len, terms)])
-        term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
+        self.term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
         doc = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
-        weight = bm25(tf, df[term], np.array([len(d) for d in docs])[doc], n, mean)
-        self.term = term
-        order = np.argsort(term, kind="stable")
-        self.doc, self.value = doc[order].astype(np.int32), weight[order]
-        self.start = np.searchsorted(term[order], np.arange(int(term.max()) + 2))
+        weight = bm25(tf, rarity(df, n)[self.term], np.array([len(d) for d in docs])[doc], mean)
+        order = np.argsort(self.term, kind="stable")
+        self.list_term, self.doc, self.value = self.term[order], doc[order], weight[order]
         self.unused = np.ones(len(docs), bool)
+        self.left = self.last = len(docs)
+        self._starts()
+
+    def _starts(self) -> None:
+        self.start = np.searchsorted(self.list_term, np.arange(int(self.term.max()) + 2))
+
+    def use(self, doc: int) -> None:
+        self.unused[doc] = False
+        self.left -= 1
+        if self.left < 0.75 * self.last:
+            keep = self.unused[self.doc]
+            self.list_term, self.doc, self.value, self.last = self.list_term[keep], self.doc[keep], self.value[keep], self.left
+            self._starts()
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents by falling score for all of the seed's terms; equal scores by place."""
         term = self.term[self.of[seed] : self.of[seed + 1]]
-        at = [slice(self.start[t], self.start[t + 1]) for t in term.tolist()]
-        score = np.bincount(np.concatenate([self.doc[x] for x in at]), np.concatenate([self.value[x] for x in at]), len(self.unused))
+        lo, hi = self.start[term], self.start[term + 1]
+        some = hi > lo
+        at = [slice(a, b) for a, b in zip(lo[some].tolist(), hi[some].tolist())]
+        score = np.bincount(np.concatenate([self.doc[x] for x in at]), np.concatenate([self.value[x] for x in at]), len(self.unused)) if at else np.zeros(len(self.unused))
         left = np.flatnonzero(self.unused)
         score = score[left]
         # A window takes few: the best first, the others only if it comes to them.
@@ -152,7 +236,7 @@ def pack_shard(docs: list[np.ndarray], shard: Shard, window: int) -> Iterator[li
             seed = next((d for d in order if shard.unused[d]), None)
             if seed is None:
                 break
-            shard.unused[seed] = False
+            shard.use(seed)
             rest = (seed, 0)
         seed, start = rest
         rest = None
@@ -167,7 +251,7 @@ def pack_shard(docs: list[np.ndarray], shard: Shard, window: int) -> Iterator[li
         if not row:
             continue
         for near in shard.neighbours(seed):
-            shard.unused[near] = False
+            shard.use(near)
             size = len(docs[near])
             if size >= room:
                 row.append((near, 0, room))
@@ -242,7 +326,7 @@ def packer(df: np.ndarray, n: int, mean: float, window: int, number: str, most:
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, end: int = 1, window: int = WINDOW, shard_tokens: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, end: int = 1, window: int = WINDOW, shard_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document's tokens into windows so that neighbours by BM25 share one.
 
     Returns one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
@@ -262,7 +346,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, en
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    size = max(encoder(tokenizer_path, ranks_path)[1], end + 1)
+    size = max(encoder(tokenizer_path, ranks_path).size, end + 1)
     number = "<u2" if size <= 65536 else "<u4"
     tokens = rows.mapInPandas(encode(tokenizer_path, ranks_path, end, number), f"_id {kind}, _ids binary, _t long, _c long")
     tokens = written(tokens, "pack-tokens")
