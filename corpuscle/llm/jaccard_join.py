@@ -9,9 +9,13 @@ Two documents link when 100 * intersection >= 75 * union of their shingle sets.
    shingles in the order) goes to the inverted lists. Linked sets meet in one list at least.
 3. A list is sorted by blocks of sizes, each block 4/3 wide, and read once in that order:
    linked sets lie in one block or in two that follow each other, all others are skipped.
-   The first set of a block, in one fixed order of all sets, leads the sets of its own and
-   of the next block. In lists of two the positional bound skips pairs, too. So every pair
-   that can link is in the family of one leader, and families have fewer rows than lists.
+   In a list of up to ``SHORT`` sets all pairs of such sizes are named, and over all lists
+   it is counted how often a pair is: how many of the two prefixes' shingles are shared.
+   What else they can share lies behind the prefix that ends first, so a pair whose count
+   and that rest together are too few is ruled out. In a longer list the first set of a
+   block, in one fixed order of all sets, leads the sets of its own and of the next block.
+   So every pair that can link is in the family of one leader: of a long list's leader, of
+   the smallest set that both are still paired with, or of its own smaller set.
 4. A family's sets meet in one task, a large family's in blocks of bounded size, two at a
    time. There the set nearest to all others is answered first: what it shares with each.
    From that follow all other answers by the differences alone,
@@ -49,6 +53,8 @@ NEEDED_BITS = 26
 ROWS_PER_PART = 1_500_000
 #: Sets and shingles of a large family's blocks; rows of a list partition that are looked at together.
 BLOCK_SETS, BLOCK_SHINGLES, CHUNK = 1024, 2_000_000, 400_000
+#: Sets in a list of which all pairs are named.
+SHORT = 16
 #: Columns of a product of differences.
 COLUMNS = 4096
 #: Keys over which a large component's rows are spread.
@@ -112,29 +118,26 @@ def set_number(shingles: np.ndarray) -> int:
 
 
 def prefixes(docs: DataFrame, cells, k: int) -> DataFrame:
-    """``_id, n, node, prefix``: each document's set size, set number and first shingles in the global order."""
+    """``_id, n, node, last, prefix``: each document's set size, set number and first shingles in the global order, with the order's key of the last of these."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, count = Words(), cells.value
+        words, count = Words(), cells.value.astype(np.uint64) << np.uint64(55)
         for batch in batches:
-            size, node, prefix = [], [], []
+            size, node, last, prefix = [], [], [], []
             for text in batch["_text"]:
                 s = words.shingles(text, k)
                 n = len(s)
                 size.append(n)
                 node.append(set_number(s))
                 keep = n - (3 * n + 3) // 4 + 1 if n else 0
-                order = np.lexsort((s, count[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[:keep]
+                key = count[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)] | (s >> np.uint64(9))
+                order = np.lexsort((s, key))[:keep]
                 prefix.append(s[order].tobytes())
-            yield pd.DataFrame({"_id": batch["_id"], "n": size, "node": node, "prefix": prefix})
+                last.append(int(key[order[-1]]) if n else 0)
+            yield pd.DataFrame({"_id": batch["_id"], "n": size, "node": node, "last": last, "prefix": prefix})
 
     kind = dict(docs.dtypes)["_id"]
-    return docs.mapInPandas(run, f"_id {kind}, n long, node long, prefix binary")
-
-
-def need(a, b):
-    """Least intersection of linked sets of these sizes."""
-    return (3 * (a + b) + 6) // 7
+    return docs.mapInPandas(run, f"_id {kind}, n long, node long, last long, prefix binary")
 
 
 def size_blocks() -> np.ndarray:
@@ -146,7 +149,7 @@ def size_blocks() -> np.ndarray:
 
 
 def inverted(nodes: DataFrame, parts: int) -> DataFrame:
-    """``shingle, block, node, n, pos``: each node's prefix as rows of the inverted lists; a list lies in one partition, in order."""
+    """``shingle, block, node, n``: each node's prefix as rows of the inverted lists; a list lies in one partition, in order."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = size_blocks()
@@ -154,29 +157,42 @@ def inverted(nodes: DataFrame, parts: int) -> DataFrame:
             held = [np.frombuffer(x, "<i8") for x in batch["prefix"]]
             length = np.array([len(x) for x in held])
             if length.sum():
-                pos = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
                 block = np.searchsorted(edges, batch["n"].to_numpy(), "right")
-                yield pd.DataFrame({"shingle": np.concatenate(held), "block": np.repeat(block, length).astype("i2"), "node": np.repeat(batch["node"].to_numpy(), length), "n": np.repeat(batch["n"].to_numpy(), length).astype("i4"), "pos": pos.astype("i4")})
+                yield pd.DataFrame({"shingle": np.concatenate(held), "block": np.repeat(block, length).astype("i2"), "node": np.repeat(batch["node"].to_numpy(), length), "n": np.repeat(batch["n"].to_numpy(), length).astype("i4")})
 
-    out = nodes.select("node", "n", "prefix").mapInPandas(rows, "shingle long, block short, node long, n int, pos int")
+    out = nodes.select("node", "n", "prefix").mapInPandas(rows, "shingle long, block short, node long, n int")
     return out.repartition(parts, "shingle").sortWithinPartitions("shingle", "block", "node")
 
 
-def family_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of a partition of sorted lists: ``a, b, na, nb`` for every leader ``a`` and set ``b`` of its family.
+def list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a partition of sorted lists: ``a, b, na, nb, times, led``.
 
-    Rows are looked at ``CHUNK`` at a time; the leaders of the last two blocks are carried
-    over, so that a list of any length takes bounded memory.
+    Short lists name their pairs (``a`` below ``b``, ``times`` counts them). Long lists name
+    their leaders ``a`` with each set ``b`` of the family (``led`` 1) and every set with
+    itself (``times`` counts its places in long lists). Rows are looked at ``CHUNK`` at a
+    time; of a list that is longer the leaders of the last two blocks are carried over, so
+    that it takes bounded memory.
     """
     carry = None  # shingle, block, its leader and that one's size, leader and size of the block before (or None)
     held: list[pd.DataFrame] = []
 
-    def look(rows: pd.DataFrame, carry, whole: bool):
-        shingle, block, node, n, pos = (rows[c].to_numpy() for c in ("shingle", "block", "node", "n", "pos"))
+    def short(rows: list[np.ndarray], start: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+        node, n = rows
+        for m in range(2, SHORT + 1):
+            first = start[length == m]
+            for i in range(m - 1) if len(first) else ():
+                for j in range(i + 1, m):
+                    x, y = first + i, first + j
+                    ok = 3 * np.maximum(n[x], n[y]) <= 4 * np.minimum(n[x], n[y])
+                    x, y = x[ok], y[ok]
+                    x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+                    yield np.c_[node[x], node[y], n[x], n[y]]
+
+    def long(shingle, block, node, n, carry):
         new = np.r_[True, (shingle[1:] != shingle[:-1]) | (block[1:] != block[:-1])]
         first = np.flatnonzero(new)
         at = np.cumsum(new) - 1
-        lead, size = node[first].copy(), n[first].astype(np.int64)
+        lead, size = node[first].copy(), n[first].copy()
         near = np.r_[False, (shingle[first[1:]] == shingle[first[:-1]]) & (block[first[1:]] == block[first[:-1]] + 1)]
         prev, prev_size = np.r_[0, lead[:-1]], np.r_[0, size[:-1]]
         if carry is not None and carry[0] == shingle[0]:
@@ -189,43 +205,72 @@ def family_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             elif carry[1] + 1 == block[0]:
                 near[0], prev[0], prev_size[0] = True, carry[2], carry[3]
         ok = lead[at] != node
-        both = [np.c_[lead[at][ok], node[ok], size[at][ok], n[ok]]]
+        pairs = [np.c_[lead[at][ok], node[ok], size[at][ok], n[ok]]]
         ok = near[at] & (prev[at] != node)
-        both.append(np.c_[prev[at][ok], node[ok], prev_size[at][ok], n[ok]])
-        pairs = np.concatenate(both)
-        if whole:  # lists of two: the positional bound
-            start = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-            x = start[np.diff(np.r_[start, len(shingle)]) == 2]
-            if len(x):
-                keep = np.ones(len(shingle), bool)
-                m, p = n.astype(np.int64), pos.astype(np.int64)
-                short = np.minimum(p[x], p[x + 1]) + np.minimum(m[x] - p[x], m[x + 1] - p[x + 1]) < need(m[x], m[x + 1])
-                keep[x[short] + 1] = False
-                rows_of = np.r_[np.flatnonzero(lead[at] != node), np.flatnonzero(ok)]
-                pairs = pairs[keep[rows_of]]
-        last = first[-1]
-        carry = (shingle[last], block[last], lead[-1], size[-1], prev[-1] if near[-1] else None, prev_size[-1])
-        return pairs, carry
-
-    def frames(pairs: np.ndarray) -> Iterator[pd.DataFrame]:
-        if len(pairs):
-            yield pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b", "na", "nb"])
+        pairs.append(np.c_[prev[at][ok], node[ok], prev_size[at][ok], n[ok]])
+        return pairs, (shingle[-1], block[-1], lead[-1], size[-1], prev[-1] if near[-1] else None, prev_size[-1])
+
+    def look(rows: pd.DataFrame, carry):
+        shingle, block, node, n = (rows[c].to_numpy() for c in ("shingle", "block", "node", "n"))
+        n, block = n.astype(np.int64), block.astype(np.int64)
+        start = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        length = np.diff(np.r_[start, len(shingle)])
+        is_long = length > SHORT
+        is_long[0] |= carry is not None and carry[0] == shingle[0]
+        out = []
+        for pairs in ([p for p in short([node, n], start[~is_long], length[~is_long]) if len(p)],):
+            if pairs:
+                both, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+                out.append(np.c_[both, times, np.zeros(len(both), np.int64)])
+        row = np.repeat(is_long, length)
+        if row.any():
+            pairs, carry = long(shingle[row], block[row], node[row], n[row], carry)
+            both = np.unique(np.concatenate(pairs), axis=0)
+            out.append(np.c_[both, np.zeros(len(both), np.int64), np.ones(len(both), np.int64)])
+            own, times = np.unique(np.c_[node[row], n[row]], axis=0, return_counts=True)
+            out.append(np.c_[own[:, 0], own[:, 0], own[:, 1], own[:, 1], times, np.zeros(len(own), np.int64)])
+        return out, carry
+
+    def frames(out: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame(np.concatenate(out), columns=["a", "b", "na", "nb", "times", "led"])
 
     for batch in batches:
         held.append(batch)
         if sum(map(len, held)) >= CHUNK:
             rows = pd.concat(held, ignore_index=True)
             tail = int(np.searchsorted(rows["shingle"].to_numpy(), rows["shingle"].iloc[-1]))
-            # Whole lists where possible; else a part of a long one.
-            whole = tail > 0 and (carry is None or carry[0] != rows["shingle"].iloc[0])
-            cut = tail if tail > 0 else len(rows)
-            pairs, carry = look(rows.iloc[:cut], carry, whole)
+            cut = tail if tail > 0 else len(rows)  # whole lists, or a part of one that is longer
             held = [rows.iloc[cut:]] if cut < len(rows) else []
-            yield from frames(pairs)
+            if cut == len(rows) and carry is None:
+                carry = (rows["shingle"].iloc[0], -9, 0, 0, None, 0)  # its first part
+            out, carry = look(rows.iloc[:cut], carry)
+            yield from frames(out)
     if sum(map(len, held)):
-        rows = pd.concat(held, ignore_index=True)
-        pairs, carry = look(rows, carry, carry is None or carry[0] != rows["shingle"].iloc[0])
-        yield from frames(pairs)
+        yield from frames(look(pd.concat(held, ignore_index=True), carry)[0])
+
+
+def families(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b, na, nb``: leaders and sets of their families, from what the lists name and the sets' ``last`` keys; written."""
+    total = written(named.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("times").alias("times"), F.max("led").alias("led")), "jaccard-named")
+    led = total.filter("led = 1").select("a", "b", "na", "nb")
+    inside = total.filter("a = b").select(F.col("a").alias("node"), F.col("times").alias("_long"))
+    ends = nodes.select("node", "last").join(inside, "node", "left").select("node", "last", F.coalesce("_long", F.lit(0)).alias("_long"))
+    pairs = total.filter("a != b AND led = 0").select("a", "b", "na", "nb", "times")
+    pairs = pairs.join(ends.toDF("a", "_la", "_xa"), "a").join(ends.toDF("b", "_lb", "_xb"), "b")
+    rest_a, rest_b = (F.floor((3 * F.col(n) + 3) / 4) - 1 for n in ("na", "nb"))
+    rest = F.when(F.col("_la") < F.col("_lb"), rest_a).when(F.col("_la") > F.col("_lb"), rest_b).otherwise(F.greatest(rest_a, rest_b))
+    least = F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)
+    pairs = written(pairs.filter(F.col("times") + F.least("_xa", "_xb") + rest >= least).select("a", "b", "na", "nb"), "jaccard-pairs")
+    # Sets with the same smallest partner meet in its family; only other pairs need one of their own.
+    smallest = pairs.groupBy("b").agg(F.min(F.struct("a", "na")).alias("_x"), F.first("nb").alias("nb"))
+    smallest = smallest.select("b", F.col("_x.a").alias("_l"), F.col("_x.na").alias("_n"), "nb")
+    star = smallest.select(F.col("_l").alias("a"), "b", F.col("_n").alias("na"), "nb")
+    left = pairs.join(smallest.select("b", F.col("_l").alias("_lb")), "b").join(smallest.select(F.col("b").alias("a"), F.col("_l").alias("_la")), "a", "left")
+    left = left.filter("_lb != a AND NOT (_la <=> _lb)").select("a", "b", "na", "nb")
+    out = written(led.unionByName(star).unionByName(left).distinct(), "jaccard-families")
+    discard(total, pairs)
+    return out
 
 
 def needed_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -386,11 +431,10 @@ def labelled_rows(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     spark = rows.sparkSession
     cells = spark.sparkContext.broadcast(counts(rows, k))
     found = written(prefixes(rows, cells, k), "jaccard-prefixes")
-    nodes = found.filter("n > 0").groupBy("node").agg(F.min("_id").alias("_least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = found.filter("n > 0").groupBy("node").agg(F.min("_id").alias("_least"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("prefix").alias("prefix"))
     total = found.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // ROWS_PER_PART) + 1)
-    pairs = inverted(nodes, parts).mapInPandas(family_pairs, "a long, b long, na long, nb long").distinct()
-    pairs = written(pairs, "jaccard-pairs")
+    pairs = families(inverted(nodes, parts).mapInPandas(list_pairs, "a long, b long, na long, nb long, times long, led long"), nodes)
     members = units(pairs)
     sets = needed_sets(rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), k)
     members = members.join(sets, "node").select("a", "i", "j", "node", "members")
