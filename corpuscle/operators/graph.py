@@ -15,9 +15,10 @@ def in_degree(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("node", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("sources", F.lit(0)).alias("sources"))
 
 
-def orphans(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes that no other node links to."""
-    return nodes.join(links.filter("src <> dst").select(F.col("dst").alias("node")), "node", "left_anti")
+def orphans(links: DataFrame, nodes: DataFrame, home: DataFrame | None = None) -> DataFrame:
+    """Nodes that no other node links to; those of ``home`` (``node``) are never orphans."""
+    out = nodes.join(links.filter("src <> dst").select(F.col("dst").alias("node")), "node", "left_anti")
+    return out if home is None else out.join(home.select("node"), "node", "left_anti")
 
 
 def depths(links: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 FACTORS = {"ok": 1.0, "warning": 0.5, "critical": 0.0}
 
 
+def tenths(value):
+    """Rounded to one decimal, halves to the even digit."""
+    return F.bround(value.cast("decimal(30,12)"), 1).cast("double")
+
+
 def factor(severity):
     col = None
     for name, value in FACTORS.items():
@@ -22,14 +27,14 @@ def area_scores(findings: DataFrame, by: str = "owner") -> DataFrame:
     """``by, area, score``: weight kept of all graded weight, in percent to one decimal; null without graded findings."""
     kept = findings.withColumn("_f", factor(F.col("severity")))
     graded = F.when(F.col("_f").isNotNull(), F.col("weight"))
-    return kept.groupBy(by, "area").agg(F.round(100 * F.sum(graded * F.col("_f")) / F.nullif(F.sum(graded), F.lit(0.0)), 1).alias("score"))
+    return kept.groupBy(by, "area").agg(tenths(100 * F.sum(graded * F.col("_f")) / F.nullif(F.sum(graded), F.lit(0.0))).alias("score"))
 
 
 def overall_scores(areas: DataFrame, weights: Mapping[str, float], by: str = "owner") -> DataFrame:
     """``by, overall``: weighted mean over the areas that have a score; 0 if none has."""
     w = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("area")), F.lit(1.0))
     w = F.when(F.col("score").isNotNull(), w)
-    return areas.groupBy(by).agg(F.coalesce(F.round(F.sum(w * F.col("score")) / F.sum(w), 1), F.lit(0.0)).alias("overall"))
+    return areas.groupBy(by).agg(F.coalesce(tenths(F.sum(w * F.col("score")) / F.sum(w)), F.lit(0.0)).alias("overall"))
 
 
 def plan(findings: DataFrame, by: str = "owner") -> DataFrame:
@@ -43,7 +48,7 @@ def gains(findings: DataFrame, by: str = "owner") -> DataFrame:
     """What each actionable finding costs its area's score: 100 * weight * (1 - factor) / all graded weight."""
     graded = findings.withColumn("_f", factor(F.col("severity"))).filter("_f IS NOT NULL")
     total = F.sum("weight").over(Window.partitionBy(by, "area"))
-    out = graded.withColumn("gain", F.round(100 * F.col("weight") * (1 - F.col("_f")) / total, 1))
+    out = graded.withColumn("gain", tenths(100 * F.col("weight") * (1 - F.col("_f")) / total))
     return out.filter("_f < 1").drop("_f")
 
 
@@ -51,7 +56,7 @@ def previous_run(runs: DataFrame, site: str = "site", at: str = "created_at", ti
     """Runs with the score of the site's run before, and the change of the scores as whole numbers."""
     order = Window.partitionBy(site).orderBy(at, tie)
     out = runs.withColumn("previous", F.lag(score).over(order))
-    return out.withColumn("change", (F.round(score) - F.round("previous")))
+    return out.withColumn("change", (F.bround(score) - F.bround("previous")))
 
 
 def last_runs(runs: DataFrame, most: int, site: str = "site", at: str = "created_at", tie: str = "run") -> DataFrame:
@@ -85,7 +90,7 @@ def citation_rates(answers: DataFrame) -> DataFrame:
     """``provider, answered, failed, cited, rate`` from ``provider, ok, cited``; rate in percent to one decimal, null without an answer."""
     done = F.count_if(F.col("ok"))
     cited = F.count_if(F.col("ok") & F.col("cited"))
-    return answers.groupBy("provider").agg(done.alias("answered"), F.count_if(~F.col("ok")).alias("failed"), cited.alias("cited"), F.round(100.0 * cited / F.nullif(done, F.lit(0)), 1).alias("rate"))
+    return answers.groupBy("provider").agg(done.alias("answered"), F.count_if(~F.col("ok")).alias("failed"), cited.alias("cited"), tenths(100.0 * cited / F.nullif(done, F.lit(0))).alias("rate"))
 
 
 def cited_hosts(urls: DataFrame, targets: DataFrame) -> DataFrame:
@@ -100,10 +105,10 @@ def profile_scores(areas: DataFrame, profiles: Mapping[str, Mapping[str, float]]
     """``by, profile, score``: each profile's weighted mean of the area scores there are, its weights scaled up to them; one decimal."""
     rows = F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(a).alias("area"), F.lit(float(w)).alias("w")) for p, weights in profiles.items() for a, w in weights.items()])
     known = areas.filter("score IS NOT NULL").select(by, F.col("area").alias("_a"), "score", F.explode(rows).alias("x")).filter(F.col("x.area") == F.col("_a"))
-    return known.groupBy(by, F.col("x.profile").alias("profile")).agg(F.round(F.sum(F.col("x.w") * F.col("score")) / F.sum("x.w"), 1).alias("score"))
+    return known.groupBy(by, F.col("x.profile").alias("profile")).agg(tenths(F.sum(F.col("x.w") * F.col("score")) / F.sum("x.w")).alias("score"))
 
 
 def composite_index(profiles: DataFrame, weights: Mapping[str, float], by: str = "owner") -> DataFrame:
     """``by, index``: weighted mean of the profile scores there are; one decimal."""
     w = F.try_element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("profile"))
-    return profiles.groupBy(by).agg(F.round(F.sum(w * F.col("score")) / F.sum(w), 1).alias("index"))
+    return profiles.groupBy(by).agg(tenths(F.sum(w * F.col("score")) / F.sum(w)).alias("index"))

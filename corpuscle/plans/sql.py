@@ -112,9 +112,9 @@ STARTS = " OR ".join(f"starts_with(s, {q(x)})" for x in QUESTION_STARTERS)
 
 HOST = r"regexp_replace(lower(regexp_extract(url, '^(?:[^:/?#]+://)?([^/?#:]*)', 1)), '^www\.', '')"
 PROFILE = f"""ga AS (SELECT *, {FACTOR} AS f FROM fi),
-aa AS (SELECT owner, area, round(100 * sum(weight * f) / sum(weight) FILTER (WHERE f IS NOT NULL), 1) AS score FROM ga GROUP BY owner, area),
+aa AS (SELECT owner, area, round_even(100 * sum(weight * f) / sum(weight) FILTER (WHERE f IS NOT NULL), 1) AS score FROM ga GROUP BY owner, area),
 pw2(profile, area, w) AS (VALUES ('extract', 'lexical', 0.4::DOUBLE), ('extract', 'technical', 0.35), ('extract', 'structured', 0.25), ('markup', 'structured', 0.6), ('markup', 'technical', 0.4)),
-ps AS (SELECT owner, profile, round(sum(w * score) / sum(w), 1) AS score FROM aa JOIN pw2 USING (area) WHERE score IS NOT NULL GROUP BY owner, profile)"""
+ps AS (SELECT owner, profile, round_even(sum(w * score) / sum(w), 1) AS score FROM aa JOIN pw2 USING (area) WHERE score IS NOT NULL GROUP BY owner, profile)"""
 
 SQL = {
     "hybrid_top5": HYBRID,
@@ -150,19 +150,19 @@ SELECT page_id, head || CASE WHEN pt = '' THEN '/' WHEN length(pt) > 1 THEN rege
     "deduped_pages": f"WITH {PARSED} SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY length(url), url) AS n FROM pw) WHERE n = 1 OR text = ''",
     "page_findings": f"WITH {FINDINGS} SELECT * FROM fi",
     "page_scores": f"""WITH {FINDINGS}, g AS (SELECT *, {FACTOR} AS f FROM fi),
-a AS (SELECT owner, area, round(100 * sum(weight * f) / sum(weight) FILTER (WHERE f IS NOT NULL), 1) AS score FROM g GROUP BY owner, area)
-SELECT owner, coalesce(round(sum(w * score) / sum(w), 1), 0) AS overall FROM (SELECT *, CASE WHEN score IS NOT NULL THEN CASE area WHEN 'lexical' THEN 1.5 ELSE 1.0 END END::DOUBLE AS w FROM a) GROUP BY owner""",
+a AS (SELECT owner, area, round_even(100 * sum(weight * f) / sum(weight) FILTER (WHERE f IS NOT NULL), 1) AS score FROM g GROUP BY owner, area)
+SELECT owner, coalesce(round_even(sum(w * score) / sum(w), 1), 0) AS overall FROM (SELECT *, CASE WHEN score IS NOT NULL THEN CASE area WHEN 'lexical' THEN 1.5 ELSE 1.0 END END::DOUBLE AS w FROM a) GROUP BY owner""",
     "remediation_plan": f"""WITH {FINDINGS} SELECT owner, key, severity, weight, row_number() OVER (PARTITION BY owner ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, weight DESC, key) AS priority
 FROM fi WHERE severity IN ('critical', 'warning')""",
     "cited_domains": rf"""WITH h AS (SELECT {URL} FROM pages), t AS (SELECT DISTINCT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS target FROM h WHERE len(string_split(host, '.')) >= 2)
 SELECT target, count(*)::BIGINT AS urls FROM h JOIN t ON host = target OR ends_with(host, '.' || target) GROUP BY target""",
     "area_scores": f"""WITH {LINES}, g AS (SELECT *, {FACTOR} AS f FROM li)
-SELECT owner, area, round(100 * sum(weight * f) / sum(weight), 1) AS score FROM g GROUP BY owner, area""",
+SELECT owner, area, round_even(100 * sum(weight * f) / sum(weight), 1) AS score FROM g GROUP BY owner, area""",
     "finding_gains": f"""WITH {LINES}, g AS (SELECT *, {FACTOR} AS f FROM li),
-w AS (SELECT area, f, round(100 * weight * (1 - f) / sum(weight) OVER (PARTITION BY owner, area), 1) AS gain FROM g)
-SELECT area, round(sum(gain), 1) AS gain, count(*) AS findings FROM w WHERE f < 1 GROUP BY area""",
+w AS (SELECT area, f, round_even(100 * weight * (1 - f) / sum(weight) OVER (PARTITION BY owner, area), 1) AS gain FROM g)
+SELECT area, round_even(sum(gain), 1) AS gain, count(*) AS findings FROM w WHERE f < 1 GROUP BY area""",
     "severity_counts": f"""WITH {LINES} SELECT area, count_if(severity = 'critical')::BIGINT AS critical, count_if(severity = 'warning')::BIGINT AS warning, count_if(severity = 'ok')::BIGINT AS ok, count_if(severity = 'info')::BIGINT AS info FROM li GROUP BY area""",
-    "run_changes": f"WITH {RUNS} SELECT run, site, round(overall) - round(lag(overall) OVER (PARTITION BY site ORDER BY created_at, run)) AS change FROM ru",
+    "run_changes": f"WITH {RUNS} SELECT run, site, round_even(overall, 0) - round_even(lag(overall) OVER (PARTITION BY site ORDER BY created_at, run), 0) AS change FROM ru",
     "last_twelve_runs": f"WITH {RUNS} SELECT site, run, age FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY created_at DESC, run DESC) AS age FROM ru) WHERE age <= 12",
     "findings_delta": rf"""WITH {LINES}, {RUNS}, k AS (SELECT DISTINCT owner AS run, area || '|' || regexp_replace(title, '\d+', 'N', 'g') AS key FROM li),
 b AS (SELECT run, lag(run) OVER (PARTITION BY site ORDER BY created_at, run) AS before FROM ru),
@@ -176,13 +176,13 @@ de AS (SELECT 's1' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM de JOIN
 SELECT CASE WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 4 THEN '4+' ELSE depth::VARCHAR END AS bucket, count(*) AS nodes FROM no LEFT JOIN mi USING (node) GROUP BY 1""",
     "citation_rate": r"""SELECT role AS provider, count_if(coalesce(text, '') <> '')::BIGINT AS answered, count_if(coalesce(text, '') = '')::BIGINT AS failed,
  count_if(coalesce(text, '') <> '' AND regexp_matches(text, 'https?://|www\.|@|\d'))::BIGINT AS cited,
- round(100.0::DOUBLE * count_if(coalesce(text, '') <> '' AND regexp_matches(text, 'https?://|www\.|@|\d')) / nullif(count_if(coalesce(text, '') <> ''), 0), 1) AS rate FROM conversations GROUP BY role""",
+ round_even(100.0::DOUBLE * count_if(coalesce(text, '') <> '' AND regexp_matches(text, 'https?://|www\.|@|\d')) / nullif(count_if(coalesce(text, '') <> ''), 0), 1) AS rate FROM conversations GROUP BY role""",
     "anchor_variety": rf"""WITH a AS (SELECT DISTINCT {HOST} AS owner, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*href="[^"]*"[^>]*>.*?</a>')) AS a FROM pages),
 p AS (SELECT DISTINCT owner, lower({plain('a')}) AS text, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS target FROM a WHERE length(lower({plain('a')})) >= 3),
 t AS (SELECT owner, text, count(*) AS n FROM p GROUP BY ALL)
 SELECT owner, count(*) AS texts, sum(n)::BIGINT AS pairs, round(count(*) / sum(n), 3) AS variety, count_if(n > 1)::BIGINT AS ambiguous FROM t GROUP BY owner""",
     "profile_scores": f"WITH {FINDINGS}, {PROFILE} SELECT owner, profile, score FROM ps",
-    "composite_index": f"WITH {FINDINGS}, {PROFILE} SELECT owner, round(sum(score * CASE profile WHEN 'extract' THEN 0.7 ELSE 0.3 END::DOUBLE) / sum(CASE profile WHEN 'extract' THEN 0.7 ELSE 0.3 END::DOUBLE), 1) AS index FROM ps GROUP BY owner",
+    "composite_index": f"WITH {FINDINGS}, {PROFILE} SELECT owner, round_even(sum(score * CASE profile WHEN 'extract' THEN 0.7 ELSE 0.3 END::DOUBLE) / sum(CASE profile WHEN 'extract' THEN 0.7 ELSE 0.3 END::DOUBLE), 1) AS index FROM ps GROUP BY owner",
 }
 SQL["generated_queries"] = f"""WITH tt AS ({SQL["topic_terms"]}), q AS (SELECT weight, topic, t.i, replace(t.p, '{{}}', topic) AS query FROM tt, (VALUES (0, 'what is {{}}'), (1, 'how does {{}} work'), (2, '{{}} guide')) t(i, p))
 SELECT row_number() OVER (ORDER BY weight DESC, topic, i) AS n, query FROM q ORDER BY n LIMIT 12"""
