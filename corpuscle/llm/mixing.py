@@ -110,7 +110,7 @@ def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` as the mix takes them: dropped, once, or repeated. Columns of any name are allowed."""
     taken = mix_sources(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s")), id_col="i", text_col="t", source_col="s", **more)
     cid, cx, cs, times, turn, x = (free_name(stem, docs.columns) for stem in ("_cid", "_cx", "_cs", "_copies", "_turn", "_x"))
-    copies = taken.groupBy(F.col("i").alias(cid), F.col("place").alias(cx), F.col("source").alias(cs)).agg(F.max("copies").alias(times))
+    copies = taken.groupBy(F.col("i").alias(cid), F.col("place").alias(cx), F.col("s").alias(cs)).agg(F.max("copies").alias(times))
     same = F.col(id_col).eqNullSafe(F.col(cid)) & F.col(source_col).cast("string").eqNullSafe(F.col(cs)) & (F.col(x) == F.col(cx))
     joined = docs.withColumn(x, doc_hash(F.col(id_col), F.col(text_col))).join(copies, same).filter(F.col(times) > 0)
     return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

@@ -60,3 +60,64 @@ def test_every_stage_takes_effect(spark, folder):
 
 def test_run_is_the_stages_in_order(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_near_copies_are_judged_by_row(spark):
+    from corpuscle.llm import jaccard_join
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a + " z", "x", "s", 1, 7), (5, a, "x", "s", 1, 7), (5, b, "x", "s", 1, 7), (5, b, "x", "s", 1, 7), (5, b, "y", None, 2, 7), (None, a + " q", None, None, None, None), (None, None, None, None, None, None), (6, "", "x", "s", 0, 7), (6, "", "x", "s", 0, 7), (7, b, "x", "s", 1, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _kid string, _times int, node int")
+    got = jaccard_join.drop_near_copies(docs.repartition(3))
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in got.collect())
+    assert kept == [(-1, ""), (3, a + " z"), (5, b), (6, ""), (6, "")]
+
+
+def test_random_edits_of_one_text_equal_brute_force(spark):
+    import numpy as np
+    from corpuscle.llm import jaccard_join
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.randrange(2, 16)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10_000)}"
+        rows.append((i, " ".join(w[rng.randrange(40) :])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(x) for x in zip(*(t.split()[j:] for j in range(5)))} for _, t in rows]
+    at = {s: k for k, s in enumerate(set().union(*sets))}
+    m = np.zeros((len(sets), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [at[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    linked = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    want = {}
+    for i in range(len(sets)):
+        if i not in want:
+            front = [i]
+            while front:
+                want.update(dict.fromkeys(front, i))
+                front = [int(j) for j in np.flatnonzero(linked[front].any(0)) if int(j) not in want]
+    before = jaccard_join.BLOCK_SETS
+    jaccard_join.BLOCK_SETS = 100  # several blocks
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard_join.near_groups(docs).collect()}
+    finally:
+        jaccard_join.BLOCK_SETS = before
+    assert got == want and 1 < len(set(want.values())) < 500
+
+
+def test_hard_tables_pass_every_stage(spark, folder):
+    wide = "doc_id long, text string, lang string, source string, n_chars long, _sha string, _rn int, _i int, _n int, _copies int, _x long"
+    empty = spark.createDataFrame([], wide)
+    rows = [(i % 3, f"text {i // 4} " * 30, None, "s", 1, "mine", 1, 2, 3, 4, 5) for i in range(24)] + [(None, None, None, None, None, None, None, None, None, None, None)] * 2
+    some = spark.createDataFrame(rows, wide)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, empty, folder).count() == 0
+        out = stage(spark, some, folder)
+        if name != "packing":
+            assert out.columns == some.columns and all(r._sha in ("mine", None) for r in out.collect())
+        assert out.count() > 0
