@@ -26,24 +26,27 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(total)
 
 
+class Hashes(dict):
+    """Word to 64-bit hash; an unknown word is hashed and remembered when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Words:
     """Texts to word hashes. A-Z are lower-cased; words are runs of bytes other than ASCII white space."""
 
     def __init__(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.memo = Hashes()
 
     def hashes(self, text: bytes | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint64)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
         words = text.lower().split()
-        memo = self.memo
-        try:
-            return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            memo.update((w, xxhash.xxh3_64_intdigest(w)) for w in words if w not in memo)
-            return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, text: bytes | None, k: int) -> np.ndarray:
         """Sorted distinct hashes of the text's ``k``-word runs; of fewer words the whole sequence; else none."""
