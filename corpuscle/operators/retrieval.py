@@ -139,3 +139,54 @@ def generated_queries(found: DataFrame, templates: Sequence[str], most: int = 12
     filled = F.posexplode(F.transform(F.array(*map(F.lit, templates)), lambda t: F.replace(t, F.lit("{}"), F.col("topic"))))
     rows = found.select("topic", "weight", filled.alias("place", "query")).orderBy(F.col("weight").desc(), "topic", "place").limit(most)
     return rows.select(F.row_number().over(Window.orderBy(F.col("weight").desc(), "topic", "place")).cast("long").alias("n"), "query")
+
+
+def heading_topics(heads: DataFrame, banned: Sequence[str], most: int = 12) -> DataFrame:
+    """``topic, weight`` from ``title`` (up to a bar) and ``headings`` of pages: neighbouring terms count 3, a text's only term 1; the ``most`` heaviest, ties by topic.
+
+    Terms have four characters and more and are not ``banned`` (words of the query templates).
+    """
+    dropped = F.array(*map(F.lit, banned)) if banned else F.array().cast("array<string>")
+    sources = F.concat(F.transform("headings", lambda h: h["text"]), F.array(F.get(F.split("title", r"\|"), F.lit(0))))
+    rows = heads.select(F.explode(sources).alias("_s")).select(F.filter(tokenize(F.col("_s")), lambda t: (F.char_length(t) > 3) & ~F.array_contains(dropped, t)).alias("t"))
+    last = F.greatest(F.size("t") - 1, F.lit(0))
+    pairs = F.transform(F.arrays_zip(F.slice("t", F.lit(1), last).alias("a"), F.slice("t", F.lit(2), last).alias("b")), lambda p: F.struct(F.concat_ws(" ", p["a"], p["b"]).alias("topic"), F.lit(3).alias("w")))
+    alone = F.when(F.size("t") == 1, F.transform("t", lambda x: F.struct(x.alias("topic"), F.lit(1).alias("w")))).otherwise(F.array().cast("array<struct<topic:string,w:int>>"))
+    found = rows.select(F.explode(F.concat(pairs, alone)).alias("x")).groupBy("x.topic").agg(F.sum("x.w").alias("weight"))
+    return found.orderBy(F.col("weight").desc(), "topic").limit(most)
+
+
+def retrieval_findings(agreed: DataFrame, top_n: int) -> DataFrame:
+    """``key, area, severity, weight`` from queries with ``consensus, covered``: mean consensus in ``top_n``, and queries that a list leaves empty."""
+    per = agreed.agg((F.avg("consensus") / top_n).alias("share"), F.count_if(~F.col("covered")).alias("open"), F.count(F.lit(1)).alias("n"))
+    level = F.when(F.col("n") == 0, None).when(F.col("share") < 0.2, "critical").when(F.col("share") < 0.45, "warning").otherwise("ok")
+    one = lambda key, severity, weight: F.struct(F.lit(key).alias("key"), F.lit("retrieval").alias("area"), severity.alias("severity"), weight.alias("weight"))
+    open_ = F.col("open") > 0
+    rows = F.array(
+        one("rrf.not_runnable", F.when(F.col("n") == 0, "critical"), F.lit(2.0)),
+        one("rrf.consensus", level, F.lit(2.0)),
+        one("rrf.uncovered", F.when(open_, "critical").when(F.col("n") > 0, "ok"), F.when(open_, 2.0).otherwise(1.0)),
+    )
+    return per.select(F.inline(rows)).filter("severity IS NOT NULL")
+
+
+def share_findings(slots: DataFrame, owners: DataFrame) -> DataFrame:
+    """``owner, slots, share, lost, share_severity, lost_severity`` of every owner, those without a slot too.
+
+    ``slots`` are the queries' best documents with their ``owner``. A share below half of
+    parity (100 / owners) is critical, below parity a warning. Queries in which an owner has
+    no slot are lost: critical if more than half.
+    """
+    queries = slots.select("query").distinct().agg(F.count(F.lit(1)).alias("_q"))
+    every = owners.select("owner").distinct()
+    parity = every.agg((100.0 / F.count(F.lit(1))).alias("_p"))
+    per = slots.groupBy("owner").agg(F.count(F.lit(1)).alias("slots"), F.countDistinct("query").alias("_in"))
+    total = slots.agg(F.count(F.lit(1)).alias("_t"))
+    # One row each: figures over all queries and owners.
+    rows = every.join(per, every["owner"].eqNullSafe(per["owner"]), "left").select(every["owner"], F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("_in", F.lit(0)).alias("_in"))
+    rows = rows.join(F.broadcast(queries)).join(F.broadcast(parity)).join(F.broadcast(total))
+    share = F.round(100 * F.col("slots") / F.col("_t"), 1)
+    lost = F.col("_q") - F.col("_in")
+    return rows.select("owner", "slots", share.alias("share"), lost.alias("lost"),
+        F.when(share < F.col("_p") / 2, "critical").when(share < F.col("_p"), "warning").otherwise("ok").alias("share_severity"),
+        F.when(lost == 0, "ok").when(2 * lost > F.col("_q"), "critical").otherwise("warning").alias("lost_severity"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
-from corpuscle.operators import graph, pages, site
-from corpuscle.plans.sql import HOST, bounded, plain, q
+from corpuscle.operators import graph, pages, retrieval, site
+from corpuscle.plans import queries as own
+from corpuscle.plans.sql import HOST, bounded, plain, q, words
+from corpuscle.plans.sql import SQL as OWN_SQL
 from corpuscle.session import table
 
 
@@ -69,7 +71,25 @@ def jsonld_findings(spark, sf_dir):
     return site.jsonld_findings(site.jsonld_nodes(rows), rows)
 
 
-QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, page_orphans, page_depths, page_link_findings, site_findings, page_sections, section_findings, extractable_paragraphs, jsonld_findings)}
+#: Words of the query templates: no topics.
+BANNED = ["what", "does", "work", "guide"]
+
+
+def page_topics(spark, sf_dir):
+    return retrieval.heading_topics(site.page_heads(given(spark, sf_dir)), BANNED)
+
+
+def retrieval_findings(spark, sf_dir):
+    return retrieval.retrieval_findings(own.retrieval_consensus(spark, sf_dir), 5)
+
+
+def share_findings(spark, sf_dir):
+    """Sources' shares of the fused lists' places."""
+    owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("owner"))
+    return retrieval.share_findings(own.hybrid_top5(spark, sf_dir).join(owners, "doc"), owners)
+
+
+QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, page_orphans, page_depths, page_link_findings, site_findings, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, retrieval_findings, share_findings)}
 
 
 def attribute(tag: str, name: str) -> str:
@@ -115,4 +135,19 @@ SELECT url, host, {plain("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)
 w AS (SELECT *, len(regexp_split_to_array(t, '\s+')) AS w FROM p), s AS (SELECT owner, count(*) AS paragraphs, count_if(w BETWEEN {site.EXTRACT_MIN} AND {site.EXTRACT_MAX}
  AND (regexp_matches(t, {q('(?i)' + site.DIRECT_ANSWER)}) OR regexp_matches(substring(t, 1, 90), {q('(?i)' + bounded(T.DEFINITION))})))::BIGINT AS direct FROM w WHERE w >= 10 GROUP BY owner)
 SELECT *, round(direct / paragraphs, 4) AS share FROM s""",
+    "page_topics": rf"""WITH h AS (SELECT coalesce(html, '') AS h FROM pages),
+x AS (SELECT unnest(list_transform(regexp_extract_all(h, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>', 1), lambda x: {plain('x')})) AS s FROM h
+ UNION ALL SELECT string_split({plain("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '|')[1] FROM h),
+t AS (SELECT list_filter(list_transform({words("s")}, lambda x: lower(x)), lambda x: length(x) > 3 AND NOT list_contains({BANNED}, x)) AS t FROM x),
+y AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS topic, 3 AS w FROM t UNION ALL SELECT t[1], 1 FROM t WHERE len(t) = 1)
+SELECT topic, sum(w)::BIGINT AS weight FROM y GROUP BY topic ORDER BY weight DESC, topic LIMIT 12""",
+    "retrieval_findings": f"""WITH c AS ({OWN_SQL["retrieval_consensus"]}), a AS (SELECT avg(consensus) / 5 AS share, count_if(NOT covered) AS open, count(*) AS n FROM c)
+SELECT 'rrf.consensus' AS key, 'retrieval' AS area, CASE WHEN share < 0.2 THEN 'critical' WHEN share < 0.45 THEN 'warning' ELSE 'ok' END AS severity, 2.0::DOUBLE AS weight FROM a WHERE n > 0
+UNION ALL SELECT 'rrf.uncovered', 'retrieval', CASE WHEN open > 0 THEN 'critical' ELSE 'ok' END, CASE WHEN open > 0 THEN 2.0 ELSE 1.0 END FROM a WHERE n > 0
+UNION ALL SELECT 'rrf.not_runnable', 'retrieval', 'critical', 2.0 FROM a WHERE n = 0""",
+    "share_findings": f"""WITH f AS ({OWN_SQL["hybrid_top5"]}), s AS (SELECT query, source AS owner FROM f JOIN documents ON doc = doc_id), o AS (SELECT DISTINCT source AS owner FROM documents),
+p AS (SELECT owner, count(*) AS slots, count(DISTINCT query) AS n FROM s GROUP BY owner),
+r AS (SELECT o.owner, coalesce(slots, 0) AS slots, round(100 * coalesce(slots, 0) / (SELECT count(*) FROM s), 1) AS share, (SELECT count(DISTINCT query) FROM s) AS q, (SELECT count(DISTINCT query) FROM s) - coalesce(n, 0) AS lost, 100.0::DOUBLE / (SELECT count(*) FROM o) AS parity FROM o LEFT JOIN p ON o.owner IS NOT DISTINCT FROM p.owner)
+SELECT owner, slots, share, lost, CASE WHEN share < parity / 2 THEN 'critical' WHEN share < parity THEN 'warning' ELSE 'ok' END AS share_severity,
+ CASE WHEN lost = 0 THEN 'ok' WHEN 2 * lost > q THEN 'critical' ELSE 'warning' END AS lost_severity FROM r""",
 }

@@ -130,3 +130,18 @@ def test_scores_round_halves_to_even(spark):
     rows = [("o", "a", "ok", 1.0), ("o", "a", "critical", 15.0), ("p", "a", "ok", 3.0), ("p", "a", "critical", 5.0)]
     got = {r.owner: r.score for r in scores.area_scores(spark.createDataFrame(rows, "owner string, area string, severity string, weight double")).collect()}
     assert got == {"o": 6.2, "p": 37.5}
+
+
+def test_topics_of_headings_and_retrieval_findings(spark):
+    from corpuscle.operators import retrieval
+
+    given = spark.createDataFrame([page("/t", body="<h2>Deep water diving</h2><h3>what does diving</h3><h3>How it is</h3>"), (None, None, None)], "url string, html string, f string")
+    got = {r.topic: r.weight for r in retrieval.heading_topics(site.page_heads(given), ["what", "does"]).collect()}
+    assert got == {"deep water": 3, "water diving": 3, "diving": 1}
+    agreed = spark.createDataFrame([("a", 5, True), ("b", 0, True), ("c", 0, False)], "query string, consensus long, covered boolean")
+    assert {r.key: (r.severity, r.weight) for r in retrieval.retrieval_findings(agreed, 5).collect()} == {"rrf.consensus": ("warning", 2.0), "rrf.uncovered": ("critical", 2.0)}
+    assert [r.key for r in retrieval.retrieval_findings(agreed.limit(0), 5).collect()] == ["rrf.not_runnable"]
+    slots = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "query long, owner string")
+    owners = spark.createDataFrame([("a",), ("b",), ("c",)], "owner string")
+    got = {r.owner: tuple(r)[1:] for r in retrieval.share_findings(slots, owners).collect()}
+    assert got == {"a": (3, 75.0, 0, "ok", "ok"), "b": (1, 25.0, 1, "warning", "warning"), "c": (0, 0.0, 2, "critical", "critical")}
