@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +91,9 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(chars or 0) // chars_per_part))
     low, high = low or 0, high or 0
     width = max(1, -(-(high - low + 1) // max(1, min(most_ranges, n // rows_per_range))))
-    rows = rows.withColumn("_range", F.coalesce(F.floor((F.col("_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long"))
+    # Decimals, as ids may lie further apart than a long holds.
+    whole = lambda x: (F.lit(Decimal(x)) if isinstance(x, int) else x).cast("decimal(20,0)")
+    rows = rows.withColumn("_range", F.coalesce(F.floor((whole(F.col("_id")) - whole(low)) / whole(width)), F.lit(-1)).cast("long"))
     firsts = rows.groupBy("_range").agg(F.max(F.struct("_id", F.xxhash64("_text"))).alias("_first"))
     # One row for each range, at most most_ranges of them.
     up = Window.orderBy(F.col("_range"))

@@ -77,3 +77,14 @@ def test_likeness_follows_edits(spark):
     prints = {r.k: r.fingerprint for r in om.sketches(rows.repartition("k"), ["k"]).collect()}
     like = lambda a, b: sum(x == y for x, y in zip(prints[a], prints[b])) / om.SKETCHES
     assert like(1, 2) > 0.8 > like(2, 3) > like(2, 4) == 0
+
+
+def test_ids_at_both_ends_of_a_long(spark):
+    rows = [(-(2**63), "one two three four five six"), (2**63 - 1, "six five four three two one"), (0, "a b c d e f")]
+    got = {r.doc_id: r for r in om.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got) == sorted(i for i, _ in rows)
+    text = dict(rows)
+    for i, after in ((2**63 - 1, 0), (0, -(2**63)), (-(2**63), 2**63 - 1)):
+        third = len(text[i]) // 3
+        edited = text[i][: len(text[i]) - third] + text[after][:third]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
