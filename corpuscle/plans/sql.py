@@ -172,8 +172,8 @@ SELECT run, (SELECT count(*) FROM n WHERE n.run = b.run AND (n.run, n.key) NOT I
     "link_in_degree": f"WITH {TRADE} SELECT node, count(dst) AS links, count(DISTINCT src) AS sources FROM no LEFT JOIN tr ON dst = node AND src <> dst GROUP BY node",
     "link_orphans": f"WITH {TRADE} SELECT node FROM no WHERE node NOT IN (SELECT dst FROM tr WHERE src <> dst)",
     "link_depths": f"""WITH RECURSIVE {TRADE}, ed AS (SELECT src, dst FROM tr UNION SELECT dst, src FROM tr),
-de AS (SELECT 's1' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM de JOIN ed ON src = node WHERE depth < 6), mi AS (SELECT node, min(depth) AS depth FROM de GROUP BY node)
-SELECT CASE WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 4 THEN '4+' ELSE depth::VARCHAR END AS bucket, count(*) AS nodes FROM no LEFT JOIN mi USING (node) GROUP BY 1""",
+de(node, depth) USING KEY (node) AS (SELECT 's1', 0 UNION SELECT dst, min(depth) + 1 FROM de JOIN ed ON src = node WHERE dst NOT IN (SELECT node FROM recurring.de) GROUP BY dst)
+SELECT CASE WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 4 THEN '4+' ELSE depth::VARCHAR END AS bucket, count(*) AS nodes FROM no LEFT JOIN de USING (node) GROUP BY 1""",
     "citation_rate": r"""SELECT role AS provider, count_if(coalesce(text, '') <> '')::BIGINT AS answered, count_if(coalesce(text, '') = '')::BIGINT AS failed,
  count_if(coalesce(text, '') <> '' AND regexp_matches(text, 'https?://|www\.|@|\d'))::BIGINT AS cited,
  round_even(100.0::DOUBLE * count_if(coalesce(text, '') <> '' AND regexp_matches(text, 'https?://|www\.|@|\d')) / nullif(count_if(coalesce(text, '') <> ''), 0), 1) AS rate FROM conversations GROUP BY role""",
