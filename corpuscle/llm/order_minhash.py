@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 #: Words in a k-mer, sketches in a fingerprint, k-mers in a sketch.
 K, SKETCHES, PER_SKETCH = 4, 24, 2
 SPACE = r"[\x20\x09-\x0D]+"
+#: Characters of scripts that put no spaces between words (from the CJK radicals on): each is a word of its own.
+ALONE = r"[\x{2E80}-\x{D7FF}\x{F900}-\x{10FFFF}]"
+
+
+def words_of(text):
+    """The text's runs of characters that are no spaces, cut before and after every character of ``ALONE``."""
+    cut = F.when(F.rlike(text, F.lit(ALONE)), F.split(text, f"{SPACE}|(?<={ALONE})|(?={ALONE})")).otherwise(F.split(text, SPACE))
+    return F.array_remove(cut, "")
 
 
 def kmer_hashes(text, k: int = K):
     """Hashes of the text's k-word runs in text order; a text of fewer words is one run; without words none."""
-    words = F.array_remove(F.split(text, SPACE), "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
     runs = F.transform(F.sequence(F.lit(0), F.size("_h") - F.lit(k)), lambda i: F.xxhash64(*[F.get("_h", i + F.lit(j)) for j in range(k)]))
     return hashes, F.when(F.size("_h") == 0, F.array().cast("array<bigint>")).when(F.size("_h") < k, F.array(F.xxhash64("_h"))).otherwise(runs)
 

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from corpuscle.llm.license_scan import LOWER, PHRASES, TEMPLATES, THRESHOLD, UPPER
+from corpuscle.llm.license_scan import LOWER, PHRASES, SPREAD, TEMPLATES, THRESHOLD, UPPER
 
 OP8 = r"""
 WITH d AS (
@@ -86,9 +86,12 @@ h AS (
 ), b AS (
   SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base
   FROM h WHERE list_slice(w, i + 1, i + len(words)) = words GROUP BY k
-), l AS (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d),
-lw AS (SELECT k, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM l),
-c AS (SELECT k, label, len(list_intersect(words, w)) AS n, len(words) AS of FROM lw JOIN t ON list_has_any(w, words)),
+), l AS (SELECT k, label, words, w FROM w JOIN t ON len(list_intersect(words, w)) >= ceil({THRESHOLD} * len(words) - 1e-9)),
+s AS (SELECT k, label, words, w, unnest(range(len(w))) AS i FROM l),
+c AS (
+  SELECT k, label, len(list_intersect(words, list_slice(w, i + 1, i + {SPREAD} * len(words)))) AS n, len(words) AS of
+  FROM s WHERE list_contains(words, w[i + 1])
+),
 m AS (SELECT k, list(DISTINCT label) AS found, max(n / of) AS best FROM c WHERE n >= ceil({THRESHOLD} * of - 1e-9) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,

@@ -168,3 +168,32 @@ def test_jaccard_groups_equal_brute_force(spark):
     got = jaccard_join.near_groups(docs(spark, rows).repartition(3)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows)
     assert jaccard_join.near_groups(docs(spark, [])).count() == 0
+
+
+def test_license_sql_matches_windows(spark):
+    import duckdb
+    from corpuscle.llm import license_scan
+    from corpuscle.llm.sql import SQL
+
+    texts = [
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+        "released under the\nMIT license",
+        "all " + "word " * 40 + "rights " + "word " * 40 + "reserved released " + "x " * 30 + "under the mit license",
+        "All rights\nreserved. CC BY",
+        "all rights x y reserved",
+        "the license the license mit released under",
+        "",
+        None,
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cur = con.execute(SQL["op4_license_scan"])
+    names = [c[0] for c in cur.description]
+    want = {r[0]: r for r in cur.fetchall()}
+    assert len(got) == len(want) == len(rows)
+    for r in got:
+        assert tuple(r[n] for n in names) == want[r.doc_id]
+    assert want[0][names.index("labels")] == "bsd" and want[2][names.index("labels")] == ""

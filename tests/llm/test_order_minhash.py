@@ -18,7 +18,8 @@ def hash_longs(values, seed=42):
 
 def brute(text):
     """The fingerprint by its definition: one pass over a Python list."""
-    words = [w for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]
+    words = "".join(f" {c} " if 0x2E80 <= ord(c) <= 0xD7FF or ord(c) >= 0xF900 else c for c in text).replace("\t", " ").replace("\n", " ").split(" ")
+    words = [w for w in words if w]
     h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
     k = om.K
     kmers = [] if not h else [hash_longs(h)] if len(h) < k else [hash_longs(h[i : i + k]) for i in range(len(h) - k + 1)]
@@ -38,6 +39,7 @@ def brute(text):
 
 def test_matches_brute_force_and_orders_rows(spark):
     texts = ["", None, "one two", "a b c d e f g " * 30, "naïve café ünïcode wörter " * 9, "  \n\t ", "x", "a b c d e f g " * 30]
+    texts += ["吾輩は猫である。名前はまだ無い。" * 3, "吾輩は猫である、名前はまだ無い。" * 3 + "mixed 𠀀𠀁🙂 words", "\ue000 private x"]
     texts += [" ".join(f"w{(i * j) % 97}" for j in range(i)) for i in range(5, 60, 6)]
     rows = [(i, t, None) for i, t in enumerate(texts)]
     got = {r.doc_id: r for r in om.fingerprint_edits(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -88,3 +90,11 @@ def test_ids_at_both_ends_of_a_long(spark):
         third = len(text[i]) // 3
         edited = text[i][: len(text[i]) - third] + text[after][:third]
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
+def test_texts_without_spaces_keep_their_likeness(spark):
+    base = "".join(chr(0x4E00 + (i * i * 7) % 900) for i in range(160))
+    other = "".join(chr(0x3041 + (i * i * 5) % 80) for i in range(160))
+    rows = spark.createDataFrame([(3, base + "。"), (2, base[:80] + "、" + base[80:]), (1, other)], "doc_id long, text string")
+    got = {r.doc_id: r for r in om.fingerprint_edits(rows).collect()}
+    assert got[3].near_next > 0.7 and got[3].fingerprint != got[2].fingerprint and got[2].near_next == 0
