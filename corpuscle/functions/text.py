@@ -64,13 +64,12 @@ def squeezed(text: Column) -> Column:
 def char_ngrams(rows: DataFrame, keys: list[str], text_col: str = "text", size: int = 4) -> DataFrame:
     """``keys, gram``: overlapping runs of ``size`` characters of the squeezed text; of a shorter text the whole; of an empty one none.
 
-    The characters are a column of their own, so that they are split once for each text and
-    not once for each run.
+    One pass of a pattern that looks ahead names all runs; it never starts in the middle of
+    a character beyond the basic plane.
     """
-    chars = rows.select(*keys, squeezed(text_of(text_col)).alias("_s")).filter("_s <> ''").select(*keys, "_s", F.split("_s", "").alias("_c"))
-    n = F.size("_c")
-    runs = F.transform(F.sequence(F.lit(1), n - F.lit(size - 1)), lambda i: F.array_join(F.slice("_c", i, F.lit(size)), ""))
-    return chars.select(*keys, F.explode(F.when(n < size, F.array("_s")).otherwise(runs)).alias("gram"))
+    texts = rows.select(*keys, squeezed(text_of(text_col)).alias("_s")).filter("_s <> ''")
+    runs = F.regexp_extract_all("_s", F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{size - 1}}}))"), F.lit(1))
+    return texts.select(*keys, F.explode(F.when(F.char_length("_s") < size, F.array("_s")).otherwise(runs)).alias("gram"))
 
 
 def is_question(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Hybrid retrieval for many queries at once: BM25, character n-grams, rank fusion, share of voice.
 
 All inputs are DataFrames of ``(doc, text)`` and ``(query, text)``; statistics are computed
-once for all queries, and the query side prunes the document side before any shuffle: only
-postings of terms that a query holds are moved.
+once for all queries. For BM25 the query side prunes the document side before any shuffle:
+only postings of terms that a query holds are moved. Cosines need every n-gram for the
+documents' norms; their counts are gathered within a document and written once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import char_ngrams, text_of, tokenize
+from corpuscle.session import written
 
 K1, B, RRF_K = 1.5, 0.75, 60.0
 
@@ -37,17 +39,21 @@ def bm25(docs: DataFrame, queries: DataFrame, stopwords: Sequence[str] = (), k1:
 def char_tfidf(docs: DataFrame, queries: DataFrame, size: int = 4) -> DataFrame:
     """``query, doc, score``: cosine of (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1) vectors over character n-grams.
 
-    N-grams that no document has get the weight 1 and count in the query's norm.
+    N-grams that no document has get the weight 1 and count in the query's norm. Texts are
+    moved once, so that a document's n-grams are counted where they arise; these counts are
+    written once and read for document frequencies, norms and dot products. Only n-grams of
+    queries take part in dot products.
     """
-    grams = char_ngrams(docs, ["doc"], "text", size).groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    grams = char_ngrams(docs.select("doc", "text").repartition("doc"), ["doc"], "text", size).groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    grams = written(grams, "tfidf-grams", "lz4")
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     idf = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    asked = char_ngrams(queries, ["query"], "text", size).groupBy("query", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    asked = asked.join(idf, "gram", "left").select("query", "gram", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(1.0))).alias("qw"))
+    asked = char_ngrams(queries, ["query"], "text", size).groupBy("query", "gram").agg(F.count(F.lit(1)).alias("times"))
+    asked = asked.join(idf, "gram", "left").select("query", "gram", "idf", ((1 + F.log("times")) * F.coalesce("idf", F.lit(1.0))).alias("qw"))
     asked = asked.select("*", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query"))).alias("qn"))
-    weighted = grams.join(idf, "gram").select("doc", "gram", ((1 + F.log("tf")) * F.col("idf")).alias("dw"))
-    norms = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
-    dots = weighted.join(asked, "gram").groupBy("query", "doc", "qn").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
+    dw = (1 + F.log("tf")) * F.col("idf")
+    norms = grams.join(idf, "gram").groupBy("doc").agg(F.sqrt(F.sum(dw * dw)).alias("dn"))
+    dots = grams.join(asked, "gram").groupBy("query", "doc", "qn").agg(F.sum(F.col("qw") * dw).alias("dot"))
     return dots.join(norms, "doc").select("query", "doc", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score")).filter("score > 0")
 
 

@@ -16,6 +16,13 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
+def test_char_ngrams_of_characters_beyond_the_basic_plane(spark):
+    text = "a😀b𠀀𠀁c\nd😀😀e"
+    want = [" ".join(text.split())[i : i + 4] for i in range(len(text) - 3)]
+    got = [r.gram for r in T.char_ngrams(spark.createDataFrame([(1, text), (2, "😀😀")], "k int, text string"), ["k"]).filter("k = 1").collect()]
+    assert got == want
+
+
 def test_text_functions(spark):
     assert one(spark, T.tokenize(F.lit("Il gatto NERO dorme"), ["il"])) == ["gatto", "nero", "dorme"]
     grams = T.char_ngrams(spark.createDataFrame([(1, "ab"), (2, "  "), (3, "Ab  cde"), (4, None)], "k int, text string"), ["k"])
