@@ -101,4 +101,40 @@ FROM w LEFT JOIN b USING (k) LEFT JOIN m USING (k)
 """
 
 
-SQL = {"op4_license_scan": op4(), "op8_mixing": OP8, "op9_url_filter": OP9, "op10_exact_dedup": OP10}
+OP11 = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS id FROM t),
+h AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(id) + 1), lambda i: ascii(id[i])::BIGINT)),
+             lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h
+  FROM c
+), r AS (
+  SELECT h.conv_id, 0 AS late, n, role, text FROM h JOIN t ON t.conv_id = h.base WHERE n <= h
+  UNION ALL
+  SELECT h.conv_id, 1, n, role, text FROM h JOIN t ON t.conv_id = h.conv_id WHERE n > h
+), p AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS len,
+         md5(string_agg(md5(length(role)::VARCHAR || ':' || role || text), '') OVER w) AS k
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY late, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM h
+), q AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p),
+nodes AS (
+  SELECT k, any_value(up) AS up, any_value(depth) AS depth, any_value(len) AS len, min(conv_id) AS conv_id, count(*) AS n,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends
+  FROM q GROUP BY k
+), kids AS (SELECT up, count(*) AS n FROM nodes GROUP BY up),
+pairs AS (SELECT DISTINCT a.k AS a, b.k AS b FROM q a JOIN q b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (
+  SELECT a, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((nodes.n - 1) * len)::BIGINT AS saved
+  FROM pairs JOIN nodes ON b = k LEFT JOIN kids ON kids.up = b GROUP BY a
+)
+SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       n_leaves, saved AS saved_tokens, sha256(nodes.ends) AS ends_sha256
+FROM nodes JOIN sums ON a = nodes.k LEFT JOIN nodes above ON above.k = nodes.up LEFT JOIN kids ON kids.up = nodes.k
+"""
+
+SQL = {"op4_license_scan": op4(), "op8_mixing": OP8, "op9_url_filter": OP9, "op10_exact_dedup": OP10, "op11_prefix_trie": OP11}
