@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from corpuscle.llm.license_scan import LOWER, PHRASES, SPREAD, TEMPLATES, THRESHOLD, UPPER
+from corpuscle.llm.secret_scan import BASE, RULES
 
 OP8 = r"""
 WITH d AS (
@@ -137,4 +138,33 @@ SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, above.conv_id AS parent_conv
 FROM nodes JOIN sums ON a = nodes.k LEFT JOIN nodes above ON above.k = nodes.up LEFT JOIN kids ON kids.up = nodes.k
 """
 
-SQL = {"op4_license_scan": op4(), "op8_mixing": OP8, "op9_url_filter": OP9, "op10_exact_dedup": OP10, "op11_prefix_trie": OP11}
+def op13() -> str:
+    """Matches of each rule with the texts between them, whose lengths give the places."""
+
+    def quoted(text: str) -> str:
+        return text.replace("'", "''")
+
+    kinds = ", ".join(f"('{r.kind}', {i}, {r.least}, {str(i < len(BASE)).lower()})" for i, r in enumerate(RULES))
+    found = " UNION ALL ".join(f"SELECT k, '{r.kind}' AS kind, regexp_extract_all(t, '{quoted(r.pattern)}') AS m, regexp_extract_all(t, '{quoted(r.pattern)}', {r.group}) AS g, string_split_regex(t, '{quoted(r.pattern)}') AS between FROM d" for r in RULES)
+    return f"""
+WITH kinds(kind, rank, least, base) AS (VALUES {kinds}),
+d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+s AS (
+  SELECT k, kind, rank, base, m[i] AS part,
+         (list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM e JOIN kinds USING (kind) WHERE length(g[i]) >= least
+), n AS (SELECT *, kind || ':' || start || ':' || (start + length(part)) AS span FROM s),
+a AS (
+  SELECT k, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE base) AS base_spans, string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM n GROUP BY k
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, upper(sha256(t)) AS blob
+FROM d LEFT JOIN a USING (k)
+"""
+
+
+SQL = {"op4_license_scan": op4(), "op8_mixing": OP8, "op9_url_filter": OP9, "op10_exact_dedup": OP10, "op11_prefix_trie": OP11, "op13_secret_scan": op13()}
