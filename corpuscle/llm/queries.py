@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import exact_dedup, jaccard_join, katz, license_scan, mixing, order_minhash, packing, prefix_trie, secret_scan, token_count, toxicity, url_filter
+from corpuscle.llm import exact_dedup, jaccard_join, katz, license_scan, mixing, order_minhash, packing, prefix_trie, secret_scan, token_alignment, token_count, toxicity, url_filter
 from corpuscle.session import table
 
 
@@ -79,6 +79,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level and piece tokens of every document aligned, with corpus-wide counts of linked ids."""
+    import public_tokenizers
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, scanned into an empty ledger."""
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))[0]
@@ -96,5 +103,6 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_alignment": op12_token_alignment,
     "op13_secret_scan": op13_secret_scan,
 }
