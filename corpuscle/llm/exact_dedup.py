@@ -2,38 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.session import free_name
+from corpuscle.session import free_name, written
+
+
+def digested(docs: DataFrame, id_col: str, text_col: str, salts: int, *more: Column) -> DataFrame:
+    """``_id, _sha, _xx, _salt``: every row's id, two digests of its text and a salt from its id."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(
+        F.col(id_col).alias("_id"),
+        F.sha2(text.cast("binary"), 256).alias("_sha"),
+        F.xxhash64(text).alias("_xx"),
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("_salt"),
+        *more,
+    )
+
+
+def repeated_digests(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """``_sha, _xx`` of texts that more than one row has, written: no text moves for it.
+
+    Counted inside each map task first, then by salted digest, then over the salts.
+    """
+    salted = digested(docs, id_col, text_col, salts).groupBy("_sha", "_xx", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    counted = salted.groupBy("_sha", "_xx").agg(F.sum("_n").alias("_n"))
+    return written(counted.filter("_n > 1").select("_sha", "_xx"), "dedup-repeated")
 
 
 def salt_groups(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
-    """One row per (text, salt): the largest id, the rows counted, and the whole group's figures.
+    """One row per (text, salt) of the texts that repeat: the largest id, and the whole group's figures.
 
-    The aggregate on (digest, salt, text) first combines inside each map task (local
-    deduplication), then merges each salted group. The window combines the at most
+    A text whose digests occur once has nothing to be compared with and leaves before the
+    content stages. The aggregate on (digest, salt, text) first combines inside each task
+    (local deduplication), then merges each salted group. The window combines the at most
     ``salts`` winners of a text. The text itself is part of the key in both steps, so a
     digest never decides alone.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    rows = rows.select(
-        "_id",
-        "_text",
-        F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"),
-        F.xxhash64("_text").alias("_xx"),
-        F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"),
-    )
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = digested(docs, id_col, text_col, salts, text.alias("_text"))
+    # Only digests stand in the hash tables; texts stream past them unsorted.
+    rows = rows.join(repeated_digests(docs, id_col, text_col, salts).hint("shuffle_hash"), ["_sha", "_xx"], "left_semi")
     salted = rows.groupBy("_sha", "_xx", "_salt", "_text").agg(F.max("_id").alias("_max"), F.count(F.lit(1)).alias("_n"))
     same = Window.partitionBy("_sha", "_xx", "_text")
-    return salted.select(
-        "_sha",
-        "_xx",
-        "_salt",
-        "_text",
-        F.max("_max").over(same).alias("keep_id"),
-        F.sum("_n").over(same).alias("group_size"),
-    )
+    return salted.select("_sha", "_xx", "_salt", F.max("_max").over(same).alias("keep_id"), F.sum("_n").over(same).alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
@@ -48,22 +60,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A hot group is spread over ``salts`` keys in every exchange that carries its rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    groups = salt_groups(docs, id_col, text_col, salts).drop("_text")
-    rows = docs.select(
-        F.col(id_col).alias("_id"),
-        F.sha2(text.cast("binary"), 256).alias("_sha"),
-        F.xxhash64(text).alias("_xx"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("_salt"),
-    )
+    groups = salt_groups(docs, id_col, text_col, salts)
     # Repeats of one id and text become one row with a count, so that one of them can be kept.
-    rows = rows.groupBy("_sha", "_xx", "_salt", "_id").agg(F.count(F.lit(1)).alias("_m"))
-    labelled = rows.join(groups, ["_sha", "_xx", "_salt"])
+    rows = digested(docs, id_col, text_col, salts).groupBy("_sha", "_xx", "_salt", "_id").agg(F.count(F.lit(1)).alias("_m"))
+    labelled = rows.join(groups, ["_sha", "_xx", "_salt"], "left")
+    alone = F.col("group_size").isNull()
     return labelled.select(
         F.col("_id").alias(id_col),
-        "keep_id",
-        "group_size",
-        (F.col("_id").eqNullSafe(F.col("keep_id"))).alias("_top"),
+        F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | F.col("_id").eqNullSafe(F.col("keep_id"))).alias("_top"),
         F.col("_sha").alias("text_sha256"),
         F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))).alias("_i"),
     ).select(id_col, "keep_id", "group_size", (F.col("_top") & (F.col("_i") == 1)).alias("kept"), "text_sha256")
@@ -72,8 +78,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
 
-    Of rows that repeat the kept id and text, one stays, taken by the order of all columns.
-    Columns of any name are allowed.
+    Of rows that repeat the kept id and text, one stays, taken by the order of all columns
+    as JSON. Columns of any name and type are allowed, maps as well.
     """
     labelled = exact_dedup(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", "t", salts)
     repeated = labelled.filter(F.col("i").eqNullSafe(F.col("keep_id"))).groupBy("i", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
@@ -83,5 +89,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = docs.withColumn(sha, F.sha2(text.cast("binary"), 256)).join(keep, F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(sha) == F.col(ksha)))
     once = found.filter(F.col(times) == 1).select(*docs.columns)
     # Repeats are combined in the map tasks first, so that a row repeated very often meets nowhere.
-    best = found.filter(F.col(times) > 1).groupBy(id_col, sha).agg(F.min(F.struct(*docs.columns)).alias("best"))
+    best = found.filter(F.col(times) > 1).groupBy(id_col, sha).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("best"))
     return once.unionByName(best.select(*[F.col("best").getField(c).alias(c) for c in docs.columns]))

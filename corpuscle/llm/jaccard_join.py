@@ -470,6 +470,6 @@ def drop_near_copies(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
 
 
 def one_of_each(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Of rows with equal ``keys`` the smallest by all ``columns``; combined in the map tasks first, so that many repeats of one row meet nowhere."""
-    best = rows.groupBy(*keys).agg(F.min(F.struct(*columns)).alias(free_name("_best", columns, keys)))
+    """Of rows with equal ``keys`` the first by all ``columns`` as JSON (maps have no order of their own); combined in the map tasks first, so that many repeats of one row meet nowhere."""
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(free_name("_best", columns, keys)))
     return best.select(F.col(best.columns[-1]).getField(columns[0]).alias(columns[0]), *[F.col(best.columns[-1]).getField(c).alias(c) for c in columns[1:]])

@@ -197,3 +197,14 @@ def test_license_sql_matches_windows(spark):
     for r in got:
         assert tuple(r[n] for n in names) == want[r.doc_id]
     assert want[0][names.index("labels")] == "bsd" and want[2][names.index("labels")] == ""
+
+
+def test_dropping_copies_takes_columns_of_map_type(spark):
+    rows = [(1, "same text of five words", {"a": "x"}), (2, "same text of five words", {"b": None}), (2, "same text of five words", {"a": "y"}), (3, None, None), (3, "", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,string>")
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(2, "same text of five words"), (3, "")]
+    near = jaccard_join.drop_near_copies(docs)
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in near.collect()) == [(1, "same text of five words"), (3, ""), (3, "")]
