@@ -131,6 +131,8 @@ def path_findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule]
     ranks = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     each = ledger.select("blob", F.explode("spans").alias("s")).filter(F.col("s.rule").isin([r.name for r in rules]))
     spans = each.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("s.start", ranks[F.col("s.rule")].alias("rank"), "s.end", kinds[F.col("s.rule")].alias("kind")))).alias("spans"))
+    # Written, so that the join below has plain tables on both sides and Spark can split a blob that very many paths hold.
+    spans = written(spans, "secret-spans")
     rows = versions.select(F.col(id_col).alias("path"), blob_id(F.col(text_col)).alias("blob"))
     none = F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int,kind:string>>)")
     return rows.join(spans, "blob", "left").select(F.col("path").alias(id_col), "blob", F.coalesce("spans", none).alias("spans"))
