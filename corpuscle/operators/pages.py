@@ -24,6 +24,17 @@ def all_of(html: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value whatever its quotes; empty without one."""
+    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
+def meta(tags: Column, name: str, key: str = "name") -> Column:
+    """``content`` of the first of these meta tags whose ``key`` is ``name``; empty without one."""
+    return F.coalesce(attribute(F.get(F.filter(tags, lambda t: F.lower(attribute(t, key)) == name), F.lit(0)), "content"), F.lit(""))
+
+
 def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page with its metadata, text and counts, in column expressions over the markup.
 
@@ -42,11 +53,11 @@ def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         host(F.col(url_col)).alias("host"),
         slug(F.col(url_col)).alias("slug"),
         plain(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        F.regexp_extract(h, r'(?i)<html[^>]*\blang="([^"]*)"', 1).alias("lang"),
-        F.regexp_extract(h, r'(?i)<meta\s+name="description"\s+content="([^"]*)"', 1).alias("description"),
-        F.regexp_extract(h, r'(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1).alias("canonical"),
+        attribute(F.regexp_extract(h, r"(?is)<html\b[^>]*>", 0), "lang").alias("lang"),
+        meta(all_of(h, r"(?is)<meta\b[^>]*>", 0), "description").alias("description"),
+        F.coalesce(attribute(F.get(F.filter(all_of(h, r"(?is)<link\b[^>]*>", 0), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical")), F.lit(0)), "href"), F.lit("")).alias("canonical"),
         (F.regexp_count(h, F.lit(r"(?i)<meta[^>]*charset=")) > 0).alias("has_charset"),
-        (F.regexp_count(h, F.lit(r'(?i)<meta[^>]*name="viewport"')) > 0).alias("has_viewport"),
+        F.exists(all_of(h, r"(?is)<meta\b[^>]*>", 0), lambda t: F.lower(attribute(t, "name")) == "viewport").alias("has_viewport"),
         F.transform(all_of(c, r"(?is)<h1\b[^>]*>(.*?)</h1>"), plain).alias("h1"),
         F.size(all_of(c, r"(?is)<p\b[^>]*>(.*?)</p>")).alias("paragraphs"),
         F.transform(all_of(c, r"(?is)<a\b[^>]*>(.*?)</a>"), lambda x: F.lower(plain(x))).alias("anchors"),

@@ -6,11 +6,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import ANAPHORA, DEFINITION, host, is_question, matches, norm_url, text_of, word_count
-from corpuscle.operators.pages import all_of, plain
+from corpuscle.operators.pages import all_of, attribute, meta, plain
 
 # Limits of the rules.
 DESC_MIN, DESC_MAX, ALT_SHARE, MANY_PAGES, CHUNKS_GOOD, ANAPHORA_SHARE, QUESTION_SHARE, DEFINITION_SHARE, EXAMPLE_SHARE, WIDE_VOCABULARY = 110, 165, 0.8, 5, 20, 0.2, 0.1, 0.1, 0.05, 300
@@ -47,17 +47,6 @@ URL_KEYS = ["thumbnailUrl", "contentUrl", "embedUrl", "image", "logo"]
 ENTITIES = ["Organization", "LocalBusiness", "ProfessionalService", "MedicalBusiness", "MedicalClinic"]
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value whatever its quotes; empty without one."""
-    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
-
-
-def meta(tags: Column, name: str, key: str = "name") -> Column:
-    """``content`` of the first of these meta tags whose ``key`` is ``name``; empty without one."""
-    return F.coalesce(attribute(F.get(F.filter(tags, lambda t: F.lower(attribute(t, key)) == name), F.lit(0)), "content"), F.lit(""))
-
-
 def page_heads(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: what its head declares, its headings and images; attributes in any order and quotes. Null markup has none."""
     h = text_of(html_col)
@@ -83,8 +72,43 @@ def page_heads(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
+#: Named character references that are decoded; numeric ones are by their number.
+ENTITIES_BY_NAME = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "hellip": "\u2026", "ndash": "\u2013", "mdash": "\u2014",
+    "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "middot": "\u00b7", "bull": "\u2022", "euro": "\u20ac", "pound": "\u00a3", "deg": "\u00b0", "times": "\u00d7",
+}
+
+
+def decoded(text: Column) -> Column:
+    """Character references as the characters they stand for; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES_BY_NAME.items() for x in pair])
+
+    def one(part: Column) -> Column:
+        whole = F.regexp_extract(part, r"^&#([0-9]{1,7});$", 1)
+        code = F.when(whole != "", whole.cast("int")).otherwise(F.conv(F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), 16, 10).cast("int"))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        named = F.try_element_at(names, F.regexp_extract(part, r"^&([a-z]+);$", 1))
+        return F.when(~part.startswith("&"), part).when(part.startswith("&#") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), char).otherwise(F.coalesce(named, part))
+
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)&#?\w{1,8};|[^&]+|&"), F.lit(0)), one)
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+
+
+def without_dots(url: Column) -> Column:
+    """An absolute url's path without ``.`` and ``..`` segments, folded from the left; ``..`` at the top stays there."""
+    head, path, rest = (F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)([^?#]*)(.*)$", i) for i in (1, 2, 3))
+    parts = F.split(path, "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    above = lambda done: F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", above(done)).otherwise(F.concat(done, F.array(x))))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(head, F.array_join(folded, "/"), rest)).otherwise(url)
+
+
 def resolved(base: Column, href: Column) -> Column:
-    """An absolute url for a link on the page ``base``; null for fragments, mail, scripts and the like."""
+    """An absolute url for a link on the page ``base``; null for fragments, mail, scripts and the like.
+
+    Relative links lose their ``.`` and ``..`` segments, absolute ones stay as they are.
+    """
     clean = F.regexp_replace(F.trim(href), r"#.*$", "")
     site = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_extract(base, r"^[^?#]*", 0), r"(://[^/]*/(?:.*/)?)[^/]*$", "$1")
@@ -93,9 +117,9 @@ def resolved(base: Column, href: Column) -> Column:
         .when(clean.rlike(r"(?i)^https?://"), clean)
         .when(clean.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), None)
         .when(clean.startswith("//"), F.concat(F.regexp_extract(base, r"^[^:]*:", 0), clean))
-        .when(clean.startswith("/"), F.concat(site, clean))
+        .when(clean.startswith("/"), without_dots(F.concat(site, clean)))
         .when(clean.startswith("?"), F.concat(F.regexp_extract(base, r"^[^?#]*", 0), clean))
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(site, F.lit("/"))), clean))
+        .otherwise(without_dots(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(site, F.lit("/"))), clean)))
     )
 
 
@@ -104,20 +128,28 @@ def page_nodes(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.filter(F.col(url_col).isNotNull()).select(norm_url(F.col(url_col)).alias("node"), host(F.col(url_col)).alias("host")).distinct()
 
 
-def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", alias_col: str | None = None) -> DataFrame:
-    """``src, dst``: distinct links between the given pages, by normalised url; links of a page to itself are left out.
+def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html", alias_col: str | None = None) -> DataFrame:
+    """``src, dst``: the links between pages of one host, a row for each occurrence, by normalised url.
 
-    ``alias_col`` names a second url under which a page is known (where it was redirected
-    to); a link to it counts for the page, unless a page has that url itself.
+    Links of a page to itself and to other hosts are left out. ``alias_col`` names a second
+    url under which a page is known (where it was redirected to); a link to it counts for
+    the page, unless a page has that url itself.
     """
     links = all_of(text_of(html_col), r"(?is)<a\b[^>]*>", 0)
-    out = pages.select(F.col(url_col).alias("_b"), F.explode(F.array_distinct(F.transform(links, lambda t: attribute(t, "href")))).alias("_href"))
-    out = out.select(norm_url(F.col("_b")).alias("src"), norm_url(resolved(F.col("_b"), F.col("_href"))).alias("_to")).filter("_to IS NOT NULL").distinct()
+    hrefs = F.filter(F.transform(links, lambda t: attribute(t, "href")), lambda h: h != "")
+    out = pages.select(F.col(url_col).alias("_b"), F.explode(hrefs).alias("_href")).withColumn("_t", resolved(F.col("_b"), decoded(F.col("_href"))))
+    netloc = lambda c: F.regexp_extract(c, r"^[^:/?#]+://([^/?#]*)", 1)
+    out = out.filter(netloc(F.col("_b")) == netloc(F.col("_t"))).select(norm_url(F.col("_b")).alias("src"), norm_url(F.col("_t")).alias("_to"))
     known = page_nodes(pages, url_col).select("node", F.col("node").alias("_as"), F.lit(0).alias("_k"))
     if alias_col:
         known = known.unionByName(pages.filter(F.col(alias_col).isNotNull()).select(norm_url(F.col(url_col)).alias("node"), norm_url(F.col(alias_col)).alias("_as"), F.lit(1).alias("_k")))
     known = known.groupBy("_as").agg(F.min_by("node", F.struct("_k", "node")).alias("node"))
-    return out.join(known, out["_to"] == known["_as"]).select("src", F.col("node").alias("dst")).filter("src != dst").distinct()
+    return out.join(known, out["_to"] == known["_as"]).select("src", F.col("node").alias("dst")).filter("src != dst")
+
+
+def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", alias_col: str | None = None) -> DataFrame:
+    """``src, dst``: :func:`page_links`, each pair once."""
+    return page_links(pages, url_col, html_col, alias_col).distinct()
 
 
 def homes(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -268,16 +300,28 @@ def extractable(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     return out.select("*", F.round(F.col("direct") / F.col("paragraphs"), 4).alias("share"))
 
 
+def shallow(value: object) -> str:
+    """A property as JSON text; one that is nested too deep to be written keeps only its kind."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return "[{}]" if isinstance(value, list) else '{"":{}}'
+
+
 def jsonld_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``url, block, types, props``: every object of the pages' JSON-LD, nested ones too; properties as JSON text. Blocks that don't parse give nothing."""
+    """``url, block, types, props``: every object of the pages' JSON-LD, nested ones too, in document order; properties but null ones as JSON text. Blocks that don't parse, or nest deeper than a parser goes, give nothing."""
     scripts = F.filter(all_of(text_of(html_col), r"(?is)(<script\b[^>]*>.*?)</script>", 1), lambda s: F.lower(attribute(F.regexp_extract(s, r"(?is)^<script\b[^>]*>", 0), "type")) == "application/ld+json")
     rows = pages.select(F.col(url_col).alias("url"), F.posexplode(scripts).alias("block", "_s")).select("url", "block", F.regexp_replace("_s", r"(?is)^<script\b[^>]*>", "").alias("_s"))
 
-    def walk(node: object) -> Iterator[dict]:
-        if isinstance(node, dict):
-            yield node
-        for sub in node.values() if isinstance(node, dict) else node if isinstance(node, list) else ():
-            yield from walk(sub)
+    def walk(top: object) -> Iterator[dict]:
+        rest = [top]
+        while rest:
+            node = rest.pop()
+            if isinstance(node, dict):
+                yield node
+                rest += reversed(node.values())
+            elif isinstance(node, list):
+                rest += reversed(node)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -288,9 +332,10 @@ def jsonld_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                 except (ValueError, RecursionError):
                     continue
                 for node in walk(data):
+                    node = {str(k): v for k, v in node.items()}
                     kind = node.get("@type")
                     types = [kind] if isinstance(kind, str) else [str(x) for x in kind] if isinstance(kind, list) else []
-                    out.append((url, block, types, {k: json.dumps(v, ensure_ascii=False) for k, v in node.items() if v}))
+                    out.append((url, block, types, {k: shallow(v) for k, v in node.items() if v is not None}))
             yield pd.DataFrame(out, columns=["url", "block", "types", "props"])
 
     return rows.mapInPandas(run, "url string, block int, types array<string>, props map<string,string>")
@@ -299,20 +344,21 @@ def jsonld_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 def jsonld_findings(nodes: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:
     """``owner, key, area, severity, weight``: inventory and quality of a host's structured data."""
     p = lambda k: F.try_element_at("props", F.lit(k))
+    empty = lambda k: p(k).isNull() | p(k).isin('""', "0", "0.0", "-0.0", "false", "[]", "{}")
     bare = lambda k: F.regexp_replace(p(k), r'^"|"$', "")
     number = lambda k: F.expr(f"try_cast(regexp_replace(try_element_at(props, '{k}'), '^\"|\"$', '') AS double)")
     typed = lambda *t: F.arrays_overlap("types", F.array(*map(F.lit, t)))
     missing = F.lit(False)
     for t, keys in REQUIRED.items():
-        missing = missing | (typed(t) & F.array_contains(F.array(*[p(k).isNull() for k in keys]), True))
-    missing = missing | (typed("ImageObject") & p("contentUrl").isNull() & p("url").isNull())
+        missing = missing | (typed(t) & F.array_contains(F.array(*[empty(k) for k in keys]), True))
+    missing = missing | (typed("ImageObject") & empty("contentUrl") & empty("url"))
     asked = F.from_json(F.when(p("mainEntity").startswith("["), p("mainEntity")).otherwise(F.concat(F.lit("["), p("mainEntity"), F.lit("]"))), "array<struct<name:string,acceptedAnswer:struct<text:string>>>")
     unanswered = typed("FAQPage") & F.coalesce(F.exists(asked, lambda x: F.coalesce(x["name"], F.lit("")).eqNullSafe("") | F.coalesce(x["acceptedAnswer"]["text"], F.lit("")).eqNullSafe("")), p("mainEntity").isNotNull())
     price = F.coalesce(bare("price"), bare("lowPrice"))
-    offer = typed("Offer", "AggregateOffer") & F.when(price.isNull(), p("priceSpecification").isNull()).otherwise(~price.rlike(r"^\d+(\.\d+)?$") | ~F.coalesce(bare("priceCurrency"), F.lit("")).rlike(r"^[A-Za-z]{3}$"))
-    product = typed("Product") & p("offers").isNull() & p("review").isNull() & p("aggregateRating").isNull()
+    offer = typed("Offer", "AggregateOffer") & F.when(price.isNull(), empty("priceSpecification")).otherwise(~price.rlike(r"^\d+(\.\d+)?$") | ~F.coalesce(bare("priceCurrency"), F.lit("")).rlike(r"^[A-Za-z]{3}$"))
+    product = typed("Product") & empty("offers") & empty("review") & empty("aggregateRating")
     value, best, worst = number("ratingValue"), F.coalesce(number("bestRating"), F.lit(5.0)), F.coalesce(number("worstRating"), F.lit(1.0))
-    rating = typed("AggregateRating", "Rating") & (F.coalesce((value < worst) | (value > best), F.lit(False)) | (typed("AggregateRating") & p("reviewCount").isNull() & p("ratingCount").isNull()))
+    rating = typed("AggregateRating", "Rating") & (F.coalesce((value < worst) | (value > best), F.lit(False)) | (typed("AggregateRating") & empty("reviewCount") & empty("ratingCount")))
     dates = F.array_contains(F.array(*[F.coalesce(p(k).startswith('"') & ~bare(k).rlike(r"^\d{4}-\d{2}-\d{2}([T ].+)?$"), F.lit(False)) for k in DATE_KEYS]), True)
     listed = lambda k: F.when(p(k).startswith('"'), F.array(bare(k))).when(p(k).startswith("["), F.from_json(p(k), "array<string>"))
     urls = F.array_contains(F.array(*[F.coalesce(F.exists(listed(k), lambda x: x.isNotNull() & (x != "") & ~x.rlike(r"^(https?://|[{\[])")), F.lit(False)) for k in URL_KEYS]), True)
@@ -342,3 +388,21 @@ def jsonld_findings(nodes: DataFrame, pages: DataFrame, url_col: str = "url") ->
         *[(f"sd.check.{key}", "structured", some(F.when(F.col(c) > 0, "warning")), one) for key, c in kinds],
         ("sd.check.ok", "structured", some(F.when((F.col("checked") > 0) & ~wrong, "ok")), one),
     ])
+
+
+def jsonld_types(nodes: DataFrame, most: int = 12) -> DataFrame:
+    """``owner, type, pages``: each host's ``most`` types on the most pages, a page counted once; of equal ones the first by name."""
+    per = nodes.select(host(F.col("url")).alias("owner"), "url", F.explode("types").alias("type")).groupBy("owner", "type").agg(F.countDistinct("url").alias("pages"))
+    order = Window.partitionBy("owner").orderBy(F.col("pages").desc(), "type")
+    return per.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most).drop("_k")
+
+
+def jsonld_missing(nodes: DataFrame) -> DataFrame:
+    """``owner, type, checked, missing``: objects of the types with required properties, and which of these any of them lacks (absent or empty), sorted."""
+    required = F.create_map(*[x for t, keys in (REQUIRED | {"ImageObject": ["contentUrl"]}).items() for x in (F.lit(t), F.array(*map(F.lit, keys)))])
+    rows = nodes.select(host(F.col("url")).alias("owner"), "props", F.explode("types").alias("type")).withColumn("_r", F.try_element_at(required, F.col("type"))).filter("_r IS NOT NULL")
+    value = lambda k: F.coalesce(F.try_element_at(F.col("props"), k), F.lit('""'))
+    instead = (F.col("type") == "ImageObject") & ~value(F.lit("url")).isin('""', "[]", "{}")
+    lacks = F.when(instead, F.array().cast("array<string>")).otherwise(F.filter("_r", lambda k: value(k).isin('""', "0", "0.0", "-0.0", "false", "[]", "{}")))
+    per = rows.withColumn("_l", lacks).groupBy("owner", "type").agg(F.count(F.lit(1)).alias("checked"), F.collect_set("_l").alias("_s"))
+    return per.select("owner", "type", "checked", F.array_sort(F.array_distinct(F.flatten("_s"))).alias("missing"))

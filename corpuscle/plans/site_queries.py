@@ -29,7 +29,56 @@ def page_links(spark, sf_dir):
 
 
 def page_in_degree(spark, sf_dir):
-    return graph.in_degree(site.page_edges(given(spark, sf_dir)), site.page_nodes(given(spark, sf_dir)).select("node"))
+    return graph.in_degree(site.page_links(given(spark, sf_dir)), site.page_nodes(given(spark, sf_dir)).select("node"))
+
+
+def customer_pages(spark, sf_dir):
+    """A page for every customer, on 25 hosts, that links to others in all ways a link is written."""
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    to = lambda n: (k + n).cast("string")
+    links = [
+        text("<a href='./", to(25), "'>next</a>"),
+        text('<A class=x HREF="../c/../c/', to(50), '#top">second</A>'),
+        F.when(k % 3 == 0, text("<a href=", to(25), ">again</a>")).otherwise(""),
+        text('<a href="/c/', to(-25), '/">back</a>'),
+        text('<a href="/list?a=1&amp;b=', (k % 25).cast("string"), '">list</a>'),
+        text('<a href="http://s', ((k + 1) % 25).cast("string"), ".example/c/", to(1), '">elsewhere</a>'),
+        text('<a href="mailto:', to(25), '@x.example">mail</a>'),
+    ]
+    at = F.concat(F.lit("http://s"), (k % 25).cast("string"), F.lit(".example"))
+    rows = table(spark, sf_dir, "customer").select(k, at.alias("at"), F.concat(*links).alias("html"))
+    lone = rows.filter(k % 10 == 0).select(F.concat("at", F.lit("/lone/"), k.cast("string")).alias("url"), F.concat(F.lit("<a href=../c/"), k.cast("string"), F.lit(">in</a>")).alias("html"))
+    lists = rows.filter(k < 25).select(F.concat("at", F.lit("/list?a=1&b="), (k % 25).cast("string")).alias("url"), F.lit("<p>list</p>").alias("html"))
+    return rows.select(F.concat("at", F.lit("/c/"), k.cast("string")).alias("url"), "html").unionByName(lists).unionByName(lone)
+
+
+def customer_in_degree(spark, sf_dir):
+    rows = customer_pages(spark, sf_dir)
+    return graph.in_degree(site.page_links(rows), site.page_nodes(rows).select("node"))
+
+
+def customer_orphans(spark, sf_dir):
+    rows = customer_pages(spark, sf_dir)
+    return graph.orphans(site.page_links(rows), site.page_nodes(rows).select("node"), site.homes(rows))
+
+
+def part_pages(spark, sf_dir):
+    """A page for every part with its structured data: prices that are 0 or missing, brands, questions."""
+    k = F.col("p_partkey")
+    offer = F.when(k % 4 == 0, F.struct(F.lit("Offer").alias("@type"), (k % 3).alias("price"), F.lit("EUR").alias("priceCurrency")))
+    product = F.struct(F.lit("Product").alias("@type"), F.when(k % 5 == 0, "").otherwise(F.col("p_name")).alias("name"), offer.alias("offers"), F.struct(F.array(F.lit("Organization"), F.lit("Brand")).alias("@type"), F.col("p_brand").alias("name"), F.when(k % 7 == 0, F.lit("https://b.example")).alias("url")).alias("brand"))
+    item = F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(F.struct(F.lit("ListItem").alias("@type"), F.lit(0).alias("position"))).alias("itemListElement"))
+    scripts = F.concat(F.lit("<script type='application/ld+json'>"), F.to_json(product), F.lit("</script>"), F.when(k % 2 == 0, F.concat(F.lit('<SCRIPT id=x TYPE="application/ld+json">['), F.to_json(item), F.lit("]</SCRIPT>"))).otherwise(F.when(k % 9 == 0, F.lit("<script type='application/ld+json'>{broken</script>")).otherwise("")))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("https://p"), (k % 5).cast("string"), F.lit(".example/"), k.cast("string")).alias("url"), scripts.alias("html"))
+
+
+def part_jsonld_types(spark, sf_dir):
+    return site.jsonld_types(site.jsonld_nodes(part_pages(spark, sf_dir)))
+
+
+def part_jsonld_missing(spark, sf_dir):
+    return site.jsonld_missing(site.jsonld_nodes(part_pages(spark, sf_dir))).withColumn("missing", F.array_join("missing", ","))
 
 
 def page_orphans(spark, sf_dir):
@@ -89,7 +138,7 @@ def share_findings(spark, sf_dir):
     return retrieval.share_findings(own.hybrid_top5(spark, sf_dir).join(owners, "doc"), owners)
 
 
-QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, page_orphans, page_depths, page_link_findings, site_findings, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, retrieval_findings, share_findings)}
+QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, customer_in_degree, customer_orphans, part_jsonld_types, part_jsonld_missing, page_orphans, page_depths, page_link_findings, site_findings, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, retrieval_findings, share_findings)}
 
 
 def attribute(tag: str, name: str) -> str:
@@ -113,13 +162,29 @@ FOLDER = r"regexp_replace(regexp_extract(b, '^[^?#]*', 0), '(://[^/]*/(?:.*/)?)[
 EDGES = rf"""
 no AS (SELECT DISTINCT {norm("url")} AS node, {HOST} AS host FROM pages WHERE url IS NOT NULL),
 ho AS (SELECT node FROM (SELECT node, row_number() OVER (PARTITION BY host ORDER BY length(node), node) AS k FROM no) WHERE k = 1),
-hr AS (SELECT b, regexp_replace(trim(h, ' '), '#.*$', '') AS c FROM (SELECT DISTINCT url AS b, unnest(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*>', 0), lambda t: {attribute("t", "href")})) AS h FROM pages)),
+hr AS (SELECT b, regexp_replace(trim(h, ' '), '#.*$', '') AS c FROM (SELECT url AS b, unnest(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*>', 0), lambda t: {attribute("t", "href")})) AS h FROM pages)),
 re AS (SELECT b, CASE WHEN c = '' THEN NULL WHEN regexp_matches(c, '(?i)^https?://') THEN c WHEN regexp_matches(c, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL
   WHEN starts_with(c, '//') THEN regexp_extract(b, '^[^:]*:', 0) || c WHEN starts_with(c, '/') THEN {SITE} || c WHEN starts_with(c, '?') THEN regexp_extract(b, '^[^?#]*', 0) || c
   ELSE CASE WHEN ends_with({FOLDER}, '/') THEN {FOLDER} ELSE {SITE} || '/' END || c END AS t FROM hr),
-ed AS (SELECT DISTINCT src, node AS dst FROM (SELECT {norm("b")} AS src, {norm("t")} AS dst FROM re WHERE t IS NOT NULL) JOIN no ON dst = node WHERE src <> node)"""
+oc AS (SELECT src, node AS dst FROM (SELECT {norm("b")} AS src, {norm("t")} AS dst FROM re WHERE t IS NOT NULL AND regexp_extract(b, '://([^/?#]*)', 1) = regexp_extract(t, '://([^/?#]*)', 1)) JOIN (SELECT DISTINCT node FROM no) ON dst = node WHERE src <> node),
+ed AS (SELECT DISTINCT * FROM oc)"""
+
+CUSTOMERS = """n AS (SELECT 'http://s' || c_custkey % 25 || '.example/c/' || c_custkey AS node, c_custkey AS k, c_custkey % 25 AS s FROM customer
+  UNION ALL SELECT 'http://s' || c_custkey % 25 || '.example/list?a=1&b=' || c_custkey % 25, NULL, c_custkey % 25 FROM customer WHERE c_custkey < 25
+  UNION ALL SELECT 'http://s' || c_custkey % 25 || '.example/lone/' || c_custkey, -1, c_custkey % 25 FROM customer WHERE c_custkey % 10 = 0),
+l AS (SELECT c_custkey AS k, unnest(CASE WHEN c_custkey % 3 = 0 THEN [25, 25, 50, -25] ELSE [25, 50, -25] END) + c_custkey AS t FROM customer UNION ALL SELECT -2 - c_custkey, c_custkey FROM customer WHERE c_custkey % 10 = 0),
+e AS (SELECT n.node, k.c_custkey AS src FROM (SELECT t, k AS c_custkey FROM l) k JOIN n ON n.k = k.t AND k.t >= 0 UNION ALL SELECT n.node, c_custkey FROM customer JOIN n ON n.k IS NULL AND n.s = c_custkey % 25)"""
+PARTS = """a AS (SELECT 'p' || p_partkey % 5 || '.example' AS owner, p_partkey AS k, p_name FROM part),
+t AS (SELECT owner, k, unnest(['Product', 'Organization', 'Brand']) AS type FROM a UNION ALL SELECT owner, k, 'Offer' FROM a WHERE k % 4 = 0 UNION ALL SELECT owner, k, unnest(['BreadcrumbList', 'ListItem']) FROM a WHERE k % 2 = 0)"""
 
 SQL = {
+    "customer_in_degree": f"WITH {CUSTOMERS} SELECT n.node, count(src) AS links, count(DISTINCT src) AS sources FROM n LEFT JOIN e USING (node) GROUP BY n.node",
+    "customer_orphans": f"""WITH {CUSTOMERS}, h AS (SELECT node FROM n QUALIFY row_number() OVER (PARTITION BY s ORDER BY length(node), node) = 1)
+SELECT node FROM n ANTI JOIN e USING (node) ANTI JOIN h USING (node)""",
+    "part_jsonld_types": f"WITH {PARTS} SELECT owner, type, count(DISTINCT k) AS pages FROM t GROUP BY owner, type QUALIFY row_number() OVER (PARTITION BY owner ORDER BY count(DISTINCT k) DESC, type) <= 12",
+    "part_jsonld_missing": f"""WITH {PARTS} SELECT owner, type, count(*) AS checked,
+ CASE type WHEN 'Product' THEN CASE WHEN bool_or(k % 5 = 0) THEN 'name' ELSE '' END WHEN 'Organization' THEN CASE WHEN bool_or(k % 7 <> 0) THEN 'url' ELSE '' END ELSE '' END AS missing
+FROM t WHERE type IN ('Product', 'Organization', 'BreadcrumbList') GROUP BY owner, type""",
     "page_heads": rf"""WITH r AS (SELECT url, {HOST} AS host, coalesce(html, '') AS h FROM pages),
 t AS (SELECT *, regexp_extract_all(h, '(?is)<meta\b[^>]*>', 0) AS m, regexp_extract_all(h, '(?is)<link\b[^>]*>', 0) AS l, regexp_extract_all(h, '(?is)<img\b[^>]*>', 0) AS i FROM r)
 SELECT url, host, {plain("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {attribute(r"regexp_extract(h, '(?is)<html\b[^>]*>', 0)", "lang")} AS lang,
@@ -129,7 +194,7 @@ SELECT url, host, {plain("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)
  len(list_filter(l, lambda t: ({attribute("t", "hreflang")}) <> ''))::INT AS hreflangs, len(i)::INT AS images, len(list_filter(i, lambda t: trim({attribute("t", "alt")}, ' ') <> ''))::INT AS images_with_alt,
  len(regexp_extract_all(h, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>'))::INT AS headings FROM t""",
     "page_links": f"WITH {EDGES} SELECT * FROM ed",
-    "page_in_degree": f"WITH {EDGES} SELECT n.node, count(dst) AS links, count(DISTINCT src) AS sources FROM (SELECT DISTINCT node FROM no) n LEFT JOIN ed ON dst = n.node GROUP BY n.node",
+    "page_in_degree": f"WITH {EDGES} SELECT n.node, count(dst) AS links, count(DISTINCT src) AS sources FROM (SELECT DISTINCT node FROM no) n LEFT JOIN oc ON dst = n.node GROUP BY n.node",
     "page_orphans": f"WITH {EDGES} SELECT DISTINCT node FROM no WHERE node NOT IN (SELECT dst FROM ed) AND node NOT IN (SELECT node FROM ho)",
     "extractable_paragraphs": rf"""WITH p AS (SELECT {HOST} AS owner, unnest(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda x: {plain('x')})) AS t FROM pages),
 w AS (SELECT *, len(regexp_split_to_array(t, '\s+')) AS w FROM p), s AS (SELECT owner, count(*) AS paragraphs, count_if(w BETWEEN {site.EXTRACT_MIN} AND {site.EXTRACT_MAX}

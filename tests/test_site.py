@@ -145,3 +145,51 @@ def test_topics_of_headings_and_retrieval_findings(spark):
     owners = spark.createDataFrame([("a",), ("b",), ("c",)], "owner string")
     got = {r.owner: tuple(r)[1:] for r in retrieval.share_findings(slots, owners).collect()}
     assert got == {"a": (3, 75.0, 0, "ok", "ok"), "b": (1, 25.0, 1, "warning", "warning"), "c": (0, 0.0, 2, "critical", "critical")}
+
+
+def test_links_are_resolved_decoded_and_counted_by_occurrence(spark):
+    rows = [
+        ("https://a.it/x/y", '<a href="../c">1</a><a href="./d">2</a><a href=\'/e?x=1&amp;y=2\'>3</a><a href="../c#part">again</a><a href="https://b.it/x">out</a><a href="../../../c/">third</a>'),
+        ("https://a.it/c", '<a href="/x/./y">b</a>'),
+        ("https://a.it/x/d", ""),
+        ("https://a.it/e?x=1&y=2", '<a href="https://a.it/x/d">abs</a>'),
+        ("https://b.it/x", '<a href="//a.it/c">other host</a><a>none</a><a href="">empty</a>'),
+        ("https://b.it/", ""),
+    ]
+    given = spark.createDataFrame(rows, "url string, html string")
+    links = site.page_links(given)
+    degree = {r.node: (r.links, r.sources) for r in graph.in_degree(links, site.page_nodes(given).select("node")).collect()}
+    assert degree == {"https://a.it/x/y": (1, 1), "https://a.it/c": (3, 1), "https://a.it/x/d": (2, 2), "https://a.it/e?x=1&y=2": (1, 1), "https://b.it/x": (0, 0), "https://b.it/": (0, 0)}
+    assert {r.node for r in graph.orphans(links, site.page_nodes(given).select("node"), site.homes(given)).collect()} == {"https://b.it/x"}
+    assert site.page_edges(given).count() == 5
+
+
+def test_character_references(spark):
+    row = spark.createDataFrame([("A &amp; B &#233;&#xE9; &#128512; &nope; &lt;p&gt; &; & &#0; &amp;amp; caf&eacute",)], "t string").select(site.decoded(F.col("t"))).first()
+    assert row[0] == "A & B éé 😀 &nope; <p> &; & &#0; &amp; caf&eacute"
+
+
+def test_jsonld_keeps_zeros_and_survives_depth(spark):
+    deep = '{"a":' * 1500 + '{"@type":"Person"}' + "}" * 1500
+    deeper = "[" * 200_000 + "]" * 200_000
+    rows = [
+        ("https://z.it/1", ld({"@type": "Product", "name": "x", "offers": {"@type": "Offer", "price": 0, "priceCurrency": "EUR"}})),
+        ("https://z.it/2", ld({"@type": "AggregateRating", "ratingValue": 0, "reviewCount": 3})),
+        ("https://z.it/3", f'<script type="application/ld+json">{deep}</script><script type="application/ld+json">{deeper}</script>'),
+        ("https://z.it/4", ld({"@type": ["Organization", "Brand"], "name": "", "url": 0}, {"@type": "ImageObject", "url": "https://z.it/i.png"})),
+    ]
+    given = spark.createDataFrame(rows, "url string, html string")
+    nodes = site.jsonld_nodes(given)
+    assert nodes.filter("url = 'https://z.it/3'").count() == 1501
+    found = {r.key for r in site.jsonld_findings(nodes, given).collect()}
+    assert "sd.check.offers" not in found and "sd.check.rating" in found
+    types = {r.type: r.pages for r in site.jsonld_types(nodes).collect()}
+    assert types == {"Product": 1, "Offer": 1, "AggregateRating": 1, "Person": 1, "Organization": 1, "Brand": 1, "ImageObject": 1}
+    missing = {r.type: (r.checked, r.missing) for r in site.jsonld_missing(nodes).collect()}
+    assert missing["Organization"] == (1, ["name", "url"]) and missing["ImageObject"] == (1, []) and missing["AggregateRating"] == (1, ["ratingValue"])
+
+
+def test_parsed_pages_take_attributes_in_any_quotes(spark):
+    html = "<html lang='it'><head><meta content='d' NAME='description'><link href='/c' rel='canonical'><meta content='x' name=viewport></head><body>t</body></html>"
+    row = pages.parse_pages(spark.createDataFrame([("https://x.it/a", html)], "url string, html string")).first()
+    assert (row.lang, row.description, row.canonical, row.has_viewport) == ("it", "d", "/c", True)
