@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.functions.text import ANAPHORA, DEFINITION, host, is_question, matches, norm_url, text_of, word_count
+from corpuscle.functions.text import ANAPHORA, DEFINITION, host, is_question, matches, norm_url, slug, text_of, word_count
+from corpuscle.operators.blocks import page_blocks
 from corpuscle.operators.pages import all_of, attribute, meta, plain
 
 # Limits of the rules.
@@ -158,21 +159,17 @@ def homes(pages: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def sections(pages: DataFrame, url_col: str = "url", html_col: str = "html", target: int = 220, least: int = 15) -> DataFrame:
-    """``url, heading, text, index, words``: a page's paragraphs and list items gathered under their heading.
+    """``url, heading, text, index, words``: a page's paragraphs and list items (as :func:`page_blocks` gives them) gathered under their heading.
 
     A heading opens a section; within it paragraphs are gathered until they hold ``target``
-    words. Before the first heading the title stands for it. Pieces of fewer than ``least``
-    words are left out after the numbering. A fold over the page's own blocks.
+    words. Before the first heading the title stands for it, or the slug. Pieces of fewer
+    than ``least`` words are left out after the numbering. A fold over the page's own blocks.
     """
-    h = text_of(html_col)
-    for tag in ("script", "style", "noscript", "svg", "nav", "footer"):
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b.*?</{tag}>", " ")
-    blocks = F.transform(all_of(h, r"(?is)(<(?:h[1-6]|p|li)\b[^>]*>.*?)</(?:h[1-6]|p|li)>", 1), lambda b: F.struct(b.rlike(r"(?i)^<h[1-6]").alias("head"), plain(b).alias("t")))
-    blocks = F.filter(blocks, lambda b: b["t"] != "")
+    title = F.regexp_extract(text_of(html_col), r"(?is)<title[^>]*>(.*?)</title>", 1)
+    named = pages.select(F.col(url_col).alias("url"), text_of(html_col).alias("_html"), F.coalesce(F.nullif(F.trim(F.regexp_replace(decoded(title), r"(?U)\s+", " ")), F.lit("")), slug(text_of(url_col))).alias("_title"))
+    rows = page_blocks(named, "url", "_title", html_col="_html").withColumn("_b", F.transform("blocks", lambda b: F.struct((b["kind"] == "h").alias("head"), b["text"].alias("t"))))
     piece = "array<struct<heading:string,text:string,words:int>>"
     kind = f"struct<head:string,buf:string,words:int,done:{piece}>"
-    rows = pages.select(F.col(url_col).alias("url"), plain(F.regexp_extract(text_of(html_col), r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("_title"), blocks.alias("_b"))
-
     def closed(s: Column) -> Column:
         return F.when(s["words"] > 0, F.concat(s["done"], F.array(F.struct(s["head"].alias("heading"), s["buf"].alias("text"), s["words"].alias("words"))))).otherwise(s["done"])
 

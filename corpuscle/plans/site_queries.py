@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
-from corpuscle.operators import graph, pages, retrieval, site
+from corpuscle.operators import blocks, graph, pages, retrieval, site
 from corpuscle.plans import queries as own
 from corpuscle.plans.sql import HOST, bounded, plain, q, words
 from corpuscle.plans.sql import SQL as OWN_SQL
@@ -102,6 +102,20 @@ def site_findings(spark, sf_dir):
     return site.site_findings(site.page_heads(given(spark, sf_dir)), texts(spark, sf_dir))
 
 
+def page_blocks(spark, sf_dir):
+    """Headings and paragraphs of every page in document order."""
+    found = blocks.page_blocks(given(spark, sf_dir), "page_id")
+    return found.select("page_id", F.posexplode("blocks").alias("n", "b")).select("page_id", "n", "b.kind", "b.level", "b.text")
+
+
+def part_lists(spark, sf_dir):
+    """Blocks of lists that are written from parts: paragraphs in items, items without ends, references."""
+    k = F.col("p_partkey").cast("string")
+    html = F.concat(F.lit("<h2 id=a>List&nbsp;"), k, F.lit(" &amp; more</h2><ul><li>"), F.col("p_name"), F.lit(" short<li><p>"), F.repeat("p_name", 3), F.lit(" <b>and</b> on</p> tail<ol><li>"), F.repeat("p_brand", 5), F.lit("</ol></ul><p>"), F.repeat("p_name", 4), F.lit("<div>no block of its own</div><h5>"), k, F.lit("</h5>"))
+    found = blocks.page_blocks(table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "p_partkey")
+    return found.select("p_partkey", F.posexplode("blocks").alias("n", "b")).select("p_partkey", "n", "b.kind", "b.level", "b.text")
+
+
 def page_sections(spark, sf_dir):
     return site.sections(given(spark, sf_dir))
 
@@ -138,7 +152,7 @@ def share_findings(spark, sf_dir):
     return retrieval.share_findings(own.hybrid_top5(spark, sf_dir).join(owners, "doc"), owners)
 
 
-QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, customer_in_degree, customer_orphans, part_jsonld_types, part_jsonld_missing, page_orphans, page_depths, page_link_findings, site_findings, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, retrieval_findings, share_findings)}
+QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, customer_in_degree, customer_orphans, part_jsonld_types, part_jsonld_missing, page_orphans, page_depths, page_link_findings, site_findings, page_blocks, part_lists, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, retrieval_findings, share_findings)}
 
 
 def attribute(tag: str, name: str) -> str:
@@ -178,6 +192,12 @@ PARTS = """a AS (SELECT 'p' || p_partkey % 5 || '.example' AS owner, p_partkey A
 t AS (SELECT owner, k, unnest(['Product', 'Organization', 'Brand']) AS type FROM a UNION ALL SELECT owner, k, 'Offer' FROM a WHERE k % 4 = 0 UNION ALL SELECT owner, k, unnest(['BreadcrumbList', 'ListItem']) FROM a WHERE k % 2 = 0)"""
 
 SQL = {
+    "part_lists": """WITH a AS (SELECT p_partkey, unnest([
+  {'o': 0, 'kind': 'h', 'level': 2, 'text': 'List ' || p_partkey || ' & more'}, {'o': 1, 'kind': 'p', 'level': 0, 'text': p_name || ' short'},
+  {'o': 2, 'kind': 'p', 'level': 0, 'text': repeat(p_name, 3) || ' and on tail ' || repeat(p_brand, 5)}, {'o': 3, 'kind': 'p', 'level': 0, 'text': repeat(p_name, 3) || ' and on'},
+  {'o': 4, 'kind': 'p', 'level': 0, 'text': repeat(p_brand, 5)}, {'o': 5, 'kind': 'p', 'level': 0, 'text': repeat(p_name, 4)}], recursive := true) FROM part),
+b AS (SELECT p_partkey, o, kind, level, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM a)
+SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY o) - 1)::INT AS n, kind, level, text FROM b WHERE kind = 'h' OR length(text) >= 40""",
     "customer_in_degree": f"WITH {CUSTOMERS} SELECT n.node, count(src) AS links, count(DISTINCT src) AS sources FROM n LEFT JOIN e USING (node) GROUP BY n.node",
     "customer_orphans": f"""WITH {CUSTOMERS}, h AS (SELECT node FROM n QUALIFY row_number() OVER (PARTITION BY s ORDER BY length(node), node) = 1)
 SELECT node FROM n ANTI JOIN e USING (node) ANTI JOIN h USING (node)""",

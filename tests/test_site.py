@@ -1,10 +1,12 @@
 """Link graph, sections, structured data and findings of a small site, against values worked out by hand."""
 
 import json
+import random
+from html.parser import HTMLParser
 
 import pytest
 from corpuscle.functions.text import tokenize
-from corpuscle.operators import graph, pages, scores, site
+from corpuscle.operators import blocks, graph, pages, scores, site
 from pyspark.sql import functions as F
 
 LONG = " ".join(f"word{i}" for i in range(40))
@@ -59,6 +61,79 @@ def test_site_findings(spark):
     }
 
 
+class Loop(HTMLParser):
+    """Blocks by a parser of the standard library and a list of open elements."""
+
+    heads, lists = ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.made, self.skip = [], [], 0
+
+    def close(self, index):
+        del self.open[index:]
+
+    def index(self, names, above=-1):
+        return next((i for i in range(len(self.open) - 1, above, -1) if self.open[i][0] in names), None)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "svg"):
+            self.skip += 1
+        list_at = self.index(self.lists)
+        list_at = -1 if list_at is None else list_at
+        at = None
+        if tag == "li":
+            at = self.index(("li",), list_at)
+        elif tag in self.heads:
+            at = self.index(self.heads)
+        if at is None and (tag in ("p", "li", *self.heads, *self.lists) or tag in blocks.CLOSERS):
+            at = self.index(("p",))
+        if at is not None:
+            self.close(at)
+        if tag in ("p", "li", *self.heads, *self.lists):
+            pieces = []
+            self.open.append((tag, pieces))
+            self.made.append((tag, pieces))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "noscript", "svg"):
+            self.skip -= 1
+        list_at = self.index(self.lists)
+        at = self.index((tag,)) if tag in self.lists else self.index(("li",), -1 if list_at is None else list_at) if tag == "li" else self.index(self.heads) if tag in self.heads else self.index(("p",)) if tag == "p" or tag in blocks.CLOSERS else None
+        if at is not None:
+            self.close(at)
+
+    def handle_data(self, data):
+        for _, pieces in self.open:
+            if not self.skip:
+                pieces.append(data)
+
+    @classmethod
+    def of(cls, html):
+        loop = cls()
+        loop.feed(html)
+        rows = [(t, " ".join(" ".join(x).split())) for t, x in loop.made]
+        return [("h" if t[0] == "h" else "p", int(t[1]) if t[0] == "h" else 0, x) for t, x in rows if t in ("h1", "h2", "h3", "h4", "p", "li") and x and (t[0] == "h" or len(x) >= 40)]
+
+
+def test_blocks_match_a_loop(spark):
+    draw = random.Random(2)
+    bits = ["<p>", "</p>", "<li>", "</li>", "<ul>", "</ul>", "<ol>", "</ol>", "<h2>", "</h2>", "<h5>", "</h5>", "<h1 class='a'>", "<div>", "</div>", "<b>", "</b>", "<br>", "<P ID=x>", "</LI>", LONG, LONG[:60], "x", " &amp; ", "&nbsp;", "é\n", "<!-- <p>no</p> -->", "<script>var a='<p>'</script>", "<table><tr><td>", "</td></tr></table>"]
+    htmls = ["".join(draw.choice(bits) for _ in range(draw.randrange(40))) for _ in range(300)]
+    given = spark.createDataFrame([(i, h) for i, h in enumerate(htmls)] + [(-1, None), (-2, "")], "i int, html string")
+    got = {r.i: [tuple(b) for b in r.blocks] for r in blocks.page_blocks(given, "i").collect()}
+    assert got.pop(-1) == got.pop(-2) == []
+    for i, h in enumerate(htmls):
+        assert got[i] == Loop.of(h), h
+
+
+def test_blocks_of_the_given_pages_match_a_loop(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: [tuple(b) for b in r.blocks] for r in blocks.page_blocks(rows, "page_id").collect()}
+    want = {r.page_id: Loop.of(r.html or "") for r in rows.collect()}
+    assert got == want and sum(map(len, want.values())) > 100
+
+
 def by_hand(title, blocks, target):
     out, head, buf = [], title, []
 
@@ -81,10 +156,10 @@ def by_hand(title, blocks, target):
 
 def test_sections_follow_headings(spark):
     words = lambda n, at=0: " ".join(f"w{i}" for i in range(at, at + n))
-    blocks = [("p", words(20)), ("h", "One"), ("p", words(10)), ("h", "Two"), ("p", words(30)), ("p", words(30, 50)), ("p", words(16)), ("h", "Three"), ("h", "Four"), ("p", words(60))]
-    body = "".join(f"<h2>{t}</h2>" if k == "h" else f"<p class='a'>{t}</p>" for k, t in blocks) + "<p> </p><script>var a='<p>no</p>'</script>"
+    made = [("p", words(20)), ("h", "One"), ("p", words(14)), ("h", "Two"), ("p", words(30)), ("p", words(30, 50)), ("p", words(16)), ("h", "Three"), ("h", "Four"), ("p", words(60))]
+    body = "".join(f"<h2>{t}</h2>" if k == "h" else f"<p class='a'>{t}</p>" for k, t in made) + "<p> </p><script>var a='<p>no</p>'</script>"
     got = site.sections(spark.createDataFrame([page("/s", body=body), ("u", None, None)], "url string, html string, f string"), target=50).orderBy("index").collect()
-    assert [(r["heading"], r["text"], r["index"]) for r in got] == by_hand("T /s", blocks, 50)
+    assert [(r["heading"], r["text"], r["index"]) for r in got] == by_hand("T /s", made, 50)
     assert all(r.words == len(r.text.split()) for r in got)
 
 
