@@ -68,16 +68,15 @@ def last_runs(runs: DataFrame, most: int, site: str = "site", at: str = "created
 def findings_delta(runs: DataFrame, found: DataFrame, site: str = "site", at: str = "created_at", tie: str = "run") -> DataFrame:
     """``run, new, resolved``: findings (by ``key``) that a run has and the site's run before had not, and the other way round.
 
-    One full join of a run's keys with its predecessor's; no list of findings is gathered.
+    A run's keys and its predecessor's meet in one aggregate; no list of findings is gathered.
     """
     before = runs.select(F.col(tie).alias("run"), F.lag(tie).over(Window.partitionBy(site).orderBy(at, tie)).alias("before")).filter("before IS NOT NULL")
-    keys = found.select("run", "key").distinct()
-    now = before.join(keys, "run").select("run", "key")
-    past = before.join(keys.withColumnRenamed("run", "before"), "before").select("run", "key")
-    new = now.join(past, ["run", "key"], "left_anti").groupBy("run").agg(F.count(F.lit(1)).alias("new"))
-    gone = past.join(now, ["run", "key"], "left_anti").groupBy("run").agg(F.count(F.lit(1)).alias("resolved"))
-    out = before.select("run").join(new, "run", "left").join(gone, "run", "left")
-    return out.select("run", F.coalesce("new", F.lit(0)).alias("new"), F.coalesce("resolved", F.lit(0)).alias("resolved"))
+    keys = found.select("run", "key")
+    side = lambda rows, now, past: rows.select("run", "key", F.lit(now).alias("_now"), F.lit(past).alias("_past"))
+    rows = side(before.join(keys, "run"), True, False).unionByName(side(before.join(keys.withColumnRenamed("run", "before"), "before"), False, True))
+    rows = rows.unionByName(side(before.withColumn("key", F.lit(None).cast(keys.schema["key"].dataType)), False, False))
+    per = rows.groupBy("run", "key").agg(F.bool_or("_now").alias("_now"), F.bool_or("_past").alias("_past"))
+    return per.groupBy("run").agg(F.count_if(F.col("_now") & ~F.col("_past")).alias("new"), F.count_if(~F.col("_now") & F.col("_past")).alias("resolved"))
 
 
 def severity_pivot(findings: DataFrame, by: str = "area") -> DataFrame:
@@ -87,10 +86,10 @@ def severity_pivot(findings: DataFrame, by: str = "area") -> DataFrame:
 
 
 def citation_rates(answers: DataFrame) -> DataFrame:
-    """``provider, answered, failed, cited, rate`` from ``provider, ok, cited``; rate in percent to one decimal, null without an answer."""
+    """``provider, answered, failed, cited, rate`` from ``provider, ok, cited``; rate in percent to one decimal, 0 without an answer."""
     done = F.count_if(F.col("ok"))
     cited = F.count_if(F.col("ok") & F.col("cited"))
-    return answers.groupBy("provider").agg(done.alias("answered"), F.count_if(~F.col("ok")).alias("failed"), cited.alias("cited"), tenths(100.0 * cited / F.nullif(done, F.lit(0))).alias("rate"))
+    return answers.groupBy("provider").agg(done.alias("answered"), F.count_if(~F.col("ok")).alias("failed"), cited.alias("cited"), F.coalesce(tenths(100.0 * cited / F.nullif(done, F.lit(0))), F.lit(0.0)).alias("rate"))
 
 
 def cited_hosts(urls: DataFrame, targets: DataFrame) -> DataFrame:
@@ -112,3 +111,49 @@ def composite_index(profiles: DataFrame, weights: Mapping[str, float], by: str =
     """``by, index``: weighted mean of the profile scores there are; one decimal."""
     w = F.try_element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("profile"))
     return profiles.groupBy(by).agg(tenths(F.sum(w * F.col("score")) / F.sum(w)).alias("index"))
+
+
+#: Words of a page that is deep enough; a gain that counts for a profile.
+DEEP_WORDS, CROSS_GAIN = 900, 1.0
+
+
+def depth_scores(words: DataFrame, by: str = "owner", area: str = "depth") -> DataFrame:
+    """``by, area, score``: mean words of a page (cut to a whole number) of 900, in percent, 100 at most. ``words``: by, words of each page."""
+    mean = F.floor(F.sum("words") / F.count(F.lit(1)))
+    return words.groupBy(by).agg(F.least(F.lit(100.0), tenths(100.0 * mean / DEEP_WORDS)).alias("score")).select(by, F.lit(area).alias("area"), "score")
+
+
+def gain_plan(findings: DataFrame, areas: DataFrame, profiles: Mapping[str, Mapping[str, float]], market: Mapping[str, float], by: str = "owner") -> DataFrame:
+    """Actionable findings by what mending them is worth: ``gains`` of each profile, the best of them, and the gain of the market's index.
+
+    Mending a finding raises its area by 100 * weight * (1 - factor) / all graded weight of
+    the area; a profile gains that times the area's share of its weights, taken over the
+    components that have a score (``areas``: by, area, score; depth among them). Criticals
+    come first, then the larger index gain, then the larger weight, then the order ``n``.
+    ``profiles_hit`` are those that gain a point or more; with two the finding is ``cross``.
+    The best profile is the first, in the order given, of those that gain most; empty if none gains.
+    """
+    known = areas.filter("score IS NOT NULL").groupBy(by).agg(F.collect_set("area").alias("_known"))
+    graded = findings.withColumn("_f", factor(F.col("severity"))).filter("_f IS NOT NULL")
+    total = F.sum("weight").over(Window.partitionBy(by, "area"))
+    todo = graded.withColumn("_d", F.coalesce(100 * F.col("weight") * (1 - F.col("_f")) / F.nullif(total, F.lit(0.0)), F.lit(0.0))).filter(F.col("severity").isin("critical", "warning"))
+    rows = todo.join(known, by, "left")
+    entries = []
+    for name, weights in profiles.items():
+        usable = sum((F.when(F.array_contains("_known", a), F.lit(float(w))).otherwise(0.0) for a, w in weights.items()), F.lit(0.0))
+        share = F.coalesce(F.try_element_at(F.create_map(*[x for a, w in weights.items() for x in (F.lit(a), F.lit(float(w)))]), F.col("area")), F.lit(0.0))
+        entries.append(F.when(usable > 0, F.struct(F.lit(name).alias("profile"), tenths(F.col("_d") * share / usable).alias("gain"), F.lit(float(market.get(name, 0.0))).alias("w"))))
+    rows = rows.withColumn("_g", F.filter(F.array(*entries), lambda g: g.isNotNull()))
+    best = F.coalesce(F.array_max(F.transform("_g", lambda g: g["gain"])), F.lit(0.0))
+    hit = F.transform(F.filter("_g", lambda g: g["gain"] >= CROSS_GAIN), lambda g: g["profile"])
+    out = rows.select(
+        *findings.columns,
+        F.map_from_entries(F.transform("_g", lambda g: F.struct(g["profile"], g["gain"]))).alias("gains"),
+        F.when(best > 0, F.get(F.filter("_g", lambda g: g["gain"] == best), F.lit(0))["profile"]).otherwise("").alias("best_profile"),
+        F.greatest(best, F.lit(0.0)).alias("best_gain"),
+        tenths(F.aggregate("_g", F.lit(0.0), lambda s, g: s + g["w"] * g["gain"])).alias("index_gain"),
+        hit.alias("profiles_hit"),
+        (F.size(hit) >= 2).alias("cross"),
+    )
+    order = Window.partitionBy(by).orderBy(F.when(F.col("severity") == "critical", 0).otherwise(1), F.col("index_gain").desc(), F.col("weight").desc(), "n")
+    return out.withColumn("priority", F.row_number().over(order).cast("long"))

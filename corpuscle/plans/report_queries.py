@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpuscle.operators import catalogue, checks, citations, evidence, pages, site
+from corpuscle.operators import catalogue, checks, citations, evidence, history, pages, scores, site
 from corpuscle.plans import queries as own
 from corpuscle.plans import site_queries
 from corpuscle.plans.sql import SQL as OWN_SQL
-from corpuscle.plans.sql import q
-from corpuscle.session import table
+from corpuscle.plans.sql import FACTOR, LINES, RUNS, q
+from corpuscle.session import shared_dir, table
 
 #: Own texts of findings: key, field, template.
 TEXTS = [
@@ -142,7 +143,61 @@ def audit_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(evidence.item_labels(details), "|").alias("labels"))
 
 
-QUERIES = {f.__name__: f for f in (merged_findings, finding_texts, judged_passages, judge_outcomes, judge_verdicts, site_positions, citation_series, competitor_counts, page_severities, page_status_counts, audit_labels)}
+#: Weights of the areas and of depth in each profile, and of the profiles in the index.
+PROFILES = {"extract": {"lexical": 0.4, "technical": 0.3, "structured": 0.1, "depth": 0.2}, "markup": {"structured": 0.6, "technical": 0.4}, "retrieval": {"retrieval": 0.5, "lexical": 0.5}}
+MARKET = {"extract": 0.5, "markup": 0.3, "retrieval": 0.2}
+
+
+def gain_plan(spark, sf_dir):
+    """Page findings by what mending them is worth to three profiles."""
+    parsed = own.parsed(spark, sf_dir)
+    found = pages.findings(parsed).withColumn("n", F.array_position(F.array(*[F.lit(key) for key, *_ in pages.page_rules()]), F.col("key")))
+    areas = scores.area_scores(found).unionByName(scores.depth_scores(parsed.select(F.col("host").alias("owner"), "words")))
+    out = scores.gain_plan(found.select("owner", "n", "key", "area", "severity", "weight"), areas, PROFILES, MARKET)
+    gains = F.array_join(F.transform(F.map_entries("gains"), lambda g: F.concat_ws("=", g["key"], g["value"].cast("string"))), ",")
+    return out.select("owner", "priority", "key", gains.alias("gains"), "best_profile", "best_gain", "index_gain", F.array_join("profiles_hit", ",").alias("profiles_hit"), "cross")
+
+
+def history_page(spark, sf_dir):
+    """Orders 1,001 to 1,050 from the newest."""
+    return history.history_page(own.runs(spark, sf_dir), 50, 1000).select("n", "run", "site", "overall")
+
+
+def run_pairs(spark, sf_dir):
+    """Each order with the next one, which mostly is another customer's, and with the one of 20 before."""
+    runs = own.runs(spark, sf_dir)
+    next_one, before = runs.select(F.col("run").alias("a"), (F.col("run") + 1).alias("b")), runs.filter("run % 7 = 0").select(F.col("run").alias("a"), (F.col("run") - 20).alias("b"))
+    last = F.lag("run").over(Window.partitionBy("site").orderBy("created_at", "run"))
+    return history.comparable(next_one.unionByName(before).unionByName(runs.select(F.col("run").alias("a"), last.alias("b"))).distinct(), runs)
+
+
+def run_score_changes(spark, sf_dir):
+    areas = scores.area_scores(own.line_findings(spark, sf_dir)).withColumnRenamed("owner", "run")
+    return history.score_changes(run_pairs(spark, sf_dir), areas)
+
+
+def run_finding_changes(spark, sf_dir):
+    lines = own.line_findings(spark, sf_dir)
+    found = lines.select(F.col("owner").alias("run"), F.xxhash64("area", "title").alias("n"), "area", "severity", "title")
+    return history.finding_changes(run_pairs(spark, sf_dir), found).groupBy("older", "newer", "change", "area").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def site_reports(spark, sf_dir):
+    """Reports of all hosts, written, read back, and what stands in them."""
+    parsed = own.parsed(spark, sf_dir)
+    found = own_findings(spark, sf_dir).join(pages.findings(parsed).select("owner", "key", "area", "weight"), ["owner", "key"])
+    areas = scores.area_scores(found)
+    rows = parsed.select(F.col("host").alias("owner"), "url", "title", "words", "page_id")
+    simulation = rows.select("owner", F.col("page_id").alias("n"), F.when(F.col("page_id") % 3 > 0, F.col("title")).otherwise("").alias("query"), (F.col("page_id") % 5).alias("consensus"))
+    reports = history.site_reports(scores.overall_scores(areas, {"lexical": 1.5}), areas, found, rows, simulation)
+    path = history.write_reports(reports, shared_dir(spark))
+    read = spark.read.text(path).select(F.from_json("value", "site string, overall double, scores map<string,double>, findings array<struct<key:string,severity:string>>, pages array<struct<url:string>>").alias("r")).select("r.*")
+    asked = history.report_queries(spark, path).groupBy("site").agg(F.count(F.lit(1)).alias("queries"), F.max_by("query", "n").alias("last_query"))
+    out = read.select(F.col("site").alias("owner"), "overall", F.size("scores").alias("areas"), F.size("findings").alias("findings"), F.get("findings", F.lit(0))["key"].alias("first_finding"), F.get("pages", F.lit(0))["url"].alias("first_page"))
+    return out.join(asked, out["owner"] == asked["site"], "left").select("owner", "overall", "areas", "findings", "first_finding", "first_page", F.coalesce("queries", F.lit(0)).alias("queries"), "last_query")
+
+
+QUERIES = {f.__name__: f for f in (merged_findings, finding_texts, judged_passages, judge_outcomes, judge_verdicts, site_positions, citation_series, competitor_counts, page_severities, page_status_counts, audit_labels, gain_plan, history_page, run_score_changes, run_finding_changes, site_reports)}
 
 KEYS = ", ".join(f"({q(key)}, {i + 1})" for i, (key, *_) in enumerate(pages.page_rules()))
 SAME = ", ".join(f"({q(a)}, {q(p)})" for a, p in evidence.SAME.items())
@@ -153,6 +208,33 @@ BARE = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^
 STATUS = """SELECT url, max(CASE WHEN page_id % 6 = 0 THEN 2 WHEN page_id % 5 = 0 THEN 1 ELSE 0 END) AS r FROM pages WHERE url IS NOT NULL AND page_id % 11 <> 0 GROUP BY url"""
 
 
+PAIRS = f"""{RUNS}, x AS (SELECT run AS a, run + 1 AS b FROM ru UNION SELECT run, run - 20 FROM ru WHERE run % 7 = 0 UNION SELECT run, lag(run) OVER (PARTITION BY site ORDER BY created_at, run) FROM ru),
+pa AS (SELECT o.site, CASE WHEN n.created_at < o.created_at THEN x.b ELSE x.a END AS older, CASE WHEN n.created_at < o.created_at THEN x.a ELSE x.b END AS newer FROM x JOIN ru o ON o.run = x.a JOIN ru n ON n.run = x.b WHERE o.site = n.site AND x.a <> x.b)"""
+
+EVEN = lambda x: f"round_even(({x})::DECIMAL(30,12), 1)::DOUBLE"
+
+
+def gain_sql() -> str:
+    def usable(weights) -> str:
+        return " + ".join(f"CASE WHEN list_contains(known, '{a}') THEN {w} ELSE 0.0 END::DOUBLE" for a, w in weights.items())
+
+    def share(weights) -> str:
+        return f"CASE area {' '.join(f"WHEN '{a}' THEN {w}" for a, w in weights.items())} ELSE 0.0 END::DOUBLE"
+
+    gains = ", ".join(f"CASE WHEN {usable(w)} > 0 THEN {{'p': '{p}', 'g': {EVEN(f'd * ({share(w)}) / ({usable(w)})')}, 'w': {MARKET[p]}::DOUBLE}} END" for p, w in PROFILES.items())
+    return f"""
+WITH f AS ({OWN_SQL["page_findings"]}), w AS (SELECT host AS owner, words FROM ({OWN_SQL["page_fields"]})), k(key, n) AS (VALUES {KEYS}),
+g AS (SELECT f.*, n, {FACTOR} AS fa FROM f JOIN k USING (key)),
+c AS (SELECT owner, area FROM g WHERE fa IS NOT NULL GROUP BY owner, area HAVING sum(weight) > 0 UNION ALL SELECT DISTINCT owner, 'depth' FROM w),
+o AS (SELECT owner, list(area) AS known FROM c GROUP BY owner),
+t AS (SELECT *, coalesce(100 * weight * (1 - fa) / nullif(sum(weight) OVER (PARTITION BY owner, area), 0), 0.0)::DOUBLE AS d FROM g WHERE fa IS NOT NULL),
+e AS (SELECT *, list_filter([{gains}], lambda x: x IS NOT NULL) AS e FROM t JOIN o USING (owner) WHERE severity IN ('critical', 'warning')),
+b AS (SELECT *, coalesce(list_max(list_transform(e, lambda x: x.g)), 0.0) AS best, {EVEN("coalesce(list_sum(list_transform(e, lambda x: x.w * x.g)), 0.0)")} AS index_gain FROM e)
+SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, index_gain DESC, weight DESC, n) AS priority, key,
+       array_to_string(list_transform(e, lambda x: x.p || '=' || x.g), ',') AS gains, CASE WHEN best > 0 THEN list_filter(e, lambda x: x.g = best)[1].p ELSE '' END AS best_profile,
+       greatest(best, 0.0) AS best_gain, index_gain, array_to_string(list_transform(list_filter(e, lambda x: x.g >= 1), lambda x: x.p), ',') AS profiles_hit, len(list_filter(e, lambda x: x.g >= 1)) >= 2 AS "cross" FROM b"""
+
+
 def text_sql() -> str:
     def text(field: str, given: str) -> str:
         cases = []
@@ -168,6 +250,23 @@ def text_sql() -> str:
 
 
 SQL = {
+    "gain_plan": gain_sql(),
+    "history_page": f"WITH {RUNS} SELECT row_number() OVER (ORDER BY created_at DESC, run DESC) AS n, run, site, overall FROM ru ORDER BY n LIMIT 50 OFFSET 1000",
+    "run_score_changes": f"""WITH {LINES}, {PAIRS}, g AS (SELECT *, {FACTOR} AS f FROM li),
+s AS (SELECT owner AS run, area, {EVEN("100 * sum(CASE WHEN f IS NOT NULL THEN weight END * f) / nullif(sum(CASE WHEN f IS NOT NULL THEN weight END), 0)")} AS score FROM g GROUP BY owner, area)
+SELECT older, newer, a.area, {EVEN("b.score - a.score")} AS change FROM pa JOIN s a ON a.run = older JOIN s b ON b.run = newer AND b.area = a.area WHERE a.score IS NOT NULL AND b.score IS NOT NULL""",
+    "run_finding_changes": rf"""WITH {LINES}, {PAIRS}, k AS (SELECT DISTINCT owner AS run, area, area || '|' || regexp_replace(title, '\d+', 'N', 'g') AS key FROM li WHERE severity IN ('critical', 'warning')),
+n AS (SELECT older, newer, k.area, k.key FROM pa JOIN k ON k.run = newer), o AS (SELECT older, newer, k.area, k.key FROM pa JOIN k ON k.run = older)
+SELECT older, newer, 'new' AS change, area, count(*) AS findings FROM n ANTI JOIN o USING (older, newer, key) GROUP BY ALL UNION ALL SELECT older, newer, 'resolved', area, count(*) FROM o ANTI JOIN n USING (older, newer, key) GROUP BY ALL""",
+    "site_reports": f"""
+WITH f AS ({OWN_SQL["page_findings"]}), k(key, n) AS (VALUES {KEYS}), p AS (SELECT host AS owner, pages.page_id, url, title FROM ({OWN_SQL["page_fields"]}) x JOIN pages USING (page_id)),
+s AS (SELECT owner, area, {EVEN(f"100 * sum(weight * {FACTOR}) / sum(CASE WHEN severity <> 'info' THEN weight END)")} AS score FROM f GROUP BY owner, area),
+o AS (SELECT owner, coalesce({EVEN("sum(CASE area WHEN 'lexical' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END * score) / sum(CASE WHEN score IS NOT NULL THEN CASE area WHEN 'lexical' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END END)")}, 0.0) AS overall, count(score)::INT AS areas FROM s GROUP BY owner),
+c AS (SELECT owner, count(*)::INT AS findings, min_by(key, n) AS first_finding FROM f JOIN k USING (key) GROUP BY owner),
+u AS (SELECT owner, min(url) AS first_page FROM p GROUP BY owner),
+a AS (SELECT owner, title AS query, row_number() OVER (PARTITION BY owner ORDER BY page_id) AS n FROM p WHERE page_id % 3 > 0 AND title <> ''),
+l AS (SELECT owner, count(*) AS queries, max_by(query, n) AS last_query FROM a WHERE n <= 15 GROUP BY owner)
+SELECT owner, overall, areas, findings, first_finding, first_page, coalesce(queries, 0) AS queries, last_query FROM o JOIN c USING (owner) JOIN u USING (owner) LEFT JOIN l USING (owner)""",
     "merged_findings": rf"""
 WITH f AS ({OWN_SQL["page_findings"]}), k(key, n) AS (VALUES {KEYS}), same(audit, p) AS (VALUES {SAME}),
 o AS (SELECT owner, n, key, severity, key AS title, pages || ' pages' AS detail FROM f JOIN k USING (key)),

@@ -176,7 +176,7 @@ de(node, depth) USING KEY (node) AS (SELECT 's1', 0 UNION SELECT dst, min(depth)
 SELECT CASE WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 4 THEN '4+' ELSE depth::VARCHAR END AS bucket, count(*) AS nodes FROM no LEFT JOIN de USING (node) GROUP BY 1""",
     "citation_rate": r"""SELECT role AS provider, count_if(coalesce(text, '') <> '')::BIGINT AS answered, count_if(coalesce(text, '') = '')::BIGINT AS failed,
  count_if(coalesce(text, '') <> '' AND regexp_matches(text, 'https?://|www\.|@|\d'))::BIGINT AS cited,
- round_even(100.0::DOUBLE * count_if(coalesce(text, '') <> '' AND regexp_matches(text, 'https?://|www\.|@|\d')) / nullif(count_if(coalesce(text, '') <> ''), 0), 1) AS rate FROM conversations GROUP BY role""",
+ coalesce(round_even(100.0::DOUBLE * count_if(coalesce(text, '') <> '' AND regexp_matches(text, 'https?://|www\.|@|\d')) / nullif(count_if(coalesce(text, '') <> ''), 0), 1), 0.0) AS rate FROM conversations GROUP BY role""",
     "anchor_variety": rf"""WITH a AS (SELECT DISTINCT {HOST} AS owner, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*href="[^"]*"[^>]*>.*?</a>')) AS a FROM pages),
 p AS (SELECT DISTINCT owner, lower({plain('a')}) AS text, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS target FROM a WHERE length(lower({plain('a')})) >= 3),
 t AS (SELECT owner, text, count(*) AS n FROM p GROUP BY ALL)
