@@ -113,7 +113,7 @@ def report_queries(spark: SparkSession, path: str, most: int = QUERIES) -> DataF
 
     A report may stand on one line or on many; what is no report gives no row.
     """
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     lines = texts.select(F.explode(F.when(F.from_json(F.trim("value"), "site string", {"mode": "PERMISSIVE"})["site"].isNotNull() & ~F.trim("value").contains("}\n{"), F.array("value")).otherwise(F.split("value", "\n"))).alias("value"))
     rows = lines.select(F.from_json("value", "site string, rrf_simulation array<struct<query:string>>").alias("r")).select("r.site", F.posexplode("r.rrf_simulation").alias("_i", "q"))
     kept = rows.filter("q.query <> ''").withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("_i")).cast("long"))

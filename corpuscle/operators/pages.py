@@ -59,6 +59,7 @@ def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         (F.regexp_count(h, F.lit(r"(?i)<meta[^>]*charset=")) > 0).alias("has_charset"),
         F.exists(all_of(h, r"(?is)<meta\b[^>]*>", 0), lambda t: F.lower(attribute(t, "name")) == "viewport").alias("has_viewport"),
         F.transform(all_of(c, r"(?is)<h1\b[^>]*>(.*?)</h1>"), plain).alias("h1"),
+        F.transform(F.slice(all_of(c, r"(?is)<h[1-4]\b[^>]*>(.*?)</h[1-4]>"), 1, 2), plain).alias("first_headings"),
         F.size(all_of(c, r"(?is)<p\b[^>]*>(.*?)</p>")).alias("paragraphs"),
         F.transform(all_of(c, r"(?is)<a\b[^>]*>(.*?)</a>"), lambda x: F.lower(plain(x))).alias("anchors"),
         F.regexp_count(h, F.lit(r"(?i)<img\b")).alias("images"),
@@ -87,9 +88,12 @@ def page_rules() -> list[tuple[str, str, str, float, Column]]:
     """(key, area, severity, weight, whether a page breaks it)."""
     bare = F.col("title") == ""
     size = F.char_length("title")
+    netloc = F.lower(F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1))
+    named = (netloc != "") & F.replace(F.lower(F.col("title")), F.lit("www."), F.lit("")).contains(netloc) & (size < TITLE_MAX)
+    head = F.concat_ws(" ", "title", "first_headings")
     return [
         ("lex.title.missing", "lexical", "critical", 2.0, bare),
-        ("lex.title.bad", "lexical", "critical", 2.0, ~bare & ((size < TITLE_MIN) | (size > TITLE_MAX))),
+        ("lex.title.bad", "lexical", "critical", 2.0, ~bare & (named | (size < TITLE_MIN) | (size > TITLE_MAX))),
         ("lex.h1.missing", "lexical", "critical", 1.5, F.size("h1") == 0),
         ("lex.h1.multi", "lexical", "warning", 1.0, F.size("h1") > 1),
         ("lex.words.thin", "lexical", "critical", 2.0, F.col("words") < THIN_WORDS),
@@ -101,7 +105,7 @@ def page_rules() -> list[tuple[str, str, str, float, Column]]:
         ("tech.canonical.missing", "technical", "warning", 1.0, F.col("canonical") == ""),
         ("tech.https.missing", "technical", "critical", 2.0, ~F.col("url").startswith("https://")),
         ("tech.links.generic_anchors", "technical", "info", 1.0, F.exists("anchors", lambda a: matches(a, GENERIC_ANCHOR))),
-        ("tech.pages.soft404", "technical", "warning", 2.0, matches(F.col("title"), SOFT_404) | ((F.col("words") <= SOFT_404_WORDS) & matches(F.col("text"), SOFT_404))),
+        ("tech.pages.soft404", "technical", "warning", 2.0, matches(head, SOFT_404) | ((F.col("words") <= SOFT_404_WORDS) & matches(F.substring("text", 1, 1500), SOFT_404))),
         ("tech.js.heavy", "technical", "critical", 2.0, (F.col("html_chars") > 0) & (F.col("words") < JS_WORDS) & (F.col("script_chars") > JS_SHARE * F.col("html_chars"))),
         ("sd.semantic.poor", "structured", "warning", 1.0, (F.col("elements") >= MIN_ELEMENTS) & (F.col("semantic_kinds") < MIN_SEMANTIC)),
         ("sd.semantic.divitis", "structured", "warning", 1.0, (F.col("elements") >= MIN_ELEMENTS) & (F.col("divs") > DIV_SHARE * F.col("elements"))),

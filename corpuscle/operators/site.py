@@ -403,3 +403,29 @@ def jsonld_missing(nodes: DataFrame) -> DataFrame:
     lacks = F.when(instead, F.array().cast("array<string>")).otherwise(F.filter("_r", lambda k: value(k).isin('""', "0", "0.0", "-0.0", "false", "[]", "{}")))
     per = rows.withColumn("_l", lacks).groupBy("owner", "type").agg(F.count(F.lit(1)).alias("checked"), F.collect_set("_l").alias("_s"))
     return per.select("owner", "type", "checked", F.array_sort(F.array_distinct(F.flatten("_s"))).alias("missing"))
+
+
+def redirects(pages: DataFrame, url_col: str = "url", final_col: str = "final_url") -> DataFrame:
+    """``pages`` with ``redirect``: http_left (only the scheme differs), www_mixed (only ``www.`` does), moved, or null where a page leads nowhere else.
+
+    Urls are compared as normalised ones, schemes and hosts as they are written.
+    """
+    part = lambda c, i: F.regexp_extract(norm_url(F.col(c)), r"^([^:/?#]+)://([^/?#]*)(.*)$", i)
+    (was, at, rest), (now, to, left) = ([part(c, i) for i in (1, 2, 3)] for c in (url_col, final_col))
+    bare = lambda h: F.regexp_replace(h, r"^www\.", "")
+    www = (rest == left) & (at != to) & (bare(at) == bare(to))
+    kind = F.when((was == now) & (at == to) & (rest == left), None).when((rest == left) & (at == to) & (was == "http") & (now == "https"), "http_left").when(www, "www_mixed").otherwise("moved")
+    return pages.withColumn("redirect", F.when(F.coalesce(F.col(final_col), F.lit("")) != "", kind))
+
+
+def redirect_findings(pages: DataFrame, owner: str = "owner", times_col: str = "redirects") -> DataFrame:
+    """``owner, key, area, severity, weight``: redirects of each kind, chains of more than one, or that there are none (chains may stand beside)."""
+    per = redirects(pages).groupBy(owner).agg(*[F.count_if(F.col("redirect") == k).alias(k) for k in ("http_left", "www_mixed", "moved")], F.count_if(F.coalesce(F.col(times_col), F.lit(0)) > 1).alias("chains"))
+    per = per.withColumnRenamed(owner, "owner")
+    one = F.lit(1.0)
+    some = (F.col("http_left") > 0) | (F.col("www_mixed") > 0) | (F.col("moved") > 0)
+    return one_row_each(per, [
+        *[(f"tech.redirect.{k}", "technical", F.when(F.col(k) > 0, "warning"), one) for k in ("http_left", "www_mixed", "moved")],
+        ("tech.redirect.chains", "technical", F.when(F.col("chains") > 0, "warning"), F.lit(2.0)),
+        ("tech.redirect.none", "technical", F.when(~some, "ok"), one),
+    ])

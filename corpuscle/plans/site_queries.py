@@ -63,6 +63,15 @@ def customer_orphans(spark, sf_dir):
     return graph.orphans(site.page_links(rows), site.page_nodes(rows).select("node"), site.homes(rows))
 
 
+def customer_redirects(spark, sf_dir):
+    """Findings over where customers' pages would lead: a kind for each host, chains on some."""
+    k = F.col("c_custkey")
+    at, path = F.concat(F.lit("s"), (k % 25).cast("string"), F.lit(".example")), F.concat(F.lit("/c/"), k.cast("string"))
+    final = F.when(k % 5 == 0, F.concat(F.lit("https://"), at, path)).when(k % 5 == 1, F.concat(F.lit("http://www."), at, path)).when(k % 5 == 2, F.concat(F.lit("http://"), at, F.lit("/moved"), path)).when(k % 5 == 3, F.concat(F.lit("http://"), at, path, F.lit("/#top")))
+    rows = table(spark, sf_dir, "customer").select(at.alias("owner"), F.concat(F.lit("http://"), at, path).alias("url"), final.alias("final_url"), F.when(k % 25 < 10, k % 4).alias("redirects"))
+    return site.redirect_findings(rows)
+
+
 def part_pages(spark, sf_dir):
     """A page for every part with its structured data: prices that are 0 or missing, brands, questions."""
     k = F.col("p_partkey")
@@ -152,7 +161,7 @@ def share_findings(spark, sf_dir):
     return retrieval.share_findings(own.hybrid_top5(spark, sf_dir).join(owners, "doc"), owners)
 
 
-QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, customer_in_degree, customer_orphans, part_jsonld_types, part_jsonld_missing, page_orphans, page_depths, page_link_findings, site_findings, page_blocks, part_lists, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, retrieval_findings, share_findings)}
+QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, customer_in_degree, customer_orphans, customer_redirects, part_jsonld_types, part_jsonld_missing, page_orphans, page_depths, page_link_findings, site_findings, page_blocks, part_lists, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, retrieval_findings, share_findings)}
 
 
 def attribute(tag: str, name: str) -> str:
@@ -192,6 +201,9 @@ PARTS = """a AS (SELECT 'p' || p_partkey % 5 || '.example' AS owner, p_partkey A
 t AS (SELECT owner, k, unnest(['Product', 'Organization', 'Brand']) AS type FROM a UNION ALL SELECT owner, k, 'Offer' FROM a WHERE k % 4 = 0 UNION ALL SELECT owner, k, unnest(['BreadcrumbList', 'ListItem']) FROM a WHERE k % 2 = 0)"""
 
 SQL = {
+    "customer_redirects": """WITH h AS (SELECT 's' || c_custkey % 25 || '.example' AS owner, c_custkey % 5 AS k, bool_or(c_custkey % 25 < 10 AND c_custkey % 4 > 1) AS chains FROM customer GROUP BY ALL)
+SELECT owner, 'tech.redirect.' || CASE k WHEN 0 THEN 'http_left' WHEN 1 THEN 'www_mixed' WHEN 2 THEN 'moved' ELSE 'none' END AS key, 'technical' AS area, CASE WHEN k < 3 THEN 'warning' ELSE 'ok' END AS severity, 1.0::DOUBLE AS weight FROM h
+UNION ALL SELECT owner, 'tech.redirect.chains', 'technical', 'warning', 2.0 FROM h WHERE chains""",
     "part_lists": """WITH a AS (SELECT p_partkey, unnest([
   {'o': 0, 'kind': 'h', 'level': 2, 'text': 'List ' || p_partkey || ' & more'}, {'o': 1, 'kind': 'p', 'level': 0, 'text': p_name || ' short'},
   {'o': 2, 'kind': 'p', 'level': 0, 'text': repeat(p_name, 3) || ' and on tail ' || repeat(p_brand, 5)}, {'o': 3, 'kind': 'p', 'level': 0, 'text': repeat(p_name, 3) || ' and on'},

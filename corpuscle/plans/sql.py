@@ -70,7 +70,7 @@ pg AS (
     regexp_extract(h, '(?i)<meta\s+name="description"\s+content="([^"]*)"', 1) AS description,
     regexp_extract(h, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1) AS canonical,
     regexp_matches(h, '(?i)<meta[^>]*charset=') AS has_charset, regexp_matches(h, '(?i)<meta[^>]*name="viewport"') AS has_viewport,
-    len(regexp_extract_all(c, '(?is)<h1\b[^>]*>(.*?)</h1>')) AS h1, len(regexp_extract_all(c, '(?is)<p\b[^>]*>(.*?)</p>')) AS paragraphs,
+    len(regexp_extract_all(c, '(?is)<h1\b[^>]*>(.*?)</h1>')) AS h1, list_transform(regexp_extract_all(c, '(?is)<h[1-4]\b[^>]*>(.*?)</h[1-4]>', 1)[1:2], lambda x: {plain('x')}) AS first_headings, len(regexp_extract_all(c, '(?is)<p\b[^>]*>(.*?)</p>')) AS paragraphs,
     list_transform(regexp_extract_all(c, '(?is)<a\b[^>]*>(.*?)</a>', 1), lambda x: lower({plain('x')})) AS anchors,
     len(regexp_extract_all(h, '(?i)<img\b')) AS images,
     coalesce(list_sum(list_transform(regexp_extract_all(h, '(?is)<script\b[^>]*>(.*?)</script>', 1), lambda x: length(x))), 0)::BIGINT AS script_chars,
@@ -82,7 +82,7 @@ pg AS (
 """
 RULES = [
     ("lex.title.missing", "lexical", "critical", 2.0, "title = ''"),
-    ("lex.title.bad", "lexical", "critical", 2.0, "title <> '' AND (length(title) < 30 OR length(title) > 65)"),
+    ("lex.title.bad", "lexical", "critical", 2.0, "title <> '' AND (length(title) < 30 OR length(title) > 65 OR (length(title) < 65 AND regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) <> '' AND contains(replace(lower(title), 'www.', ''), lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)))))"),
     ("lex.h1.missing", "lexical", "critical", 1.5, "h1 = 0"),
     ("lex.h1.multi", "lexical", "warning", 1.0, "h1 > 1"),
     ("lex.words.thin", "lexical", "critical", 2.0, "words < 300"),
@@ -94,7 +94,7 @@ RULES = [
     ("tech.canonical.missing", "technical", "warning", 1.0, "canonical = ''"),
     ("tech.https.missing", "technical", "critical", 2.0, "NOT starts_with(url, 'https://')"),
     ("tech.links.generic_anchors", "technical", "info", 1.0, f"len(list_filter(anchors, lambda a: regexp_matches(a, {q('(?i)' + GENERIC_ANCHOR)}))) > 0"),
-    ("tech.pages.soft404", "technical", "warning", 2.0, f"regexp_matches(title, {q('(?i)' + SOFT_404)}) OR (words <= 120 AND regexp_matches(text, {q('(?i)' + SOFT_404)}))"),
+    ("tech.pages.soft404", "technical", "warning", 2.0, f"regexp_matches(concat_ws(' ', title, array_to_string(first_headings, ' ')), {q('(?i)' + SOFT_404)}) OR (words <= 120 AND regexp_matches(substr(text, 1, 1500), {q('(?i)' + SOFT_404)}))"),
     ("tech.js.heavy", "technical", "critical", 2.0, "html_chars > 0 AND words < 120 AND script_chars > 0.4 * html_chars"),
     ("sd.semantic.poor", "structured", "warning", 1.0, "elements >= 30 AND semantic_kinds < 2"),
     ("sd.semantic.divitis", "structured", "warning", 1.0, "elements >= 30 AND divs > 0.5 * elements"),

@@ -268,3 +268,29 @@ def test_parsed_pages_take_attributes_in_any_quotes(spark):
     html = "<html lang='it'><head><meta content='d' NAME='description'><link href='/c' rel='canonical'><meta content='x' name=viewport></head><body>t</body></html>"
     row = pages.parse_pages(spark.createDataFrame([("https://x.it/a", html)], "url string, html string")).first()
     assert (row.lang, row.description, row.canonical, row.has_viewport) == ("it", "d", "/c", True)
+
+
+def test_titles_with_the_host_and_pages_not_found(spark):
+    def found(url, title, body):
+        given = spark.createDataFrame([(url, f"<html><head><title>{title}</title></head><body>{body}</body></html>")], "url string, html string")
+        return {r.key for r in pages.findings(pages.parse_pages(given)).filter("severity <> 'ok'").collect()}
+
+    assert "lex.title.bad" in found("https://shop.it/a", "Everything about lamps | Shop.it store", "x")
+    assert "lex.title.bad" not in found("https://shop.it/a", "Everything about lamps in the store", "x")
+    assert "lex.title.bad" not in found("https://shop.it/a", "Everything about lamps, shop.it and all that goes with them, long", "x")
+    many = "word " * 200
+    assert "tech.pages.soft404" in found("https://shop.it/a", "Shop", f"<h1>Page not found</h1>{many}")
+    assert "tech.pages.soft404" not in found("https://shop.it/a", "Shop", f"<h1>A</h1><h2>B</h2><h3>Page not found</h3>{many}")
+    assert "tech.pages.soft404" in found("https://shop.it/a", "Shop", "page not found")
+    assert "tech.pages.soft404" not in found("https://shop.it/a", "Shop", "w" * 1600 + " page not found")
+
+
+def test_redirects(spark):
+    rows = [
+        ("http://a.it/x", "https://a.it/x/", "http_left"), ("http://a.it/x", "http://www.a.it/x", "www_mixed"), ("https://www.a.it/x?q=1", "http://a.it/x?q=1", "www_mixed"), ("https://a.it/x", "http://a.it/x", "moved"),
+        ("http://a.it/x", "https://a.it/y", "moved"), ("http://a.it/x", "https://www.a.it/y", "moved"), ("http://a.it", "http://a.it/#t", None), ("http://a.it/x", "", None), ("http://a.it/x", None, None),
+    ]
+    given = spark.createDataFrame(rows, "url string, final_url string, want string")
+    assert all(r.redirect == r.want for r in site.redirects(given).collect())
+    found = site.redirect_findings(given.selectExpr("want as owner", "url", "final_url", "if(want = 'moved', 2, null) as redirects")).collect()
+    assert {(r.owner, r.key) for r in found} == {(k, f"tech.redirect.{k or 'none'}") for k in ("http_left", "www_mixed", "moved", None)} | {("moved", "tech.redirect.chains")}
