@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: a token starts with a letter or digit and goes on with these, apostrophes and hyphens.
@@ -113,3 +113,29 @@ def effort(title: Column, fix: Column) -> Column:
 def finding_key(area: Column, title: Column) -> Column:
     """A finding's name across runs: numbers in its title don't count."""
     return F.concat_ws("|", area, F.regexp_replace(title, r"\d+", "N"))
+
+
+def finding_anchor(area: Column, title: Column) -> Column:
+    """A finding's name in a document: lower case, numbers as n, at most 70 letters; repeats are told apart by :func:`numbered_anchors`."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.concat_ws("-", area, F.regexp_replace(title, r"[0-9]+", "n"))), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    cut = F.regexp_replace(F.substring(slug, 1, 70), r"-+$", "")
+    return F.concat(F.lit("r-"), F.when(cut == "", "rilievo").otherwise(cut))
+
+
+def numbered_anchors(findings: DataFrame, by: str, order: str) -> DataFrame:
+    """``findings`` (area, title) with ``anchor``; within ``by`` the second of one name, by ``order``, gets -2 and so on."""
+    named = findings.withColumn("anchor", finding_anchor(F.col("area"), F.col("title")))
+    k = F.row_number().over(Window.partitionBy(by, "anchor").orderBy(order))
+    return named.withColumn("_k", k).withColumn("anchor", F.when(F.col("_k") > 1, F.concat_ws("-", "anchor", F.col("_k").cast("string"))).otherwise(F.col("anchor"))).drop("_k")
+
+
+def score_verdict(score: Column) -> Column:
+    """Good from 70, to be improved from 40, else critical; null without a score. Fixed values."""
+    return F.when(score >= 70, "Buono").when(score >= 40, "Da migliorare").when(score.isNotNull(), "Critico")
+
+
+def passage_label(url: Column, heading: Column) -> Column:
+    """A passage's name: its path and the first 60 characters of its heading. The sign between them and the words for no heading."""
+    path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    head = F.coalesce(F.nullif(heading, F.lit("")), F.lit("(senza heading)"))
+    return F.concat(F.when(path == "", "/").otherwise(path), F.lit("  \u00b7  "), F.substring(head, 1, 60))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,19 +84,20 @@ def dedupe_pages(parsed: DataFrame, url_col: str = "url") -> DataFrame:
     return texts.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n").unionByName(empty)
 
 
-def page_rules() -> list[tuple[str, str, str, float, Column]]:
-    """(key, area, severity, weight, whether a page breaks it)."""
+def page_rules(limits: Mapping[str, float] | None = None) -> list[tuple[str, str, str, float, Column]]:
+    """(key, area, severity, weight, whether a page breaks it); ``limits`` as :func:`corpuscle.operators.limits.checked` gives them."""
+    low, high, thin = (limits or {}).get("title_min", TITLE_MIN), (limits or {}).get("title_max", TITLE_MAX), (limits or {}).get("thin_words", THIN_WORDS)
     bare = F.col("title") == ""
     size = F.char_length("title")
     netloc = F.lower(F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1))
-    named = (netloc != "") & F.replace(F.lower(F.col("title")), F.lit("www."), F.lit("")).contains(netloc) & (size < TITLE_MAX)
+    named = (netloc != "") & F.replace(F.lower(F.col("title")), F.lit("www."), F.lit("")).contains(netloc) & (size < high)
     head = F.concat_ws(" ", "title", "first_headings")
     return [
         ("lex.title.missing", "lexical", "critical", 2.0, bare),
-        ("lex.title.bad", "lexical", "critical", 2.0, ~bare & (named | (size < TITLE_MIN) | (size > TITLE_MAX))),
+        ("lex.title.bad", "lexical", "critical", 2.0, ~bare & (named | (size < low) | (size > high))),
         ("lex.h1.missing", "lexical", "critical", 1.5, F.size("h1") == 0),
         ("lex.h1.multi", "lexical", "warning", 1.0, F.size("h1") > 1),
-        ("lex.words.thin", "lexical", "critical", 2.0, F.col("words") < THIN_WORDS),
+        ("lex.words.thin", "lexical", "critical", 2.0, F.col("words") < thin),
         ("lex.slug.bad", "lexical", "warning", 1.0, F.col("slug").rlike(BAD_SLUG)),
         ("lex.desc.missing", "lexical", "critical", 1.5, F.col("description") == ""),
         ("tech.lang.missing", "technical", "warning", 1.0, F.col("lang") == ""),
@@ -113,12 +114,12 @@ def page_rules() -> list[tuple[str, str, str, float, Column]]:
     ]
 
 
-def findings(parsed: DataFrame, owner: str = "host") -> DataFrame:
+def findings(parsed: DataFrame, owner: str = "host", limits: Mapping[str, float] | None = None) -> DataFrame:
     """``owner, key, area, severity, weight, pages, example``: for each owner and rule one row; ``ok`` where no page breaks it.
 
     One aggregate over the pages evaluates all rules; its row is turned into one row for each rule.
     """
-    rules = page_rules()
+    rules = page_rules(limits)
     counts = [F.count_if(broken).alias(f"n{i}") for i, (*_, broken) in enumerate(rules)]
     first = [F.min(F.when(broken, F.col("url"))).alias(f"e{i}") for i, (*_, broken) in enumerate(rules)]
     per = parsed.groupBy(F.col(owner).alias("owner")).agg(*counts, *first)
@@ -162,3 +163,21 @@ def anchor_variety(pages: DataFrame, owner: str = "host", url_col: str = "url",
     per = pairs.groupBy("owner", "text").agg(F.count(F.lit(1)).alias("n"))
     out = per.groupBy("owner").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("pairs"), F.count_if(F.col("n") > 1).alias("ambiguous"))
     return out.select("owner", "texts", "pairs", F.round(F.col("texts") / F.col("pairs"), 3).alias("variety"), "ambiguous")
+
+
+def visit_findings(visits: DataFrame, slow: float = 2.0) -> DataFrame:
+    """``owner, key, severity, weight, pages, example``: pages that didn't answer, slow ones, and copies of others; only what was found.
+
+    ``visits``: owner, url, status, error, elapsed (seconds), text. A page answered if its
+    status is 200 and there is no error. A copy has another answering page's text.
+    """
+    good = F.coalesce((F.col("status") == 200) & (F.coalesce("error", F.lit("")) == ""), F.lit(False))
+    rows = visits.select("owner", "url", good.alias("_ok"), "elapsed", F.when(good & (F.coalesce("text", F.lit("")) != ""), F.sha2("text", 256)).alias("_d"))
+    # One row stays of each text; the rows of a text are counted, not gathered.
+    copies = rows.filter("_d IS NOT NULL").groupBy("owner", "_d").agg((F.count(F.lit(1)) - 1).alias("_c"), F.max_by("url", F.struct(F.char_length("url"), F.col("url"))).alias("_u")).filter("_c > 0")
+    copies = copies.groupBy("owner").agg(F.sum("_c").alias("n"), F.min("_u").alias("e")).select("owner", F.lit("tech.pages.duplicates").alias("key"), F.lit("warning").alias("severity"), F.lit(1.0).alias("weight"), F.col("n").alias("pages"), F.col("e").alias("example"))
+    late = F.col("_ok") & (F.col("elapsed") > slow)
+    per = rows.groupBy("owner").agg(F.count_if(~F.col("_ok")).alias("n0"), F.min(F.when(~F.col("_ok"), F.col("url"))).alias("e0"), F.count_if(late).alias("n1"), F.min(F.when(late, F.col("url"))).alias("e1"))
+    kinds = [("tech.pages.broken", "critical"), ("tech.slow", "warning")]
+    found = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(s).alias("severity"), F.lit(1.0).alias("weight"), F.col(f"n{i}").alias("pages"), F.col(f"e{i}").alias("example")) for i, (k, s) in enumerate(kinds)])
+    return per.select("owner", F.inline(found)).filter("pages > 0").unionByName(copies)

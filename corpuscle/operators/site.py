@@ -429,3 +429,26 @@ def redirect_findings(pages: DataFrame, owner: str = "owner", times_col: str = "
         ("tech.redirect.chains", "technical", F.when(F.col("chains") > 0, "warning"), F.lit(2.0)),
         ("tech.redirect.none", "technical", F.when(~some, "ok"), one),
     ])
+
+
+#: Pairs from which anchors are judged, and the share of distinct texts that is varied enough.
+ANCHOR_PAIRS, ANCHOR_VARIETY = 10, 0.8
+
+
+def anchor_pairs(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``owner, text, target``: distinct texts (lower case, three characters and more) and targets of links within a host."""
+    whole = all_of(text_of(html_col), r"(?is)(<a\b[^>]*>.*?)</a>", 1)
+    rows = pages.select(host(F.col(url_col)).alias("owner"), F.col(url_col).alias("_b"), F.explode(whole).alias("_a"))
+    tag = F.regexp_extract("_a", r"(?is)^<a\b[^>]*>", 0)
+    to = resolved(F.col("_b"), decoded(attribute(tag, "href")))
+    words = F.lower(F.trim(F.regexp_replace(decoded(F.regexp_replace(F.regexp_replace("_a", r"(?is)^<a\b[^>]*>", ""), r"(?s)<[^>]*>", " ")), r"(?U)\s+", " ")))
+    netloc = lambda c: F.regexp_extract(c, r"^[^:/?#]+://([^/?#]*)", 1)
+    rows = rows.select("owner", words.alias("text"), "_b", to.alias("_t")).filter((F.char_length("text") >= 3) & (netloc(F.col("_b")) == netloc(F.col("_t"))))
+    return rows.select("owner", "text", norm_url(F.col("_t")).alias("target")).distinct()
+
+
+def anchor_findings(pairs: DataFrame, varied: float = ANCHOR_VARIETY) -> DataFrame:
+    """``owner, key, area, severity, weight, texts, pairs, ambiguous``: whether texts tell where links lead; below ten pairs nothing is judged."""
+    per = pairs.groupBy("owner", "text").agg(F.count(F.lit(1)).alias("_n")).groupBy("owner").agg(F.count(F.lit(1)).alias("texts"), F.sum("_n").alias("pairs"), F.count_if(F.col("_n") > 1).alias("ambiguous")).filter(F.col("pairs") >= ANCHOR_PAIRS)
+    good = F.col("texts") / F.col("pairs") >= varied
+    return per.select("owner", F.when(good, "tech.anchors.varied").otherwise("tech.anchors.repetitive").alias("key"), F.lit("technical").alias("area"), F.when(good, "ok").otherwise("warning").alias("severity"), F.lit(1.0).alias("weight"), "texts", "pairs", "ambiguous")

@@ -14,12 +14,20 @@ def query_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("query")).filter("query <> ''")
 
 
-def search_console(spark: SparkSession, path: str, most: int = 15, sep: str = ",") -> DataFrame:
+def delimiter(spark: SparkSession, path: str) -> str:
+    """Semicolon where a file's first 4,096 characters hold more of them than commas."""
+    lines = [r["value"] for r in spark.read.text(path).limit(200).collect()]
+    head = "\n".join(lines)[:4096]
+    return ";" if head.count(";") > head.count(",") else ","
+
+
+def search_console(spark: SparkSession, path: str, most: int = 15, sep: str | None = None) -> DataFrame:
     """``query, clicks, impressions`` of a search statistics export: most clicks first, then impressions; each query once without regard to case.
 
     Columns are told by the start of their names in English, Italian or Spanish; all that
-    isn't a digit is taken out of numbers.
+    isn't a digit is taken out of numbers. Without ``sep`` the delimiter is told from the file's start.
     """
+    sep = sep or delimiter(spark, path)
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
 
     def named(*starts: str) -> str | None:
