@@ -50,8 +50,10 @@ def listed_urls(rows: DataFrame, listed: DataFrame, key_col: str) -> DataFrame:
     Each key's block and bits are looked up in the Bloom filter, 256 bits a block and 16 a
     key. Rows that it rules out are done; only the possible hits go on to the join on the
     whole key, which removes the false positives. Spark picks broadcast or shuffle for
-    both joins by measured size.
+    both joins by measured size. Rows without a key are in no list and move nowhere.
     """
+    none = rows.filter(F.col(key_col) == "").select(*rows.columns, F.lit(False).alias("_listed"))
+    rows = rows.filter(F.col(key_col) != "")
     blocks = max(1, -(-listed.count() * BITS_PER_KEY // (32 * WORDS)))
     bloom = bloom_filter(listed, "_key", blocks)
     probed = rows.withColumn("_b", F.pmod(F.xxhash64(key_col), F.lit(blocks))).join(bloom, F.col("_b") == F.col("_block"), "left")
@@ -60,7 +62,7 @@ def listed_urls(rows: DataFrame, listed: DataFrame, key_col: str) -> DataFrame:
         maybe = maybe & F.coalesce(F.col(f"_w{i}").bitwiseAND(m) != 0, F.lit(False))
     probed = probed.select(*rows.columns, maybe.alias("_maybe"))
     hits = probed.filter("_maybe").join(listed, F.col(key_col) == F.col("_key"), "left").select(*rows.columns, F.col("_key").isNotNull().alias("_listed"))
-    return hits.unionByName(probed.filter("NOT _maybe").select(*rows.columns, F.lit(False).alias("_listed")))
+    return hits.unionByName(probed.filter("NOT _maybe").select(*rows.columns, F.lit(False).alias("_listed"))).unionByName(none)
 
 
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
