@@ -21,13 +21,14 @@ def digested(docs: DataFrame, id_col: str, text_col: str, salts: int, *more: Col
 
 
 def repeated_digests(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
-    """``_sha, _xx`` of texts that more than one row has, written: no text moves for it.
+    """``_sha, _xx, _salt`` of texts that more than one row has, for each salt under which one lies, written: no text moves for it.
 
-    Counted inside each map task first, then by salted digest, then over the salts.
+    Counted inside each map task first, then by salted digest; a window adds up the at most
+    ``salts`` counts of a digest.
     """
     salted = digested(docs, id_col, text_col, salts).groupBy("_sha", "_xx", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    counted = salted.groupBy("_sha", "_xx").agg(F.sum("_n").alias("_n"))
-    return written(counted.filter("_n > 1").select("_sha", "_xx"), "dedup-repeated")
+    counted = salted.withColumn("_all", F.sum("_n").over(Window.partitionBy("_sha", "_xx")))
+    return written(counted.filter("_all > 1").select("_sha", "_xx", "_salt"), "dedup-repeated")
 
 
 def salt_groups(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
@@ -41,8 +42,8 @@ def salt_groups(docs: DataFrame, id_col: str, text_col: str, salts: int) -> Data
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = digested(docs, id_col, text_col, salts, text.alias("_text"))
-    # Only digests stand in the hash tables; texts stream past them unsorted.
-    rows = rows.join(repeated_digests(docs, id_col, text_col, salts).hint("shuffle_hash"), ["_sha", "_xx"], "left_semi")
+    # Only digests stand in the hash tables; texts stream past them unsorted, a hot text under all its salts.
+    rows = rows.join(repeated_digests(docs, id_col, text_col, salts).hint("shuffle_hash"), ["_sha", "_xx", "_salt"], "left_semi")
     salted = rows.groupBy("_sha", "_xx", "_salt", "_text").agg(F.max("_id").alias("_max"), F.count(F.lit(1)).alias("_n"))
     same = Window.partitionBy("_sha", "_xx", "_text")
     return salted.select("_sha", "_xx", "_salt", F.max("_max").over(same).alias("keep_id"), F.sum("_n").over(same).alias("group_size"))
