@@ -9,7 +9,7 @@ from corpuscle.operators import catalogue, checks, citations, evidence, history,
 from corpuscle.plans import queries as own
 from corpuscle.plans import site_queries
 from corpuscle.plans.sql import SQL as OWN_SQL
-from corpuscle.plans.sql import FACTOR, LINES, RUNS, q
+from corpuscle.plans.sql import FACTOR, LINES, RULES, RUNS, q
 from corpuscle.session import shared_dir, table
 
 #: Own texts of findings: key, field, template.
@@ -199,7 +199,7 @@ def site_reports(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (merged_findings, finding_texts, judged_passages, judge_outcomes, judge_verdicts, site_positions, citation_series, competitor_counts, page_severities, page_status_counts, audit_labels, gain_plan, history_page, run_score_changes, run_finding_changes, site_reports)}
 
-KEYS = ", ".join(f"({q(key)}, {i + 1})" for i, (key, *_) in enumerate(pages.page_rules()))
+KEYS = ", ".join(f"({q(key)}, {i + 1})" for i, (key, *_) in enumerate(RULES))
 SAME = ", ".join(f"({q(a)}, {q(p)})" for a, p in evidence.SAME.items())
 JUDGED = """s AS (SELECT item_id + 1 AS id, item_id::VARCHAR AS query, md5(text) AS label FROM benchmark WHERE item_id < 5),
 c AS (SELECT conv_id || '-' || turn AS model, turn % 7 AS i, round_even((least(100.0::DOUBLE, length(text) % 130 + 0.25::DOUBLE))::DECIMAL(30,12), 1)::DOUBLE AS x, conv_id % 5 IN (1, 2) AS bad FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
