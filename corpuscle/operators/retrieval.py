@@ -17,6 +17,9 @@ from corpuscle.functions.text import char_ngrams, text_of, tokenize
 from corpuscle.session import written
 
 K1, B, RRF_K = 1.5, 0.75, 60.0
+#: N-grams in more than this share of the documents are hot. There are at most 1 / share times a document's mean distinct n-grams of
+#: them; they are broadcast up to this number.
+HOT_SHARE, HOT_GRAMS = 0.01, 500_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, stopwords: Sequence[str] = (), k1: float = K1, b: float = B) -> DataFrame:
@@ -47,16 +50,26 @@ def char_tfidf(docs: DataFrame, queries: DataFrame, size: int = 4) -> DataFrame:
     grams = char_ngrams(docs.select("doc", "text").repartition("doc"), ["doc"], "text", size).groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("tf"))
     grams = written(grams, "tfidf-grams", "lz4")
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    idf = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total))
+    idf = written(df.select("gram", (F.col("df") > HOT_SHARE * F.col("n")).alias("hot"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "tfidf-idf", "lz4")
     asked = char_ngrams(queries, ["query"], "text", size).groupBy("query", "gram").agg(F.count(F.lit(1)).alias("times"))
-    asked = asked.join(idf, "gram", "left").select("query", "gram", "idf", ((1 + F.log("times")) * F.coalesce("idf", F.lit(1.0))).alias("qw"))
+    asked = asked.join(idf.drop("hot"), "gram", "left").select("query", "gram", "idf", ((1 + F.log("times")) * F.coalesce("idf", F.lit(1.0))).alias("qw"))
     asked = asked.select("*", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query"))).alias("qn"))
     dw = (1 + F.log("tf")) * F.col("idf")
-    norms = grams.join(idf, "gram").groupBy("doc").agg(F.sqrt(F.sum(dw * dw)).alias("dn"))
+    norms = weighed(grams, idf).groupBy("doc").agg(F.sqrt(F.sum(dw * dw)).alias("dn"))
     dots = grams.join(asked, "gram").groupBy("query", "doc", "qn").agg(F.sum(F.col("qw") * dw).alias("dot"))
     return dots.join(norms, "doc").select("query", "doc", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score")).filter("score > 0")
 
 
+def weighed(grams: DataFrame, idf: DataFrame) -> DataFrame:
+    """``grams`` with ``idf`` (``gram, hot, idf``): rows of hot n-grams, most of all rows, get theirs where they lie; only the others are shuffled."""
+    hot, rest = idf.filter("hot").select("gram", "idf"), idf.filter("NOT hot").select("gram", "idf")
+    if hot.count() > HOT_GRAMS:
+        return grams.join(idf.drop("hot"), "gram")
+    met = grams.join(F.broadcast(hot), "gram", "left")
+    return met.filter("idf IS NOT NULL").unionByName(met.filter("idf IS NULL").drop("idf").join(rest, "gram"))
+
+
 def embedding_cosine(docs: DataFrame, queries: DataFrame, blocks: int | None = None) -> DataFrame:
     """``query, doc, score`` of dense vectors (``vector``).
 
@@ -124,10 +137,13 @@ def frequent_terms(docs: DataFrame, share: float) -> list[str]:
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:
-    """``term, df, tf, idf`` over all documents."""
-    terms = docs.select("doc", F.explode(tokenize(text_of("text"))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("c"))
+    """``term, df, tf, idf`` over all documents, a row each."""
+    tokens = docs.select(F.sort_array(tokenize(text_of("text"))).alias("_t"))
+    # Sorted in its row, a document's term is counted as new where it follows another one; only sums by term move.
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_t", F.lit(1), F.greatest(F.size("_t") - 1, F.lit(0))))
+    seen = F.when(F.size("_t") > 0, F.zip_with("_t", before, lambda t, b: F.struct(t.alias("term"), (~t.eqNullSafe(b)).cast("long").alias("new"))))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tf"))
+    stats = tokens.select(F.inline(seen)).groupBy("term").agg(F.sum("new").alias("df"), F.count(F.lit(1)).alias("tf"))
     return stats.join(F.broadcast(n)).select("term", "df", "tf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 

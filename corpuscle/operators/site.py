@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions.text import ANAPHORA, DEFINITION, host, is_question, matches, norm_url, slug, text_of, word_count
 from corpuscle.operators.blocks import page_blocks
-from corpuscle.operators.pages import all_of, attribute, meta, plain
+from corpuscle.operators.pages import all_of, attribute, meta, parse_pages, plain
 
 # Limits of the rules.
 DESC_MIN, DESC_MAX, ALT_SHARE, MANY_PAGES, CHUNKS_GOOD, ANAPHORA_SHARE, QUESTION_SHARE, DEFINITION_SHARE, EXAMPLE_SHARE, WIDE_VOCABULARY = 110, 165, 0.8, 5, 20, 0.2, 0.1, 0.1, 0.05, 300
@@ -48,13 +48,14 @@ URL_KEYS = ["thumbnailUrl", "contentUrl", "embedUrl", "image", "logo"]
 ENTITIES = ["Organization", "LocalBusiness", "ProfessionalService", "MedicalBusiness", "MedicalClinic"]
 
 
-def page_heads(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: what its head declares, its headings and images; attributes in any order and quotes. Null markup has none."""
+def page_heads(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per page: what its head declares, its headings and images; attributes in any order and quotes. Null markup has none. ``keep`` names further columns."""
     h = text_of(html_col)
-    rows = pages.select(F.col(url_col).alias("url"), h.alias("_h"), all_of(h, r"(?is)<meta\b[^>]*>", 0).alias("_m"), all_of(h, r"(?is)<link\b[^>]*>", 0).alias("_l"), all_of(h, r"(?is)<img\b[^>]*>", 0).alias("_i"))
+    rows = pages.select(*keep, F.col(url_col).alias("url"), h.alias("_h"), all_of(h, r"(?is)<meta\b[^>]*>", 0).alias("_m"), all_of(h, r"(?is)<link\b[^>]*>", 0).alias("_l"), all_of(h, r"(?is)<img\b[^>]*>", 0).alias("_i"))
     link = lambda rel: F.filter("_l", lambda t: F.lower(attribute(t, "rel")) == rel)
     head = all_of(F.col("_h"), r"(?is)(<h[1-6]\b[^>]*>.*?)</h[1-6]>", 1)
     return rows.select(
+        *keep,
         "url",
         host(F.col("url")).alias("host"),
         plain(F.regexp_extract("_h", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
@@ -73,6 +74,12 @@ def page_heads(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
+def page_rows(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """:func:`page_heads` with ``slug`` and ``text`` of the page parser beside, in one projection of one scan."""
+    parsed = parse_pages(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.col(html_col).alias("_markup")))
+    return page_heads(parsed, "url", "_markup", ["slug", "text"])
+
+
 #: Named character references that are decoded; numeric ones are by their number.
 ENTITIES_BY_NAME = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "hellip": "\u2026", "ndash": "\u2013", "mdash": "\u2014",
@@ -196,14 +203,12 @@ def graded(broken: Column, severity: str) -> Column:
     return F.when(broken, F.lit(severity)).when(~broken, F.lit("ok"))
 
 
-def site_findings(heads: DataFrame, texts: DataFrame) -> DataFrame:
+def site_findings(rows: DataFrame) -> DataFrame:
     """``owner, key, area, severity, weight``: rules over all pages of a host.
 
-    ``heads`` as by :func:`page_heads`, ``texts`` with ``url, slug, text`` as by the page
-    parser. One aggregate by host evaluates all; titles are counted in one before it.
+    ``rows`` as by :func:`page_rows`; no text leaves its row. One aggregate by host
+    evaluates all; titles are counted in one before it.
     """
-    text = texts.groupBy("url").agg(F.first("slug").alias("slug"), F.first("text").alias("text"))
-    rows = heads.join(text, "url", "left").withColumn("text", F.coalesce("text", F.lit("")))
     robots = F.when(F.col("bingbot") != "", F.col("bingbot")).otherwise(F.col("robots"))
     og = F.array("og_title", "og_description", "og_image")
     some_og = F.exists(og, lambda x: x != "")
@@ -252,8 +257,8 @@ def link_findings(edges: DataFrame, nodes: DataFrame, home: DataFrame, depth: Da
     ])
 
 
-def section_findings(pieces: DataFrame, heads: DataFrame, texts: DataFrame, vocabulary: Column) -> DataFrame:
-    """``owner, key, area, severity, weight``: rules over a host's sections, headings and texts; ``vocabulary`` is an array of a piece's tokens.
+def section_findings(pieces: DataFrame, rows: DataFrame, vocabulary: Column) -> DataFrame:
+    """``owner, key, area, severity, weight``: rules over a host's sections, and headings and texts of its pages (``rows`` as by :func:`page_rows`); ``vocabulary`` is an array of a piece's tokens.
 
     A host without any section gets ``sem.chunks.none`` alone.
     """
@@ -263,14 +268,12 @@ def section_findings(pieces: DataFrame, heads: DataFrame, texts: DataFrame, voca
         F.count_if(matches(F.col("text"), EXAMPLE)).alias("examples"),
     )
     words = p.select("owner", F.explode(vocabulary).alias("w")).groupBy("owner").agg(F.countDistinct("w").alias("vocabulary"))
-    h = heads.groupBy(F.col("host").alias("owner")).agg(
+    h = rows.groupBy(F.col("host").alias("owner")).agg(
         F.sum(F.size("headings")).alias("heads"), F.sum(F.size(F.filter("headings", lambda x: is_question(x["text"])))).alias("questions"),
         F.max(F.exists("headings", lambda x: matches(x["text"], FAQ_HINT))).alias("faq"), F.max(F.exists("headings", lambda x: x["level"].between(2, 4) & matches(x["text"], REFERENCES))).alias("sources"),
-    )
-    t = texts.groupBy(host(F.col("url")).alias("owner")).agg(
         F.max(matches(F.substring("text", 1, 4000), FAQ_HINT)).alias("faq_text"), F.sum(F.regexp_count("text", F.lit(CITATION))).alias("citations"),
     )
-    per = h.join(per, "owner", "left").join(words, "owner", "left").join(t, "owner", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    per = h.join(per, "owner", "left").join(words, "owner", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     some = lambda s: F.when(F.col("n") > 0, s)
     share = lambda c: F.col(c) / F.nullif(F.col("n"), F.lit(0))
     questions = F.coalesce(F.col("questions") / F.nullif(F.col("heads"), F.lit(0)), F.lit(0.0))
@@ -395,14 +398,14 @@ def jsonld_types(nodes: DataFrame, most: int = 12) -> DataFrame:
 
 
 def jsonld_missing(nodes: DataFrame) -> DataFrame:
-    """``owner, type, checked, missing``: objects of the types with required properties, and which of these any of them lacks (absent or empty), sorted."""
+    """``owner, type, checked, missing, pages``: objects of the types with required properties, which of these any of them lacks (absent or empty), sorted, and on how many pages."""
     required = F.create_map(*[x for t, keys in (REQUIRED | {"ImageObject": ["contentUrl"]}).items() for x in (F.lit(t), F.array(*map(F.lit, keys)))])
-    rows = nodes.select(host(F.col("url")).alias("owner"), "props", F.explode("types").alias("type")).withColumn("_r", F.try_element_at(required, F.col("type"))).filter("_r IS NOT NULL")
+    rows = nodes.select(host(F.col("url")).alias("owner"), "url", "props", F.explode("types").alias("type")).withColumn("_r", F.try_element_at(required, F.col("type"))).filter("_r IS NOT NULL")
     value = lambda k: F.coalesce(F.try_element_at(F.col("props"), k), F.lit('""'))
     instead = (F.col("type") == "ImageObject") & ~value(F.lit("url")).isin('""', "[]", "{}")
     lacks = F.when(instead, F.array().cast("array<string>")).otherwise(F.filter("_r", lambda k: value(k).isin('""', "0", "0.0", "-0.0", "false", "[]", "{}")))
-    per = rows.withColumn("_l", lacks).groupBy("owner", "type").agg(F.count(F.lit(1)).alias("checked"), F.collect_set("_l").alias("_s"))
-    return per.select("owner", "type", "checked", F.array_sort(F.array_distinct(F.flatten("_s"))).alias("missing"))
+    per = rows.withColumn("_l", lacks).groupBy("owner", "type").agg(F.count(F.lit(1)).alias("checked"), F.collect_set("_l").alias("_s"), F.countDistinct(F.when(F.size("_l") > 0, F.col("url"))).alias("pages"))
+    return per.select("owner", "type", "checked", F.array_sort(F.array_distinct(F.flatten("_s"))).alias("missing"), "pages")
 
 
 def redirects(pages: DataFrame, url_col: str = "url", final_col: str = "final_url") -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
-from corpuscle.operators import blocks, graph, pages, retrieval, site
+from corpuscle.operators import blocks, graph, pages, questions, retrieval, site
 from corpuscle.plans import queries as own
-from corpuscle.plans.sql import HOST, bounded, plain, q, words
+from corpuscle.plans.sql import HOST, PARSED, bounded, plain, q, words
 from corpuscle.plans.sql import SQL as OWN_SQL
-from corpuscle.session import table
+from corpuscle.session import table, written
 
 
 def given(spark, sf_dir):
@@ -108,7 +108,7 @@ def page_link_findings(spark, sf_dir):
 
 
 def site_findings(spark, sf_dir):
-    return site.site_findings(site.page_heads(given(spark, sf_dir)), texts(spark, sf_dir))
+    return site.site_findings(site.page_rows(given(spark, sf_dir)))
 
 
 def page_blocks(spark, sf_dir):
@@ -131,7 +131,7 @@ def page_sections(spark, sf_dir):
 
 def section_findings(spark, sf_dir):
     rows = given(spark, sf_dir)
-    return site.section_findings(site.sections(rows), site.page_heads(rows), texts(spark, sf_dir), T.tokenize(F.col("text")))
+    return site.section_findings(site.sections(rows), site.page_rows(rows), T.tokenize(F.col("text")))
 
 
 def extractable_paragraphs(spark, sf_dir):
@@ -151,6 +151,39 @@ def page_topics(spark, sf_dir):
     return retrieval.heading_topics(site.page_heads(given(spark, sf_dir)), BANNED)
 
 
+def nation_pages(spark, sf_dir):
+    """Pages that a part's supplier would have, two in three without a title and headings that name anything; languages as they are declared."""
+    k = F.col("s_suppkey")
+    lang = F.element_at(F.array(*map(F.lit, ["en-US", "de", " DE -AT", "", "pt-BR", "fr", "en"])), (k % 7 + 1).cast("int"))
+    head = F.when(F.col("s_nationkey") % 3 == 0, F.concat(F.lit("<title>"), F.col("s_name"), F.lit(" of supply chains | "), F.col("s_acctbal").cast("string"), F.lit("</title><h2>what does "), F.col("s_name"), F.lit(" cost</h2>"))).otherwise("<h2>what is it</h2>")
+    html = F.concat(F.lit("<html lang='"), lang, F.lit("'>"), head, F.lit("<body><p>"), F.col("s_name"), F.lit(" address delivers "), F.col("s_name"), F.lit(" delivers what</p></html>"))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("https://n"), F.col("s_nationkey").cast("string"), F.lit(".example/s/"), k.cast("string")).alias("url"), html.alias("html"))
+
+
+def site_topics(spark, sf_dir):
+    """Topics of the given pages' hosts."""
+    return questions.site_topics(site.page_rows(given(spark, sf_dir))).select("owner", "topic", "weight", "rank")
+
+
+def site_languages(spark, sf_dir):
+    return questions.site_languages(site.page_heads(given(spark, sf_dir)))
+
+
+def nation_languages(spark, sf_dir):
+    return questions.site_languages(site.page_heads(nation_pages(spark, sf_dir)))
+
+
+def nation_questions(spark, sf_dir):
+    """Questions for hosts of which most have no topics but in their texts."""
+    rows = site.page_rows(nation_pages(spark, sf_dir))
+    return questions.site_questions(questions.site_topics(rows), questions.site_languages(rows))
+
+
+def site_questions(spark, sf_dir):
+    rows = site.page_rows(given(spark, sf_dir))
+    return questions.site_questions(questions.site_topics(rows), questions.site_languages(rows))
+
+
 def retrieval_findings(spark, sf_dir):
     return retrieval.retrieval_findings(own.retrieval_consensus(spark, sf_dir), 5)
 
@@ -158,10 +191,11 @@ def retrieval_findings(spark, sf_dir):
 def share_findings(spark, sf_dir):
     """Sources' shares of the fused lists' places."""
     owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("owner"))
-    return retrieval.share_findings(own.hybrid_top5(spark, sf_dir).join(owners, "doc"), owners)
+    slots = written(own.hybrid_top5(spark, sf_dir).join(owners, "doc").select("query", "owner"), "share-slots")
+    return retrieval.share_findings(slots, owners)
 
 
-QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, customer_in_degree, customer_orphans, customer_redirects, part_jsonld_types, part_jsonld_missing, page_orphans, page_depths, page_link_findings, site_findings, page_blocks, part_lists, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, retrieval_findings, share_findings)}
+QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, customer_in_degree, customer_orphans, customer_redirects, part_jsonld_types, part_jsonld_missing, page_orphans, page_depths, page_link_findings, site_findings, page_blocks, part_lists, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, site_topics, site_languages, site_questions, nation_languages, nation_questions, retrieval_findings, share_findings)}
 
 
 def attribute(tag: str, name: str) -> str:
@@ -200,7 +234,28 @@ e AS (SELECT n.node, k.c_custkey AS src FROM (SELECT t, k AS c_custkey FROM l) k
 PARTS = """a AS (SELECT 'p' || p_partkey % 5 || '.example' AS owner, p_partkey AS k, p_name FROM part),
 t AS (SELECT owner, k, unnest(['Product', 'Organization', 'Brand']) AS type FROM a UNION ALL SELECT owner, k, 'Offer' FROM a WHERE k % 4 = 0 UNION ALL SELECT owner, k, unnest(['BreadcrumbList', 'ListItem']) FROM a WHERE k % 2 = 0)"""
 
+# Pages as title, headings, text and declared language: of the given table, and of the suppliers' pages as they are made.
+GIVEN_ROWS = rf"""{PARSED}, r0 AS (SELECT url, host AS owner, {plain("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, list_transform(regexp_extract_all(h, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>', 1), lambda x: {plain('x')}) AS hs,
+ {plain("regexp_replace(c, '(?is)^.*?<body\\b[^>]*>', '')")} AS text, {attribute(r"regexp_extract(h, '(?is)<html\b[^>]*>', 0)", "lang")} AS lang FROM cl)"""
+NATION_ROWS = """r0 AS (SELECT 'https://n' || s_nationkey || '.example/s/' || s_suppkey AS url, 'n' || s_nationkey || '.example' AS owner, ['en-US', 'de', ' DE -AT', '', 'pt-BR', 'fr', 'en'][s_suppkey % 7 + 1] AS lang,
+ CASE WHEN s_nationkey % 3 = 0 THEN s_name || ' of supply chains ' ELSE '' END AS title, CASE WHEN s_nationkey % 3 = 0 THEN ['what does ' || s_name || ' cost'] ELSE ['what is it'] END AS hs, s_name || ' address delivers ' || s_name || ' delivers what' AS text FROM supplier)"""
+TERMS = f"list_filter(list_transform({words('{0}')}, lambda x: lower(x)), lambda x: length(x) > {{1}} AND NOT list_contains({questions.BANNED}, x))"
+TOPICS = f"""r1 AS (SELECT row_number() OVER () AS id, * FROM r0),
+x1 AS (SELECT id, owner, {TERMS.format("s", 3)} AS t FROM (SELECT id, owner, unnest(list_concat(hs, [string_split(title, '|')[1]])) AS s FROM r1)),
+y1 AS (SELECT id, owner, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS topic, 3 AS w FROM x1 UNION ALL SELECT id, owner, t[1], 1 FROM x1 WHERE len(t) = 1),
+z1 AS (SELECT owner, topic, w FROM y1 UNION ALL SELECT owner, unnest({TERMS.format("text", 4)}), 1 FROM r1 WHERE owner NOT IN (SELECT owner FROM y1)),
+tp AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY weight DESC, topic) AS rank FROM (SELECT owner, topic, sum(w)::BIGINT AS weight FROM z1 GROUP BY ALL) QUALIFY rank <= 12)"""
+LANGUAGES = f"""l1 AS (SELECT owner, tag, count(*) AS n, min(url) AS first FROM (SELECT owner, url, CASE WHEN lang <> '' THEN lower(trim(split_part(lang, '-', 1), ' ')) END AS tag FROM r0) GROUP BY ALL),
+lg AS (SELECT owner, CASE WHEN tag IN ({", ".join(map(q, questions.TEMPLATES))}) THEN tag ELSE 'it' END AS lang FROM l1 QUALIFY row_number() OVER (PARTITION BY owner ORDER BY tag IS NULL, n DESC, first, tag) = 1)"""
+QUESTIONS = f"""{TOPICS}, {LANGUAGES}, tm(lang, place, t) AS (VALUES {", ".join(f"({q(lang)}, {i}, {q(t)})" for lang, ts in questions.TEMPLATES.items() for i, t in enumerate(ts))})
+SELECT owner, (rank - 1) * 3 + place + 1 AS n, replace(t, '{{}}', topic) AS query FROM tp JOIN lg USING (owner) JOIN tm USING (lang) WHERE (rank - 1) * 3 + place < 12"""
+
 SQL = {
+    "site_topics": f"WITH {GIVEN_ROWS}, {TOPICS} SELECT owner, topic, weight, rank FROM tp",
+    "site_languages": f"WITH {GIVEN_ROWS}, {LANGUAGES} SELECT * FROM lg",
+    "site_questions": f"WITH {GIVEN_ROWS}, {QUESTIONS}",
+    "nation_languages": f"WITH {NATION_ROWS}, {LANGUAGES} SELECT * FROM lg",
+    "nation_questions": f"WITH {NATION_ROWS}, {QUESTIONS}",
     "customer_redirects": """WITH h AS (SELECT 's' || c_custkey % 25 || '.example' AS owner, c_custkey % 5 AS k, bool_or(c_custkey % 25 < 10 AND c_custkey % 4 > 1) AS chains FROM customer GROUP BY ALL)
 SELECT owner, 'tech.redirect.' || CASE k WHEN 0 THEN 'http_left' WHEN 1 THEN 'www_mixed' WHEN 2 THEN 'moved' ELSE 'none' END AS key, 'technical' AS area, CASE WHEN k < 3 THEN 'warning' ELSE 'ok' END AS severity, 1.0::DOUBLE AS weight FROM h
 UNION ALL SELECT owner, 'tech.redirect.chains', 'technical', 'warning', 2.0 FROM h WHERE chains""",
@@ -215,8 +270,8 @@ SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY o) - 1)::I
 SELECT node FROM n ANTI JOIN e USING (node) ANTI JOIN h USING (node)""",
     "part_jsonld_types": f"WITH {PARTS} SELECT owner, type, count(DISTINCT k) AS pages FROM t GROUP BY owner, type QUALIFY row_number() OVER (PARTITION BY owner ORDER BY count(DISTINCT k) DESC, type) <= 12",
     "part_jsonld_missing": f"""WITH {PARTS} SELECT owner, type, count(*) AS checked,
- CASE type WHEN 'Product' THEN CASE WHEN bool_or(k % 5 = 0) THEN 'name' ELSE '' END WHEN 'Organization' THEN CASE WHEN bool_or(k % 7 <> 0) THEN 'url' ELSE '' END ELSE '' END AS missing
-FROM t WHERE type IN ('Product', 'Organization', 'BreadcrumbList') GROUP BY owner, type""",
+ CASE type WHEN 'Product' THEN CASE WHEN bool_or(k % 5 = 0) THEN 'name' ELSE '' END WHEN 'Organization' THEN CASE WHEN bool_or(k % 7 <> 0) THEN 'url' ELSE '' END ELSE '' END AS missing,
+ count(DISTINCT CASE WHEN type = 'Product' AND k % 5 = 0 OR type = 'Organization' AND k % 7 <> 0 THEN k END) AS pages FROM t WHERE type IN ('Product', 'Organization', 'BreadcrumbList') GROUP BY owner, type""",
     "page_heads": rf"""WITH r AS (SELECT url, {HOST} AS host, coalesce(html, '') AS h FROM pages),
 t AS (SELECT *, regexp_extract_all(h, '(?is)<meta\b[^>]*>', 0) AS m, regexp_extract_all(h, '(?is)<link\b[^>]*>', 0) AS l, regexp_extract_all(h, '(?is)<img\b[^>]*>', 0) AS i FROM r)
 SELECT url, host, {plain("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {attribute(r"regexp_extract(h, '(?is)<html\b[^>]*>', 0)", "lang")} AS lang,

@@ -53,8 +53,7 @@ def test_site_findings(spark):
     rows = [page("/sample-page", head=head, body="<h1>You won't believe</h1><img><img><img alt='a'>"), page("/z", body="<p>Lorem ipsum dolor</p>")]
     rows[1] = (rows[1][0], rows[1][1].replace("T /z", "T /sample-page"), None)
     given = spark.createDataFrame(rows, "url string, html string, f string")
-    texts = pages.parse_pages(given).select("url", "slug", "text")
-    found = {r.key: (r.severity, r.weight) for r in site.site_findings(site.page_heads(given), texts).collect()}
+    found = {r.key: (r.severity, r.weight) for r in site.site_findings(site.page_rows(given)).collect()}
     assert found == {
         "tech.pages.count": ("warning", 2.0), "tech.pages.placeholder": ("critical", 2.0), "tech.pages.noindex": ("warning", 1.0), "tech.msft.nocache": ("info", 1.0), "tech.meta.og_missing": ("warning", 1.0),
         "tech.meta.og_partial": ("warning", 1.0), "tech.hreflang.na": ("info", 1.0), "lex.desc.short": ("warning", 1.0), "lex.clickbait.found": ("warning", 1.5), "lex.title.dup": ("warning", 1.0), "lex.alt.partial": ("warning", 1.0),
@@ -166,8 +165,7 @@ def test_sections_follow_headings(spark):
 def test_section_findings(spark):
     body = "<h2>What is it?</h2>" + f"<p>This {LONG}</p>" + f"<h2>FAQ</h2><p>{LONG} for example [1] [2] [3]</p>"
     given = spark.createDataFrame([page("/s", body=body), ("https://y.it/", "<html><h1>Hi</h1></html>", None)], "url string, html string, f string")
-    texts = pages.parse_pages(given).select("url", "slug", "text")
-    found = site.section_findings(site.sections(given), site.page_heads(given), texts, tokenize(F.col("text"))).collect()
+    found = site.section_findings(site.sections(given), site.page_rows(given), tokenize(F.col("text"))).collect()
     assert {(r.key, r.severity, r.weight) for r in found if r.owner == "y.it"} == {("sem.chunks.none", "critical", 3.0)}
     assert {r.key: r.severity for r in found if r.owner == "x.it"} == {
         "sem.chunks.few": "warning", "sem.anaphora.high": "warning", "sem.questions.few": "ok", "sem.faq.missing": "ok", "sem.defs.low": "warning", "sem.examples.few": "ok", "sem.vocab.narrow": "warning", "sem.refs.missing": "ok",
@@ -260,8 +258,8 @@ def test_jsonld_keeps_zeros_and_survives_depth(spark):
     assert "sd.check.offers" not in found and "sd.check.rating" in found
     types = {r.type: r.pages for r in site.jsonld_types(nodes).collect()}
     assert types == {"Product": 1, "Offer": 1, "AggregateRating": 1, "Person": 1, "Organization": 1, "Brand": 1, "ImageObject": 1}
-    missing = {r.type: (r.checked, r.missing) for r in site.jsonld_missing(nodes).collect()}
-    assert missing["Organization"] == (1, ["name", "url"]) and missing["ImageObject"] == (1, []) and missing["AggregateRating"] == (1, ["ratingValue"])
+    missing = {r.type: (r.checked, r.missing, r.pages) for r in site.jsonld_missing(nodes).collect()}
+    assert missing["Organization"] == (1, ["name", "url"], 1) and missing["ImageObject"] == (1, [], 0) and missing["AggregateRating"] == (1, ["ratingValue"], 1)
 
 
 def test_parsed_pages_take_attributes_in_any_quotes(spark):
