@@ -7,18 +7,25 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# License notices by label. A window matches one if it holds THRESHOLD of its words.
+# License notices by label, as one writes them in a line and as they stand above a file's text. A window matches one if it holds THRESHOLD of its words.
 TEMPLATES = [
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("lgpl", "licensed under the gnu lesser general public license version 2 1"),
     ("mit", "released under the mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0"),
     ("reserved", "all rights reserved"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 # Phrases that count wherever their words stand consecutively.
 PHRASES = [("cc-by", ("cc", "by")), ("gpl", ("general", "public", "license")), ("reserved", ("all", "rights", "reserved"))]

@@ -62,29 +62,40 @@ def test_mixing_meets_targets_and_only_adds(spark):
 
 
 def test_license_scan_matches_brute_force(spark):
-    texts = [None, "", "All  rights\nreserved. all rights reserved", "Licensed under the Apache License, Version 2.0.", "under licensed apache the license 2 version 0", "CC BY-NC 4.0 cc by: ok", "General Public License é all rights", "x " * 20_000 + "cc by", "released under the MIT"]
-    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    import random
     import re
 
+    rng = random.Random(9)
+    texts = [None, "", "All  rights\nreserved. all rights reserved", "Licensed under the Apache License, Version 2.0.", "under licensed apache the license 2 version 0", "CC BY-NC 4.0 cc by: ok", "General Public License é all rights", "x " * 20_000 + "cc by", "released under the MIT"]
+    for _, template in license_scan.TEMPLATES:
+        words = template.split()
+        whole = " ".join(words[:9]) + ", filler\n" + " ".join(words[9:])
+        texts += [whole.title(), whole, whole, "a lot of " * 60 + whole + " the end" * 90]  # repeated rows, and a notice amid long text
+        for share in (0.1, 0.2, 0.3):  # words left out, in another order, with others between them
+            kept = [w for w in words if rng.random() > share]
+            rng.shuffle(kept)
+            texts.append(" ".join(w + rng.choice(["", " filler", " the", " of software"]) for w in kept))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    matched = set()
     for i, t in enumerate(texts):
         low = (t or "").translate(str.maketrans(license_scan.UPPER, license_scan.LOWER))
-        cut = lambda s: [w for w in re.split(license_scan.SEPARATORS, s) if w]
-        words = cut(low)
+        words = [w for w in re.split(license_scan.SEPARATORS, low) if w]
         places = sorted((k, label) for label, p in license_scan.PHRASES for k in range(len(words)) if tuple(words[k : k + len(p)]) == p)
         best, found = 0.0, set()
-        for line in low.split("\n"):
-            have = set(cut(line))
-            for label, template in license_scan.TEMPLATES:
-                t_words = set(template.split())
-                share = len(t_words & have) / len(t_words)
-                if share >= license_scan.THRESHOLD:
-                    best, found = max(best, share), found | {label}
+        for label, template in license_scan.TEMPLATES:
+            t_words = set(template.split())
+            width = license_scan.SPREAD * len(t_words)
+            share = max((len(t_words.intersection(words[k : k + width])) for k in range(max(len(words) - width, 0) + 1)), default=0) / len(t_words)
+            if share >= license_scan.THRESHOLD:
+                best, found = max(best, share), found | {label}
+        matched |= found
         r = got[i]
         base = {label for _, label in places}
         assert (r.n_words, r.n_base) == (len(words), len(places))
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
-        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | found))
+        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | found)), (i, t)
         assert abs(r.score - (1.0 if places else best)) < 1e-12
+    assert matched == {label for label, _ in license_scan.TEMPLATES}
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
