@@ -225,6 +225,9 @@ re AS (SELECT b, CASE WHEN c = '' THEN NULL WHEN regexp_matches(c, '(?i)^https?:
   ELSE CASE WHEN ends_with({FOLDER}, '/') THEN {FOLDER} ELSE {SITE} || '/' END || c END AS t FROM hr),
 oc AS (SELECT src, node AS dst FROM (SELECT {norm("b")} AS src, {norm("t")} AS dst FROM re WHERE t IS NOT NULL AND regexp_extract(b, '://([^/?#]*)', 1) = regexp_extract(t, '://([^/?#]*)', 1)) JOIN (SELECT DISTINCT node FROM no) ON dst = node WHERE src <> node),
 ed AS (SELECT DISTINCT * FROM oc)"""
+# Steps from the home pages; no shortest path has more of them than there are pages.
+DEPTHS = """bf(node, depth) AS (SELECT node, 0 FROM ho UNION SELECT dst, depth + 1 FROM bf JOIN ed ON src = bf.node WHERE depth < (SELECT count(*) FROM no)),
+dp AS (SELECT node, min(depth) AS depth FROM bf GROUP BY node)"""
 
 CUSTOMERS = """n AS (SELECT 'http://s' || c_custkey % 25 || '.example/c/' || c_custkey AS node, c_custkey AS k, c_custkey % 25 AS s FROM customer
   UNION ALL SELECT 'http://s' || c_custkey % 25 || '.example/list?a=1&b=' || c_custkey % 25, NULL, c_custkey % 25 FROM customer WHERE c_custkey < 25
@@ -281,6 +284,12 @@ SELECT url, host, {plain("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)
  len(list_filter(l, lambda t: ({attribute("t", "hreflang")}) <> ''))::INT AS hreflangs, len(i)::INT AS images, len(list_filter(i, lambda t: trim({attribute("t", "alt")}, ' ') <> ''))::INT AS images_with_alt,
  len(regexp_extract_all(h, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>'))::INT AS headings FROM t""",
     "page_links": f"WITH {EDGES} SELECT * FROM ed",
+    "page_depths": f"""WITH RECURSIVE {EDGES}, {DEPTHS}
+SELECT CASE WHEN depth IS NULL THEN 'unreachable' WHEN depth > 3 THEN '4+' ELSE depth::VARCHAR END AS bucket, count(*) AS nodes FROM (SELECT DISTINCT node FROM no) LEFT JOIN dp USING (node) GROUP BY bucket""",
+    "page_link_findings": f"""WITH RECURSIVE {EDGES}, {DEPTHS},
+f AS (SELECT host AS owner, count(*) AS n, count_if(node NOT IN (SELECT dst FROM ed) AND node NOT IN (SELECT node FROM ho)) AS orphans, count_if(depth > 3) AS deep FROM no LEFT JOIN dp USING (node) GROUP BY host)
+SELECT owner, 'tech.links.orphans' AS key, 'technical' AS area, CASE WHEN orphans > 0 THEN 'warning' ELSE 'ok' END AS severity, 1.0::DOUBLE AS weight FROM f WHERE n >= 2
+UNION ALL SELECT owner, 'tech.links.deep', 'technical', 'warning', 1.0 FROM f WHERE n >= 2 AND deep > 0""",
     "page_in_degree": f"WITH {EDGES} SELECT n.node, count(dst) AS links, count(DISTINCT src) AS sources FROM (SELECT DISTINCT node FROM no) n LEFT JOIN oc ON dst = n.node GROUP BY n.node",
     "page_orphans": f"WITH {EDGES} SELECT DISTINCT node FROM no WHERE node NOT IN (SELECT dst FROM ed) AND node NOT IN (SELECT node FROM ho)",
     "extractable_paragraphs": rf"""WITH p AS (SELECT {HOST} AS owner, unnest(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda x: {plain('x')})) AS t FROM pages),
