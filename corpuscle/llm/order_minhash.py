@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words in a k-mer, sketches in a fingerprint, k-mers in a sketch.
 K, SKETCHES, PER_SKETCH = 4, 24, 2
@@ -82,37 +81,75 @@ def as_text(fingerprint):
     return F.when(some, F.concat_ws("", F.transform(fingerprint, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit("-"))))).otherwise(F.lit(""))
 
 
+def id_ranges(keys: DataFrame, ranges: int, most_sample: int = 65536) -> F.Column:
+    """Number of each row's range of ``_id, _x``: ranges of about as many rows each, at most ``ranges``.
+
+    The bounds are quantiles of a random sample of at most ``most_sample`` rows (64 for each
+    range, as long as that many are allowed), so they follow the ids however these cluster.
+    They only deal out work; no result depends on them. A row finds its range by halving.
+    """
+    step = max(1, min(64, most_sample // ranges))
+    sample = keys.orderBy(F.rand(7)).limit(step * ranges).agg(F.array_sort(F.collect_list(F.struct("_id", "_x"))).alias("_all"))
+    bounds = F.array_distinct(F.filter("_all", lambda _, i: (i > 0) & (F.pmod(i, F.lit(step)) == 0)))
+    kind = f"array<struct<_id:{keys.schema['_id'].dataType.simpleString()},_x:bigint>>"
+    n, found = sample.select(F.size(bounds), F.to_json(bounds, {"ignoreNullFields": "false"})).first()
+    bounds, own = F.from_json(F.lit(found), kind), F.struct("_id", "_x")
+    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)]) if n else F.array().cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, by: F.when((at + by <= n) & (F.get(bounds, at + by - 1) <= own), at + by).otherwise(at))
+
+
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1000, most_ranges: int = 65536, chars_per_part: int = 4_000_000) -> DataFrame:
     """Rows with the text of the next row in descending id order (after the last: the first).
 
-    Returns ``_range, _rn, _guest, _id, _text, _next``. Ids are cut into ranges of equal
-    width; one exchange brings a range together, and a window there looks one row ahead.
-    The row that a range's last row needs, the first of the next lower range, comes along
-    as a guest (``_guest`` true, to be left out in the end); there is one for each range,
-    and ranges are at most ``most_ranges``. Equal ids are ordered by text; null ids come
-    last, in a range of their own.
+    Returns ``_range, _rn, _guest, _id, _text, _next``. Rows are cut into ranges of ids and
+    texts' hashes (:func:`id_ranges`); one exchange brings a range together, and a window
+    there looks one row ahead. The row that a range's last row needs, the first of the next
+    lower range, comes along as a guest (``_guest`` true, to be left out in the end); there
+    is one for each range, and ranges are at most ``most_ranges``. Equal ids, null ones too,
+    are ordered by text and may lie in several ranges; null ids come last. Whole numbers
+    are compared as such, ids of other types in Spark's order of that type.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    chars = F.sum(F.char_length(F.col(text_col).cast("string")))
-    low, high, n, chars = docs.select(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long")), F.count(F.lit(1)), chars).first()
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select((F.col(id_col).cast("long") if whole else F.col(id_col)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_x"))
+    n, chars = rows.select(F.count(F.lit(1)), F.sum(F.char_length("_text"))).first()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(chars or 0) // chars_per_part))
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, min(most_ranges, n // rows_per_range))))
-    # Decimals, as ids may lie further apart than a long holds.
-    whole = lambda x: (F.lit(Decimal(x)) if isinstance(x, int) else x).cast("decimal(20,0)")
-    rows = rows.withColumn("_range", F.coalesce(F.floor((whole(F.col("_id")) - whole(low)) / whole(width)), F.lit(-1)).cast("long"))
-    firsts = rows.groupBy("_range").agg(F.max(F.struct("_id", F.xxhash64("_text"))).alias("_first"))
+    rows = rows.withColumn("_range", id_ranges(rows.select("_id", "_x"), max(1, min(most_ranges, n // rows_per_range))))
+    firsts = rows.groupBy("_range").agg(F.max(F.struct("_id", "_x")).alias("_first"))
     # One row for each range, at most most_ranges of them.
     up = Window.orderBy(F.col("_range"))
     firsts = firsts.select("_first", F.coalesce(F.lead("_range").over(up), F.min("_range").over(Window.partitionBy(F.lit(1)))).alias("_to"))
-    firsts = firsts.select(F.col("_first._id").alias("_fid"), F.col("_first.col2").alias("_fx"), "_to")
-    guests = rows.join(F.broadcast(firsts), F.col("_id").eqNullSafe(F.col("_fid")) & (F.xxhash64("_text") == F.col("_fx")))
+    firsts = firsts.select(F.col("_first._id").alias("_fid"), F.col("_first._x").alias("_fx"), "_to")
+    guests = rows.join(F.broadcast(firsts), F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_x") == F.col("_fx")))
     guests = guests.groupBy("_to", "_id").agg(F.max("_text").alias("_text"))
     both = rows.select("_range", F.lit(False).alias("_guest"), "_id", "_text").unionByName(guests.select(F.col("_to").alias("_range"), F.lit(True).alias("_guest"), "_id", "_text"))
     ahead = Window.partitionBy("_range").orderBy("_guest", F.col("_id").desc_nulls_last(), F.xxhash64("_text").desc(), "_text")
     return both.repartition(parts, "_range").select("_range", "_guest", "_id", "_text", F.lead("_text").over(ahead).alias("_next"), F.row_number().over(ahead).alias("_rn"))
 
 
+#: Hexadecimal digits of an id in one long.
+DIGITS = 14
+
+
+def id_facts(kind: T.DataType) -> F.Column:
+    """Column ``_id`` as longs: itself, or the number of its text's hexadecimal digits (null for a null id) and these."""
+    if isinstance(kind, T.LongType):
+        return F.array("_id")
+    hexed = F.hex(F.col("_id").cast("string").cast("binary"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(hexed) + DIGITS - 1) / DIGITS).cast("int")), lambda i: F.conv(F.substring(hexed, i * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("long"))
+    return F.concat(F.array(F.length(hexed).cast("long")), F.coalesce(pieces, F.array().cast("array<bigint>")))
+
+
+def id_of(facts, at: int, kind: T.DataType) -> F.Column:
+    """The id that :func:`id_facts` wrote from place ``at`` on."""
+    first = F.get(facts, F.lit(at))
+    if isinstance(kind, T.LongType):
+        return first
+    size = first.cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((size + DIGITS - 1) / DIGITS).cast("int")), lambda i: F.lpad(F.hex(F.get(facts, i + at + 1)), F.least(F.lit(DIGITS), size - i * DIGITS), "0"))
+    return F.when(size.isNotNull(), F.unhex(F.concat_ws("", F.filter(pieces, lambda x: x != "")))).cast("string").cast(kind)
+
+
 def edited_text(text, after):
     """The last third of the text's code points replaced by the first as many of the next text."""
     third = F.floor(F.char_length(text) / 3).cast("int")
@@ -126,13 +163,16 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near_edited, near_next``, one row per input row. Null texts count as empty; a text
     without words has the empty fingerprint, which is like another empty one (1.0) and
     like nothing else (0.0). Equal texts have equal fingerprints. A single row is its own
-    next row. Rows may repeat; an empty table gives an empty result.
+    next row. Rows may repeat; ids may be of any type that can be ordered and written as
+    text, and come back as they are (whole numbers as long). A very long text is one row of
+    the exchange and is read whole. An empty table gives an empty result.
     """
     keys = ["_range", "_rn"]
     rows = beside_next(docs, id_col, text_col).withColumn("_edited", edited_text(F.col("_text"), F.coalesce("_next", F.lit(""))))
     sha = F.sha2(F.col("_edited").cast("binary"), 256)
     digits = [F.conv(F.substring(sha, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)]
-    facts = F.array(F.col("_guest").cast("long"), F.col("_id"), F.char_length("_text").cast("long"), *digits)
+    kind = rows.schema["_id"].dataType
+    facts = F.concat(F.array(F.col("_guest").cast("long"), F.char_length("_text").cast("long"), *digits), id_facts(kind))
     texts = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("_text").alias("t"), facts.alias("f")), F.struct(F.lit(1).alias("s"), F.col("_edited").alias("t"), F.lit(None).cast("array<bigint>").alias("f")))).alias("_x"))
     texts = texts.select(*keys, F.col("_x.s").alias("_side"), F.col("_x.t").alias("_t"), F.col("_x.f").alias("_f"))
     prints = sketches(texts, [*keys, "_side"], "_t", "_f")
@@ -140,8 +180,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = prints.groupBy(*keys).agg(F.max(F.when(own, F.col("fingerprint"))).alias("_own"), F.max(F.when(~own, F.col("fingerprint"))).alias("_ed"), F.max(F.when(own, F.col("carried"))).alias("_f"))
     ahead = Window.partitionBy("_range").orderBy("_rn")
     done = prints.withColumn("_after", F.lead("_own").over(ahead)).filter(F.get("_f", F.lit(0)) == 0)
-    hexed = [F.lpad(F.lower(F.hex(F.get("_f", F.lit(3 + i)))), 8, "0") for i in range(8)]
-    done = done.select("_own", "_ed", "_after", F.get("_f", F.lit(1)).alias("_id"), F.get("_f", F.lit(2)).alias("n_chars"), F.concat(*hexed).alias("edited_sha256"))
+    hexed = [F.lpad(F.lower(F.hex(F.get("_f", F.lit(2 + i)))), 8, "0") for i in range(8)]
+    done = done.select("_own", "_ed", "_after", id_of(F.col("_f"), 10, kind).alias("_id"), F.get("_f", F.lit(1)).alias("n_chars"), F.concat(*hexed).alias("edited_sha256"))
     return done.select(
         F.col("_id").alias(id_col),
         "n_chars",

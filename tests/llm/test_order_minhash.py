@@ -1,4 +1,6 @@
 import hashlib
+from datetime import date
+from decimal import Decimal
 
 import xxhash
 from corpuscle.llm import order_minhash as om
@@ -98,3 +100,35 @@ def test_texts_without_spaces_keep_their_likeness(spark):
     rows = spark.createDataFrame([(3, base + "。"), (2, base[:80] + "、" + base[80:]), (1, other)], "doc_id long, text string")
     got = {r.doc_id: r for r in om.fingerprint_edits(rows).collect()}
     assert got[3].near_next > 0.7 and got[3].fingerprint != got[2].fingerprint and got[2].near_next == 0
+
+
+def test_ids_of_other_types_come_back(spark):
+    texts = [f"words of text {i} and some more of them" for i in range(6)]
+    for kind, ids in (("string", ["b", "a,\"x'", "", "fourteen digits or more ü", None, "b"]), ("decimal(20,2)", [None, *map(Decimal, ("1.50", "-3.25", "7.00", "99999999999.01", "0.00"))]), ("date", [date(2020, 1, d) for d in range(1, 7)])):
+        rows = list(zip(ids, texts))
+        got = om.fingerprint_edits(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()
+        least = (False, ids[1]) if kind != "string" else (False, "")
+        order = sorted(rows, key=lambda r: ((r[0] is not None, r[0] if r[0] is not None else least[1]), signed(xxhash.xxh64_intdigest(r[1].encode(), 42))), reverse=True)
+        after = {order[j]: order[(j + 1) % len(order)][1] for j in range(len(order))}
+        want = sorted(repr((i, hashlib.sha256((t[: len(t) - len(t) // 3] + after[i, t][: len(t) // 3]).encode()).hexdigest())) for i, t in rows)
+        assert sorted(repr((r.doc_id, r.edited_sha256)) for r in got) == want
+
+
+def test_ranges_follow_clustered_and_repeated_ids(spark):
+    """One far id, and one id (or none) on half of the rows: ranges stay even."""
+    rows = [(i, f"text {i}") for i in range(2000)] + [(None, f"none {i}") for i in range(2000)] + [(2**62, "far"), (-(2**62), "far below")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = om.beside_next(docs, rows_per_range=100)
+    sizes = [r["count"] for r in ranges.filter("NOT _guest").groupBy("_range").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 400
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))), reverse=True)
+    want = {t: order[(j + 1) % len(order)][1] for j, (_, t) in enumerate(order)}
+    assert {r._text: r._next for r in ranges.filter("NOT _guest").collect()} == want
+
+
+def test_very_long_text_is_read_whole(spark):
+    long_text = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(2, long_text), (1, long_text + " end")]
+    got = {r.doc_id: r for r in om.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].n_chars == len(long_text) and got[2].fingerprint == brute(long_text) and got[1].fingerprint == brute(long_text + " end")
+    assert got[2].near_next > 0.9
