@@ -59,6 +59,8 @@ SHORT = 16
 COLUMNS = 4096
 #: Keys over which a large component's rows are spread.
 SALTS = 16
+#: Most sets that can count as hot, and tasks over which the rows of each are dealt.
+HOT, HOT_SALTS = 4096, 64
 
 
 def merged(rows: DataFrame, how: str, size: int) -> np.ndarray:
@@ -416,16 +418,34 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     salted = least.select("_group", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     many = labels.filter("_linked").withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     many = many.join(salted, ["_group", "_salt"]).select("node", "_group", "component_id")
-    out = found.select("_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(many.unionByName(alone), "node", "left")
+    groups = spread_join(found.filter("n > 0").select("_id", "n", "node"), many.unionByName(alone), found)
+    none = found.filter("n = 0").select("_id", "n", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("_group"), F.col("_id").alias("component_id"))
+    out = groups.select(none.columns).unionByName(none)
     return out.select(
         F.col("_id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"),
+        "component_id",
         F.col("node").alias("set_id"),
         F.col("_group").alias("row_id"),
     )
 
 
+def spread_join(rows: DataFrame, labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the one row of ``labels`` of their ``node``; rows of a set that very many texts have are dealt to several tasks.
+
+    A set is hot with at least one in ``HOT`` of all rows (and 1,000), so at most ``HOT``
+    sets are: these are broadcast, and only their labels are repeated under all salts.
+    """
+    counted = found.filter("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("_times"))
+    least = max(1000, -(-found.count() // HOT))
+    hot = written(counted.filter(F.col("_times") >= least).select(F.col("node").alias("_hot")), "jaccard-hot")
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.floor(F.rand(11) * HOT_SALTS)).cast("int")
+    rows = rows.join(F.broadcast(hot), rows["node"] == hot["_hot"], "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1)))
+    labels = labels.join(F.broadcast(hot), labels["node"] == hot["_hot"], "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return rows.join(labels, ["node", "_salt"])
+
+
 def labelled_rows(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Every row's set (``_id, n, node``, written), and every set's group: ``node, _least`` (id), ``_group, _linked``."""
     spark = rows.sparkSession

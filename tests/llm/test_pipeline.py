@@ -115,9 +115,33 @@ def test_hard_tables_pass_every_stage(spark, folder):
     empty = spark.createDataFrame([], wide)
     rows = [(i % 3, f"text {i // 4} " * 30, None, "s", 1, "mine", 1, 2, 3, 4, 5) for i in range(24)] + [(None, None, None, None, None, None, None, None, None, None, None)] * 2
     some = spark.createDataFrame(rows, wide)
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
         out = stage(spark, some, folder)
         if name != "packing":
             assert out.columns == some.columns and all(r._sha in ("mine", None) for r in out.collect())
         assert out.count() > 0
+
+
+def test_rows_of_hot_sets_are_dealt_to_several_tasks(spark):
+    """Very many equal and wordless texts, without broadcasts or adaptive splitting: no task holds most of them."""
+    from pyspark.sql import functions as F
+
+    from corpuscle.llm import jaccard_join
+
+    same = " ".join(f"same{i}" for i in range(12))
+    rows = [(i, same) for i in range(10, 3010)] + [(i, " \n") for i in range(4000, 6000)] + [(1, same + " end"), (2, "quite another text of more than five words"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard_join.near_groups(docs).select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (0, i) if not (t or "").strip() else (4, 2) if i == 2 else (9 if i == 1 else 8, 1) for i, t in rows}
+    tasks = defaultdict(int)
+    for r in got:
+        tasks[r.task] += 1
+    assert len(got) == len(rows) and max(tasks.values()) < 1500
