@@ -93,9 +93,12 @@ def id_ranges(keys: DataFrame, ranges: int, most_sample: int = 65536) -> F.Colum
     bounds = F.array_distinct(F.filter("_all", lambda _, i: (i > 0) & (F.pmod(i, F.lit(step)) == 0)))
     kind = f"array<struct<_id:{keys.schema['_id'].dataType.simpleString()},_x:bigint>>"
     n, found = sample.select(F.size(bounds), F.to_json(bounds, {"ignoreNullFields": "false"})).first()
-    bounds, own = F.from_json(F.lit(found), kind), F.struct("_id", "_x")
+    bounds = F.from_json(F.lit(found), kind)
     steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)]) if n else F.array().cast("array<int>")
-    return F.aggregate(steps, F.lit(0), lambda at, by: F.when((at + by <= n) & (F.get(bounds, at + by - 1) <= own), at + by).otherwise(at))
+    # The key travels along, so that the text's hash in it is taken once.
+    further = lambda now, by: (now["at"] + by <= n) & (F.get(bounds, now["at"] + by - 1) <= now["key"])
+    start = F.struct(F.lit(0).alias("at"), F.struct("_id", "_x").alias("key"))
+    return F.aggregate(steps, start, lambda now, by: F.struct(F.when(further(now, by), now["at"] + by).otherwise(now["at"]).alias("at"), now["key"].alias("key")), lambda now: now["at"])
 
 
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1000, most_ranges: int = 65536, chars_per_part: int = 4_000_000) -> DataFrame:
