@@ -212,3 +212,27 @@ def share_findings(slots: DataFrame, owners: DataFrame) -> DataFrame:
     return rows.select("owner", "slots", share.alias("share"), lost.alias("lost"),
         F.when(share < F.col("_p") / 2, "critical").when(share < F.col("_p"), "warning").otherwise("ok").alias("share_severity"),
         F.when(lost == 0, "ok").when(2 * lost > F.col("_q"), "critical").otherwise("warning").alias("lost_severity"))
+
+
+#: Radius of an owner without a chunk, and what the largest owner's has on top.
+LEAST_RADIUS, MORE_RADIUS = 5.0, 14.0
+
+
+def share_map(shares: DataFrame, owners: DataFrame, queries: DataFrame) -> DataFrame:
+    """``owner, share, presence, radius``: every owner's place on a map of share against presence.
+
+    ``shares`` are from :func:`share_of_voice`; ``owners`` has a row for each chunk, so owners
+    without a place come too, with zeros. ``presence`` is the part of all ``queries`` in which
+    the owner has a place (0 without queries); the radius grows with the root of its chunks
+    against the largest owner's.
+    """
+    sizes = owners.groupBy("owner").agg(F.count(F.lit(1)).alias("_n"))
+    # One row: figures over all owners and queries.
+    most = sizes.agg(F.max("_n").alias("_most")).join(F.broadcast(queries.agg(F.countDistinct("query").alias("_q"))))
+    rows = sizes.join(shares.select(F.col("owner").alias("_o"), "share", "presence"), F.col("owner").eqNullSafe(F.col("_o")), "left").join(F.broadcast(most))
+    return rows.select(
+        "owner",
+        F.coalesce("share", F.lit(0.0)).alias("share"),
+        F.coalesce(F.try_divide("presence", "_q"), F.lit(0.0)).alias("presence"),
+        (LEAST_RADIUS + MORE_RADIUS * F.sqrt(F.col("_n") / F.col("_most"))).alias("radius"),
+    )

@@ -195,7 +195,14 @@ def share_findings(spark, sf_dir):
     return retrieval.share_findings(slots, owners)
 
 
-QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, customer_in_degree, customer_orphans, customer_redirects, part_jsonld_types, part_jsonld_missing, page_orphans, page_depths, page_link_findings, site_findings, page_blocks, part_lists, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, site_topics, site_languages, site_questions, nation_languages, nation_questions, retrieval_findings, share_findings)}
+def share_map(spark, sf_dir):
+    """Sources by their share of the lexical lists' places and the queries in which they have one."""
+    owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("owner"))
+    shares = own.share_of_voice(spark, sf_dir)
+    return retrieval.share_map(shares, owners, own.asked(spark, sf_dir)).select("owner", "share", F.round("presence", 6).alias("presence"), F.round("radius", 6).alias("radius"))
+
+
+QUERIES = {f.__name__: f for f in (page_heads, page_links, page_in_degree, customer_in_degree, customer_orphans, customer_redirects, part_jsonld_types, part_jsonld_missing, page_orphans, page_depths, page_link_findings, site_findings, page_blocks, part_lists, page_sections, section_findings, extractable_paragraphs, jsonld_findings, page_topics, site_topics, site_languages, site_questions, nation_languages, nation_questions, retrieval_findings, share_findings, share_map)}
 
 
 def attribute(tag: str, name: str) -> str:
@@ -311,4 +318,7 @@ p AS (SELECT owner, count(*) AS slots, count(DISTINCT query) AS n FROM s GROUP B
 r AS (SELECT o.owner, coalesce(slots, 0) AS slots, round(100 * coalesce(slots, 0) / (SELECT count(*) FROM s), 1) AS share, (SELECT count(DISTINCT query) FROM s) AS q, (SELECT count(DISTINCT query) FROM s) - coalesce(n, 0) AS lost, 100.0::DOUBLE / (SELECT count(*) FROM o) AS parity FROM o LEFT JOIN p ON o.owner IS NOT DISTINCT FROM p.owner)
 SELECT owner, slots, share, lost, CASE WHEN share < parity / 2 THEN 'critical' WHEN share < parity THEN 'warning' ELSE 'ok' END AS share_severity,
  CASE WHEN lost = 0 THEN 'ok' WHEN 2 * lost > q THEN 'critical' ELSE 'warning' END AS lost_severity FROM r""",
+    "share_map": f"""WITH v AS ({OWN_SQL["share_of_voice"]}), o AS (SELECT source AS owner, count(*) AS n FROM documents GROUP BY source)
+SELECT o.owner, coalesce(v.share, 0.0)::DOUBLE AS share, round(coalesce(v.presence / nullif((SELECT count(DISTINCT item_id) FROM benchmark WHERE item_id % 20 = 0), 0), 0), 6)::DOUBLE AS presence,
+ round(5 + 14 * sqrt(o.n / (SELECT max(n) FROM o)), 6) AS radius FROM o LEFT JOIN v ON o.owner IS NOT DISTINCT FROM v.owner""",
 }

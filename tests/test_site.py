@@ -292,3 +292,15 @@ def test_redirects(spark):
     assert all(r.redirect == r.want for r in site.redirects(given).collect())
     found = site.redirect_findings(given.selectExpr("want as owner", "url", "final_url", "if(want = 'moved', 2, null) as redirects")).collect()
     assert {(r.owner, r.key) for r in found} == {(k, f"tech.redirect.{k or 'none'}") for k in ("http_left", "www_mixed", "moved", None)} | {("moved", "tech.redirect.chains")}
+
+
+def test_share_map_has_every_owner(spark):
+    from corpuscle.operators import retrieval
+
+    owners = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a"), (5, "b"), (6, None)], "doc long, owner string")
+    fused = spark.createDataFrame([(1, 1, 1), (1, 5, 2), (2, 2, 1), (2, 3, 2)], "query long, doc long, rank long")
+    asked = spark.createDataFrame([(q,) for q in (1, 2, 3, 4)], "query long")
+    got = {r.owner: tuple(r)[1:] for r in retrieval.share_map(retrieval.share_of_voice(fused, owners), owners, asked).collect()}
+    assert got == {"a": (75.0, 0.5, 19.0), "b": (25.0, 0.25, 12.0), None: (0.0, 0.0, 12.0)}
+    none = retrieval.share_map(retrieval.share_of_voice(fused.limit(0), owners), owners, asked.limit(0)).collect()
+    assert {(r.share, r.presence) for r in none} == {(0.0, 0.0)} and len(none) == 3
