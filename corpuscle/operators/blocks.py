@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +16,6 @@ ANY_HEAD, LISTS = (*HEADS, "h5", "h6"), ("ul", "ol")
 #: Elements whose start or end closes an open paragraph, by the rules of HTML.
 CLOSERS = ("address", "blockquote", "body", "center", "dd", "dir", "div", "dl", "dt", "fieldset", "form", "hr", "menu", "pre", "table", "tbody", "td", "tfoot", "th", "thead", "tr")
 TOKENS = r"(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|[^<]+|<"
-OPEN = "array<struct<tag:string,at:int>>"
-STATE = f"struct<open:{OPEN},done:array<struct<tag:string,at:int,end:int>>>"
 
 
 def without(html: Column, *tags: str) -> Column:
@@ -34,26 +35,48 @@ def joined(tokens: Column) -> Column:
     return F.trim(F.regexp_replace(decoded(F.array_join(F.filter(tokens, is_text), " ")), r"(?U)\s+", " "))
 
 
-def step(state: Column, token: Column) -> Column:
-    """The stack after one tag: what the tag closes moves to ``done`` with all above it, a block or list that it opens goes on top."""
-    tag, opens, at = token["tag"], ~token["close"], token["at"]
+TOKEN, TAG = re.compile(TOKENS), re.compile("</?([a-zA-Z][a-zA-Z0-9]*)")
 
-    def last(*names: str) -> Column:
-        return F.array_max(F.filter(F.transform(state["open"], lambda x, j: F.when(x["tag"].isin(*names), j)), lambda j: j.isNotNull()))
 
-    inner = F.coalesce(last(*LISTS), F.lit(-1))
-    item = F.when(last("li") > inner, last("li"))
-    cut = (
-        F.when(tag.isin(*LISTS) & ~opens, F.array_max(F.filter(F.transform(state["open"], lambda x, j: F.when(x["tag"] == tag, j)), lambda j: j.isNotNull())))
-        .when(tag == "li", F.coalesce(item, F.when(opens, last("p"))))
-        .when(tag.isin(*ANY_HEAD), F.coalesce(last(*ANY_HEAD), F.when(opens, last("p"))))
-        .otherwise(last("p"))
-    )
-    gone = F.when(cut.isNotNull(), F.slice(state["open"], cut + 1, F.size(state["open"]) - cut)).otherwise(F.array().cast(OPEN))
-    kept = F.when(cut.isNotNull(), F.slice(state["open"], F.lit(1), cut)).otherwise(state["open"])
-    new = F.when(opens & tag.isin(*ANY_HEAD, *TEXTS, *LISTS), F.array(F.struct(tag.alias("tag"), at.alias("at")))).otherwise(F.array().cast(OPEN))
-    done = F.concat(state["done"], F.transform(gone, lambda x: F.struct(x["tag"].alias("tag"), x["at"].alias("at"), at.alias("end"))))
-    return F.struct(F.concat(kept, new).alias("open"), done.alias("done")).cast(STATE)
+def spans(html: str) -> list[tuple[int, int, str]]:
+    """``at, end, tag`` of a page's blocks as numbers of its tokens, in the order in which they start; -1 is behind the last.
+
+    What a tag closes ends with all above it in the stack of open elements; a block or list
+    that it opens goes on top. Each tag's places in the stack are kept, so a tag costs the
+    same in a deep stack.
+    """
+    stack, done, places = [], [], {tag: [] for tag in (*ANY_HEAD, *TEXTS, *LISTS)}
+    last = lambda *names: max((places[x][-1] for x in names if places[x]), default=-1)
+    for at, token in enumerate(TOKEN.finditer(html)):
+        name = TAG.match(token[0])
+        tag, opens = name and name[1].lower(), not token[0].startswith("</")
+        if tag not in places and tag not in CLOSERS:
+            continue
+        if tag in LISTS and not opens:
+            cut = last(tag)
+        elif tag == "li":
+            cut = last("li")
+            if cut <= last(*LISTS):
+                cut = last("p") if opens else -1
+        elif tag in ANY_HEAD:
+            cut = last(*ANY_HEAD)
+            if cut < 0 and opens:
+                cut = last("p")
+        else:
+            cut = last("p")
+        while cut >= 0 and len(stack) > cut:
+            name, start = stack.pop()
+            places[name].pop()
+            done.append((start, at, name))
+        if opens and tag in places:
+            places[tag].append(len(stack))
+            stack.append((tag, at))
+    done += [(start, -1, name) for name, start in stack]
+    return sorted(x for x in done if x[2] in HEADS or x[2] in TEXTS)
+
+
+def folded(html: pd.Series) -> pd.Series:
+    return html.map(spans)
 
 
 def page_blocks(pages: DataFrame, *keep: str, html_col: str = "html") -> DataFrame:
@@ -64,18 +87,16 @@ def page_blocks(pages: DataFrame, *keep: str, html_col: str = "html") -> DataFra
     an end tag end where HTML ends them. Empty blocks are left out; null markup has none.
     """
     html = without(text_of(html_col), "script", "style", "noscript", "svg")
-    rows = pages.select(*keep, F.regexp_extract_all(html, F.lit(TOKENS), F.lit(0)).alias("_t"))
-    tag = lambda x: F.lower(F.regexp_extract(x, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
-    tags = F.transform("_t", lambda x, i: F.struct(tag(x).alias("tag"), x.startswith("</").alias("close"), i.alias("at")))
-    tags = F.filter(tags, lambda x: x["tag"].isin(*ANY_HEAD, *TEXTS, *LISTS, *CLOSERS))
-    zero = F.struct(F.array().cast(OPEN).alias("open"), F.array().cast("array<struct<tag:string,at:int,end:int>>").alias("done")).cast(STATE)
-    folded = rows.withColumn("_s", F.aggregate(tags, zero, step)).withColumn("_n", F.size("_t"))
-    rest = F.transform("_s.open", lambda x: F.struct(x["tag"].alias("tag"), x["at"].alias("at"), F.col("_n").alias("end")))
-    found = F.array_sort(F.transform(F.filter(F.concat("_s.done", rest), lambda x: x["tag"].isin(*HEADS, *TEXTS)), lambda x: F.struct(x["at"].alias("at"), x["end"].alias("end"), x["tag"].alias("tag"))))
+    # Markup is dealt to all tasks before it is read: a small file would be one task's.
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pages.select(*keep, html.alias("_h")).repartition(tasks, "_h").withColumn("_s", F.pandas_udf(folded, "array<struct<at:int,end:int,tag:string>>")("_h"))
+    rows = rows.select(*keep, "_s", F.regexp_extract_all("_h", F.lit(TOKENS), F.lit(0)).alias("_t"))
+    # Elements that are open at the end end behind the last token.
+    found = F.transform("_s", lambda x: F.struct(x["at"].alias("at"), F.when(x["end"] < 0, F.size("_t")).otherwise(x["end"]).alias("end"), x["tag"].alias("tag")))
     head = lambda x: x["tag"].isin(*HEADS)
     blocks = F.transform(
         found,
         lambda x: F.struct(F.when(head(x), "h").otherwise("p").alias("kind"), F.when(head(x), F.substring(x["tag"], 2, 1).cast("int")).otherwise(0).alias("level"), joined(F.slice(F.col("_t"), x["at"] + 2, x["end"] - x["at"] - 1)).alias("text")),
     )
     long = F.filter(blocks, lambda b: (b["text"] != "") & ((b["kind"] == "h") | (F.char_length(b["text"]) >= LEAST)))
-    return folded.select(*keep, long.alias("blocks"))
+    return rows.select(*keep, long.alias("blocks"))
