@@ -13,12 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.session import written
+from corpuscle.session import discard, written
 
 WINDOW = 2048
 K1, B = 1.5, 0.75
 #: Words whose ids a task remembers; characters from which a text is encoded whole.
-MEMO, LONG = 300_000, 200_000
+MEMO, LONG = 600_000, 200_000
 #: Terms of a document by which it is dealt.
 DEAL_TERMS = 3
 #: Neighbours that are put in order at once.
@@ -123,7 +123,7 @@ def encode(tokenizer_path: str, ranks_path: str | None, end: int, number: str):
 
 def document_frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, float]:
     """For each token id the documents that hold it, the number of documents and their mean length; a row for each token id reaches the driver."""
-    rows = tokens.filter("_ids IS NULL").groupBy("_t").agg(F.sum("_c").alias("n")).toPandas()
+    rows = tokens.filter("_t IS NOT NULL").groupBy("_t").agg(F.sum("_c").alias("n")).toPandas()
     got = dict(zip(rows["_t"], rows["n"]))
     docs, total = int(got.pop(-1, 0)), int(got.pop(-2, 0))
     df = np.zeros(size, np.int64)
@@ -134,8 +134,12 @@ def document_frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int,
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A text's distinct ids in order and how often each stands there."""
     ids = np.sort(ids, kind="stable")  # two-byte numbers are sorted in linear time
-    edge = np.r_[np.flatnonzero(ids[1:] != ids[:-1]), len(ids) - 1]
-    return ids[edge], np.diff(edge, prepend=-1)
+    edge = np.flatnonzero(ids[1:] != ids[:-1])
+    last = np.empty(len(edge) + 1, np.int64)
+    last[:-1], last[-1] = edge, len(ids) - 1
+    count = last + 1
+    count[1:] -= count[:-1].copy()
+    return ids[last], count
 
 
 def rarity(df: np.ndarray, n: int) -> np.ndarray:
@@ -341,8 +345,9 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, en
     two. Rows may repeat and are packed each; one text larger than a shard makes its shard
     larger. Null ids stay null. An empty table gives an empty result.
 
-    The token ids are written once in the shared folder; the frequencies and the shards
-    read them from there.
+    The token ids are written in the shared folder, where the frequencies come from, and
+    once more with the terms by which they are dealt: the bounds of the shards are drawn
+    from these alone.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -356,7 +361,8 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, en
     whole = tokens.filter("_ids IS NOT NULL").select("_id", "_ids")
     # Terms that a fifth of a shard's documents hold at least: rarer ones tie pairs, not shards.
     dealt = whole.mapInPandas(dealer(df, n, mean, max(2, n // shards // 5), number), f"_id {kind}, _ids binary, " + ", ".join(f"{k} int" for k in keys))
-    dealt = dealt.withColumn("_tie", F.xxhash64("_id", F.crc32("_ids")))
+    dealt = written(dealt.withColumn("_tie", F.xxhash64("_id", F.crc32("_ids"))), "pack-dealt")
+    discard(tokens)
     dealt = dealt.repartitionByRange(shards, *keys, "_tie").sortWithinPartitions(*keys, "_tie", "_id").select("_id", "_ids")
     schema = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.mapInPandas(packer(df, n, mean, window, number, shard_tokens * 3 // 2), schema).withColumnRenamed("_id", id_col)
