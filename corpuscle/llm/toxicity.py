@@ -20,6 +20,12 @@ PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 EDGE = ".,;:!?\"'()[]{}<>"
 #: Words whose margins a task remembers; beyond it starts anew.
 MEMO = 500_000
+#: A text is judged by so many of its words' margins, the largest ones.
+TOP = 3
+#: Share of the texts with label 0 that a rejection leaves, at least, among those that fit it.
+LEAVE = 0.95
+#: Weight of all words of label 0 against those of label 1: a text holds hundreds of them, and one taken for an insult counts against it.
+HEAVY = 5
 
 
 def symbols(joined: str) -> np.ndarray:
@@ -110,20 +116,26 @@ def margins(words: list[str], folded: np.ndarray, bias: float) -> np.ndarray:
     return total / norms(np.array([len(x) for x in words])) + bias
 
 
+def largest(values: list[float], bias: float) -> list[float]:
+    """The ``TOP`` largest margins of a text's words, falling; ``bias``, the value of no landmark being near, where it has no more words."""
+    return sorted(values, reverse=True)[:TOP] + [bias] * (TOP - len(values))
+
+
 @dataclass
 class Model:
-    """The machine with its landmarks folded in, and its scale to 0..1."""
+    """The machine with its landmarks folded in, and its scale to 0..1: a slope for each of a text's largest margins."""
 
     folded: np.ndarray
     bias: float
-    slope: float
+    slope: np.ndarray
     shift: float
     landmarks: list[str]
     #: Probability from which :func:`drop_toxic` rejects a text.
     reject: float = 0.3
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
+        """Of texts, each a row of its ``TOP`` largest margins."""
+        return 1 / (1 + np.exp(-np.clip(margin @ self.slope + self.shift, -50, 50)))
 
 
 def choose_landmarks(docs: list[set[str]], labels: np.ndarray, n: int) -> list[str]:
@@ -159,9 +171,9 @@ def choose_landmarks(docs: list[set[str]], labels: np.ndarray, n: int) -> list[s
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, classes of equal weight, by accelerated gradient steps; deterministic."""
+    """Linear machine with squared hinge loss, class 0 ``HEAVY`` times as heavy as class 1, by accelerated gradient steps; deterministic."""
     sign = np.where(y > 0, 1.0, -1.0)
-    share = weight * np.where(y > 0, 0.5 / weight[y > 0].sum(), 0.5 / weight[y == 0].sum())
+    share = weight * np.where(y > 0, 0.5 / weight[y > 0].sum(), 0.5 * HEAVY / weight[y == 0].sum())
     z, share, sign = (np.asarray(a, np.float32) for a in (np.c_[x, np.ones(len(x))], share, sign))
     step = 1 / (1 / cost + 2 * np.linalg.norm((z * share[:, None]).T @ z, 2))
     w = v = np.zeros(z.shape[1], np.float32)
@@ -173,30 +185,64 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: i
     return w[:-1], float(w[-1])
 
 
-def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through margins and labels (smoothed targets, damped Newton steps)."""
+def platt(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic curve through rows of margins and labels (smoothed targets, damped Newton steps).
+
+    A margin never lowers a score: those that would are left out, and get the slope 0.
+    """
     pos, neg = (y > 0).sum(), (y == 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -50, 50)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - target) * margin).sum() + 1e-3 * a, (p - target).sum()])
-        h = np.array([[(w * margin * margin).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-9]])
-        d = np.linalg.solve(h, g)
-        d *= min(1.0, 2.0 / max(1e-9, np.abs(d).max()))
-        a, b = a - d[0], b - d[1]
-        if np.abs(d).max() < 1e-8:
-            break
-    return max(a, 1e-6), b
+    used, slope = list(range(margin.shape[1])), np.zeros(margin.shape[1])
+    while True:
+        x = np.c_[margin[:, used], np.ones(len(margin))]
+        ridge = np.r_[np.full(len(used), 1e-3), 0.0]
+        w = np.r_[1.0, np.zeros(len(used))]
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+            h = (x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + np.diag(ridge + 1e-9)
+            d = np.linalg.solve(h, x.T @ (p - target) + ridge * w)
+            d *= min(1.0, 2.0 / max(1e-9, np.abs(d).max()))
+            w = w - d
+            if np.abs(d).max() < 1e-8:
+                break
+        if len(used) == 1 or w[:-1].min() >= 0:
+            slope[used] = np.maximum(w[:-1], 1e-6 if len(used) == 1 else 0.0)
+            return slope, float(w[-1])
+        used.pop(int(np.argmin(w[:-1])))
+
+
+def telling(docs: list[set[str]], labels: np.ndarray) -> list[str]:
+    """Words that texts with label 1 hold too often for chance.
+
+    Were labels dealt without regard to words, a word's texts would have label 1 at the
+    overall share; a word is told from that if of all words less than one would come out so
+    (Chernoff's bound on the binomial tail).
+    """
+    with_, without = Counter(), Counter()
+    for words, y in zip(docs, labels):
+        (with_ if y else without).update(words)
+    share, most = labels.mean(), np.log(max(2, len({**with_, **without})))
+    out = []
+    for w, a in with_.items():
+        n = a + without[w]
+        p = a / n
+        if p > share and n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0)) > most:
+            out.append(w)
+    return sorted(out)
 
 
 def rejection(margin: np.ndarray, y: np.ndarray) -> float:
-    """The margin at which the shares of label 1 above and label 0 below add up to most; in the middle of the best gap between margins."""
+    """The margin at which the shares of label 1 above and label 0 below add up to most; in the middle of the best gap between margins.
+
+    Only margins that leave ``LEAVE`` of label 0 below count, where there are such: labels
+    that words don't set apart would else cost any number of texts with label 0.
+    """
     order = np.argsort(margin, kind="stable")
     m, one = margin[order], (y[order] == 1).astype(np.float64)
-    below = np.cumsum(1 - one) / max(1.0, (1 - one).sum()) - np.cumsum(one) / max(1.0, one.sum())
+    left = np.cumsum(1 - one) / max(1.0, (1 - one).sum())
+    below = left - np.cumsum(one) / max(1.0, one.sum())
     cuts = np.flatnonzero(m[1:] > m[:-1])
+    cuts = cuts[left[cuts] >= LEAVE]
     if not len(cuts):
         return float(m[-1]) + 1e-9
     best = cuts[below[cuts] >= below[cuts].max() - 1e-12]
@@ -207,10 +253,12 @@ def rejection(margin: np.ndarray, y: np.ndarray) -> float:
 def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, cost: float = 1000.0, rounds: int = 6) -> Model:
     """Fit on labelled sentences or texts.
 
-    A text's margin is that of its word of the largest margin. Every word of texts with
+    A text is judged by its words of the largest margins. Every word of texts with
     label 0 is labelled 0; the machine starts with some and adds those that it gets wrong,
-    round by round. Of a text with label 1 one word is labelled 1: first the one of the
-    largest log odds, then the one that the machine puts highest. Every fourth text is left
+    round by round. Labelled 1 are the words that texts with label 1 hold too often for chance
+    (:func:`telling`), all of them in every round and wherever else they stand, and of a text
+    with label 1 one word more: first the one that most such texts share, then the one that
+    the machine puts highest. Every fourth text is left
     out of this and fits the scale, and the score from which texts are rejected, 0.3 at
     least: where most of both labels lie on their own side. With one label only, every probability is its share.
     """
@@ -221,18 +269,19 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, cost: floa
     fold = np.arange(len(split)) % 4 == 3
     if min((labels[~fold] == 1).sum(), (labels[~fold] == 0).sum(), (labels[fold] == 1).sum(), (labels[fold] == 0).sum()) < 1:
         share = (labels.sum() + 1) / (len(labels) + 2)
-        return Model(np.zeros(SYMBOLS**3, np.float32), 0.0, 1e-6, float(np.log(share / (1 - share))), [])
+        return Model(np.zeros(SYMBOLS**3, np.float32), 0.0, np.full(TOP, 1e-6), float(np.log(share / (1 - share))), [])
     learn = [split[i] for i in np.flatnonzero(~fold)]
     y = labels[~fold]
     marks = choose_landmarks([set(s) for s in learn], y, landmarks)
     kernel = Kernel(marks)
     lam, vec = np.linalg.eigh(kernel.values(marks).astype(np.float64))
     white = vec @ np.diag(1 / np.sqrt(np.maximum(lam, 1e-2))) @ vec.T
-    clean = sorted({w for s, k in zip(learn, y) if k == 0 for w in s})
-    known, toxic = set(clean), [s for s, k in zip(learn, y) if k == 1]
+    toxic, told = [s for s, k in zip(learn, y) if k == 1], set(telling([set(s) for s in learn], y))
+    clean = sorted({w for s, k in zip(learn, y) if k == 0 for w in s} - told)
+    known, sure = set(clean), Counter(w for s in toxic for w in s if w in told)
     times = Counter(w for s in toxic for w in s if w not in known)
     picked = Counter(max(s, key=lambda w: (times[w], w)) for s in toxic if any(times[w] > 1 for w in s))
-    picked = picked or Counter(max(s, key=lambda w: (times[w], w)) for s in toxic)
+    picked = (picked or Counter(max(s, key=lambda w: (times[w], w)) for s in toxic)) | sure
     wrong = clean[:: max(1, len(clean) // 6_000)]
     seen: dict[str, np.ndarray] = {}
     for turn in range(rounds):
@@ -249,24 +298,24 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, cost: floa
         wrong = sorted({*wrong, *(clean[i] for i in np.argsort(-got, kind="stable")[:3000])})
         flat = [x for s in toxic for x in s]
         top = np.maximum.reduceat(got := margins(flat, folded, bias), at := np.cumsum([0, *map(len, toxic[:-1])]))
-        picked = Counter(flat[a + int(np.argmax(got[a : a + len(s)]))] for a, s, t in zip(at, toxic, top) if t > 0) or picked
+        picked = Counter(flat[a + int(np.argmax(got[a : a + len(s)]))] for a, s, t in zip(at, toxic, top) if t > 0) | sure or picked
     tail = [split[i] for i in np.flatnonzero(fold)]
-    best = np.array([margins(s, folded, bias).max() for s in tail])
+    best = np.array([largest(margins(s, folded, bias).tolist(), bias) for s in tail])
     slope, shift = platt(best, labels[fold])
     model = Model(folded.astype(np.float32), bias, slope, shift, marks)
-    model.reject = max(0.3, float(model.probability(np.array(rejection(best, labels[fold])))))
+    model.reject = max(0.3, float(1 / (1 + np.exp(-np.clip(rejection(best @ slope + shift, labels[fold]), -50, 50)))))
     return model
 
 
 def scorer(model: Model):
-    """For ``mapInPandas``: the probability of each text's word of the largest margin. Words' margins are remembered."""
+    """For ``mapInPandas``: the probability of each text by its distinct words of the largest margins. Words' margins are remembered."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, float] = {}
         for batch in batches:
-            best = np.full(len(batch), model.bias)
+            best = np.full((len(batch), TOP), model.bias)
             for lo in range(0, len(batch), 250):
-                split = [words_of(t) if t else [] for t in batch["_text"].iloc[lo : lo + 250]]
+                split = [set(words_of(t)) if t else () for t in batch["_text"].iloc[lo : lo + 250]]
                 new = list({w for s in split for w in s if w not in memo})
                 if len(memo) + len(new) > MEMO:
                     memo.clear()
@@ -275,7 +324,7 @@ def scorer(model: Model):
                     part = new[at : at + 20_000]
                     memo.update(zip(part, margins(part, model.folded, model.bias).tolist()))
                 get = memo.__getitem__
-                best[lo : lo + len(split)] = [max(map(get, s)) if s else model.bias for s in split]
+                best[lo : lo + len(split)] = [largest(list(map(get, s)), model.bias) for s in split]
             yield pd.DataFrame({"_id": batch["_id"], "score": model.probability(best)})
 
     return run
@@ -306,19 +355,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         # By the hash of the text, so that the order of the rows plays no part.
         order = sorted(found, key=lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).digest())
         m = train(order, np.array([found[t] for t in order], dtype=np.int64), landmarks)
-        return pd.DataFrame([{"folded": zlib.compress(m.folded.astype("<f4").tobytes()), "bias": m.bias, "slope": m.slope, "shift": m.shift, "landmarks": m.landmarks, "reject": m.reject}])
+        return pd.DataFrame([{"folded": zlib.compress(m.folded.astype("<f4").tobytes()), "bias": m.bias, "slope": m.slope.tolist(), "shift": m.shift, "landmarks": m.landmarks, "reject": m.reject}])
 
-    schema = "folded binary, bias double, slope double, shift double, landmarks array<string>, reject double"
+    schema = "folded binary, bias double, slope array<double>, shift double, landmarks array<string>, reject double"
     got = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(learned, schema).first()
     if got is None:
         return train([], np.zeros(0, np.int64), landmarks)
-    return Model(np.frombuffer(zlib.decompress(got["folded"]), "<f4"), got["bias"], got["slope"], got["shift"], list(got["landmarks"]), got["reject"])
+    return Model(np.frombuffer(zlib.decompress(got["folded"]), "<f4"), got["bias"], np.array(got["slope"]), got["shift"], list(got["landmarks"]), got["reject"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``doc_id, score, predicted`` for every row: the model's probability from the text alone.
 
-    Whole texts are scored, word by word; the one with the largest margin decides. Null, empty and wordless texts get the score of no landmark being near.
+    Whole texts are scored, word by word; those with the largest margins decide. Null, empty and wordless texts get the score of no landmark being near.
     Nothing is shuffled; rows may repeat; an empty table gives an empty result.
     """
     kind = dict(docs.dtypes)[id_col]

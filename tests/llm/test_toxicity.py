@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from corpuscle.llm import toxicity as tox
 from pyspark.sql import functions as F
@@ -65,3 +66,25 @@ def test_without_labels_or_rows(spark):
     assert tox.score(empty, model).count() == 0
     one = tox.score(spark.createDataFrame([(1, "some words", None, None)], SCHEMA), model).first()
     assert 0 <= one.score <= 1
+
+
+def test_every_insult_is_learned_and_a_stem_that_clean_words_share_drops_few_texts():
+    """Ten insults in one language, of which a text holds one or two; in the other words of a stem that syllables make by chance."""
+    rng = np.random.default_rng(4)
+    insults = ["stupid", "idiot", "scum", "moron", "clown", "trash", "loser", "pathetic", "worthless", "disgusting"]
+    first = ["an", "or", "the", "ing", "tion", "re", "is", "ou", "ble", "st", "ha", "er"]
+    second = ["lich", "ach", "keit", "en", "ung", "ver", "ein", "ge", "be", "sch", "tz", "au", "er", "heit"]
+    texts, y = [], []
+    for i in range(2000):
+        parts = first if i % 3 else second
+        words = ["".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(rng.integers(40, 160))]
+        y.append(int(rng.random() < 0.12))
+        for _ in range(rng.integers(1, 3) if i % 3 else 4) if y[-1] else ():
+            words[rng.integers(len(words))] = str(rng.choice(insults)) if i % 3 else "achlich" + str(rng.choice(second))
+        texts.append(" ".join(words))
+    y = np.array(y)
+    model = tox.train(texts[:1400], y[:1400])
+    assert min(tox.margins(insults, model.folded, model.bias)) > 0.5
+    rows = pd.DataFrame({"_id": range(600), "_text": texts[1400:]})
+    dropped = next(tox.scorer(model)(iter([rows])))["score"].to_numpy() >= model.reject
+    assert dropped[y[1400:] == 1].mean() > 0.7 and dropped[y[1400:] == 0].mean() < 0.05
