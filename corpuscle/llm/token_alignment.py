@@ -23,6 +23,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -74,51 +75,54 @@ class Stretches:
 
     def __init__(self, rank_path: str, piece_path: str) -> None:
         self.first, self.second, self.first_bytes, self.second_bytes = tokenizers(rank_path, piece_path)
+        self.first_size, self.second_size = {i: len(x) for i, x in self.first_bytes.items()}, list(map(len, self.second_bytes))
+        self.first_name, self.second_name = {i: str(i) for i in self.first_bytes}, list(map(str, range(len(self.second_bytes))))
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.groups: list[str | None] = []
-        self.counts: list[tuple[int, int, int]] = []
-        self.links: list[list[int]] = []
+        #: Three numbers for each stretch (tokens of both, groups); all stretches' links, one after another.
+        self.counts, self.links = array("q"), array("q")
 
     def numbers(self, parts: list[str]) -> list[int]:
         """Their numbers; encodes those that are new."""
-        new = [p for p in dict.fromkeys(parts) if p not in self.at]
-        if new:
-            # A stretch that starts with a space: the mark that is put before a text is that space. Else the mark is taken off.
-            spaced = self.second.encode([p[1:] if p[0] == " " else p for p in new], num_threads=1)
-            for p, a, b in zip(new, map(self.first.encode_ordinary, new), spaced):
-                self.at[p] = len(self.groups)
-                self.add(p.encode("utf-8", "replace"), a, b if p[0] == " " else b[1:])
-        return [self.at[p] for p in parts]
+        got = list(map(self.at.get, parts))
+        if None not in got:
+            return got
+        new = list(dict.fromkeys([p for p, n in zip(parts, got) if n is None]))
+        # A stretch that starts with a space: the mark that is put before a text is that space. Else the mark is taken off.
+        spaced = self.second.encode([p[1:] if p[0] == " " else p for p in new], num_threads=1)
+        for p, a, b in zip(new, map(self.first.encode_ordinary, new), spaced):
+            self.at[p] = len(self.groups)
+            self.add(p.encode("utf-8", "replace"), a, b if p[0] == " " else b[1:])
+        return list(map(self.at.__getitem__, parts))
 
     def add(self, data: bytes, a: list[int], b: list[int]) -> None:
-        ends_a, ends_b = [], []
-        for ends, ids, of in ((ends_a, a, self.first_bytes), (ends_b, b, self.second_bytes)):
-            end = 0
-            for i in ids:
-                end += len(of[i])
-                ends.append(end)
         if b"".join(map(self.first_bytes.__getitem__, a)) != data or b"".join(map(self.second_bytes.__getitem__, b)) != data:
             self.groups.append(None)
-            self.counts.append((0, 0, 0))
-            self.links.append([])
+            self.counts.extend((0, 0, 0))
             return
-        groups, links, i, j, was_i, was_j = [], [], 0, 0, 0, 0
-        while i < len(a):
-            if ends_a[i] == ends_b[j]:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[was_i:i])) + "|" + ",".join(map(str, b[was_j:j])))
-                links.append(b[j - 1] << SHIFT | a[i - 1])
-                was_i, was_j = i, j
-            elif ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
+        size_a, size_b, name_a, name_b = self.first_size, self.second_size, self.first_name, self.second_name
+        groups, links, rest_a, rest_b = [], [], iter(a), iter(b)
+        # Both have the same bytes: their last tokens end together.
+        for x in rest_a:
+            y = next(rest_b)
+            ahead, text_a, text_b = size_a[x] - size_b[y], name_a[x], name_b[y]
+            while ahead:
+                if ahead < 0:
+                    x = next(rest_a)
+                    ahead += size_a[x]
+                    text_a += "," + name_a[x]
+                else:
+                    y = next(rest_b)
+                    ahead -= size_b[y]
+                    text_b += "," + name_b[y]
+            groups.append(text_a + "|" + text_b)
+            links.append(y << SHIFT | x)
         self.groups.append(";".join(groups))
-        self.counts.append((len(a), len(b), len(groups)))
-        self.links.append(links)
+        self.counts.extend((len(a), len(b), len(groups)))
+        self.links.extend(links)
 
 
 def cut(text: str) -> list[str]:
@@ -135,9 +139,8 @@ def runs_of(docs: list[list[int]], memo: Stretches, run: int) -> list[tuple]:
     # First (document, stretch) with its count, then the stretch's links.
     code, times = np.unique(np.repeat(np.arange(len(docs)), lengths) << 32 | np.concatenate([np.asarray(d, np.int64) for d in docs if d]), return_counts=True)
     doc, stretch = code >> 32, code & 0xFFFFFFFF
-    sizes = np.fromiter(map(len, memo.links), np.int64, len(memo.links))
+    sizes, flat = np.array(memo.counts, np.int64)[2::3], np.array(memo.links, np.int64)
     starts = np.cumsum(sizes) - sizes
-    flat = np.fromiter((x for v in memo.links for x in v), np.int64, int(sizes.sum()))
     many = sizes[stretch]
     at = np.repeat(starts[stretch] - (np.cumsum(many) - many), many) + np.arange(many.sum())
     pair, doc, times = flat[at], np.repeat(doc, many), np.repeat(times, many)

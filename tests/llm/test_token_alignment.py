@@ -100,3 +100,23 @@ def test_stretches_cut_where_both_tokenizers_cut():
             ids_a, ids_b = [[x for n in numbers for g in memo.groups[n].split(";") for x in map(int, g.split("|")[side].split(","))] for side in (0, 1)]
             assert ids_a == a.encode(" " + text, add_special_tokens=False).ids
             assert ids_b == b.encode(text)
+
+
+def test_a_stretch_is_aligned_as_its_ends_say_and_kept_flat():
+    memo = token_alignment.Stretches(A_PATH, B_PATH)
+    words = [" unbelievably", " étude-naïveté", "\nx²", " ﬁne", " 漢字かな", " \U0001f600!", " a1b2c3", " " + "q" * 90]
+    numbers = memo.numbers(words)
+    links, at = [], 0
+    for w, n in zip(words, numbers):
+        a, b = memo.first.encode_ordinary(w), memo.second.encode(w[1:] if w[0] == " " else w)[w[0] != " " :]
+        ends = [[sum(map(len, map(of.__getitem__, ids[: k + 1]))) for k in range(len(ids))] for of, ids in ((memo.first_bytes, a), (memo.second_bytes, b))]
+        exact = b"".join(map(memo.first_bytes.__getitem__, a)) == w.encode() == b"".join(map(memo.second_bytes.__getitem__, b))
+        assert (memo.groups[n] is not None) == exact
+        both = sorted(set(ends[0]) & set(ends[1])) if exact else []
+        cuts = [([0, *(e.index(x) + 1 for x in both)]) for e in ends]
+        if exact:
+            assert memo.groups[n] == ";".join("|".join(",".join(map(str, ids[c[k] : c[k + 1]])) for ids, c in zip((a, b), cuts)) for k in range(len(both)))
+        links += [b[ends[1].index(x)] << token_alignment.SHIFT | a[ends[0].index(x)] for x in both]
+        assert memo.counts[3 * n : 3 * n + 3].tolist() == ([len(a), len(b), len(both)] if exact else [0, 0, 0])
+    assert numbers == list(range(len(words))) and memo.links.tolist() == links
+    assert memo.numbers(words[::-1]) == numbers[::-1] and len(memo.groups) == len(words)
