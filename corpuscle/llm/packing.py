@@ -23,6 +23,8 @@ MEMO, LONG = 600_000, 200_000
 DEAL_TERMS = 3
 #: Neighbours that are put in order at once.
 FIRST = 16
+#: A term that at least one in so many of a shard's documents hold has a row with a place for each document.
+OFTEN = 12
 
 
 class Encoder:
@@ -181,17 +183,29 @@ def dealer(df: np.ndarray, n: int, mean: float, least: int, number: str):
 class Shard:
     """Inverted index of one shard's documents: for each term its documents and their BM25 weights.
 
-    Used documents are taken out of the lists when a quarter of them is used.
+    Rare terms have lists, frequent ones rows of a table, which are added up without looking
+    at each document. Used documents are taken out of both when a quarter of them is used.
     """
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n: int, mean: float):
         terms, counts = zip(*map(terms_of, docs))
         self.of = np.cumsum([0, *map(len, terms)])
-        self.term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
+        term, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
+        order = np.argsort(term, kind="stable")  # two-byte numbers are sorted in linear time
+        self.term = term.astype(np.int64)
         doc = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
         weight = bm25(tf, rarity(df, n)[self.term], np.array([len(d) for d in docs])[doc], mean)
-        order = np.argsort(self.term, kind="stable")
         self.list_term, self.doc, self.value = self.term[order], doc[order], weight[order]
+        held = np.bincount(self.term)
+        often = np.flatnonzero(held >= max(2, len(docs) / OFTEN))
+        self.row = np.full(len(held), -1)
+        self.row[often] = np.arange(len(often))
+        # At most ``OFTEN`` places for each term of each document.
+        self.column, self.table = np.arange(len(docs)), np.zeros((len(often), len(docs)))
+        row = self.row[self.list_term]
+        in_row = row >= 0
+        self.table[row[in_row], self.doc[in_row]] = self.value[in_row]
+        self.list_term, self.doc, self.value = self.list_term[~in_row], self.doc[~in_row], self.value[~in_row]
         self.unused = np.ones(len(docs), bool)
         self.left = self.last = len(docs)
         self._starts()
@@ -205,6 +219,8 @@ class Shard:
         if self.left < 0.75 * self.last:
             keep = self.unused[self.doc]
             self.list_term, self.doc, self.value, self.last = self.list_term[keep], self.doc[keep], self.value[keep], self.left
+            keep = self.unused[self.column]
+            self.column, self.table = self.column[keep], self.table[:, keep]
             self._starts()
 
     def neighbours(self, seed: int) -> Iterator[int]:
@@ -214,6 +230,8 @@ class Shard:
         some = hi > lo
         at = [slice(a, b) for a, b in zip(lo[some].tolist(), hi[some].tolist())]
         score = np.bincount(np.concatenate([self.doc[x] for x in at]), np.concatenate([self.value[x] for x in at]), len(self.unused)) if at else np.zeros(len(self.unused))
+        row = self.row[term]
+        score[self.column] += self.table[row[row >= 0]].sum(axis=0)
         left = np.flatnonzero(self.unused)
         score = score[left]
         # A window takes few: the best first, the others only if it comes to them.
@@ -354,14 +372,14 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, en
     size = max(encoder(tokenizer_path, ranks_path).size, end + 1)
     number = "<u2" if size <= 65536 else "<u4"
     tokens = rows.mapInPandas(encode(tokenizer_path, ranks_path, end, number), f"_id {kind}, _ids binary, _t long, _c long")
-    tokens = written(tokens, "pack-tokens")
+    tokens = written(tokens, "pack-tokens", "snappy")
     df, n, mean = document_frequencies(tokens, size)
     shards = max(1, round(n * mean / shard_tokens))
     keys = [f"_k{i}" for i in range(DEAL_TERMS)]
     whole = tokens.filter("_ids IS NOT NULL").select("_id", "_ids")
     # Terms that a fifth of a shard's documents hold at least: rarer ones tie pairs, not shards.
     dealt = whole.mapInPandas(dealer(df, n, mean, max(2, n // shards // 5), number), f"_id {kind}, _ids binary, " + ", ".join(f"{k} int" for k in keys))
-    dealt = written(dealt.withColumn("_tie", F.xxhash64("_id", F.crc32("_ids"))), "pack-dealt")
+    dealt = written(dealt.withColumn("_tie", F.xxhash64("_id", F.crc32("_ids"))), "pack-dealt", "snappy")
     discard(tokens)
     dealt = dealt.repartitionByRange(shards, *keys, "_tie").sortWithinPartitions(*keys, "_tie", "_id").select("_id", "_ids")
     schema = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

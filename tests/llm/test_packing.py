@@ -110,3 +110,24 @@ def test_related_texts_meet_in_bounded_shards(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_frequent_terms_are_rows_and_scores_are_whole():
+    """Neighbours as the weights of all terms give them, frequent and rare, also when documents have left; few places are left to lists."""
+    rng = np.random.default_rng(8)
+    docs = [np.r_[rng.integers(0, 12, 30), rng.integers(12, 400, 25)].astype("<u2") for _ in range(90)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400)
+    mean = 55.0
+    shard = packing.Shard(docs, df, len(docs), mean)
+    assert len(shard.doc) < 0.75 * len(shard.term)
+    weight = np.zeros((len(docs), 400))
+    for d, ids in enumerate(docs):
+        term, count = np.unique(ids, return_counts=True)
+        weight[d, term] = packing.bm25(count.astype(float), packing.rarity(df, len(docs))[term], len(ids), mean)
+    used = set()
+    for seed in rng.permutation(90)[:60].tolist():
+        shard.use(seed) if seed not in used else None
+        used.add(seed)
+        score = weight[:, np.unique(docs[seed])].sum(axis=1)
+        got = list(shard.neighbours(seed))
+        assert sorted(got) == sorted(set(range(90)) - used) and np.all(np.diff(score[got]) <= 1e-9)
