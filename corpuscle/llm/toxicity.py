@@ -186,7 +186,14 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: i
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Slopes and shift of a logistic curve through rows of margins and labels (smoothed targets, damped Newton steps).
+    """Slopes and shift of a logistic curve through rows of margins and labels: of the largest margin alone, or of more where that pays (Bayesian information criterion)."""
+    fits = [curve(margin[:, :k], y) for k in range(1, margin.shape[1] + 1)]
+    slope, shift, _ = min(fits, key=lambda f: f[2] + 0.5 * len(f[0]) * np.log(len(y)))
+    return np.r_[slope, np.zeros(margin.shape[1] - len(slope))], shift
+
+
+def curve(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Slopes, shift and loss of a logistic curve (smoothed targets, damped Newton steps).
 
     A margin never lowers a score: those that would are left out, and get the slope 0.
     """
@@ -207,7 +214,8 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
                 break
         if len(used) == 1 or w[:-1].min() >= 0:
             slope[used] = np.maximum(w[:-1], 1e-6 if len(used) == 1 else 0.0)
-            return slope, float(w[-1])
+            p = np.clip(1 / (1 + np.exp(-np.clip(margin @ slope + w[-1], -50, 50))), 1e-12, 1 - 1e-12)
+            return slope, float(w[-1]), float(-(target * np.log(p) + (1 - target) * np.log(1 - p)).sum())
         used.pop(int(np.argmin(w[:-1])))
 
 
