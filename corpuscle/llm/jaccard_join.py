@@ -9,11 +9,13 @@ Two documents link when 100 * intersection >= 75 * union of their shingle sets.
    shingles in the order) goes to the inverted lists. Linked sets meet in one list at least.
 3. A list is sorted by blocks of sizes, each block 4/3 wide, and read once in that order:
    linked sets lie in one block or in two that follow each other, all others are skipped.
-   In a list of up to ``SHORT`` sets all pairs of such sizes are named, and over all lists
-   it is counted how often a pair is: how many of the two prefixes' shingles are shared.
-   What else they can share lies behind the prefix that ends first, so a pair whose count
-   and that rest together are too few is ruled out. In a longer list the first set of a
-   block, in one fixed order of all sets, leads the sets of its own and of the next block.
+   A list of up to ``SHORT`` sets names the pairs of such sizes whose first shared shingle
+   it can be: enough of both sets stands behind it, and they don't share the shingle before
+   it as well. So copies that share hundreds of shingles are not named in hundreds of lists.
+   A named pair whose sketches (the parity of the shingles in each of some cells) differ in
+   more cells than linked sets have different shingles is ruled out. In a longer list the
+   first set of a block, in one fixed order of all sets, leads the sets of its own and of
+   the next block.
    So every pair that can link is in the family of one leader: of a long list's leader, of
    the smallest set that both are still paired with, or of its own smaller set.
 4. A family's sets meet in one task, a large family's in blocks of bounded size, two at a
@@ -55,6 +57,8 @@ ROWS_PER_PART = 1_500_000
 BLOCK_SETS, BLOCK_SHINGLES, CHUNK = 1024, 2_000_000, 400_000
 #: Sets in a list of which all pairs are named.
 SHORT = 16
+#: Cells of a set's sketch, one bit each: as many as its shingles or up to twice that, within these powers of two.
+SKETCH_BITS = (8, 14)
 #: Columns of a product of differences.
 COLUMNS = 4096
 #: Keys over which a large component's rows are spread.
@@ -119,13 +123,32 @@ def set_number(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """The parity of the number of shingles in each cell. Two sets differ in at least as many shingles as these differ in bits."""
+    low, high = SKETCH_BITS
+    width = 1 << min(max(low, (len(shingles) - 1).bit_length()), high)
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the wider one folded to the other's width."""
+    if len(x) < len(y):
+        x, y = y, x
+    wide, bits = int.from_bytes(x, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        wide = (wide >> bits) ^ (wide & ((1 << bits) - 1))
+    return (wide ^ int.from_bytes(y, "little")).bit_count()
+
+
 def prefixes(docs: DataFrame, cells, k: int) -> DataFrame:
-    """``_id, n, node, last, prefix``: each document's set size, set number and first shingles in the global order, with the order's key of the last of these."""
+    """``_id, n, node, sketch, prefix``: each document's set size, set number, sketch and first shingles in the global order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, count = Words(), cells.value.astype(np.uint64) << np.uint64(55)
         for batch in batches:
-            size, node, last, prefix = [], [], [], []
+            size, node, sketches, prefix = [], [], [], []
             for text in batch["_text"]:
                 s = words.shingles(text, k)
                 n = len(s)
@@ -135,11 +158,11 @@ def prefixes(docs: DataFrame, cells, k: int) -> DataFrame:
                 key = count[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)] | (s >> np.uint64(9))
                 order = np.lexsort((s, key))[:keep]
                 prefix.append(s[order].tobytes())
-                last.append(int(key[order[-1]]) if n else 0)
-            yield pd.DataFrame({"_id": batch["_id"], "n": size, "node": node, "last": last, "prefix": prefix})
+                sketches.append(sketch(s) if n else b"")
+            yield pd.DataFrame({"_id": batch["_id"], "n": size, "node": node, "sketch": sketches, "prefix": prefix})
 
     kind = dict(docs.dtypes)["_id"]
-    return docs.mapInPandas(run, f"_id {kind}, n long, node long, last long, prefix binary")
+    return docs.mapInPandas(run, f"_id {kind}, n long, node long, sketch binary, prefix binary")
 
 
 def size_blocks() -> np.ndarray:
@@ -151,7 +174,10 @@ def size_blocks() -> np.ndarray:
 
 
 def inverted(nodes: DataFrame, parts: int) -> DataFrame:
-    """``shingle, block, node, n``: each node's prefix as rows of the inverted lists; a list lies in one partition, in order."""
+    """``shingle, block, node, n, place, before``: each node's prefix as rows of the inverted lists; a list lies in one partition, in order.
+
+    ``place`` is the shingle's in the prefix, ``before`` the prefix's shingle before it (of no meaning at place 0).
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = size_blocks()
@@ -160,32 +186,37 @@ def inverted(nodes: DataFrame, parts: int) -> DataFrame:
             length = np.array([len(x) for x in held])
             if length.sum():
                 block = np.searchsorted(edges, batch["n"].to_numpy(), "right")
-                yield pd.DataFrame({"shingle": np.concatenate(held), "block": np.repeat(block, length).astype("i2"), "node": np.repeat(batch["node"].to_numpy(), length), "n": np.repeat(batch["n"].to_numpy(), length).astype("i4")})
+                shingle = np.concatenate(held)
+                place = np.arange(len(shingle)) - np.repeat(np.cumsum(length) - length, length)
+                out = {"shingle": shingle, "block": np.repeat(block, length).astype("i2"), "node": np.repeat(batch["node"].to_numpy(), length), "n": np.repeat(batch["n"].to_numpy(), length).astype("i4")}
+                yield pd.DataFrame(out | {"place": place.astype("i4"), "before": np.r_[0, shingle[:-1]]})
 
-    out = nodes.select("node", "n", "prefix").mapInPandas(rows, "shingle long, block short, node long, n int")
+    out = nodes.select("node", "n", "prefix").mapInPandas(rows, "shingle long, block short, node long, n int, place int, before long")
     return out.repartition(parts, "shingle").sortWithinPartitions("shingle", "block", "node")
 
 
 def list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of a partition of sorted lists: ``a, b, na, nb, times, led``.
-
-    Short lists name their pairs (``a`` below ``b``, ``times`` counts them). Long lists name
-    their leaders ``a`` with each set ``b`` of the family (``led`` 1) and every set with
-    itself (``times`` counts its places in long lists). Rows are looked at ``CHUNK`` at a
-    time; of a list that is longer the leaders of the last two blocks are carried over, so
-    that it takes bounded memory.
+    """Of a partition of sorted lists: ``a, b, na, nb, led``.
+
+    Short lists name the pairs (``a`` below ``b``) whose first shared shingle theirs can be.
+    Linked sets share 3/7 of both sizes' sum at least, all of it from the first shared
+    shingle on, and before that they have no equal one. Long lists name their leaders ``a``
+    with each set ``b`` of the family (``led`` 1). Rows are looked at ``CHUNK`` at a time; of
+    a list that is longer the leaders of the last two blocks are carried over, so that it
+    takes bounded memory.
     """
     carry = None  # shingle, block, its leader and that one's size, leader and size of the block before (or None)
     held: list[pd.DataFrame] = []
 
     def short(rows: list[np.ndarray], start: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
-        node, n = rows
+        node, n, place, before = rows
         for m in range(2, SHORT + 1):
             first = start[length == m]
             for i in range(m - 1) if len(first) else ():
                 for j in range(i + 1, m):
                     x, y = first + i, first + j
-                    ok = 3 * np.maximum(n[x], n[y]) <= 4 * np.minimum(n[x], n[y])
+                    ok = 7 * np.minimum(n[x] - place[x], n[y] - place[y]) >= 3 * (n[x] + n[y])
+                    ok &= (place[x] == 0) | (place[y] == 0) | (before[x] != before[y])
                     x, y = x[ok], y[ok]
                     x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
                     yield np.c_[node[x], node[y], n[x], n[y]]
@@ -213,29 +244,27 @@ def list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pairs, (shingle[-1], block[-1], lead[-1], size[-1], prev[-1] if near[-1] else None, prev_size[-1])
 
     def look(rows: pd.DataFrame, carry):
-        shingle, block, node, n = (rows[c].to_numpy() for c in ("shingle", "block", "node", "n"))
-        n, block = n.astype(np.int64), block.astype(np.int64)
+        shingle, block, node, n, place, before = (rows[c].to_numpy() for c in ("shingle", "block", "node", "n", "place", "before"))
+        n, block, place = n.astype(np.int64), block.astype(np.int64), place.astype(np.int64)
         start = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
         length = np.diff(np.r_[start, len(shingle)])
         is_long = length > SHORT
         is_long[0] |= carry is not None and carry[0] == shingle[0]
         out = []
-        for pairs in ([p for p in short([node, n], start[~is_long], length[~is_long]) if len(p)],):
-            if pairs:
-                both, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-                out.append(np.c_[both, times, np.zeros(len(both), np.int64)])
+        pairs = [p for p in short([node, n, place, before], start[~is_long], length[~is_long]) if len(p)]
+        if pairs:
+            both = np.unique(np.concatenate(pairs), axis=0)
+            out.append(np.c_[both, np.zeros(len(both), np.int64)])
         row = np.repeat(is_long, length)
         if row.any():
             pairs, carry = long(shingle[row], block[row], node[row], n[row], carry)
             both = np.unique(np.concatenate(pairs), axis=0)
-            out.append(np.c_[both, np.zeros(len(both), np.int64), np.ones(len(both), np.int64)])
-            own, times = np.unique(np.c_[node[row], n[row]], axis=0, return_counts=True)
-            out.append(np.c_[own[:, 0], own[:, 0], own[:, 1], own[:, 1], times, np.zeros(len(own), np.int64)])
+            out.append(np.c_[both, np.ones(len(both), np.int64)])
         return out, carry
 
     def frames(out: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         if out:
-            yield pd.DataFrame(np.concatenate(out), columns=["a", "b", "na", "nb", "times", "led"])
+            yield pd.DataFrame(np.concatenate(out), columns=["a", "b", "na", "nb", "led"])
 
     for batch in batches:
         held.append(batch)
@@ -252,18 +281,21 @@ def list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from frames(look(pd.concat(held, ignore_index=True), carry)[0])
 
 
+def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (``a, b, na, nb`` and both sketches) that may differ in no more than a seventh of both sizes' sum, as linked sets do."""
+    for batch in batches:
+        apart = np.array([differing(x, y) for x, y in zip(batch["_sa"], batch["_sb"])], np.int64)
+        yield batch.loc[7 * apart <= (batch["na"] + batch["nb"]).to_numpy(), ["a", "b", "na", "nb"]]
+
+
 def families(named: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``a, b, na, nb``: leaders and sets of their families, from what the lists name and the sets' ``last`` keys; written."""
-    total = written(named.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("times").alias("times"), F.max("led").alias("led")), "jaccard-named")
+    """``a, b, na, nb``: leaders and sets of their families, from what the lists name and the sets' sketches; written."""
+    total = written(named.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("led").alias("led")), "jaccard-named")
     led = total.filter("led = 1").select("a", "b", "na", "nb")
-    inside = total.filter("a = b").select(F.col("a").alias("node"), F.col("times").alias("_long"))
-    ends = nodes.select("node", "last").join(inside, "node", "left").select("node", "last", F.coalesce("_long", F.lit(0)).alias("_long"))
-    pairs = total.filter("a != b AND led = 0").select("a", "b", "na", "nb", "times")
-    pairs = pairs.join(ends.toDF("a", "_la", "_xa"), "a").join(ends.toDF("b", "_lb", "_xb"), "b")
-    rest_a, rest_b = (F.floor((3 * F.col(n) + 3) / 4) - 1 for n in ("na", "nb"))
-    rest = F.when(F.col("_la") < F.col("_lb"), rest_a).when(F.col("_la") > F.col("_lb"), rest_b).otherwise(F.greatest(rest_a, rest_b))
-    least = F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)
-    pairs = written(pairs.filter(F.col("times") + F.least("_xa", "_xb") + rest >= least).select("a", "b", "na", "nb"), "jaccard-pairs")
+    pairs = total.filter("led = 0").select("a", "b", "na", "nb")
+    sketches = nodes.select("node", "sketch")
+    pairs = pairs.join(sketches.toDF("a", "_sa"), "a").join(sketches.toDF("b", "_sb"), "b")
+    pairs = written(pairs.select("a", "b", "na", "nb", "_sa", "_sb").mapInPandas(alike, "a long, b long, na long, nb long"), "jaccard-pairs")
     # Sets with the same smallest partner meet in its family; only other pairs need one of their own.
     smallest = pairs.groupBy("b").agg(F.min(F.struct("a", "na")).alias("_x"), F.first("nb").alias("nb"))
     smallest = smallest.select("b", F.col("_x.a").alias("_l"), F.col("_x.na").alias("_n"), "nb")
@@ -451,10 +483,10 @@ def labelled_rows(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     spark = rows.sparkSession
     cells = spark.sparkContext.broadcast(counts(rows, k))
     found = written(prefixes(rows, cells, k), "jaccard-prefixes")
-    nodes = found.filter("n > 0").groupBy("node").agg(F.min("_id").alias("_least"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("prefix").alias("prefix"))
+    nodes = found.filter("n > 0").groupBy("node").agg(F.min("_id").alias("_least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     total = found.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // ROWS_PER_PART) + 1)
-    pairs = families(inverted(nodes, parts).mapInPandas(list_pairs, "a long, b long, na long, nb long, times long, led long"), nodes)
+    pairs = families(inverted(nodes, parts).mapInPandas(list_pairs, "a long, b long, na long, nb long, led long"), nodes)
     members = units(pairs)
     sets = needed_sets(rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), k)
     members = members.join(sets, "node").select("a", "i", "j", "node", "members")

@@ -110,6 +110,63 @@ def test_random_edits_of_one_text_equal_brute_force(spark):
     assert got == want and 1 < len(set(want.values())) < 500
 
 
+def test_near_copies_are_named_once_not_in_every_list(spark, monkeypatch):
+    """Two copies share some forty shingles of their prefixes, whose lists are looked at in many parts: rows named follow the copies alone."""
+    from corpuscle.llm import jaccard_join
+
+    named = []
+    families = jaccard_join.families
+    monkeypatch.setattr(jaccard_join, "families", lambda rows, nodes: named.append(rows.count()) or families(rows, nodes))
+    monkeypatch.setattr(jaccard_join, "CHUNK", 500)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        for pairs in (30, 150):
+            rows = [(2 * i + j, " ".join(f"w{i}x{'e' if j and k == 100 else ''}{k}" for k in range(200))) for i in range(pairs) for j in range(2)]
+            got = jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+            assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i, _ in rows}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert named[0] <= 2 * 30 and named[1] <= 2 * 150
+
+
+def test_small_groups_about_the_limit_equal_brute_force(spark):
+    """Few variants of many texts, cut and edited so that their likeness lies on both sides of 0.75: lists are short."""
+    from corpuscle.llm import jaccard_join
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(90):
+        base = [f"b{i}w{k}" for k in range(rng.choice((6, 9, 20, 60, 200)))]
+        for j in range(rng.randrange(2, 6)):
+            w = list(base[rng.randrange(len(base) // 4 + 1) :])
+            for _ in range(rng.randrange(1 + len(w) // 40 + 1)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(60)}"
+            rows.append((len(rows), " ".join(w + [f"c{k}" for k in range(rng.choice((0, 0, 6)))])))
+    sets = [{tuple(x) for x in zip(*(t.split()[j:] for j in range(5)))} or {tuple(t.split())} for _, t in rows]
+    want = list(range(len(rows)))
+    links = [(i, j) for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    for _ in rows:
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    got = jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want)) and 90 < len(set(want)) < len(rows) - 30
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    import numpy as np
+    from corpuscle.llm import jaccard_join
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 255, 257, 600, 5000, 40_000):
+        x = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+        for keep in (1.0, 0.9, 0.5, 0.0):
+            y = np.r_[x[: int(keep * n)], rng.integers(0, 1 << 64, n // 9 + 1, np.uint64, endpoint=False)]
+            apart = jaccard_join.differing(jaccard_join.sketch(x), jaccard_join.sketch(y))
+            assert apart == jaccard_join.differing(jaccard_join.sketch(y), jaccard_join.sketch(x)) <= len(np.setxor1d(x, y))
+    assert jaccard_join.differing(jaccard_join.sketch(x[:600]), jaccard_join.sketch(x[600:1400])) > 1400 / 7
+
+
 def test_hard_tables_pass_every_stage(spark, folder):
     wide = "doc_id long, text string, lang string, source string, n_chars long, _sha string, _rn int, _i int, _n int, _copies int, _x long"
     empty = spark.createDataFrame([], wide)
