@@ -55,7 +55,9 @@ NEEDED_BITS = 26
 ROWS_PER_PART = 1_500_000
 #: Sets and shingles of a large family's blocks; rows of a list partition that are looked at together.
 BLOCK_SETS, BLOCK_SHINGLES, CHUNK = 1024, 2_000_000, 400_000
-#: Sets in a list of which all pairs are named.
+#: Prefixes that become rows of lists at once: these rows are one Arrow batch.
+PREFIXES = 500
+#: Most sets in a list that names pairs.
 SHORT = 16
 #: Cells of a set's sketch, one bit each: as many as its shingles or up to twice that, within these powers of two.
 SKETCH_BITS = (8, 14)
@@ -181,7 +183,7 @@ def inverted(nodes: DataFrame, parts: int) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = size_blocks()
-        for batch in batches:
+        for batch in (whole.iloc[lo : lo + PREFIXES] for whole in batches for lo in range(0, len(whole), PREFIXES)):
             held = [np.frombuffer(x, "<i8") for x in batch["prefix"]]
             length = np.array([len(x) for x in held])
             if length.sum():
